@@ -7,6 +7,7 @@ from importlib import import_module
 #: Module to query name.
 _MODULES: dict[str, str] = {
     "url_filter": "op1_url_filter",
+    "chat_format": "op3_chat_format",
 }
 
 QUERIES = {name: import_module(f"storynet.llm.{module}").query for module, name in _MODULES.items()}
