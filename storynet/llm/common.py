@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What Python's bytes.split() and the contracts call white space.
 SPACE = " \\x09-\\x0D"
@@ -35,3 +36,22 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key with over one in HOT_SHARE of all rows is hot, so there are at most HOT_SHARE such keys.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row for each key (not null) and the ``count`` of rows it meets.
+
+    Hot keys are joined by broadcast, at most HOT_SHARE of them; the rest by a shuffled join without large groups.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = keyed.filter(F.col(count) * HOT_SHARE >= total)
+    names = [r[0] for r in hot.select(key).collect()]
+    if not names:
+        return rows.join(keyed, key)
+    is_hot = F.col(key).isin(*names)
+    rest = keyed.filter(F.col(count) * HOT_SHARE < total)
+    return rows.filter(is_hot).join(F.broadcast(hot), key).unionByName(rows.filter(~is_hot).join(rest, key))

@@ -8,6 +8,7 @@ from importlib import import_module
 _MODULES: dict[str, str] = {
     "url_filter": "op1_url_filter",
     "chat_format": "op3_chat_format",
+    "mixing": "op8_mixing",
 }
 
 QUERIES = {name: import_module(f"storynet.llm.{module}").query for module, name in _MODULES.items()}
