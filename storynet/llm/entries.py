@@ -9,6 +9,7 @@ _MODULES: dict[str, str] = {
     "url_filter": "op1_url_filter",
     "chat_format": "op3_chat_format",
     "mixing": "op8_mixing",
+    "quality": "op9_quality",
 }
 
 QUERIES = {name: import_module(f"storynet.llm.{module}").query for module, name in _MODULES.items()}
