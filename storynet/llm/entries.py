@@ -8,6 +8,7 @@ from importlib import import_module
 _MODULES: dict[str, str] = {
     "url_filter": "op1_url_filter",
     "chat_format": "op3_chat_format",
+    "language": "op5_language",
     "mixing": "op8_mixing",
     "quality": "op9_quality",
 }
