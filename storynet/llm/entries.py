@@ -9,6 +9,7 @@ _MODULES: dict[str, str] = {
     "url_filter": "op1_url_filter",
     "chat_format": "op3_chat_format",
     "language": "op5_language",
+    "pii": "op6_pii",
     "decontaminate": "op7_decontaminate",
     "mixing": "op8_mixing",
     "quality": "op9_quality",
