@@ -8,6 +8,7 @@ from importlib import import_module
 _MODULES: dict[str, str] = {
     "url_filter": "op1_url_filter",
     "chat_format": "op3_chat_format",
+    "top_k": "op4_top_k",
     "language": "op5_language",
     "pii": "op6_pii",
     "decontaminate": "op7_decontaminate",
