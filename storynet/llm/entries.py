@@ -14,6 +14,7 @@ _MODULES: dict[str, str] = {
     "decontaminate": "op7_decontaminate",
     "mixing": "op8_mixing",
     "quality": "op9_quality",
+    "suffix_dedup": "op10_suffix_dedup",
 }
 
 QUERIES = {name: import_module(f"storynet.llm.{module}").query for module, name in _MODULES.items()}
