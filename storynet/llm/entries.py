@@ -7,6 +7,7 @@ from importlib import import_module
 #: Module to query name.
 _MODULES: dict[str, str] = {
     "url_filter": "op1_url_filter",
+    "jaccard_join": "op2_jaccard_join",
     "chat_format": "op3_chat_format",
     "top_k": "op4_top_k",
     "language": "op5_language",
