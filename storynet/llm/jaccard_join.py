@@ -263,6 +263,16 @@ def join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of ``docs``, with all columns, for each component: that with the smallest doc_id; rows without doc_id stay."""
+    out = join(docs)
+    gone = out.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
+    columns = docs.columns
+    again = docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+    named = again.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(again.filter("doc_id is null")).select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 

@@ -15,7 +15,7 @@ Defined cases: null and empty texts have statistics too and get a score; null
 labels are not learnt from, several labels of a document are averaged; if the
 labelled rows are none or all alike, every score is their mean (0.5 if none);
 repeated rows are scored each; an empty table gives an empty result. Other
-columns are not read, or kept as one struct with ``keep``.
+columns are not read; ``keep_good`` passes them through as one struct.
 """
 
 from __future__ import annotations
@@ -186,5 +186,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     )
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` with a score of at least ``threshold``, with all columns; texts do not leave their tasks."""
+    model = fit(text_statistics(docs), learnable(labels))
+    wrapped = docs.select(F.struct("*").alias("row"), "text")
+
+    def keep(batches):
+        for b in batches:
+            x = np.asarray([text_stats(t) for t in b.column("text").to_pylist()], np.float32).astype(np.float64).reshape(-1, N_STATS)
+            yield pa.RecordBatch.from_arrays([b.column("row")], ["row"]).filter(pa.array(model.score(x) >= threshold))
+
+    return wrapped.mapInArrow(keep, wrapped.select("row").schema).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
