@@ -95,6 +95,16 @@ def extract_refs(components: DataFrame, rules=REF_RULES) -> DataFrame:
     return rows.filter("id is not null").withColumnsRenamed({"id": "tgt_id", "type": "tgt_type"})
 
 
+def _wrapped(leaf: str):
+    """A function of an edge to its reference, inside an object's field ``leaf`` if there is one."""
+
+    def wrap(x: Column) -> Column:
+        ref = F.struct(x["id"].alias("id"), x["type"].alias("type"))
+        return F.struct(ref.alias(leaf)) if leaf else ref
+
+    return wrap
+
+
 def as_components(refs: DataFrame) -> DataFrame:
     """Edges to component rows (entity_id, entity_type, component, data): the inverse of ``extract_refs`` for authoritative components."""
     rows = refs.groupBy("src_id", "src_type", "component").agg(
@@ -106,9 +116,7 @@ def as_components(refs: DataFrame) -> DataFrame:
             continue
         head, _, rest = path.partition("/")
         leaf = rest.partition("/")[2]
-        ref = lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type"))
-        item = (lambda x, leaf=leaf: F.struct(ref(x).alias(leaf))) if leaf else ref
-        held = F.transform("refs", item) if rest else ref(F.col("refs")[0])
+        held = F.transform("refs", _wrapped(leaf)) if rest else _wrapped("")(F.col("refs")[0])
         data = F.when(F.col("component") == component, F.to_json(F.struct(held.alias(head)))).otherwise(data)
     return rows.select(F.col("src_id").alias("entity_id"), F.col("src_type").alias("entity_type"), "component", data.alias("data"))
 
