@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_ROOT = Path(__file__).resolve().parents[2]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package: nothing to do where PYTHONPATH has it, else Spark hands them a zip of it."""
+    sc = spark.sparkContext
+    if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_storynet_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="storynet-")
+    sc.addPyFile(shutil.make_archive(f"{folder}/storynet", "zip", _ROOT, "storynet"))
+    sc._storynet_shipped = True
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -14,6 +29,7 @@ def saved(df: DataFrame) -> DataFrame:
     A temporary folder is used only where the setting is unset.
     """
     sc = df.sparkSession.sparkContext
+    ship_package(df.sparkSession)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="storynet-"))
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"

@@ -73,7 +73,7 @@ def field_rules(fields: DataFrame, rules: DataFrame, present: DataFrame) -> Data
     wrong_type = F.col("type") != F.col("rule_type")
     number = F.col("value").try_cast("double")
     bad = (
-        (F.col("pattern").isNotNull() & ~F.col("value").rlike(F.col("pattern")))
+        (F.col("pattern").isNotNull() & ~F.rlike("value", F.col("pattern")))
         | (F.col("low").isNotNull() & (number < F.col("low")))
         | (F.col("high").isNotNull() & (number > F.col("high")))
         | (F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("value")))
@@ -291,7 +291,7 @@ def permissions(changes: DataFrame, rules: DataFrame) -> DataFrame:
     wrong = violations(known, "INVALID_PERMISSION_OPERATION", entity="change_id")
     regex = F.concat(F.lit("^"), F.replace("pattern", F.lit("*"), F.lit("[^/]+")), F.lit("$"))
     special = F.size(F.filter(F.split("pattern", "/"), lambda x: (x != "*") & (x != "")))
-    met = changes.join(F.broadcast(rules), ["component", "operation"]).filter(F.col("pattern").isNull() | F.expr("true") & F.col("path").rlike(regex))
+    met = changes.join(F.broadcast(rules), ["component", "operation"]).filter(F.col("pattern").isNull() | F.rlike("path", regex))
     rank = F.row_number().over(W.partitionBy("change_id").orderBy(F.when(F.col("pattern").isNull(), -1).otherwise(special).desc(), "pattern"))
     denied = met.withColumn("rank", rank).filter("rank = 1 and not array_contains(roles, role)")
     return wrong.unionByName(violations(denied, "PERMISSION_DENIED", entity="change_id"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storynet.functions.shared import ship_package
+
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "conversations")
 MISSING = 1_000_000_000
 
@@ -103,6 +105,7 @@ select cast(user_id as string) as chat_id, event_id, row_number() over (partitio
 
 def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Rows of one of the inputs above, or of any SQL with the tables in braces."""
+    ship_package(spark)
     used = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in NAMES if f"{{{n}}}" in sql}
     return spark.sql(sql, **used)
 
