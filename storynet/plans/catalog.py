@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from storynet.plans import network_queries, store_queries
+from storynet.plans import network_queries, store_queries, text_queries
 
-_PARTS = (network_queries, store_queries)
+_PARTS = (network_queries, store_queries, text_queries)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
