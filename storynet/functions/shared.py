@@ -23,15 +23,17 @@ def ship_package(spark: SparkSession) -> None:
     sc._storynet_shipped = True
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder of spark.checkpoint.dir and read again: cuts lineage and outlives executors.
-
-    A temporary folder is used only where the setting is unset.
-    """
-    sc = df.sparkSession.sparkContext
-    ship_package(df.sparkSession)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="storynet-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return sc.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read again: cuts lineage and outlives executors."""
+    ship_package(df.sparkSession)
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
