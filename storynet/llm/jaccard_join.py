@@ -13,9 +13,11 @@ empty without words). Two documents link when |A & B| / |A | B| >= ``SIMILAR`` /
 3. In each order two documents that link share a token among the first
    n - ceil(t n) + 1 of each (n tokens, t = SIMILAR / 100). The first order makes
    candidates by a join on tokens; length and position filters apply, and the
+   tokens that two prefixes share must be as many as the rest leaves to find. The
    other orders' prefixes are intersected before the overlap is counted.
 4. A token's documents are not all paired. First each meets only the group's
-   smallest document; the links found give components. Then only documents of
+   hub, the one with the smallest share of its tokens before this one: an original
+   has fewer tokens of its own than its edited copies. The links give components. Then only documents of
    different components which the filters still admit are paired. So every link
    is either verified or lies inside a component, and components are exact.
 
@@ -35,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -181,14 +183,24 @@ def _verify(held):
     return verify
 
 
-def _admitted(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, na, ia, b, nb, ib), a row for each shared prefix token, to those which length and first position admit."""
-    first = pairs.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("na", "nb", "ia", "ib")])
-    need = F.ceil(SIMILAR * (F.col("na") + F.col("nb")) / (100 + SIMILAR))
-    return first.filter(
-        (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
-        & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
-    ).select("a", "b")
+def _needed() -> Column:
+    """The least overlap of sets of na and nb tokens that link."""
+    return F.ceil(SIMILAR * (F.col("na") + F.col("nb")) / (100 + SIMILAR))
+
+
+def _admits() -> Column:
+    """Lengths na and nb and the places ia and ib of a shared token, if no earlier one is shared, leave room for the overlap."""
+    near = 100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb")
+    return near & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= _needed())
+
+
+def _shares() -> Column:
+    """ta and tb, the tokens of both prefixes that any two documents share, have enough in common.
+
+    The prefix that ends first holds all shared tokens up to its end; after it come ceil(t n) - 1 tokens at most.
+    """
+    after = F.greatest(*[F.ceil(SIMILAR * F.col(n) / 100) for n in ("na", "nb")]) - 1
+    return F.size(F.array_intersect("ta", "tb")) >= F.greatest(_needed() - after, F.lit(1))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -221,7 +233,7 @@ def join(docs: DataFrame) -> DataFrame:
     rows = docs.mapInArrow(_prefix_rows(held), "token long, doc_id long, n int, i int").repartition("token")
     shared = rows.withColumn("size", F.count("*").over(by_token)).filter("size > 1").drop("size")
     shared = shared.join(members, "doc_id").groupBy("token", "rep").agg(F.min("n").alias("n"), F.min("i").alias("i"))
-    shared = shared.withColumn("size", F.count("*").over(by_token)).withColumn("hub", F.min(F.struct("rep", "n", "i")).over(by_token))
+    shared = shared.withColumn("size", F.count("*").over(by_token)).withColumn("hub", F.min(F.struct((F.col("i") / F.col("n")).alias("share"), "rep", "n", "i")).over(by_token))
     shared = saved(shared.filter("size > 1"))
     packed = docs.mapInArrow(_pack, "doc_id long, z binary").dropDuplicates(["doc_id"])
     packed = saved(packed.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
@@ -231,29 +243,37 @@ def join(docs: DataFrame) -> DataFrame:
         whole = right.join(packed.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
         return saved(whole.select("a", "b", "za", "zb").mapInArrow(_verify(held), "a long, b long, linked boolean"))
 
-    star = shared.filter("rep <> hub.rep").selectExpr(
-        "hub.rep as a", "hub.n as na", "hub.i as ia", "rep as b", "n as nb", "i as ib"
+    lists = saved(shared.groupBy("rep").agg(F.collect_set("token").alias("tokens")))
+
+    def sharing(pairs: DataFrame) -> DataFrame:
+        for end in "ab":
+            pairs = pairs.join(lists.select(F.col("rep").alias(end), F.col("tokens").alias(f"t{end}")), end)
+        return pairs.filter(_shares()).select("a", "b")
+
+    star = shared.filter("rep <> hub.rep").selectExpr(  # the smaller id first, so that a pair comes once
+        "inline(array(if(hub.rep < rep, struct(hub.rep as a, hub.n as na, hub.i as ia, rep as b, n as nb, i as ib), "
+        "struct(rep as a, n as na, i as ia, hub.rep as b, hub.n as nb, hub.i as ib))))"
     )
-    first = verified(_admitted(star))
+    met = star.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("na", "nb", "ia", "ib")]).filter(_admits())
+    first = verified(sharing(met))
     found = components(first.filter("linked").select("a", "b"))
 
     # what is left: pairs of different components, if the filters can admit them at this token
-    own = shared.select("token", "rep", "n", "i").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    before = F.lag("token").over(W.partitionBy("rep").orderBy("i"))
+    own = shared.select("token", "rep", "n", "i", before.alias("before")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
     own = own.withColumn("component", F.coalesce("component", "rep"))
     own = own.withColumn("least_n", F.min("n").over(by_token))
     # its place i leaves room for an overlap with the shortest set of the group
     own = own.filter(F.col("n") - F.col("i") >= F.ceil(SIMILAR * (F.col("n") + F.greatest(F.col("least_n"), F.ceil(SIMILAR * F.col("n") / 100))) / (100 + SIMILAR)))
     own = own.withColumn("low", F.min("component").over(by_token)).withColumn("high", F.max("component").over(by_token))
-    own = saved(own.filter("low <> high").select("token", "rep", "n", "i", "component"))
-    x = own.selectExpr("token", "rep as a", "n as na", "i as ia", "component as ca")
-    y = own.selectExpr("token", "rep as b", "n as nb", "i as ib", "component as cb")
-    need = F.ceil(SIMILAR * (F.col("na") + F.col("nb")) / (100 + SIMILAR))
-    rest = x.join(y, "token").filter("ca <> cb and a < b").filter(
-        (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
-        & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need)
-    )
-    rest = _admitted(rest.select("a", "na", "ia", "b", "nb", "ib")).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = verified(rest)
+    own = saved(own.filter("low <> high").select("token", "rep", "n", "i", "component", "before"))
+    x = own.selectExpr("token", "rep as a", "n as na", "i as ia", "component as ca", "before as ba")
+    y = own.selectExpr("token", "rep as b", "n as nb", "i as ib", "component as cb", "before as bb")
+    # two that have the same token before this one share an earlier one, and meet there
+    new = F.col("ba").isNull() | F.col("bb").isNull() | (F.col("ba") != F.col("bb"))
+    rest = x.join(y, (x.token == y.token) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & new & _admits())
+    rest = rest.select("a", "na", "b", "nb").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = verified(sharing(rest))
     found = components(first.unionByName(second).filter("linked").select("a", "b"))
 
     names = members.join(found, members.rep == found.node, "left").select(
