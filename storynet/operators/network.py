@@ -71,7 +71,11 @@ def _walk(at: Column, parts: list[str], path: Column, place: Column, derived: bo
     head, *rest = parts
     if head != "*":
         return _walk(at[head], rest, F.concat(path, F.lit(f"/{head}")), place, derived)
-    inside = lambda x, i: _walk(x, rest, F.concat(path, F.lit("/"), i.cast("string")), i.cast("long"), derived)
+
+    def inside(x: Column, i: Column) -> Column:
+        found = _walk(x, rest, F.concat(path, F.lit("/"), i.cast("string")), i.cast("long"), derived)
+        return F.coalesce(found.cast(_FOUND), F.array().cast(_FOUND))  # one element without the path must not hide the others
+
     return F.flatten(F.transform(at, inside))
 
 

@@ -129,7 +129,7 @@ def canonical_fields(spark, d):
 
 def placement_hints(spark, d):
     refs, _ = net(spark, d)
-    claims = refs.filter("component = 'event_related_entity_reference' and ord > 0").selectExpr("'1' as chat_id", "tgt_id as item", "concat('h', cast(right(src_id, 24) as bigint) % 3) as holder", "element_at(array('carried', 'worn', 'equipped'), cast(ord % 3 + 1 as int)) as role")
+    claims = refs.filter("component = 'event_related_entity_reference' and ord > 0").selectExpr("'1' as chat_id", "tgt_id as item", "concat('h', case when right(tgt_id, 1) in ('0', '5') then 0 else cast(right(src_id, 24) as bigint) % 3 end) as holder", "element_at(array('carried', 'worn', 'equipped'), cast(ord % 3 + 1 as int)) as role")
     return resolve.placement_hints(claims)[0]
 
 
@@ -193,7 +193,7 @@ SQL = {
       s as (select t.chat_id, t.turn as batch_ix, c.turn as ord, 'item:' || cast(c.turn as varchar) as key, 10 * cast(trim(c.name) <> '' and contains(t.text, trim(c.name)) as int) + 6 * cast(c.turn % 4 = 1 as int) - cast(c.turn % 3 = 0 as int) as score
         from m c join m t on t.chat_id = c.chat_id)
       select chat_id, batch_ix, key, cast(score as bigint) as score, rank from (select *, row_number() over (partition by chat_id, batch_ix order by score desc, ord desc) as rank from s) where rank <= 3""",
-    "placement_hints": t.oracle(f"""{WITH}, c as (select tgt_id as item, 'h' || cast(cast(right(src_id, 24) as bigint) % 3 as varchar) as holder, ord % 3 as s from refs where component = 'event_related_entity_reference' and ord > 0)
+    "placement_hints": t.oracle(f"""{WITH}, c as (select tgt_id as item, 'h' || cast(case when right(tgt_id, 1) in ('0', '5') then 0 else cast(right(src_id, 24) as bigint) % 3 end as varchar) as holder, ord % 3 as s from refs where component = 'event_related_entity_reference' and ord > 0)
       select '1' as chat_id, item, min(holder) as holder, ['carried', 'worn', 'equipped'][cast(max(s) + 1 as int)] as role from c group by item having count(distinct holder) = 1"""),
     "reply_triage": """select case event_id % 8 when 0 then 'ok' when 1 then 'ok' when 2 then 'array_reply' when 3 then 'ok_after_trailing_comma' when 4 then 'no_object' when 5 then 'truncated' when 6 then 'multiple_objects' else 'truncated' end as status,
       count(*) as n from events group by all""",

@@ -125,7 +125,7 @@ def triage_replies(replies: DataFrame) -> DataFrame:
             found = [scan_reply(t or "") for t in b.column("reply").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.string())], ["row", "plan", "status"])
 
-    kind = wrapped.select("row", F.lit("").cast("string").alias("plan"), F.lit("").cast("string").alias("status")).schema
+    kind = wrapped.select("row", F.lit(None).cast("string").alias("plan"), F.lit(None).cast("string").alias("status")).schema
     return wrapped.mapInArrow(scan, kind).select("row.*", "plan", "status")
 
 
