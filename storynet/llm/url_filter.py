@@ -162,3 +162,43 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")))
+
+
+def _rule_sql(field: int) -> str:
+    """CASE over the rules, longest first: the rule (1) or its verdict (0)."""
+    cases = []
+    for verdict, rule in sorted(RULES, key=lambda x: -len(x[1])):
+        name, _, rest = rule.partition("/")
+        cases.append(f"when (host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '/{rest}') then '{(verdict, rule)[field]}'")
+    return f"case {' '.join(cases)} end"
+
+
+def _strength_sql(children: str, k: str, n: str, rate: str) -> str:
+    p, w = f"({k}::double / {n})", f"({rate} * (1 - {rate}))"
+    return (
+        f"(select (1 - rho) / rho as k from (select round(least(greatest(case when sum({n} * {w}) - sum({w}) > 0 then (sum({n} * ({p} - {rate}) * ({p} - {rate})) - sum({w}))"
+        f" / (sum({n} * {w}) - sum({w})) else 0 end, 1e-3), 0.5), 6) as rho from {children} where {n} > 0))"
+    )
+
+
+_TWO = "array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.')"
+_THREE = _TWO.replace("- 1, 1)", "- 2, 1)")
+_SUFFIXES = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+SQL = f"""
+with u as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+t as (select doc_id, min(case when quality = 1 and coalesce(toxic, 0) = 0 then 1 else 0 end) as good from labels where quality is not null group by doc_id),
+o as (select host, good from u join t on t.doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})', 1) as bigint)),
+h as (select u.host, any_value(coalesce(n, 0)) as n, any_value(coalesce(k, 0)) as k from u left join (select host, count(*) as n, sum(good) as k from o group by host) c on c.host = u.host group by u.host),
+h1 as (select *, case when {_TWO} in ({_SUFFIXES}) then {_TWO} else split_part(host, '.', -1) end as suffix, case when {_TWO} in ({_SUFFIXES}) then {_THREE} else {_TWO} end as domain from h),
+r as (select case when sum(n) > 0 then round((sum(k) + 1)::double / (sum(n) + 2), 6) else 0.5 end as root from h1),
+s as (select suffix, sum(n) as sn, sum(k) as sk, any_value(root) as root from h1, r group by suffix),
+s1 as (select suffix, (sk + c.k * root) / (sn + c.k) as s_rate from s, {_strength_sql("s", "sk", "sn", "root")} c),
+d as (select domain, any_value(s_rate) as s_rate, sum(n) as dn, sum(k) as dk from h1 join s1 using (suffix) group by domain),
+d1 as (select domain, (dk + c.k * s_rate) / (dn + c.k) as d_rate from d, {_strength_sql("d", "dk", "dn", "s_rate")} c),
+e as (select * from h1 join d1 using (domain)),
+f as (select host, (e.k + c.k * d_rate) / (n + c.k) as rate, n + c.k as size from e, {_strength_sql("e", "k", "n", "d_rate")} c),
+g as (select host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) as bound from f)
+select page_id, u.host as host, path, {_rule_sql(1).replace("host", "u.host")} as rule, coalesce({_rule_sql(0).replace("host", "u.host")}, case when bound >= 0.7 then 'allow' else 'block' end) as verdict,
+  round(rate, 6) as rate, round(bound, 6) as bound from u join g on g.host = u.host
+"""
