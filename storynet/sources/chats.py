@@ -9,26 +9,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE = "mes string, name string, is_user boolean, is_system boolean, swipe_id long, send_date string, extra struct<nexus_source_floor:bigint,nexus_source_id:string,nexus_source_version:string>"
+LINE = "mes string, name string, is_user boolean, is_system boolean, swipe_id long, send_date string"
 
 
-def read_chat_messages(spark: SparkSession, path: str) -> DataFrame:
+def read_chat_messages(spark: SparkSession, path: str, prefix: str = "source_") -> DataFrame:
     """JSONL chats, one file each: chat_id, floor, source_id, version, ref, role, speaker, raw_content, content.
 
     Lines without ``mes`` are skipped, a malformed line fails the read; floors are physical lines unless given. Files are read
-    whole, since a split read loses line numbers; only newlines end a line.
+    whole, since a split read loses line numbers; only newlines end a line. A host writes a message's floor, id and version into
+    ``extra`` under names that begin with ``prefix``.
     """
     files = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("chat_id"), F.posexplode(F.split("value", "\n")).alias("line", "json")
     )
-    rows = files.filter("trim(json) <> ''").withColumn("m", F.from_json("json", LINE, {"mode": "FAILFAST"})).filter("m.mes is not null")
+    line = f"{LINE}, extra struct<{prefix}floor:bigint,{prefix}id:string,{prefix}version:string>"
+    rows = files.filter("trim(json) <> ''").withColumn("m", F.from_json("json", line, {"mode": "FAILFAST"})).filter("m.mes is not null")
     role = F.when(F.col("m.is_system"), "system").when(F.col("m.is_user"), "user").otherwise("assistant")
-    floor = F.coalesce("m.extra.nexus_source_floor", F.col("line").cast("long"))
+    floor = F.coalesce(f"m.extra.{prefix}floor", F.col("line").cast("long"))
     rows = rows.select(
         "chat_id", floor.alias("floor"), role.alias("role"), F.col("m.name").alias("speaker"), F.col("m.mes").alias("raw_content"),
         F.replace(F.col("m.mes"), F.lit("\0"), F.lit("")).alias("content"),
-        F.coalesce("m.extra.nexus_source_id", F.concat(F.lit("floor-"), floor.cast("string"))).alias("source_id"),
-        F.coalesce("m.extra.nexus_source_version", F.sha2("m.mes", 256)).alias("version"),
+        F.coalesce(f"m.extra.{prefix}id", F.concat(F.lit("floor-"), floor.cast("string"))).alias("source_id"),
+        F.coalesce(f"m.extra.{prefix}version", F.sha2("m.mes", 256)).alias("version"),
     )
     return rows.withColumn("ref", source_ref())
 

@@ -142,7 +142,7 @@ def test_commits_are_idempotent(spark, tmp_path):
 
 
 def test_read_chats(spark, tmp_path):
-    lines = [json.dumps({"user_name": "U"}), json.dumps({"mes": "hi\0", "is_user": True, "name": "U"}), "", json.dumps({"mes": "yo", "name": "A", "extra": {"nexus_source_floor": 9, "nexus_source_id": "s"}})]
+    lines = [json.dumps({"user_name": "U"}), json.dumps({"mes": "hi\0", "is_user": True, "name": "U"}), "", json.dumps({"mes": "yo", "name": "A", "extra": {"source_floor": 9, "source_id": "s"}})]
     (tmp_path / "one.jsonl").write_text("\n".join(lines))
     rows = sorted((r.chat_id, r.floor, r.role, r.content, r.source_id) for r in chats.read_chat_messages(spark, str(tmp_path)).collect())
     assert rows == [("one", 1, "user", "hi", "floor-1"), ("one", 9, "assistant", "yo", "s")]
