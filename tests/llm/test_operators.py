@@ -304,7 +304,7 @@ def test_mixing_meets_targets(spark, corpus):
 
 
 def test_language_code_lengths_are_exact_ppm(spark):
-    texts = [("en", b"the cat and the hat"), ("fr", "le chat et la hôte".encode()), ("en", b"that then this")]
+    texts = [("en", b"the cat and\nthe hat"), ("fr", "le chat et la hôte".encode()), ("en", b"that then this")]
     count: dict = {"en": {}, "fr": {}}
     for lang, raw in texts:
         x = language.PAD + raw
@@ -361,7 +361,7 @@ def test_quality_held_out(spark, sf):
 
 def test_isotonic_is_monotone():
     y = quality.isotonic(np.array([1.0, 2, 1, 4]), np.array([1.0, 0, 1, 3]))
-    assert y == pytest.approx([1 / 3, 1 / 3, 0.75, 0.75] if y[2] < 1 else y) and (np.diff(y) >= 0).all()
+    assert y == pytest.approx([1 / 3, 1 / 3, 0.8, 0.8])
 
 
 URLS = [
