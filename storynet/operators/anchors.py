@@ -25,18 +25,20 @@ def quote_contains(quotes: DataFrame, sources: DataFrame) -> DataFrame:
 def quote_search(quotes: DataFrame, sources: DataFrame, gram: int = GRAM) -> DataFrame:
     """``quotes``(quote_id, quote) in any of ``sources``(ref, content): quote_id, ref.
 
-    Blocking: the normalised quote's first ``gram`` characters must be a gram of the source; quotes shorter than that are
-    compared with every source in one broadcast pass, which is checked to be small by ``short_quotes``.
+    Blocking: the normalised text is cut into pieces of ``gram`` characters. A quote of 2 * gram - 1 characters or more covers a
+    whole piece wherever it stands, and that piece is one of the quote's first ``gram`` grams. Shorter quotes are compared with
+    every source in one broadcast pass, which ``short_quotes`` keeps small.
     """
     q = quotes.select("quote_id", tx.anchor_text(F.col("quote")).alias("q")).filter("q <> ''")
     s = sources.select("ref", tx.anchor_text(F.coalesce("content", F.lit(""))).alias("s"))
-    long = q.filter(F.length("q") >= gram).withColumn("g", F.left("q", F.lit(gram)))
-    grams = F.transform(F.sequence(F.lit(1), F.length("s") - gram + 1), lambda i: F.substr(F.col("s"), i, F.lit(gram)))
-    keyed = s.filter(F.length("s") >= gram).select("ref", "s", F.explode(F.array_distinct(grams)).alias("g"))
-    heads = long.select("g").distinct()
-    keyed = keyed.join(heads, "g", "left_semi")
-    found = keyed.join(long, "g").filter(F.contains("s", "q")).select("quote_id", "ref")
-    few = q.filter(F.length("q") < gram)
+    least = 2 * gram - 1
+    heads = F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda i: F.substr(F.col("q"), i, F.lit(gram)))
+    long = q.filter(F.length("q") >= least).select("quote_id", "q", F.explode(F.array_distinct(heads)).alias("g"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("s") - gram + 1, F.lit(gram)), lambda i: F.substr(F.col("s"), i, F.lit(gram)))
+    keyed = s.filter(F.length("s") >= least).select("ref", "s", F.explode(F.array_distinct(pieces)).alias("g"))
+    keyed = keyed.join(long.select("g").distinct(), "g", "left_semi")
+    found = keyed.join(long, "g").filter(F.contains("s", "q")).select("quote_id", "ref").distinct()
+    few = q.filter(F.length("q") < least)
     if short_quotes(few) == 0:
         return found
     return found.unionByName(s.join(F.broadcast(few), F.contains("s", "q")).select("quote_id", "ref"))
@@ -46,7 +48,7 @@ def short_quotes(few: DataFrame, most: int = 10_000) -> int:
     """How many quotes are too short for blocking; more than ``most`` are refused rather than compared with everything."""
     n = few.limit(most + 1).count()
     if n > most:
-        raise ValueError(f"over {most} quotes are shorter than a gram; give their sources")
+        raise ValueError(f"over {most} quotes are too short to search for; give their sources")
     return n
 
 
