@@ -134,26 +134,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n, n_queries = vectors.count(), queries.count()
     n_buckets = max(1, min(BUCKETS, n // 256))
     cuts = sorted(set(vectors.approxQuantile("norm", [i / n_buckets for i in range(1, n_buckets)], 0.01))) if n_buckets > 1 else []
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col("norm") > c).cast("int")
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("norm"))) if cuts else F.lit(0)
+    vectors = vectors.withColumn("bucket", bucket)
     rows = min(GROUP_ROWS, max(256, n // 32))
-    sizes = sorted((r.b, r["count"]) for r in vectors.groupBy(bucket.alias("b")).count().collect())  # BUCKETS at most
-    first, parts, group = 0, [], F.lit(0)
-    for b, size in sizes:
-        n_parts = -(-size // rows)
-        group = F.when(bucket == b, F.pmod(F.xxhash64("vec_id"), F.lit(n_parts)) + first).otherwise(group)
-        parts.append((first, n_parts))
-        first += n_parts
+    sizes = {r.bucket: r["count"] for r in vectors.groupBy("bucket").count().collect()}  # BUCKETS at most
+    parts = [-(-sizes.get(b, 0) // rows) or 1 for b in range(len(cuts) + 1)]
+    first = [sum(parts[:b]) for b in range(len(parts))]
+    of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("bucket") + 1)
+    group = of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))
     grouped = vectors.select(group.cast("int").alias("group"), "vec_id", "v")
     blocks = max(1, -(-n_queries // BLOCK_QUERIES))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     none = float("-inf")
-    probe = [parts[-1][0]] if parts else [0]
+    probe = [first[-1]]
     seen = _pass(grouped, asked.withColumn("bound", F.lit(none)), probe, blocks, k)
     bounds = seen.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(none).alias("bound"))
     asked = saved(asked.join(bounds, "query_id", "left").fillna(none, ["bound"]))
-    found = _pass(grouped, asked, list(range(max(first, 1))), blocks, k)
+    found = _pass(grouped, asked, list(range(sum(parts))), blocks, k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
