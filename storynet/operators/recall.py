@@ -61,7 +61,10 @@ def recall_packs(requests: DataFrame, events: DataFrame, max_events: int = 5, bu
 
 
 def stage_lookup(values: DataFrame, ranges: DataFrame, broadcast: bool = True) -> DataFrame:
-    """``values``(id, framework, binding, value) to stage by the half-open ``ranges``(framework, binding, stage, low, high): stage if exactly one fits, else code NUMERIC_STAGE_UNRESOLVED."""
+    """``values``(id, framework, binding, value) to stage by the half-open ``ranges``(framework, binding, stage, low, high): stage if exactly one fits, else code NUMERIC_STAGE_UNRESOLVED.
+
+    ``broadcast`` is for a rule table of bounded size; ranges that grow with the frameworks take a shuffled join.
+    """
     right = F.broadcast(ranges) if broadcast else ranges
     met = values.join(right, ["framework", "binding"]).filter("value >= low and value < high")
     one = met.groupBy("id").agg(F.countDistinct("stage").alias("n"), F.min("stage").alias("stage"))
@@ -104,7 +107,7 @@ def host_stage_issues(hosts: DataFrame, stages: DataFrame, ranges: DataFrame) ->
     """``hosts``(id, framework, host_mode, mode, binding, value, stage): one code for each host, the first that holds."""
     known = stages.select("framework", "stage", F.lit(True).alias("known")).distinct()
     bound = ranges.select("framework", "binding", F.lit(True).alias("bound")).distinct()
-    derived = stage_lookup(hosts.filter("value is not null").select("id", "framework", "binding", "value"), ranges.select("framework", "binding", "stage", "low", "high"))
+    derived = stage_lookup(hosts.filter("value is not null").select("id", "framework", "binding", "value"), ranges.select("framework", "binding", "stage", "low", "high"), broadcast=False)
     rows = hosts.join(known, ["framework", "stage"], "left").join(bound, ["framework", "binding"], "left")
     rows = rows.join(derived.withColumnsRenamed({"stage": "derived", "code": "unresolved"}), "id", "left")
     numeric = F.col("mode") == "numeric_derived"
@@ -131,7 +134,7 @@ def stage_context(requests: DataFrame, stages: DataFrame, blocks: DataFrame, ran
     asked purpose. An issue of the framework blocks all.
     """
     bad = issues.select("framework", F.lit(True).alias("bad")).distinct()
-    derived = stage_lookup(requests.filter("value is not null").select("id", "framework", "binding", "value"), ranges)
+    derived = stage_lookup(requests.filter("value is not null").select("id", "framework", "binding", "value"), ranges, broadcast=False)
     rows = requests.join(bad, "framework", "left").join(derived.withColumnsRenamed({"stage": "derived", "code": "unresolved"}), "id", "left")
     current = F.when(F.col("mode") == "numeric_derived", F.col("derived")).otherwise(F.col("stage"))
     rows = rows.withColumn("current", current)

@@ -87,7 +87,7 @@ def stage_lookup(spark, d):
 
 def _frameworks(spark, d):
     """A framework for each order: lines are stages, with ranges by quantity that overlap or leave gaps."""
-    lines = t.load(spark, d, t.LINES).filter("l_orderkey % 10 = 0")
+    lines = t.load(spark, d, t.LINES)
     fw = lines.select("l_orderkey").distinct().selectExpr("l_orderkey as framework", "case l_orderkey % 3 when 0 then 'semantic' when 1 then 'numeric_derived' else 'hybrid' end as mode")
     bindings = fw.filter("framework % 7 <> 0").selectExpr("framework", "'b' as binding").unionByName(fw.filter("framework % 40 = 0").selectExpr("framework", "'c' as binding"))
     stages = lines.selectExpr("l_orderkey as framework", "seq as stage")

@@ -174,3 +174,32 @@ def test_neighbour_pages_cover_all(spark):
     ents = spark.createDataFrame([("a", "A"), ("z", "Z")], "id string, name string")
     pages = [store.neighbours(edges, ents, "a", k, 200).collect() for k in (0, 200)]
     assert [len(p) for p in pages] == [200, 51] and pages[0][0].total == 251 and not pages[0][0].resolved and pages[1][-1].resolved
+
+
+def test_stage_queries_read_every_order(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{sf}/lineitem.parquet'")
+    orders = {r[0] for r in con.sql("select distinct l_orderkey from lineitem").fetchall()}
+    again = {(k, b): n - 1 for k, b, n in con.sql("select l_orderkey, 'x' || cast(l_partkey % 5 as varchar), count(*) from lineitem group by all having count(*) > 1").fetchall()}
+    got = {}
+    for r in catalog.QUERIES["stage_audit"](spark, sf).filter("code = 'DUPLICATE_STAGE_CONTEXT_ID'").collect():
+        got[r.framework, r.at] = got.get((r.framework, r.at), 0) + 1
+    assert got == again
+    assert sorted(r.id for r in catalog.QUERIES["stage_context"](spark, sf).select("id").collect()) == sorted(orders)
+
+
+def test_stage_ranges_are_not_broadcast(spark):
+    ranges = spark.createDataFrame([("f", "s", "b", 0.0, 1.0)], "framework string, stage string, binding string, low double, high double")
+    asked = spark.createDataFrame([("h", "f", "numeric_derived", "numeric_derived", "b", 0.5, "s", "current_stage", "use")], "id string, framework string, host_mode string, mode string, binding string, value double, stage string, recall_mode string, purpose string")
+    blocks = spark.createDataFrame([("f", "s", "use", "text")], "framework string, stage string, purpose string, content string")
+    issues = spark.createDataFrame([], "framework string, code string, at string")
+    hosts = recall.host_stage_issues(asked, ranges.select("framework", "stage"), ranges)
+    told = recall.stage_context(asked, ranges.select("framework", "stage"), blocks, ranges, issues)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (hosts, told)]
+        assert not any("Broadcast" in p for p in plans)
+        assert hosts.count() == 0 and json.loads(told.first().stages) == [{"stage": "s", "blocks": ["text"]}]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
