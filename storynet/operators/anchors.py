@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from storynet.functions import text as tx
 
 _DROP = re.compile(r"[\s*_`~]")
 GRAM = 12
+#: Distinct quotes or texts of a batch that meet in one row of fuzzy_locate.
+BLOCK = 64
 
 
 def quote_contains(quotes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -112,12 +115,65 @@ def recover_fragments(lost: DataFrame, sources: DataFrame, least: int = 10) -> D
     return rows.withColumn("rank", rank).filter("rank = 1").select("batch", "ord", (F.col("cursor") + F.col("first")).cast("long").alias("pos"))
 
 
+def most_similar(quotes: list[str], units: list[tuple[str, object]], least: float) -> list[tuple[str, object, float]]:
+    """quote, unit and ratio of the most similar of ``units``(text, unit) that reaches ``least``; of equal ones the greatest unit.
+
+    The sequence matcher runs only where neither the lengths nor the longest common subsequence rule a pair out: its matching blocks
+    are a common subsequence, so both bounds are exact. The subsequence is counted with a bit for each character of the quote.
+    """
+    out = []
+    for quote in quotes:
+        at, n, best = {}, len(quote), None
+        for i, c in enumerate(quote):
+            at[c] = at.get(c, 0) | 1 << i
+        full = (1 << n) - 1
+        for bound, text, unit in sorted(((2.0 * min(n, len(t)) / (n + len(t)), t, u) for t, u in units), key=lambda x: -x[0]):
+            need = best[0] if best else least
+            if bound < need:
+                break
+            v = full
+            for c in text:
+                if m := v & at.get(c, 0):
+                    v = ((v + m) | (v - m)) & full
+            if 2.0 * (n - v.bit_count()) / (n + len(text)) < need:
+                continue
+            ratio = SequenceMatcher(None, quote, text, autojunk=False).ratio()
+            if ratio >= least and (best is None or (ratio, unit) > best):
+                best = ratio, unit
+        if best:
+            out.append((quote, best[1], best[0]))
+    return out
+
+
 def fuzzy_locate(quotes: DataFrame, units: DataFrame, least: float = 0.62, shortest: int = 6) -> DataFrame:
-    """``quotes``(batch, quote_id, quote), ``units``(batch, unit, text): the most similar unit, with at least ``least``."""
-    rows = quotes.filter(F.length("quote") >= shortest).join(units, "batch").filter(tx.similarity_bound(F.col("quote"), F.col("text")) >= least)
-    rows = rows.withColumn("ratio", tx.similarity(F.col("quote"), F.col("text"))).filter(F.col("ratio") >= least)
-    best = F.max(F.struct("ratio", "unit"))
-    return rows.groupBy("batch", "quote_id").agg(best.alias("m")).select("batch", "quote_id", F.col("m.unit").alias("unit"), F.round("m.ratio", 6).alias("ratio"))
+    """``quotes``(batch, quote_id, quote), ``units``(batch, unit, text): the most similar unit, with at least ``least``.
+
+    Distinct quotes and texts of a batch meet in blocks of about ``BLOCK``, dealt out by batch and both block numbers, so that no batch
+    is one task. Texts whose length suits no quote of their batch leave first; the work that is left grows with quotes times texts of a batch.
+    """
+    asked = quotes.filter(F.length("quote") >= shortest)
+    q = asked.select("batch", "quote").distinct()
+    span = q.groupBy("batch").agg(F.ceil(F.count("*") / BLOCK).alias("nq"), F.min(F.length("quote")).alias("low"), F.max(F.length("quote")).alias("high"))
+    n, near = F.length("text"), F.least(F.greatest(F.length("text"), "low"), "high")
+    u = units.groupBy("batch", "text").agg(F.max("unit").alias("unit")).join(span, "batch").filter(2 * F.least(n, near) / (n + near) >= least)
+    sizes = u.groupBy("batch", "nq").agg(F.ceil(F.count("*") / BLOCK).alias("nu"))
+    q = q.join(sizes, "batch").withColumn("qs", F.pmod(F.xxhash64("quote"), "nq")).groupBy("batch", "qs", "nu").agg(F.collect_list("quote").alias("quotes"))
+    u = u.select("batch", "text", "unit").join(sizes, "batch").withColumn("us", F.pmod(F.xxhash64("text"), "nu")).groupBy("batch", "us", "nq").agg(F.collect_list(F.struct("text", "unit")).alias("units"))
+    q = q.select("batch", "qs", "quotes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nu") - 1)).alias("us"))
+    u = u.select("batch", "us", "units", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qs"))
+
+    def score(batches):
+        for b in batches:
+            kinds = b.schema.field("batch").type, pa.string(), b.schema.field("units").type.value_type.field("unit").type, pa.float64()
+            rows = [(k, *m) for k, qs, us in zip(*(b.column(c).to_pylist() for c in ("batch", "quotes", "units")), strict=True) for m in most_similar(qs, [(x["text"], x["unit"]) for x in us], least)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["batch", "quote", "unit", "ratio"])
+
+    kinds = f"batch {quotes.schema['batch'].dataType.simpleString()}, quote string, unit {units.schema['unit'].dataType.simpleString()}, ratio double"
+    met = q.join(u, ["batch", "qs", "us"]).select("batch", "quotes", "units").mapInArrow(score, kinds)
+    best = met.groupBy("batch", "quote").agg(F.max(F.struct("ratio", "unit")).alias("m"))
+    rows = asked.join(best, ["batch", "quote"]).groupBy("batch", "quote_id").agg(F.max("m").alias("m"))
+    return rows.select("batch", "quote_id", F.col("m.unit").alias("unit"), F.round("m.ratio", 6).alias("ratio"))
 
 
 def nearest_quote(quotes: DataFrame, sources: DataFrame, least: float = 0.88, shortest: int = 8) -> DataFrame:

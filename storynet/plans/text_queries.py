@@ -45,8 +45,8 @@ def located(spark, d):
 
 
 def fuzzy_units(spark, d):
-    rows = messages(spark, d).filter("length(content) between 20 and 200")
-    return anchors.fuzzy_locate(rows.selectExpr("chat_id as batch", "floor as quote_id", "substring(content, 3, 60) as quote").filter("quote_id % 5 = 0"), rows.selectExpr("chat_id as batch", "floor as unit", "content as text"))
+    rows = messages(spark, d)
+    return anchors.fuzzy_locate(rows.selectExpr("chat_id as batch", "floor as quote_id", "substring(content, 3, 60) as quote"), rows.selectExpr("chat_id as batch", "floor as unit", "content as text"))
 
 
 def clean_pages(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -203,3 +204,29 @@ def test_stage_ranges_are_not_broadcast(spark):
         assert hosts.count() == 0 and json.loads(told.first().stages) == [{"stage": "s", "blocks": ["text"]}]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _most_similar(rows, texts, least=0.62, shortest=6):
+    want = {}
+    for b, i, q in rows:
+        found = [(SequenceMatcher(None, q, t, autojunk=False).ratio(), u) for c, u, t in texts if c == b] if len(q or "") >= shortest else []
+        if found and max(found)[0] >= least:
+            want[b, i] = max(found)[1], round(max(found)[0], 6)
+    return want
+
+
+def test_fuzzy_locate_equals_all_pairs(spark):
+    rng = random.Random(4)
+    words = "the a river stone walked under old light house and of morning".split()
+    say = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    texts = [("hot", u, say(rng.randint(1, 14))) for u in range(150)] + [(f"b{k}", u, say(rng.randint(1, 60))) for k in range(6) for u in range(5)]
+    texts += [("hot", 900 + u, texts[u][2]) for u in range(20)]
+    rows = [(b, u, "".join(c for c in t[2:62] if rng.random() > 0.1)) for b, u, t in texts]
+    got = anchors.fuzzy_locate(spark.createDataFrame(rows, "batch string, quote_id long, quote string"), spark.createDataFrame(texts, "batch string, unit long, text string"))
+    assert {(r.batch, r.quote_id): (r.unit, r.ratio) for r in got.collect()} == _most_similar(rows, texts)
+
+
+def test_fuzzy_units_searches_every_message(spark, sf):
+    texts = duckdb.sql(f"select cast(conv_id as varchar), turn, coalesce(text, '') from '{sf}/conversations.parquet'").fetchall()
+    got = {(r.batch, r.quote_id): (r.unit, r.ratio) for r in catalog.QUERIES["fuzzy_units"](spark, sf).collect()}
+    assert got == _most_similar([(b, u, t[2:62]) for b, u, t in texts], texts)
