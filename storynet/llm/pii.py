@@ -39,6 +39,8 @@ from storynet.llm.common import saved, table
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "ssn", "iban")
 THRESHOLD, ROUNDS, SIZES = 0.5, 50, 6
+#: Ridge term of the classifier for weights that sum to one.
+RIDGE = 1e-5
 LABELERS = ("regex", "gazetteer", "context", "shape", "edges")
 PATTERNS = len(KINDS) * 3 ** len(LABELERS) * SIZES
 
@@ -224,17 +226,17 @@ def _features(codes: np.ndarray) -> np.ndarray:
 
 
 def fit(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Probability of a true span for every pattern, by logistic regression on the EM probabilities."""
+    """Probability of a true span for every pattern, by logistic regression on the EM probabilities; patterns weigh by their share of all counts, so that the regression is the same at every size."""
     every = np.arange(PATTERNS)
     if not len(codes):
         return np.zeros(PATTERNS)
     _, p = reliabilities(codes, n)
     x, w = _features(codes), np.zeros(_features(every[:1]).shape[1])
-    weight = np.minimum(n, 1000.0)
+    weight = n / n.sum()
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (weight * (p - q)) - 0.1 * w)
+        h = (x * (weight * q * (1 - q))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (weight * (p - q)) - RIDGE * w)
     return 1 / (1 + np.exp(-np.clip(_features(every) @ w, -30, 30)))
 
 

@@ -259,6 +259,15 @@ def test_pii_base_spans_and_masks(spark):
     assert pii.find(pii.scan(empty(spark)), prob).count() == 0
 
 
+def test_pii_classifier_weighs_full_counts_at_every_size(monkeypatch):
+    rng = np.random.default_rng(5)
+    codes = np.sort(rng.choice(pii.PATTERNS, 60, replace=False))
+    n, p = rng.integers(1, 2000, 60).astype(float), rng.random(60)
+    monkeypatch.setattr(pii, "reliabilities", lambda codes, n: (None, p))
+    small, large = pii.fit(codes, n), pii.fit(codes, n * 5000)
+    assert np.allclose(small, large, atol=1e-6)
+
+
 def test_pii_em_separates_good_from_bad_labelers():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.4
