@@ -36,7 +36,7 @@ def repair_keys(keys: DataFrame, rules: DataFrame, aliases: DataFrame, threshold
     unknown = keys.distinct().join(known, [*at, "key"], "left_anti").withColumn("sig", key_signature(F.col("key")))
     by_sig = rules.withColumn("sig", key_signature(F.col("field"))).groupBy(*at, "sig").agg(F.min("field").alias("same"), F.countDistinct("field").alias("n")).filter("n = 1").drop("n")
     by_alias = aliases.select(*at, F.col("alias").alias("key"), F.col("field").alias("alias_field"))
-    pairs = unknown.join(rules.select(*at, "field"), at).filter(tx.similarity_bound(F.col("key"), F.col("field")) >= threshold)
+    pairs = unknown.join(rules.select(*at, "field"), at).filter(tx.similarity_bound(F.col("sig"), F.col("field")) >= threshold)
     scored = pairs.withColumn("ratio", tx.similarity(F.col("sig"), F.col("field"))).filter(F.col("ratio") >= threshold)
     own = W.partitionBy(*at, "key").orderBy(F.desc("ratio"), "field")
     best = scored.withColumn("rank", F.row_number().over(own)).withColumn("second", F.lead("ratio").over(own)).filter("rank = 1")

@@ -230,3 +230,12 @@ def test_fuzzy_units_searches_every_message(spark, sf):
     texts = duckdb.sql(f"select cast(conv_id as varchar), turn, coalesce(text, '') from '{sf}/conversations.parquet'").fetchall()
     got = {(r.batch, r.quote_id): (r.unit, r.ratio) for r in catalog.QUERIES["fuzzy_units"](spark, sf).collect()}
     assert got == _most_similar([(b, u, t[2:62]) for b, u, t in texts], texts)
+
+
+def test_repair_keys_bounds_the_signature(spark):
+    at = "component string, path string, "
+    keys = spark.createDataFrame([("c", "/", "aBcDe")], at + "key string")
+    rules = spark.createDataFrame([("c", "/", "a_bc_de_x")], at + "field string")
+    aliases = spark.createDataFrame([], at + "alias string, field string")
+    r = repair.repair_keys(keys, rules, aliases, 0.8, 0.05).first()
+    assert (r.correction, r.code) == ("a_bc_de_x", "CORRECTED")
