@@ -3,12 +3,15 @@
 Statistics of each whole text (lengths, character classes, repeated words and
 lines) are standardised and mapped by ``FEATURES`` random Fourier features,
 which approximate a Gaussian kernel. Each partition of the labelled rows sums
-its part of the normal equations, the parts are added up by row of the matrix,
-and the driver solves one system of FEATURES + 1 unknowns. Raw scores are then
-calibrated by isotonic regression over a histogram of ``BINS`` bins.
+its part of the normal equations, for each of ``CROSS`` folds; the parts are added
+up by row of the matrix, first within ``SPREAD`` shares of the partitions, and the
+driver solves systems of FEATURES + 1 unknowns: one of all rows, for scoring, and
+one without each fold. Raw scores are calibrated by isotonic regression over a
+histogram of ``BINS`` bins, in which each labelled row stands with the score of
+the system that has not seen its fold.
 
 All labelled rows are used, without a sample. Texts are read once: what is kept
-and shuffled are the statistics. To the driver come the matrix, the means and
+and shuffled are the statistics. To the driver come the matrices, the means and
 the histogram, whose sizes are parameters.
 
 Defined cases: null and empty texts have statistics too and get a score; null
@@ -25,12 +28,14 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storynet.llm.common import saved, table
+from storynet.llm.common import ready, saved, small, table
 
 FEATURES, WIDTH, RIDGE, SEED, BINS, THRESHOLD, FOLDS = 256, 0.25, 1e-3, 9, 2000, 0.3, 5
+CROSS, SPREAD = 4, 32
 N_STATS = 14
 
 
@@ -62,7 +67,7 @@ def text_stats(text: str | None) -> list[float]:
 
 
 def _stats(batches):
-    for b in batches:
+    for b in small(batches):
         rows = [text_stats(t) for t in b.column("text").to_pylist()]
         flat = pa.array(np.asarray(rows, np.float32).ravel())
         x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, N_STATS, dtype=np.int32)), flat)
@@ -89,8 +94,12 @@ class Model:
         z = np.cos(x @ self.w + self.b) * np.sqrt(2 / FEATURES)
         return np.hstack([z, np.ones((len(x), 1))])
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        parts = [self.lift(x[i : i + 4096]) @ self.beta for i in range(0, len(x), 4096)]
+    def raw(self, x: np.ndarray, betas: np.ndarray | None = None, fold: np.ndarray | None = None) -> np.ndarray:
+        """Raw scores; with ``betas`` and ``fold`` each row by the weights of its own fold."""
+        parts = []
+        for i in range(0, len(x), 4096):
+            z = self.lift(x[i : i + 4096])
+            parts.append(z @ self.beta if betas is None else (z * betas[fold[i : i + 4096]]).sum(1))
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -113,9 +122,20 @@ def _add(pdf):
     return pdf.head(1)[["i"]].assign(part=[total.tobytes()])
 
 
+def place(raw: np.ndarray) -> np.ndarray:
+    """The bin of a raw score."""
+    return np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
+
+
+def solve(total: np.ndarray, n: float) -> np.ndarray:
+    """Ridge weights from the sums of z z' and z y over ``n`` rows."""
+    return np.linalg.solve(total[:, :-1] + RIDGE * max(n, 1) * np.eye(FEATURES + 1) / FEATURES, total[:, -1])
+
+
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """``stats``(doc_id, x) and ``labels``(doc_id, y): the model learnt from all rows that both have."""
-    told = saved(stats.join(labels, "doc_id").select("x", "y"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(CROSS)).cast("int")
+    told = saved(stats.join(labels, "doc_id").select("x", "y", fold.alias("fold")))
     sums = told.select(*[F.col("x")[i].cast("double").alias(f"x{i}") for i in range(N_STATS)], "y").agg(
         F.count("*"), F.avg("y"), *[f(f"x{i}") for f in (F.avg, F.stddev_pop) for i in range(N_STATS)]
     )
@@ -127,24 +147,29 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     model.y[:] = rate
 
     def parts(batches):
-        total = np.zeros((FEATURES + 1, FEATURES + 2))
-        for b in batches:
-            x, y = _matrix(b), b.column("y").to_numpy()
+        total = np.zeros((CROSS, FEATURES + 1, FEATURES + 2))
+        for b in small(batches):
+            x, y, of = _matrix(b), b.column("y").to_numpy(), b.column("fold").to_numpy()
             for i in range(0, len(x), 4096):
-                z = model.lift(x[i : i + 4096])
-                total += z.T @ np.hstack([z, y[i : i + 4096, None]])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(FEATURES + 1), pa.int32()), pa.array([r.tobytes() for r in total])], ["i", "part"]
-        )
-
-    rows = told.mapInArrow(parts, "i int, part binary").groupBy("i").applyInPandas(_add, "i int, part binary").collect()
-    total = np.array([np.frombuffer(r.part) for r in sorted(rows, key=lambda r: r.i)])
-    a = total[:, :-1] + RIDGE * n * np.eye(FEATURES + 1) / FEATURES
-    model.beta = np.linalg.solve(a, total[:, -1])
+                z, yz, f = model.lift(x[i : i + 4096]), y[i : i + 4096, None], of[i : i + 4096]
+                for k in np.unique(f):
+                    own = z[f == k]
+                    total[k] += own.T @ np.hstack([own, yz[f == k]])
+        rows, share = CROSS * (FEATURES + 1), TaskContext.get().partitionId() % SPREAD
+        cols = [pa.array(range(rows), pa.int32()), pa.array([share] * rows, pa.int32()), pa.array([r.tobytes() for r in total.reshape(rows, -1)])]
+        yield pa.RecordBatch.from_arrays(cols, ["i", "share", "part"])
+
+    shared = told.mapInArrow(parts, "i int, share int, part binary").groupBy("i", "share").applyInPandas(_add, "i int, part binary")
+    rows = shared.groupBy("i").applyInPandas(_add, "i int, part binary").collect()
+    total = np.array([np.frombuffer(r.part) for r in sorted(rows, key=lambda r: r.i)]).reshape(CROSS, FEATURES + 1, FEATURES + 2)
+    size = total[:, -1, -2]  # the constant times itself: rows of a fold
+    model.beta = solve(total.sum(0), n)
+    rest = total.sum(0) - total
+    without = np.array([solve(rest[k], n - size[k]) if n > size[k] else model.beta for k in range(CROSS)])
 
     def bins(batches):
-        for b in batches:
-            at = np.clip((model.raw(_matrix(b)) + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)
+        for b in small(batches):
+            at = place(model.raw(_matrix(b), without, b.column("fold").to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column("y")], ["bin", "y"])
 
     seen = (
@@ -177,7 +202,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     model = fit(stats, learnable(labels))
 
     def score(batches):
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(_matrix(b)))], ["doc_id", "score"])
 
     scored = stats.mapInArrow(score, "doc_id long, score double")
@@ -188,15 +213,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` with a score of at least ``threshold``, with all columns; texts do not leave their tasks."""
+    ready(docs.sparkSession)
     model = fit(text_statistics(docs), learnable(labels))
-    wrapped = docs.select(F.struct("*").alias("row"), "text")
+    wrapped = docs.select(F.struct("*").alias("row"))
 
     def keep(batches):
-        for b in batches:
-            x = np.asarray([text_stats(t) for t in b.column("text").to_pylist()], np.float32).astype(np.float64).reshape(-1, N_STATS)
-            yield pa.RecordBatch.from_arrays([b.column("row")], ["row"]).filter(pa.array(model.score(x) >= threshold))
+        for b in small(batches):
+            x = np.asarray([text_stats(t) for t in b.column("row").field("text").to_pylist()], np.float32).astype(np.float64).reshape(-1, N_STATS)
+            yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return wrapped.mapInArrow(keep, wrapped.select("row").schema).select("row.*")
+    return wrapped.mapInArrow(keep, wrapped.schema).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
