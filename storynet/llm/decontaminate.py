@@ -1,9 +1,11 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
 Texts are compared as UTF-8 bytes, lower-cased, with each run of ASCII
-characters that are neither letters nor digits as one space. A document holds an
-item if some part of it is within e edits of the whole item, e = ``RATE`` of the
-item's length. An item is split into e + 1 pieces; e edits leave at least one of
+characters that are neither letters nor digits as one space, and a space before
+and after, so that an item begins and ends where words do. A document holds an
+item if some part of it is within e edits of the whole item with its two spaces,
+e = ``RATE`` of the item's length. An item of fewer than ``LEAST`` words is no
+evidence of a leak and is not looked for. An item is split into e + 1 pieces; e edits leave at least one of
 them whole, so every such part has an exact piece hit in its place. An
 Aho-Corasick automaton finds the hits in one pass over a text, and around each
 hit Myers' bit-parallel algorithm computes the least edit distance. No match
@@ -13,7 +15,8 @@ The items are the stated query set. They go to the tasks in blocks of at most
 ``BLOCK_BYTES`` of text, each broadcast, so what is broadcast has a bound; each
 further block is another map over the documents. Nothing is shuffled.
 
-Defined cases: null, empty or unprintable texts and items match nothing; copies
+Defined cases: null, empty or unprintable texts and items match nothing, nor do
+items of fewer than ``LEAST`` words; copies
 of an item are items of their own; a repeated row is matched each time; an empty
 table gives an empty result. All columns pass through as one struct, so their
 names cannot clash.
@@ -28,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storynet.llm.common import table
+from storynet.llm.common import ready, small, table
 
-RATE, BLOCK_BYTES = 0.06, 8 << 20
+RATE, LEAST, BLOCK_BYTES = 0.06, 3, 8 << 20
 HITS = "array<struct<item_id:bigint,distance:int>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -74,8 +77,8 @@ def least_distance(item: str, text: str, most: int) -> int:
 class Matcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = [(i, x, math.floor(rate * len(x))) for i, t in items if (x := normal(t))]
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, least: int = LEAST):
+        self.items = [(i, f" {x} ", math.floor(rate * len(x))) for i, t in items if (x := normal(t)) and x.count(" ") + 1 >= least]
         keys: dict[str, list[tuple[int, int]]] = {}
         for k, (_, x, e) in enumerate(self.items):
             for at, piece in pieces(x, e):
@@ -90,7 +93,7 @@ class Matcher:
         """(item_id, distance) of each item that ``text`` holds."""
         if not self.items or not text:
             return []
-        text, windows = normal(text), {}
+        text, windows = f" {normal(text)} ", {}
         for end, (size, places) in self.automaton.iter(text):
             for k, at in places:
                 _, x, e = self.items[k]
@@ -114,9 +117,10 @@ class Matcher:
         return sorted(found)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, least: int = LEAST) -> DataFrame:
     """row, a struct of all columns of ``docs``, and hits, the items (item_id, distance) that its text holds."""
     spark = docs.sparkSession
+    ready(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and length(text) > 0")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(2 * size / BLOCK_BYTES)) if size > BLOCK_BYTES else 1
@@ -126,16 +130,15 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: f
         held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block])
 
         def scan(batches, held=held):
-            matcher = Matcher(held.value, rate)
-            for b in batches:
+            matcher = Matcher(held.value, rate, least)
+            for b in small(batches):
                 found = [
                     [*(old or ()), *({"item_id": i, "distance": d} for i, d in matcher.find(t))]
-                    for t, old in zip(b.column("t").to_pylist(), b.column("hits").to_pylist(), strict=True)
+                    for t, old in zip(b.column("row").field(text).to_pylist(), b.column("hits").to_pylist(), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(found, _HIT)], ["row", "hits"])
 
-        schema = out.schema
-        out = out.select("row", "hits", F.col(f"row.{text}").alias("t")).mapInArrow(scan, schema)
+        out = out.mapInArrow(scan, out.schema)
     return out
 
 
