@@ -1,28 +1,37 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are put into ``BUCKETS`` buckets of similar length (quantiles), and a
-bucket is cut by a hash of the id into groups of at most about ``GROUP_ROWS``, so
-that copies of one vector cannot make a group large. Queries come in blocks of
-at most about ``BLOCK_QUERIES``; a block meets a group in one task. First each
-block meets one group of the longest vectors, which gives every query a lower
-bound t of its k-th score. In each group with greatest length l, a query q then
-needs a cosine of at least t / (|q| l): if that is over 1 the group is skipped;
-if it is at least ``COORDINATE_FROM``, the vectors must lie in the intervals that
-this cosine leaves for q's largest coordinates (found in sorted coordinate
-lists); else they must have a length of at least t / |q|. What is left is
-verified by its inner product. Pruning keeps a slack far above rounding errors,
-so results are exact. Each group returns k rows a query, and these are ranked.
+bucket is cut by a hash of the id into groups of about ``CELL_BYTES`` at most, so
+that copies of one vector cannot make a group large. Queries come in blocks of the
+same size; a block meets a group in one task. First each block meets one group of
+the longest vectors, which gives every query a lower bound t of its k-th score,
+so that q needs vectors of a length of at least t / |q|. A query is then sent only
+to the groups of buckets that reach its length, and a vector only to the blocks of
+which some query's length its bucket reaches. In each group with greatest length
+l, a query needs a cosine of at least t / (|q| l): if it is at least
+``COORDINATE_FROM``, the vectors must lie in the intervals that this cosine leaves
+for q's largest coordinates (found in sorted coordinate lists); else they must have
+a length of at least t / |q|. What is left is verified by its inner product.
+Pruning keeps a slack far above rounding errors, so results are exact. Each group
+returns k rows a query, and these are ranked.
+
+A number of queries that grows with the table makes work that grows with its
+square, less what is pruned. What is shuffled is not the pairs: with cells of c
+vectors, n vectors and m queries are sent n * m / c + m * n / c rows at most.
 
 Defined cases: a null vector or one with a null, NaN or infinite component takes
-no part, neither does a null id; all vectors must have one length (others than
-the first's fail); candidates with the query's own id are left out; equal scores
-go to the smaller id; fewer candidates than k give fewer rows; an empty table
-gives an empty result. Other columns are not read.
+no part, neither does a null id; the table's vectors have the length that most of
+them have (the greater one of two), and vectors of another length, empty ones
+too, take no part; of rows that repeat a vec_id the least vector in array order
+stands for all; candidates with the query's own id are left out; equal scores go
+to the smaller id; fewer candidates than k give fewer rows; an empty table gives
+an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -32,7 +41,7 @@ from pyspark.sql import functions as F
 
 from storynet.llm.common import saved, table
 
-BUCKETS, GROUP_ROWS, BLOCK_QUERIES, COORDINATE_FROM, COORDINATES, SLACK = 32, 8192, 2048, 0.2, 4, 1e-6
+BUCKETS, CELL_BYTES, COORDINATE_FROM, COORDINATES, SLACK = 32, 4 << 20, 0.2, 4, 1e-6
 _OUT = "query_id long, vec_id long, score double"
 
 
@@ -117,40 +126,57 @@ def _meet(k: int):
     return meet
 
 
-def _pass(vectors: DataFrame, queries: DataFrame, groups: list[int], blocks: int, k: int) -> DataFrame:
-    """The k best of each group for each query; ``vectors``(group, vec_id, v), ``queries``(block, query_id, v, bound)."""
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    every_group = F.explode(F.array(*[F.lit(g) for g in groups])).alias("group")
-    left = vectors.filter(F.col("group").isin(groups)).select("group", every_block, "vec_id", "v")
-    right = queries.select("block", every_group, "query_id", "v", "bound")
+def _pass(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each group for each query; ``vectors``(group, blocks, vec_id, v), ``queries``(block, groups, query_id, v, bound)."""
+    left = vectors.select("group", F.explode("blocks").alias("block"), "vec_id", "v")
+    right = queries.select("block", F.explode("groups").alias("group"), "query_id", "v", "bound")
     return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInPandas(_meet(k), _OUT)
 
 
+def _one_each(vectors: DataFrame, length: int) -> DataFrame:
+    """vec_id, v, norm of the vectors of a length, one for each id, saved."""
+    one = vectors.filter(F.size("v") == length).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return saved(one.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors``(vec_id, v) for each row of ``queries``(vec_id, v)."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    vectors = saved(usable(vectors).select("vec_id", F.col("v").cast("array<double>").alias("v")).withColumn("norm", norm))
-    queries = saved(usable(queries).select(F.col("vec_id").alias("query_id"), F.col("v").cast("array<double>").alias("v")))
-    n, n_queries = vectors.count(), queries.count()
+    vectors, queries = (usable(df).select("vec_id", F.col("v").cast("array<double>").alias("v")) for df in (vectors, queries))
+    common = vectors.filter(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    length = common.n if common else -1
+    vectors, queries = _one_each(vectors, length), _one_each(queries, length)
+    n, n_queries, cell = vectors.count(), queries.count(), max(CELL_BYTES // (8 * max(length, 1)), 1)
     n_buckets = max(1, min(BUCKETS, n // 256))
     cuts = sorted(set(vectors.approxQuantile("norm", [i / n_buckets for i in range(1, n_buckets)], 0.01))) if n_buckets > 1 else []
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("norm"))) if cuts else F.lit(0)
     vectors = vectors.withColumn("bucket", bucket)
-    rows = min(GROUP_ROWS, max(256, n // 32))
-    sizes = {r.bucket: r["count"] for r in vectors.groupBy("bucket").count().collect()}  # BUCKETS at most
-    parts = [-(-sizes.get(b, 0) // rows) or 1 for b in range(len(cuts) + 1)]
-    first = [sum(parts[:b]) for b in range(len(parts))]
-    of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("bucket") + 1)
-    group = of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))
-    grouped = vectors.select(group.cast("int").alias("group"), "vec_id", "v")
-    blocks = max(1, -(-n_queries // BLOCK_QUERIES))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    seen = {r.bucket: r for r in vectors.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}  # BUCKETS at most
+    rows = min(cell, max(256, n // 32))
+    numbers = range(len(cuts) + 1)
+    parts = [-(-seen[b].n // rows) if b in seen else 1 for b in numbers]
+    longest = list(accumulate((seen[b].longest if b in seen else 0.0 for b in numbers), max))  # an empty bucket has the one before's
+    first = [sum(parts[:b]) for b in numbers]
+    blocks = max(1, -(-n_queries // cell))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("bucket") + 1)
+    group = (of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))).cast("int")
+    grouped = vectors.select(group.alias("group"), "bucket", "vec_id", "v")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    asked = queries.select(block.alias("block"), F.col("vec_id").alias("query_id"), "v", "norm")
     none = float("-inf")
-    probe = [first[-1]]
-    seen = _pass(grouped, asked.withColumn("bound", F.lit(none)), probe, blocks, k)
-    bounds = seen.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(none).alias("bound"))
-    asked = saved(asked.join(bounds, "query_id", "left").fillna(none, ["bound"]))
-    found = _pass(grouped, asked, list(range(sum(parts))), blocks, k)
+
+    probe = grouped.filter(F.col("group") == first[-1]).withColumn("blocks", F.sequence(F.lit(0), F.lit(blocks - 1)))
+    probed = _pass(probe, asked.select("*", F.lit(none).alias("bound"), F.array(F.lit(first[-1])).alias("groups")), k)
+    bounds = probed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(none).alias("bound"))
+    asked = asked.join(bounds, "query_id", "left").fillna(none, ["bound"])
+    need = F.when((F.col("bound") > 0) & (F.col("norm") > 0), F.col("bound") / F.col("norm") * (1 - SLACK)).otherwise(0.0)
+    asked = saved(asked.withColumn("need", need))
+    reach = F.size(F.filter(F.array(*map(F.lit, longest)), lambda x: x < F.col("need")))  # buckets are in order of length
+    from_group = F.element_at(F.array(*map(F.lit, [*first, sum(parts)])), reach + 1)
+    groups = F.when(from_group < sum(parts), F.sequence(from_group, F.lit(sum(parts) - 1)))
+    needs = {r.block: r.need for r in asked.groupBy("block").agg(F.min("need").alias("need")).collect()}  # a row for each block
+    met = [[b for b in range(blocks) if b in needs and needs[b] <= x] for x in longest]
+    by_bucket = F.array(*[F.array(*map(F.lit, m)).cast("array<int>") for m in met])
+    found = _pass(grouped.withColumn("blocks", F.element_at(by_bucket, F.col("bucket") + 1)), asked.withColumn("groups", groups), k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
