@@ -11,31 +11,31 @@ the posterior of the winner under equal priors.
 
 The trees are learnt from a sample of about ``TRAIN_DOCS`` documents for each
 language, chosen by a hash of doc_id; counting them is a Spark aggregation. For
-scoring, the trees are laid out as tables of costs over the ``ALPHABET`` most
-frequent bytes (all others share one symbol) with the ``NODES`` most frequent
-contexts of order 3, so what is broadcast has a bound whatever the corpus:
-languages * 4 bytes * (ALPHABET + 1)^2 * (ALPHABET + 1 + NODES / (ALPHABET + 1)).
-
-Defined cases: a null text or one without a letter is ``und`` with score 0;
-without anything to learn from, so is every text; null languages are not learnt;
-equal code lengths go to the language that sorts first; repeated rows are
-predicted each; an empty table gives an empty result. Other columns are not read.
+scoring, every context and every byte that followed it in any language has a row
+of costs, one for each language, in sorted tables; nothing is cut. What is
+broadcast is bounded by the sample: 4 bytes for each language and distinct string
+of four bytes or less in it.
+
+Defined cases: a null text or one without a letter (Unicode category L) is ``und``
+with score 0; without anything to learn from, so is every text; null languages are
+not learnt; equal code lengths go to the language that sorts first; repeated rows
+are predicted each; an empty table gives an empty result. Other columns are not
+read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storynet.llm.common import table
+from storynet.llm.common import ready, saved, small, table
 
-TRAIN_DOCS, ALPHABET, NODES, FOLDS, FOLD, CHUNK = 1500, 96, 8192, 4, 2, 1 << 20
+TRAIN_DOCS, FOLDS, FOLD, CHUNK = 1500, 4, 2, 1 << 18
 PAD = b"\n\n\n"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def _grams(raw: bytes) -> np.ndarray:
@@ -45,7 +45,7 @@ def _grams(raw: bytes) -> np.ndarray:
 
 
 def _count(batches):
-    for b in batches:
+    for b in small(batches):
         by_lang: dict[str, list[bytes]] = {}
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             by_lang.setdefault(lang, []).append(text.encode("utf-8", "replace"))
@@ -56,49 +56,46 @@ def _count(batches):
             )
 
 
+class Level:
+    """One order of the trees: costs of the strings seen (context and byte), and of leaving the contexts seen, by language."""
+
+    def __init__(self, order: int, langs: int, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, lower: Level | None):
+        gram = gram & ((1 << 8 * (order + 1)) - 1)
+        self.grams, at = np.unique(gram, return_inverse=True)
+        self.contexts, of = np.unique(self.grams >> 8, return_inverse=True)
+        count = np.zeros((len(self.grams), langs))
+        np.add.at(count, (at, lang), n)
+        total, kinds = np.zeros((2, len(self.contexts), langs))
+        np.add.at(total, of, count)
+        np.add.at(kinds, of, count > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            leave = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+            hit = -np.log2(count / (total + kinds)[of])
+        below = lower.costs(self.grams & ((1 << 8 * order) - 1)) if lower else np.full((len(self.grams), langs), 8.0)
+        # a last row stands for contexts that no language has
+        self.leave = np.vstack([leave, np.zeros((1, langs))]).astype(np.float32)
+        self.cost = np.where(count > 0, hit, leave[of] + below).astype(np.float32)
+        self.lower, self.mask = lower, (1 << 8 * order) - 1
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        """Costs (string, language) of the last byte of each string."""
+        at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        out, new = self.cost[at], np.flatnonzero(self.grams[at] != gram)
+        if len(new):
+            rest = gram[new]
+            place = np.minimum(np.searchsorted(self.contexts, rest >> 8), len(self.contexts) - 1)
+            place[self.contexts[place] != rest >> 8] = len(self.contexts)
+            out[new] = self.leave[place] + (self.lower.costs(rest & self.mask) if self.lower else np.float32(8))
+        return out
+
+
 class Trees:
-    """Costs in bits, frozen: ``two`` for contexts of order 2 and less, ``three`` for those of order 3."""
+    """Costs in bits, frozen."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        self.langs = langs
-        seen = np.bincount(gram % 256, weights=n, minlength=256)
-        kept = np.argsort(-seen, kind="stable")[:ALPHABET]
-        kept = np.sort(kept[seen[kept] > 0])
-        self.size = size = len(kept) + 1
-        self.symbol = np.full(256, size - 1, np.int64)
-        self.symbol[kept] = np.arange(size - 1)
-        parts = [self.symbol[(gram >> s) % 256] for s in (24, 16, 8, 0)]
-        context = (parts[0] * size + parts[1]) * size + parts[2]
-        total = np.bincount(context, weights=n, minlength=size**3)
-        nodes = np.argsort(-total, kind="stable")[:NODES]
-        nodes = np.sort(nodes[total[nodes] > 0])
-        self.node = np.full(size**3, -1, np.int32)
-        self.node[nodes] = np.arange(len(nodes))
-        self.two = np.empty((size**3, len(langs)), np.float32)
-        self.three = np.empty((len(nodes) * size, len(langs)), np.float32)
-        for i in range(len(langs)):
-            own = lang == i
-            a, b, c, d = (p[own] for p in parts)
-            w = n[own]
-            cost = np.full(size, 8.0)
-            cost = self._order(np.bincount(d, w, size), cost)
-            cost = self._order(np.bincount(c * size + d, w, size**2).reshape(size, size), cost)
-            cost = self._order(
-                np.bincount((b * size + c) * size + d, w, size**3).reshape(size, size, size), np.broadcast_to(cost, (size,) * 3)
-            )
-            self.two[:, i] = cost.reshape(-1)
-            at = self.node[context[own]]
-            deep = np.bincount(at[at >= 0] * size + d[at >= 0], w[at >= 0], len(nodes) * size).reshape(-1, size)
-            lower = cost.reshape(size**2, size)[nodes % size**2]
-            self.three[:, i] = self._order(deep, lower).reshape(-1)
-
-    @staticmethod
-    def _order(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Costs given the counts (context, byte) and the costs one order lower."""
-        n, d = count.sum(-1, keepdims=True), (count > 0).sum(-1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            hit, escape = -np.log2(count / (n + d)), -np.log2(d / (n + d))
-        return np.where(n == 0, lower, np.where(count > 0, hit, escape + lower))
+        self.langs, self.top = langs, None
+        for order in range(4):
+            self.top = Level(order, len(langs), lang, gram, n, self.top)
 
     def bits(self, raws: list[bytes]) -> np.ndarray:
         """Code lengths (text, language)."""
@@ -130,13 +127,7 @@ class Trees:
         out[part] = sums
 
     def _costs(self, raw: bytes) -> np.ndarray:
-        s, size = self.symbol[np.frombuffer(raw, np.uint8)], self.size
-        pair = s[1:-2] * size + s[2:-1]
-        node = self.node[s[:-3] * size**2 + pair].astype(np.int64)
-        cost = self.two[pair * size + s[3:]]
-        deep = np.flatnonzero(node >= 0)
-        cost[deep] = self.three[node[deep] * size + s[3:][deep]]
-        return cost
+        return self.top.costs(_grams(raw))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -145,16 +136,13 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> Trees | None:
     """Trees from ``docs``(doc_id, text, lang), a sample of about ``per_lang`` documents of each language."""
+    ready(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (u < int(1_000_000 * min(1.0, per_lang / n)) + 1))
+    sizes = saved(docs.groupBy("lang").agg(F.count("*").alias("n")))  # a row for each language
+    u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000_000))
     grams = (
-        docs.filter(chosen)
+        docs.join(sizes, "lang")
+        .filter(u < F.lit(1e9 * per_lang) / F.col("n"))
         .select("lang", "text")
         .mapInArrow(_count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
@@ -174,7 +162,7 @@ def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
 
     def score(batches):
         trees = held.value
-        for b in batches:
+        for b in small(batches):
             texts = b.column("text").to_pylist()
             known = [i for i, t in enumerate(texts) if trees is not None and t and LETTER.search(t)]
             pred, sure = ["und"] * len(texts), np.zeros(len(texts))
