@@ -16,15 +16,19 @@ earlier: in a smaller doc_id, or in the same document further left.
    bytes or more give the classes of equal strings; all but the earliest go.
 3. Anchors with more than ``LARGE`` contents (the edges of a passage that very
    many documents share) do not meet in one task: their strings are dealt out
-   one by one by a hash of the whole string, merged within tasks first.
+   one by one by a hash of the whole string, merged within tasks first. Segments
+   of an anchor with over one in ``HOT_SHARE`` of all segments are dealt out by
+   content from the start; which these are a first pass over the texts finds, by
+   counting in each batch: at most 2 * HOT_SHARE anchors reach the driver.
 
 Texts travel compressed, twice, by doc_id. Hashes have 64 bits and are compared
 only between segments with equal 64-bit anchors.
 
 Defined cases: a null text has no bytes; a null doc_id takes no part and keeps its
-text whole; doc_id names a document, so rows that repeat one count as one and
-get the same result; texts under LENGTH bytes keep all; an empty table gives an
-empty result. Other columns are not read.
+text whole; rows that repeat a doc_id with the same text count as one and get the
+same result; rows with one doc_id and different texts are documents of their own,
+in the order of doc_id and then of the text's MD5 digest; texts under LENGTH bytes
+keep all; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,9 +43,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storynet.llm.common import saved, table
+from storynet.llm.common import ready, saved, small, table
 
-LENGTH, GRAM, LARGE, BUFFER, SORT_BYTES = 100, 24, 256, 1 << 19, 1 << 19
+LENGTH, GRAM, LARGE, BUFFER, SORT_BYTES, HOT_SHARE, MERGE_BYTES = 100, 24, 256, 1 << 19, 1 << 19, 1000, 24 << 20
 _PLACE = np.uint64((1 << 20) - 1)
 _RNG = np.random.default_rng(10)
 _TABLE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,32 +101,60 @@ def _buffers(raws: list[bytes]):
         yield part
 
 
+def _starts(part) -> tuple[np.ndarray, ...]:
+    """Of the segments in one of _buffers' parts: which text, first place in the buffer, number of strings, anchor hash; and where each text begins."""
+    x = np.frombuffer(b"".join(p for _, _, p in part), np.uint8)
+    sizes = np.array([len(p) for _, _, p in part])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    h = gram_hashes(x)
+    place = anchors(h)
+    of = np.repeat(np.arange(len(part)), sizes)[: len(place)]
+    valid = np.arange(len(place)) + LENGTH <= (begin + sizes)[of]
+    change = np.ones(len(place), bool)
+    change[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1]) | (valid[1:] != valid[:-1])
+    first = np.flatnonzero(change)
+    count = np.diff(np.append(first, len(place)))
+    first, count = first[valid[first]], count[valid[first]]
+    return of[first], first, count, h[place[first]], begin
+
+
 def segments(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     """row, start, number of strings, anchor hash and content hash of each segment of the texts."""
     out = []
     for part in _buffers(raws):
+        of, first, count, anchor, begin = _starts(part)
         whole = b"".join(p for _, _, p in part)
-        x = np.frombuffer(whole, np.uint8)
-        sizes = np.array([len(p) for _, _, p in part])
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        h = gram_hashes(x)
-        place = anchors(h)
-        of = np.repeat(np.arange(len(part)), sizes)[: len(place)]
-        valid = np.arange(len(place)) + LENGTH <= (begin + sizes)[of]
-        change = np.ones(len(place), bool)
-        change[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1]) | (valid[1:] != valid[:-1])
-        first = np.flatnonzero(change)
-        count = np.diff(np.append(first, len(place)))
-        first, count = first[valid[first]], count[valid[first]]
         content = [xxhash.xxh3_64_intdigest(whole[a:e]) for a, e in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)]
-        row = np.array([i for i, _, _ in part])[of[first]]
-        start = first - begin[of[first]] + np.array([at for _, at, _ in part])[of[first]]
-        out.append((row, start, count, h[place[first]], np.array(content, np.uint64)))
+        row = np.array([i for i, _, _ in part])[of]
+        start = first - begin[of] + np.array([at for _, at, _ in part])[of]
+        out.append((row, start, count, anchor, np.array(content, np.uint64)))
     if not out:
         return (*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def _frequent(batches):
+    """anchor, n: anchors with over one in 2 * HOT_SHARE of a batch's segments; and one row without anchor for all of them."""
+    for b in small(batches):
+        raws = [t.encode("utf-8", "replace") if t else b"" for t in b.column("text").to_pylist()]
+        found = [_starts(part)[3] for part in _buffers(raws)]
+        anchor, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        often = 2 * HOT_SHARE * n > n.sum()
+        cols = [pa.array([*anchor[often].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[often].tolist(), int(n.sum())], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["anchor", "n"])
+
+
+def hot_anchors(docs: DataFrame) -> np.ndarray:
+    """Anchors with over one in HOT_SHARE of all segments, and perhaps some with over half as many.
+
+    An anchor that is hot has at least half its segments in batches where it is over half as frequent.
+    """
+    seen = saved(docs.select("text").mapInArrow(_frequent, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")))
+    total = seen.filter("anchor is null").agg(F.sum("n")).first()[0] or 0
+    rows = seen.filter((F.col("anchor").isNotNull()) & (F.col("n") * (2 * HOT_SHARE) > total)).select("anchor").collect()
+    return np.array(sorted(r.anchor for r in rows), np.int64)
+
+
 def _merged(doc: np.ndarray, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
     """Spans [a, e) of each document with overlapping and touching ones joined."""
     if not len(doc):
@@ -159,33 +191,49 @@ def _earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, a: np.ndarray) -> t
     return order[first], order[~first & later]
 
 
-_SEGMENTS = "anchor long, content long, doc_id long, a int, n int"
+_SEGMENTS = "anchor long, salt long, content long, doc_id long, a int, n int"
+
 
+def _make(hot: np.ndarray):
+    """Segments, each content once for MERGE_BYTES of text; n = 0 marks a span [a, content) that is removed already. Hot anchors have a salt."""
 
-def _make(batches):
-    """Segments, each content once; n = 0 marks a span [a, content) that is removed already."""
-    for b in batches:
-        ids = b.column("doc_id").to_pylist()
-        raws = [t.encode("utf-8", "replace") if t and i is not None else b"" for i, t in zip(ids, b.column("text").to_pylist(), strict=True)]
-        row, a, n, anchor, content = segments(raws)
-        doc = np.array([i or 0 for i in ids], np.int64)[row]
+    def merged(parts):
+        doc, a, n, anchor, content = (np.concatenate(c) for c in zip(*parts, strict=True))
         first, later = _earliest((content, anchor), doc, a)
         d, s, e = _merged(doc[later], a[later], (a + n + LENGTH - 1)[later])
+        key, what = anchor[first].view(np.int64), content[first].view(np.int64)
         cols = (
-            np.concatenate([anchor[first], _spread(d, s)]).view(np.int64),
-            np.concatenate([content[first].view(np.int64), e]),
+            np.concatenate([key, _spread(d, s).view(np.int64)]),
+            np.concatenate([np.where(np.isin(key, hot), what | 1, 0), np.zeros(len(d), np.int64)]),
+            np.concatenate([what, e]),
             np.concatenate([doc[first], d]),
             np.concatenate([a[first], s]).astype(np.int32),
             np.concatenate([n[first], np.zeros(len(d), np.int64)]).astype(np.int32),
         )
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "content", "doc_id", "a", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "salt", "content", "doc_id", "a", "n"])
+
+    def make(batches):
+        parts, held = [], 0
+        for b in small(batches):
+            ids = b.column("doc_id").to_pylist()
+            raws = [t.encode("utf-8", "replace") if t and i is not None else b"" for i, t in zip(ids, b.column("text").to_pylist(), strict=True)]
+            row, *rest = segments(raws)
+            parts.append((np.array([i or 0 for i in ids], np.int64)[row], *rest))
+            held += sum(map(len, raws))
+            if held > MERGE_BYTES:
+                yield merged(parts)
+                parts, held = [], 0
+        if parts:
+            yield merged(parts)
+
+    return make
 
 
 def _pack(batches):
     c = zstandard.ZstdCompressor(level=3, write_content_size=True)
-    for b in batches:
+    for b in small(batches):
         raws = [None if t is None else c.compress(t.encode("utf-8", "replace")) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raws, pa.binary())], ["doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("doc_id"), pa.array(raws, pa.binary())], ["id", "doc_id", "z"])
 
 
 _PARTS = "kind int, key long, anchor long, doc_id long, a int, seg binary"
@@ -194,7 +242,7 @@ _PARTS = "kind int, key long, anchor long, doc_id long, a int, seg binary"
 def _cut_out(batches):
     """kind 1: a segment to sort; kind 2: a string of an anchor with many contents; kind 0: a span [a, key) to remove."""
     c = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in small(batches):
         seg, big = [], []
         for doc, z, wanted in zip(*(b.column(k).to_pylist() for k in ("doc_id", "z", "wanted")), strict=True):
             raw = c.decompress(z)
@@ -293,7 +341,7 @@ def _span_batch(spans) -> pa.RecordBatch:
 def _sort(batches):
     """Segments, sorted by anchor, to spans to remove; anchors are taken together up to SORT_BYTES."""
     key, doc, a, segs, held = [], [], [], [], 0
-    for b in batches:
+    for b in small(batches):
         rows = zip(*(b.column(k).to_pylist() for k in ("key", "doc_id", "a", "seg")), strict=True)
         for k, d, s, seg in rows:
             if held > SORT_BYTES and k != key[-1]:
@@ -310,19 +358,20 @@ def _sort(batches):
 
 def repeated_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """doc_id, a, e: spans of bytes to remove, possibly overlapping."""
-    made = docs.select("doc_id", "text").mapInArrow(_make, _SEGMENTS).repartition("anchor")
-    by_content = W.partitionBy("anchor", "content").orderBy("doc_id", "a")
+    hot = hot_anchors(docs)
+    made = docs.select("doc_id", "text").mapInArrow(_make(hot), _SEGMENTS).repartition("anchor", "salt")
+    by_content = W.partitionBy("anchor", "salt", "content").orderBy("doc_id", "a")
     first = F.first(F.struct("doc_id", "a")).over(by_content)
     lead = F.row_number().over(by_content) == 1
     marked = (
         made.withColumn("later", F.struct("doc_id", "a") > first)
         .withColumn("lead", lead)
-        .withColumn("contents", F.sum(F.col("lead").cast("int")).over(W.partitionBy("anchor")))
+        .withColumn("contents", F.sum(F.col("lead").cast("int")).over(W.partitionBy("anchor", "salt")))
     )
-    marked = saved(marked.filter("n = 0 or later or lead and contents > 1"))
+    marked = saved(marked.filter("n = 0 or later or lead and (contents > 1 or salt <> 0)"))
     end = F.when(F.col("n") == 0, F.col("content")).otherwise(F.col("a") + F.col("n") + LENGTH - 1).cast("int")
     whole = marked.filter("n = 0 or later").select("doc_id", "a", end.alias("e"))
-    want = F.struct("anchor", "a", "n", (F.col("contents") > LARGE).alias("large"))
+    want = F.struct("anchor", "a", "n", ((F.col("contents") > LARGE) | (F.col("salt") != 0)).alias("large"))
     wanted = marked.filter("n > 0 and not later").groupBy("doc_id").agg(F.collect_list(want).alias("wanted"))
     parts = saved(packed.join(wanted, "doc_id").mapInArrow(_cut_out, _PARTS))
     sort = parts.filter("kind = 1").select("key", "doc_id", "a", "seg").repartition("key").sortWithinPartitions("key")
@@ -353,30 +402,45 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tu
     return b"".join([*out, raw[at:]]), [(a, e) for a, e in runs]
 
 
-_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+_KEPT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
 def _keep(with_bytes: bool):
     def keep(batches):
         c = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in small(batches):
             rows = []
-            for doc, z, spans in zip(*(b.column(k).to_pylist() for k in ("doc_id", "z", "spans")), strict=True):
+            for doc, z, spans in zip(*(b.column(k).to_pylist() for k in ("id", "z", "spans")), strict=True):
                 raw = c.decompress(z) if z is not None else b""
                 left, runs = kept_bytes(raw, [(s["a"], s["e"]) for s in spans or ()])
                 rows.append((doc, len(raw), len(raw) - len(left), len(runs), left if with_bytes else None, hashlib.sha256(left).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     return keep
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """id, doc_id, text: the doc_id as id, and as doc_id a number in its order, another one for each text of the same id."""
+    key = F.coalesce(F.md5(F.col("text")), F.lit(""))
+    ids = docs.select(F.col("doc_id").alias("id"), "text", key.alias("key"))
+    known = ids.filter("id is not null")
+    if not known.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").head(1):
+        return docs.select(F.col("doc_id").alias("id"), "doc_id", "text")
+    order = known.select("id", "key").distinct().repartitionByRange("id", "key").sortWithinPartitions("id", "key")
+    order = saved(order.withColumn("doc_id", F.monotonically_increasing_id()))
+    return ids.join(order, ["id", "key"], "left").select("id", "doc_id", "text")
+
+
 def dedup(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256 for each row of ``docs``(doc_id, text); kept is null unless ``with_bytes``."""
-    packed = docs.select("doc_id", "text").mapInArrow(_pack, "doc_id long, z binary")
-    spans = repeated_spans(docs, packed).groupBy("doc_id").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
-    return packed.join(spans, "doc_id", "left").mapInArrow(_keep(with_bytes), _KEPT)
+    ready(docs.sparkSession)
+    docs = numbered(docs.select("doc_id", "text"))
+    packed = docs.mapInArrow(_pack, "id long, doc_id long, z binary")
+    one = packed.select("doc_id", "z").filter("doc_id is not null")
+    spans = repeated_spans(docs, one).groupBy("doc_id").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    return packed.join(spans, "doc_id", "left").select("id", "z", "spans").mapInArrow(_keep(with_bytes), _KEPT).withColumnRenamed("id", "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
