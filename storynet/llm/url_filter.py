@@ -7,8 +7,9 @@ beta-binomial prior whose strength comes from the spread between its members
 reaches ``threshold``.
 
 Only DataFrame expressions run here. The counts are pre-aggregated before each
-shuffle; hosts with over a thousandth of all pages (so at most 1,000) are joined
-by broadcast, the rest by a shuffled join.
+shuffle. Pages meet their hosts, hosts their domains and domains their suffixes
+each in a join of which hot keys, with over a thousandth of all rows (so at most
+1,000), are joined by broadcast and the rest by a shuffled join.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
 is judged by the reputation of the empty host; repeated pages count each time;
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storynet.llm.common import cut, table
+from storynet.llm.common import cut, join_hot, table
 
 RULES = (
     ("allow", "com/"),
@@ -31,9 +32,14 @@ RULES = (
     ("block", "net/fr/"),
 )
 #: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za")
+TWO_LABEL_SUFFIXES = (
+    "ac.at", "ac.id", "ac.il", "ac.in", "ac.jp", "ac.kr", "ac.nz", "ac.th", "ac.uk", "ac.za", "co.at", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz",
+    "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk",
+    "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.ve", "com.vn", "edu.au", "edu.br", "edu.cn", "edu.hk", "edu.mx", "edu.pl", "edu.sg", "edu.tr",
+    "edu.tw", "go.jp", "gob.ar", "gob.mx", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "gov.za", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "or.jp",
+    "or.kr", "org.au", "org.br", "org.cn", "org.il", "org.in", "org.mx", "org.nz", "org.pl", "org.tr", "org.tw", "org.uk", "org.za", "sch.uk",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HOT_SHARE = 1000
 
 
 def url_host(url: Column) -> Column:
@@ -92,14 +98,14 @@ def host_reputation(hosts: DataFrame, prior_rate: float = 0.5, z: float = 1.645)
     hosts = hosts.withColumn("suffix", url_suffix(F.col("host"))).withColumn("domain", url_domain(F.col("host")))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     root = round((total.k + 1) / (total.n + 2), 6) if total.n else prior_rate
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
+    domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"), F.count("*").alias("n_hosts")))
+    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"), F.count("*").alias("n_domains"))
     k0 = _strength(suffixes.withColumn("root", F.lit(root)), "sk", "sn", "root")
-    suffixes = suffixes.select("suffix", ((F.col("sk") + k0 * root) / (F.col("sn") + k0)).alias("s_rate"))
-    domains = domains.join(suffixes, "suffix")
+    suffixes = cut(suffixes.select("suffix", "n_domains", ((F.col("sk") + k0 * root) / (F.col("sn") + k0)).alias("s_rate")))
+    domains = join_hot(domains, suffixes, "suffix", "n_domains")
     k1 = _strength(domains, "dk", "dn", "s_rate")
-    domains = domains.select("domain", ((F.col("dk") + k1 * F.col("s_rate")) / (F.col("dn") + k1)).alias("d_rate"))
-    hosts = hosts.join(domains, "domain")
+    domains = cut(domains.select("domain", "n_hosts", ((F.col("dk") + k1 * F.col("s_rate")) / (F.col("dn") + k1)).alias("d_rate")))
+    hosts = join_hot(hosts, domains, "domain", "n_hosts")
     k2 = _strength(hosts, "k", "n", "d_rate")
     rate, size = (F.col("k") + k2 * F.col("d_rate")) / (F.col("n") + k2), F.col("n") + k2
     return hosts.withColumn("rate", rate).withColumn(
@@ -129,13 +135,8 @@ def filter_urls(
         .agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
     )
     hosts = cut(seen.join(told, "host", "left").fillna(0, ["n", "k"]))
-    total = hosts.agg(F.sum("n_pages")).first()[0] or 0
-    judged = host_reputation(hosts).select("host", "n_pages", "rate", "bound")
-    hot = judged.filter(F.col("n_pages") * HOT_SHARE >= total)
-    names = [r.host for r in hot.select("host").collect()]  # at most HOT_SHARE of them
-    is_hot = F.col("host").isin(*names) if names else F.lit(False)
-    rest = judged.filter(F.col("n_pages") * HOT_SHARE < total)
-    both = pages.filter(is_hot).join(F.broadcast(hot), "host").unionByName(pages.filter(~is_hot).join(rest, "host"))
+    judged = cut(host_reputation(hosts).select("host", "n_pages", "rate", "bound"))
+    both = join_hot(pages, judged, "host", "n_pages")
     rule = match_rule(F.col("host"), F.col("path"), rules)
     return both.withColumn("m", rule).select(
         "page_id",
