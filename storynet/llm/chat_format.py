@@ -1,8 +1,8 @@
 r"""Chat formatting with Spark expressions only.
 
 The rows of a conversation are collected as structs and sorted by turn (nulls
-last, then role, then text), adjacent turns of one role are merged by an array
-aggregation, and each merged block is written as::
+last, then role, then text), the places where the role changes cut the array into
+blocks whose texts are aggregated, and each merged block is written as::
 
     ### Role: role
     first text</turn>
@@ -17,17 +17,20 @@ Defined cases: null roles and texts count as empty; empty turns keep their
 marks; repeated rows are turns of their own; rows with a null conv_id form one
 conversation; other columns are not read. Each conversation becomes one string,
 so it must fit in a row, as any formatted example must; rows are grouped by
-conversation and nothing else is.
+conversation and nothing else is. The work in a conversation is in proportion to
+its length: arrays are cut by places, and running sums are made by ``CHUNK`` values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storynet.llm.common import table
 
-ROLE, TURN = "### Role: ", "</turn>\n"
+ROLE, TURN, CHUNK = "### Role: ", "</turn>\n", 512
 
 
 def escape(text: Column) -> Column:
@@ -48,20 +51,26 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\n"), F.lit("\n")))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _merged(turns: Column) -> Column:
-    """Sorted turns to blocks of (role, texts): a turn goes to the last block if it has the same role."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    """Sorted turns to blocks of (role, texts), one for each run of turns with one role."""
+    n = F.size(turns)
+    role = lambda i: F.element_at(turns, i)["role"]
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, True).otherwise(role(i) != role(i - 1)))
 
-    def add(blocks: Column, turn: Column) -> Column:
-        last = F.try_element_at(blocks, F.lit(-1))
-        block = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        longer = F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        same = F.coalesce(last["role"] == turn["role"], F.lit(False))
-        return F.when(same, F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(longer))).otherwise(
-            F.concat(blocks, F.array(block))
-        )
+    def blocks(at: Column) -> Column:
+        def block(i: Column, k: Column) -> Column:
+            after = F.coalesce(F.try_element_at(at, k + 2), n + 1)
+            texts = F.transform(F.slice(turns, i, after - i), lambda t: t["text"])
+            return F.struct(role(i).alias("role"), texts.alias("texts"))
 
-    return F.aggregate(turns, empty, add)
+        return F.transform(at, block)
+
+    return _let(starts, blocks)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -70,11 +79,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     turn = F.struct(
         F.col("turn").isNull().alias("last"), "turn", escape_role(role).alias("role"), escape(text).alias("text")
     )
-    blocks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    sorted_turns = F.array_sort(F.collect_list(turn))
     block = lambda b: F.concat(
         F.lit(ROLE), b["role"], F.lit("\n"), F.array_join(F.transform(b["texts"], lambda t: F.concat(t, F.lit(TURN))), "")
     )
-    return blocks.select("conv_id", F.array_join(F.transform(_merged(F.col("turns")), block), "").alias("formatted"))
+    written = lambda t: F.array_join(F.transform(_merged(t), block), "")
+    return turns.groupBy("conv_id").agg(sorted_turns.alias("turns")).select("conv_id", _let(F.col("turns"), written).alias("formatted"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -82,40 +92,60 @@ def read_turns(formatted: Column) -> Column:
     blocks = F.slice(F.split(formatted, ROLE, -1), 2, 2_000_000_000)
 
     def turns(block: Column) -> Column:
-        role = F.substring_index(block, "\n", 1)
-        texts = F.split(F.substr(block, F.length(role) + 2), TURN, -1)
-        return F.transform(
-            F.slice(texts, F.lit(1), F.size(texts) - 1),
-            lambda t: F.struct(
+        def of_role(role: Column) -> Column:
+            turn = lambda t: F.struct(
                 unescape_role(role).alias("role"), unescape(t).alias("text"), F.length(t).cast("long").alias("n")
-            ),
-        )
+            )
+            texts = F.split(F.substr(block, F.length(role) + 2), TURN, -1)
+            return _let(texts, lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), turn))
+
+        return _let(F.substring_index(block, "\n", 1), of_role)
 
     return F.flatten(F.transform(blocks, turns))
 
 
+def _running(values: Column) -> Column:
+    """The sum of all values before each one, and of all; by chunks, whose sums are summed in the same way."""
+    zero = F.lit(0).cast("bigint")
+
+    def sums(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def by_chunk(chunks: Column) -> Column:
+        starts = sums(F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: a + x)), zero)
+        inner = lambda c, s: F.slice(sums(c, s), F.lit(1), F.size(c))
+        return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), inner))
+
+    at = F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / CHUNK).cast("int"))
+    return _let(F.transform(at, lambda k: F.slice(values, k * CHUNK + 1, F.lit(CHUNK))), by_chunk)
+
+
 def loss_spans(formatted: Column) -> Column:
     """Spans (start, length) of assistant texts in the formatted text, in order."""
     blocks = F.slice(F.split(formatted, ROLE, -1), 2, 2_000_000_000)
-    empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans"))
 
-    def of_block(acc: Column, block: Column) -> Column:
-        role = F.substring_index(block, "\n", 1)
-        texts = F.split(F.substr(block, F.length(role) + 2), TURN, -1)
-        texts = F.slice(texts, F.lit(1), F.size(texts) - 1)
-        first = F.struct(
-            (acc["at"] + len(ROLE) + F.length(role) + 1).cast("bigint").alias("at"), acc["spans"].alias("spans")
-        )
+    def pieces(block: Column) -> Column:
+        """Of each text: the length of what stands before it in its block, its own, and whether it counts."""
+
+        def of_role(role: Column) -> Column:
+            texts = F.split(F.substr(block, F.length(role) + 2), TURN, -1)
+            header = (F.length(role) + len(ROLE) + 1).cast("bigint")
+            piece = lambda t, k: F.struct(
+                F.when(k == 0, header).otherwise(F.lit(0).cast("bigint")).alias("before"),
+                F.length(t).cast("bigint").alias("length"),
+                (role == "assistant").alias("counts"),
+            )
+            return _let(texts, lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), piece))
 
-        def of_text(a: Column, t: Column) -> Column:
-            span = F.struct(a["at"].alias("start"), F.length(t).cast("bigint").alias("length"))
-            spans = F.when(role == "assistant", F.concat(a["spans"], F.array(span))).otherwise(a["spans"])
-            return F.struct((a["at"] + F.length(t) + len(TURN)).cast("bigint").alias("at"), spans.alias("spans"))
+        return _let(F.substring_index(block, "\n", 1), of_role)
 
-        return F.aggregate(texts, first, of_text)
+    def spans(all_pieces: Column) -> Column:
+        before = _running(F.transform(all_pieces, lambda p: p["before"] + p["length"] + len(TURN)))
+        span = lambda p, s: F.struct((s + p["before"]).alias("start"), p["length"].alias("length"), p["counts"].alias("counts"))
+        counted = F.filter(F.zip_with(all_pieces, before, span), lambda x: x["counts"])
+        return F.transform(counted, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
 
-    return F.aggregate(blocks, start, of_block)["spans"]
+    return _let(F.flatten(F.transform(blocks, pieces)), spans)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
