@@ -6,11 +6,12 @@ import re
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storynet.functions import text as tx
+from storynet.functions.shared import saved
 
 _DROP = re.compile(r"[\s*_`~]")
 GRAM = 12
@@ -29,30 +30,36 @@ def quote_search(quotes: DataFrame, sources: DataFrame, gram: int = GRAM) -> Dat
     """``quotes``(quote_id, quote) in any of ``sources``(ref, content): quote_id, ref.
 
     Blocking: the normalised text is cut into pieces of ``gram`` characters. A quote of 2 * gram - 1 characters or more covers a
-    whole piece wherever it stands, and that piece is one of the quote's first ``gram`` grams. Shorter quotes are compared with
-    every source in one broadcast pass, which ``short_quotes`` keeps small.
+    whole piece wherever it stands, and that piece is one of the quote's first ``gram`` grams. Shorter quotes are blocked in the same
+    way by pieces of half the length, and so on down to single characters; a level without quotes costs nothing. Only ids and pieces
+    are shuffled to find who may match whom; texts are joined for those pairs alone.
     """
-    q = quotes.select("quote_id", tx.anchor_text(F.col("quote")).alias("q")).filter("q <> ''")
+    q = saved(quotes.select("quote_id", tx.anchor_text(F.col("quote")).alias("q")).filter("q <> ''"))
     s = sources.select("ref", tx.anchor_text(F.coalesce("content", F.lit(""))).alias("s"))
-    least = 2 * gram - 1
-    heads = F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda i: F.substr(F.col("q"), i, F.lit(gram)))
-    long = q.filter(F.length("q") >= least).select("quote_id", "q", F.explode(F.array_distinct(heads)).alias("g"))
-    pieces = F.transform(F.sequence(F.lit(1), F.length("s") - gram + 1, F.lit(gram)), lambda i: F.substr(F.col("s"), i, F.lit(gram)))
-    keyed = s.filter(F.length("s") >= least).select("ref", "s", F.explode(F.array_distinct(pieces)).alias("g"))
-    keyed = keyed.join(long.select("g").distinct(), "g", "left_semi")
-    found = keyed.join(long, "g").filter(F.contains("s", "q")).select("quote_id", "ref").distinct()
-    few = q.filter(F.length("q") < least)
-    if short_quotes(few) == 0:
-        return found
-    return found.unionByName(s.join(F.broadcast(few), F.contains("s", "q")).select("quote_id", "ref"))
-
-
-def short_quotes(few: DataFrame, most: int = 10_000) -> int:
-    """How many quotes are too short for blocking; more than ``most`` are refused rather than compared with everything."""
-    n = few.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"over {most} quotes are too short to search for; give their sources")
-    return n
+    levels, most, met = [], None, None
+    while gram >= 1:
+        levels.append((gram, 2 * gram - 1, most))
+        gram, most = gram // 2, 2 * gram - 1
+    there = {r[0] for r in q.select(_level(F.length("q"), levels)).distinct().collect()}  # as many rows as levels
+    for size, low, high in levels:
+        if size not in there:
+            continue
+        own = q.filter(F.length("q") >= low)
+        own = own.filter(F.length("q") < high) if high else own
+        heads = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i, n=size: F.substr(F.col("q"), i, F.lit(n)))
+        asked = own.select("quote_id", F.explode(F.array_distinct(heads)).alias("g"))
+        pieces = F.transform(F.sequence(F.lit(1), F.length("s") - size + 1, F.lit(size)), lambda i, n=size: F.substr(F.col("s"), i, F.lit(n)))
+        keyed = s.filter(F.length("s") >= low).select("ref", F.explode(F.array_distinct(pieces)).alias("g"))
+        pairs = keyed.join(asked, "g").select("quote_id", "ref").distinct()
+        met = pairs if met is None else met.unionByName(pairs)
+    if met is None:
+        return q.join(s, F.lit(False)).select("quote_id", "ref")
+    return met.join(q, "quote_id").join(s, "ref").filter(F.contains("s", "q")).select("quote_id", "ref")
+
+
+def _level(length: Column, levels: list[tuple[int, int, int | None]]) -> Column:
+    """The piece size by which a quote of this length is blocked."""
+    return F.coalesce(*[F.when(length >= low, size) for size, low, _ in levels])
 
 
 def spans_of(quote: str, text: str) -> list[tuple[int, int]]:

@@ -6,8 +6,6 @@ joins on ids; duplicates are windows; chains are followed by pointer jumping.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,12 +47,12 @@ def shell(entities: DataFrame) -> DataFrame:
 
 def component_rules(components: DataFrame, allowed: DataFrame, versions: DataFrame) -> DataFrame:
     """``components``(entity_id, entity_type, component, schema_version) against ``allowed``(component, entity_type) and ``versions``(component, schema_version)."""
-    known = components.join(F.broadcast(versions.select("component").distinct()), "component", "left_semi")
+    known = components.join(versions.select("component").distinct(), "component", "left_semi")
     out = [
-        (components.join(F.broadcast(versions.select("component").distinct()), "component", "left_anti"), "UNKNOWN_COMPONENT", "/"),
-        (known.join(F.broadcast(allowed), ["component", "entity_type"], "left_anti"), "COMPONENT_NOT_ALLOWED_ON_ENTITY", "/"),
+        (components.join(versions.select("component").distinct(), "component", "left_anti"), "UNKNOWN_COMPONENT", "/"),
+        (known.join(allowed, ["component", "entity_type"], "left_anti"), "COMPONENT_NOT_ALLOWED_ON_ENTITY", "/"),
         (known.filter("schema_version is null"), "MISSING_REQUIRED_FIELD", "/schema_version"),
-        (known.filter("schema_version is not null").join(F.broadcast(versions), ["component", "schema_version"], "left_anti"), "UNSUPPORTED_VERSION", "/schema_version"),
+        (known.filter("schema_version is not null").join(versions, ["component", "schema_version"], "left_anti"), "UNSUPPORTED_VERSION", "/schema_version"),
     ]
     rows = [violations(df, code, "component", F.lit(path), "entity_id") for df, code, path in out]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
@@ -66,7 +64,6 @@ def field_rules(fields: DataFrame, rules: DataFrame, present: DataFrame) -> Data
     ``present``(entity_id, component) lists the component instances, for fields that must exist. The rules are
     small and given by the caller, a row for each path of a schema.
     """
-    rules = F.broadcast(rules)
     ref = F.element_at(F.split("path", "/"), -1).endswith("_ref")
     unknown = fields.join(rules.select("component", "path"), ["component", "path"], "left_anti")
     met = fields.join(rules.withColumnRenamed("type", "rule_type"), ["component", "path"])
@@ -173,27 +170,34 @@ def non_containers(refs: DataFrame, containers: DataFrame) -> DataFrame:
 def reaches_cycle(parents: DataFrame) -> DataFrame:
     """``parents``(node, parent), one parent each: node, on_cycle and cycle (its smallest node) of every node whose chain reaches a cycle.
 
-    Pointer jumping: after k rounds each node points 2**k steps up, so log2 of the number of nodes rounds decide.
-    While jumping, each node also keeps the smallest node it has passed; past the tails that is the cycle's own.
+    Pointer jumping: after k rounds each node points 2**k steps up, so log2 of the longest chain rounds decide, and of the longest
+    cycle for its smallest node, which each node of a cycle keeps of those that it has passed.
     """
-    n = parents.count()
-    if not n:
-        return parents.select("node", F.lit(False).alias("on_cycle"), F.col("node").alias("cycle"))
     jump = saved(parents.select("node", F.col("parent").alias("up")))
-    rounds = math.ceil(math.log2(n)) + 1
-    for _ in range(rounds):
+    before, now = None, _ends(jump)
+    while now != before:  # once no end falls away any more, all ends lie on cycles, and every node of a cycle is one
         jump = saved(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
-    # ends of long jumps lie on cycles, and every node of a cycle is such an end
+        before, now = now, _ends(jump)
     ring = jump.select(F.col("up").alias("node")).distinct().join(parents, "node")
     ring = saved(ring.select("node", F.col("parent").alias("up"), F.least("node", "parent").alias("low")))
-    for _ in range(rounds):
+    before, now = None, _lows(ring)
+    while now != before:  # windows of a round that all have the minimum of the next, twice as long, have that of their cycle
         step = ring.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("low").alias("far"))
         ring = saved(ring.join(step, "up").select("node", F.col("next").alias("up"), F.least("low", "far").alias("low")))
+        before, now = now, _lows(ring)
     cycle = ring.select("node", F.col("low").alias("cycle"))
     ends = jump.join(cycle.select(F.col("node").alias("up"), "cycle"), "up").select("node", "cycle")
     return ends.join(cycle.select("node", F.lit(True).alias("on")), "node", "left").select("node", F.coalesce("on", F.lit(False)).alias("on_cycle"), "cycle")
 
 
+def _ends(jump: DataFrame) -> tuple:
+    return tuple(jump.agg(F.count("*"), F.countDistinct("up")).first())
+
+
+def _lows(ring: DataFrame):
+    return ring.agg(F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first()[0]
+
+
 def _parents(refs: DataFrame, component: str, tgt_type: str | None = None) -> DataFrame:
     own = refs.filter(F.col("component") == component)
     own = own.filter(F.col("tgt_type") == tgt_type) if tgt_type else own
@@ -212,10 +216,11 @@ def parent_cycles(refs: DataFrame, component: str, code: str) -> DataFrame:
     return violations(rows, code, F.lit(component), F.lit("/"), "node")
 
 
-def stale_indexes(stored: DataFrame, rebuilt: DataFrame, required: bool = True) -> DataFrame:
-    """Stored index rows (entity_id, component, ids) against rebuilt ones, whatever the order of ids."""
-    a = stored.select("entity_id", "component", F.array_join(F.array_sort("ids"), ",").alias("stored"))
-    b = rebuilt.select("entity_id", "component", F.array_join(F.array_sort("ids"), ",").alias("rebuilt"))
+def stale_indexes(stored: DataFrame, rebuilt: DataFrame, required: bool = True, ordered: tuple[str, ...] = ("history_index",)) -> DataFrame:
+    """Stored index rows (entity_id, component, ids) against rebuilt ones, whatever the order of ids but in the ``ordered`` indexes."""
+    ids = F.when(F.col("component").isin(*ordered), F.col("ids")).otherwise(F.array_sort("ids"))
+    a = stored.select("entity_id", "component", F.array_join(ids, ",").alias("stored"))
+    b = rebuilt.select("entity_id", "component", F.array_join(ids, ",").alias("rebuilt"))
     both = a.join(b, ["entity_id", "component"], "full")
     missing = F.col("stored").isNull()
     code = F.when(missing, F.lit("MISSING_DERIVED_INDEX") if required else F.lit(None)).when(~F.col("stored").eqNullSafe(F.col("rebuilt")), "STALE_DERIVED_INDEX")
@@ -287,11 +292,11 @@ def permissions(changes: DataFrame, rules: DataFrame) -> DataFrame:
 
     A pattern has as many parts as the path, ``*`` for any; the one with most other parts wins.
     """
-    known = changes.join(F.broadcast(rules.select("operation").distinct()), "operation", "left_anti")
+    known = changes.join(rules.select("operation").distinct(), "operation", "left_anti")
     wrong = violations(known, "INVALID_PERMISSION_OPERATION", entity="change_id")
     regex = F.concat(F.lit("^"), F.replace("pattern", F.lit("*"), F.lit("[^/]+")), F.lit("$"))
     special = F.size(F.filter(F.split("pattern", "/"), lambda x: (x != "*") & (x != "")))
-    met = changes.join(F.broadcast(rules), ["component", "operation"]).filter(F.col("pattern").isNull() | F.rlike("path", regex))
+    met = changes.join(rules, ["component", "operation"]).filter(F.col("pattern").isNull() | F.rlike("path", regex))
     rank = F.row_number().over(W.partitionBy("change_id").orderBy(F.when(F.col("pattern").isNull(), -1).otherwise(special).desc(), "pattern"))
     denied = met.withColumn("rank", rank).filter("rank = 1 and not array_contains(roles, role)")
     return wrong.unionByName(violations(denied, "PERMISSION_DENIED", entity="change_id"))

@@ -9,64 +9,129 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FIELDS = ("id", "status", "description", "story_summary", "key_details")
-
-
-def _size(pack: dict) -> int:
-    """Characters of the whole pack, its own used_chars included."""
-    n = 0
-    while (m := len(json.dumps(pack | {"used_chars": n}, ensure_ascii=False, separators=(",", ":")))) != n:
-        n = m
-    return n
-
-
-def pack_events(events: list[dict], budget: int = 4000, max_details: int = 5) -> dict:
-    """Events in the given order, under a budget of characters: details go first, then summaries, then whole events from the end; texts are never cut."""
-    budget, left, kept = max(200, budget), max_details, []
-    for e in events:
-        details = e.get("key_details") or []
-        kept.append({k: e[k] for k in FIELDS if k in e and k != "key_details"} | {"key_details": details[:left]})
-        left -= min(left, len(details))
-    pack = {"events": kept, "dropped": []}
-    for drop in ("key_details", "story_summary"):
-        for e in reversed(kept):
-            if _size(pack) <= budget:
-                break
-            if e.get(drop):
-                e.pop(drop)
-    while kept and _size(pack) > budget:
-        pack["dropped"].append(kept.pop()["id"])
-    if _size(pack) > budget:
-        pack["dropped"] = len(pack["dropped"])
-    if _size(pack) > budget:
-        pack = {"events": [], "empty": True}
-    return pack | {"used_chars": _size(pack)}
-
-
-def recall_packs(requests: DataFrame, events: DataFrame, max_events: int = 5, budget: int = 4000, max_details: int = 5) -> DataFrame:
-    """``requests``(request_id, rank, event_id), ``events``(event_id, status, description, story_summary, key_details): request_id, n_events, used_chars, pack (JSON).
-
-    The best max_events of a request are chosen in SQL; one request's pack is a small fold.
+# The fields of a card and of a detail, in order.
+CARD = ("id", "status", "description", "event_time", "locations", "related_entity_keys", "related_entity_refs")
+DETAIL = ("kind", "content", "fidelity", "id", "actor")
+
+
+def chars(value) -> int:
+    """Characters of a value as compact JSON."""
+    return len(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+
+
+def _full(row: dict, fields: tuple[str, ...]) -> dict:
+    return {k: row[k] for k in fields if row.get(k) not in (None, "", [])}
+
+
+class Pack:
+    """One request's recall pack while it is filled and, if need be, emptied again."""
+
+    def __init__(self, max_events: int, max_details: int, max_chars: int):
+        self.limits = {"max_events": max_events, "max_key_details": max_details, "max_chars": max_chars}
+        self.cards: list[dict] = []
+        self.out: dict = {"event_ids": [], "summary_event_ids": [], "key_detail_ids": []}
+        self.left = max_details
+
+    def fits(self, card: dict) -> bool:
+        return chars({"events": [*self.cards, card]}) <= self.limits["max_chars"]
+
+    def omit(self, what: str, name) -> None:
+        if name and name not in self.out[what]:
+            self.out[what].append(name)
+
+    def add(self, event: dict, wanted: list[str] | None) -> None:
+        """An event's card, then its summary, then its details, each if it fits whole; a later, smaller event still may."""
+        card = _full(event, CARD)
+        if not self.fits(card):
+            return self.omit("event_ids", event.get("id"))
+        summary = (event.get("story_summary") or "").strip()
+        if summary and self.fits(told := card | {"story_summary": summary}):
+            card = told
+        elif summary:
+            self.omit("summary_event_ids", event.get("id"))
+        details = [d for d in event.get("key_details") or [] if (d.get("content") or "").strip()]
+        if wanted is not None:
+            named = {d.get("id"): d for d in details}
+            details = [named[i] for i in wanted if i in named]
+        for d in details:
+            more = card | {"key_details": [*card.get("key_details", []), _full(d, DETAIL)]}
+            if self.left > 0 and self.fits(more):
+                card, self.left = more, self.left - 1
+            else:
+                self.omit("key_detail_ids", d.get("id"))
+        self.cards.append(card)
+        return None
+
+    def written(self) -> dict:
+        """The whole pack, with its own size."""
+        pack = {"mode": "normal_event_recall", "events": self.cards, "omitted": self.out, "budget": self.limits | {"used_chars": 0}}
+        for _ in range(4):
+            pack["budget"]["used_chars"] = chars(pack)
+        return pack
+
+    def shrunk(self) -> dict:
+        """The pack within its budget: details go from the end, one by one, then summaries, then events, then the lists of what was left out become counts."""
+        steps = [("key_detail_ids", c, "key_details") for c in reversed(self.cards) for _ in c.get("key_details", [])]
+        steps += [("summary_event_ids", c, "story_summary") for c in reversed(self.cards) if "story_summary" in c]
+        steps += [("event_ids", c, None) for c in reversed(self.cards)]
+        for what, card, field in steps:
+            if chars(self.written()) <= self.limits["max_chars"]:
+                return self.written()
+            if field == "key_details":
+                self.omit(what, card[field].pop().get("id"))
+                card.update({} if card[field] else {field: None})
+                if card[field] is None:
+                    del card[field]
+                continue
+            if field:
+                del card[field]
+            else:
+                self.cards.remove(card)
+            self.omit(what, card.get("id"))
+        if chars(self.written()) > self.limits["max_chars"] and any(self.out.values()):
+            names = {"event_ids": "event_count", "summary_event_ids": "summary_count", "key_detail_ids": "key_detail_count"}
+            self.out = {names[k]: len(v) for k, v in self.out.items()}
+        pack = self.written()
+        return pack if chars(pack) <= self.limits["max_chars"] else {"mode": "normal_event_recall", "events": [], "truncated_by_budget": True}
+
+
+def pack_events(events: list[dict], max_events: int = 5, max_details: int = 5, max_chars: int = 4000, details: dict[str, list[str]] | None = None) -> dict:
+    """The recall pack of ``events`` in the order given; ``details`` names the details wanted of an event, in order. Budgets that make no sense are refused; texts are never cut."""
+    if max_events < 1 or max_details < 0 or max_chars < 200:
+        raise ValueError("a recall pack needs at least 1 event, 0 details and 200 characters")
+    pack = Pack(max_events, max_details, max_chars)
+    for e in events[:max_events]:
+        pack.add(e, (details or {}).get(e.get("id")))
+    return pack.shrunk()
+
+
+def recall_packs(requests: DataFrame, events: DataFrame, max_events: int = 5, max_chars: int = 4000, max_details: int = 5) -> DataFrame:
+    """``requests``(request_id, rank, event_id, details), ``events``(event_id, body): request_id, n_events, used_chars, pack (JSON).
+
+    ``body`` is an event's JSON, ``details`` the ids of the details wanted (null for all). The best max_events of a request
+    that exist are chosen on ids before any body is joined; one request's pack is a small fold.
     """
+    if max_events < 1 or max_details < 0 or max_chars < 200:
+        raise ValueError("a recall pack needs at least 1 event, 0 details and 200 characters")
     rank = F.row_number().over(W.partitionBy("request_id").orderBy("rank", "event_id"))
-    rows = requests.join(events, "event_id").withColumn("rank", rank).filter(F.col("rank") <= max_events)
+    known = requests.join(events.select("event_id"), "event_id", "left_semi")
+    chosen = known.withColumn("rank", rank).filter(F.col("rank") <= max_events)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        listed = [{"id": r.event_id, "status": r.status, "description": r.description, "story_summary": r.story_summary, "key_details": list(r.key_details)} for r in pdf.sort_values("rank").itertuples()]
-        pack = pack_events(listed, budget, max_details)
-        return pd.DataFrame([(pdf["request_id"].iloc[0], len(pack["events"]), pack["used_chars"], json.dumps(pack, ensure_ascii=False, separators=(",", ":")))], columns=["request_id", "n_events", "used_chars", "pack"])
-
-    keep = rows.select("request_id", "rank", "event_id", "status", "description", "story_summary", "key_details")
+        pdf = pdf.sort_values("rank")
+        listed = [json.loads(b) for b in pdf["body"]]
+        wanted = {e.get("id"): list(d) for e, d in zip(listed, pdf["details"], strict=True) if d is not None}
+        pack = pack_events(listed, max_events, max_details, max_chars, wanted)
+        text = json.dumps(pack, ensure_ascii=False, separators=(",", ":"))
+        return pd.DataFrame([(pdf["request_id"].iloc[0], len(pack["events"]), len(text), text)], columns=["request_id", "n_events", "used_chars", "pack"])
+
+    keep = chosen.join(events.select("event_id", "body"), "event_id").select("request_id", "rank", "details", "body")
     return keep.groupBy("request_id").applyInPandas(fold, "request_id string, n_events long, used_chars long, pack string")
 
 
-def stage_lookup(values: DataFrame, ranges: DataFrame, broadcast: bool = True) -> DataFrame:
-    """``values``(id, framework, binding, value) to stage by the half-open ``ranges``(framework, binding, stage, low, high): stage if exactly one fits, else code NUMERIC_STAGE_UNRESOLVED.
-
-    ``broadcast`` is for a rule table of bounded size; ranges that grow with the frameworks take a shuffled join.
-    """
-    right = F.broadcast(ranges) if broadcast else ranges
-    met = values.join(right, ["framework", "binding"]).filter("value >= low and value < high")
+def stage_lookup(values: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``values``(id, framework, binding, value) to stage by the half-open ``ranges``(framework, binding, stage, low, high): stage if exactly one fits, else code NUMERIC_STAGE_UNRESOLVED."""
+    met = values.join(ranges, ["framework", "binding"]).filter("value >= low and value < high")
     one = met.groupBy("id").agg(F.countDistinct("stage").alias("n"), F.min("stage").alias("stage"))
     rows = values.join(one, "id", "left")
     stage = F.when(F.col("n") == 1, F.col("stage"))
@@ -107,7 +172,7 @@ def host_stage_issues(hosts: DataFrame, stages: DataFrame, ranges: DataFrame) ->
     """``hosts``(id, framework, host_mode, mode, binding, value, stage): one code for each host, the first that holds."""
     known = stages.select("framework", "stage", F.lit(True).alias("known")).distinct()
     bound = ranges.select("framework", "binding", F.lit(True).alias("bound")).distinct()
-    derived = stage_lookup(hosts.filter("value is not null").select("id", "framework", "binding", "value"), ranges.select("framework", "binding", "stage", "low", "high"), broadcast=False)
+    derived = stage_lookup(hosts.filter("value is not null").select("id", "framework", "binding", "value"), ranges.select("framework", "binding", "stage", "low", "high"))
     rows = hosts.join(known, ["framework", "stage"], "left").join(bound, ["framework", "binding"], "left")
     rows = rows.join(derived.withColumnsRenamed({"stage": "derived", "code": "unresolved"}), "id", "left")
     numeric = F.col("mode") == "numeric_derived"
@@ -134,7 +199,7 @@ def stage_context(requests: DataFrame, stages: DataFrame, blocks: DataFrame, ran
     asked purpose. An issue of the framework blocks all.
     """
     bad = issues.select("framework", F.lit(True).alias("bad")).distinct()
-    derived = stage_lookup(requests.filter("value is not null").select("id", "framework", "binding", "value"), ranges, broadcast=False)
+    derived = stage_lookup(requests.filter("value is not null").select("id", "framework", "binding", "value"), ranges)
     rows = requests.join(bad, "framework", "left").join(derived.withColumnsRenamed({"stage": "derived", "code": "unresolved"}), "id", "left")
     current = F.when(F.col("mode") == "numeric_derived", F.col("derived")).otherwise(F.col("stage"))
     rows = rows.withColumn("current", current)

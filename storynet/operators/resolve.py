@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -129,7 +129,7 @@ def canonical_fields(proposals: DataFrame, fields: DataFrame, aliases: DataFrame
     folded = fields.withColumn("sig", tx.field_signature(F.col("field"))).groupBy("type", "sig").agg(F.min("field").alias("folded"), F.countDistinct("field").alias("n")).filter("n = 1").drop("n")
     known = aliases.withColumn("sig", tx.field_signature(F.col("alias"))).groupBy("type", "sig").agg(F.min("field").alias("alias_field"))
     rows = proposals.withColumn("sig", tx.field_signature(F.col("name")))
-    rows = rows.join(F.broadcast(exact), ["type", "name"], "left").join(F.broadcast(folded), ["type", "sig"], "left").join(F.broadcast(known), ["type", "sig"], "left")
+    rows = rows.join(exact, ["type", "name"], "left").join(folded, ["type", "sig"], "left").join(known, ["type", "sig"], "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("folded").isNotNull(), "folded").when(F.col("alias_field").isNotNull(), "alias").otherwise("unclassified")
     return rows.select(*proposals.columns, F.coalesce("exact", "folded", "alias_field").alias("field"), how.alias("how"))
 
@@ -236,19 +236,41 @@ def placement_hints(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("n = 1").drop("n"), rows.filter("n > 1").select("chat_id", "item", F.lit("several_holders").alias("warning"))
 
 
-def link_to_events(evidence: DataFrame, slices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``evidence``(chat_id, key, ref, quote) and ``slices``(chat_id, event_id, ref, text): links to the only event that owns the ref, or the only owner whose slice holds the quote; and the unresolved."""
-    q, s = tx.evidence_text(F.col("quote")), tx.evidence_text(F.col("text"))
-    rows = evidence.withColumn("row", F.monotonically_increasing_id()) if "evidence_id" not in evidence.columns else evidence.withColumn("row", F.col("evidence_id"))
-    met = rows.join(slices, ["chat_id", "ref"]).withColumn("holds", F.contains(s, q) & (q != ""))
-    by = met.groupBy("chat_id", "row", "key").agg(
-        F.countDistinct("event_id").alias("n"), F.min("event_id").alias("only"),
-        F.countDistinct(F.when(F.col("holds"), F.col("event_id"))).alias("k"), F.min(F.when(F.col("holds"), F.col("event_id"))).alias("held"),
-    )
-    event = F.when(F.col("k") == 1, F.col("held")).when((F.col("n") == 1) & (F.col("k") == 1), F.col("only"))
-    links = by.withColumn("event_id", event)
-    good = links.filter("event_id is not null").select("chat_id", "key", "event_id").distinct()
-    return good, rows.select("chat_id", "row", "key").join(links.filter("event_id is not null").select("chat_id", "row"), ["chat_id", "row"], "left_anti").select("chat_id", "key").distinct()
+def link_to_events(evidence: DataFrame, slices: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``evidence``(chat_id, evidence_id, kind, key, ref, quote), ``slices``(chat_id, event_id, ref, text), ``messages``(chat_id, ref, content): links (chat_id, evidence_id, kind, key, ref, event_id), and the unresolved with a reason.
+
+    A quote must lie in its whole message. The only event that owns the message then gets the link; of several owners the only one
+    whose slice of the message holds the quote. Evidence of a message that is not there is unknown_ref, quote_not_found without the quote, else not_unique.
+    """
+    q = tx.evidence_text(F.col("quote"))
+    held = messages.select("chat_id", "ref", tx.evidence_text(F.col("content")).alias("body"))
+    rows = evidence.withColumn("q", q).join(held, ["chat_id", "ref"], "left")
+    rows = rows.withColumn("found", F.coalesce((F.col("q") != "") & F.contains("body", "q"), F.lit(False)))
+    keys = ["chat_id", "evidence_id"]
+    met = rows.filter("found").select(*keys, "ref", "q").join(slices, ["chat_id", "ref"])
+    holds = F.when(F.contains(tx.evidence_text(F.col("text")), F.col("q")), F.col("event_id"))
+    by = met.groupBy(*keys).agg(
+        F.countDistinct("event_id").alias("n"), F.min("event_id").alias("only"), F.countDistinct(holds).alias("k"), F.min(holds).alias("held")
+    )
+    out = rows.join(by, keys, "left")
+    event = F.when(F.col("n") == 1, F.col("only")).when(F.col("k") == 1, F.col("held"))
+    reason = F.when(F.col("body").isNull(), "unknown_ref").when(~F.col("found"), "quote_not_found").otherwise("not_unique")
+    columns = ["chat_id", "evidence_id", "kind", "key", "ref"]
+    out = out.select(*columns, event.alias("event_id"), reason.alias("reason"))
+    return out.filter("event_id is not null").drop("reason"), out.filter("event_id is null").drop("event_id")
+
+
+def event_members(links: DataFrame) -> DataFrame:
+    """What ``links`` of ``link_to_events`` give an event: chat_id, event_id, list, key, refs. Entities and locations are related, locations also places with the refs they are named in; relations are pairs."""
+    lists = F.when(F.col("kind") == "relation", F.array(F.lit("related_pairs"))).when(F.col("kind") == "location", F.array(F.lit("related_entities"), F.lit("locations"))).otherwise(F.array(F.lit("related_entities")))
+    rows = links.select("chat_id", "event_id", F.explode(lists).alias("list"), "key", "ref")
+    refs = F.array_sort(F.collect_set(F.when(F.col("list") == "locations", F.col("ref"))))
+    return rows.groupBy("chat_id", "event_id", "list", "key").agg(refs.alias("refs"))
+
+
+def pair_key(a: str, b: str) -> Column:
+    """The key of a relation: its two participants in order."""
+    return F.concat(F.least(a, b), F.lit(" / "), F.greatest(a, b))
 
 
 def link_actors(details: DataFrame, speakers: DataFrame, participants: DataFrame) -> DataFrame:

@@ -76,9 +76,14 @@ def source_units(sources: DataFrame) -> DataFrame:
     return rows.select("ref", unit.alias("unit"), "text", "start", (F.col("start") + F.length("text")).cast("long").alias("end"))
 
 
-def narrative_text(messages: DataFrame, keys=("chat_id",)) -> DataFrame:
-    """Non-empty assistant bodies of a group in order, joined by blank lines."""
-    own = messages.filter("role = 'assistant' and trim(content) <> ''")
+#: A scene header at the start of a line: a host's own in brackets, or the line that cleaning makes of one.
+SCENE_HEADER = r"(?m)^\[(?:场景时间|时间)[^\n\]]*\]|^\[scene\][^\n]*"
+
+
+def narrative_text(messages: DataFrame, keys=("chat_id",), header: str = SCENE_HEADER) -> DataFrame:
+    """Assistant bodies of a group in order without scene headers and blank ends, the empty ones left out, joined by blank lines."""
+    body = F.regexp_replace(F.regexp_replace("content", header, ""), r"^\s+|\s+$", "")
+    own = messages.filter("role = 'assistant'").withColumn("content", body).filter("content <> ''")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("floor", "content"))), lambda x: x["content"]), "\n\n")
     return own.groupBy(*keys).agg(body.alias("text"))
 

@@ -5,6 +5,8 @@ A segment is a slot of a batch: forming_existing, pending_tail or new_N. Positio
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -295,6 +297,146 @@ def boundary_violations(segments: DataFrame, messages: DataFrame, state: DataFra
     return own.unionByName(strange.distinct()).unionByName(left)
 
 
+def _rank(slot: str) -> Column:
+    """The place of a slot in time: the pending tail, the forming event, then the new ones by number; null if there is no such slot."""
+    new = F.regexp_extract(slot, r"^new_([0-9]+)$", 1)
+    return F.when(F.col(slot) == "pending_tail", 0).when(F.col(slot) == "forming_existing", 1).when(new != "", 2 + new.cast("int"))
+
+
+def disposition_violations(plans: DataFrame, slots: DataFrame, state: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Whole boundary plans: chat_id, batch_ix, code.
+
+    ``plans``(chat_id, batch_ix, disposition), ``slots``(chat_id, batch_ix, seg_ix, slot), ``state``(chat_id, batch_ix, has_events, has_pending, has_forming),
+    ``boundaries``(chat_id, batch_ix, ix): what the disposition needs of the state and of the slots, their order, and as many boundaries as new events.
+    """
+    keys = ["chat_id", "batch_ix"]
+    ranked = slots.withColumn("rank", _rank("slot"))
+    known = ranked.filter("rank is not null").withColumn("back", F.lag("rank").over(_batch().orderBy("seg_ix")) > F.col("rank"))
+    used = ranked.groupBy(*keys).agg(F.count("*").alias("n_segments"))
+    legal = known.groupBy(*keys).agg(
+        F.max("back").alias("back"), F.max(F.col("rank") == 0).alias("pending"), F.max(F.col("rank") == 1).alias("forming"),
+        F.countDistinct(F.when(F.col("rank") > 1, F.col("rank"))).alias("n_new"),
+    )
+    n = boundaries.groupBy(*keys).agg(F.count("*").alias("n_boundaries"))
+    rows = plans.join(state, keys, "left").join(used, keys, "left").join(legal, keys, "left").join(n, keys, "left")
+    rows = rows.fillna(0, ["n_segments", "n_new", "n_boundaries"]).fillna(False, ["has_events", "has_pending", "has_forming", "back", "pending", "forming"])
+    is_ = lambda d: F.coalesce(F.col("disposition") == d, F.lit(False))
+    starts = F.when(is_("absent"), F.greatest(F.col("n_new") - 1, F.lit(0))).otherwise(F.col("n_new"))
+    codes = F.array(
+        F.when(~F.coalesce(F.col("disposition").isin(*DISPOSITIONS), F.lit(False)), "INVALID_DISPOSITION"),
+        F.when(~F.col("has_events") & ~is_("absent"), "FIRST_PLAN_NOT_ABSENT"),
+        F.when(F.col("has_events") & is_("absent"), "ABSENT_WITH_EVENTS"),
+        F.when(is_("merge_into_pending") & ~(F.col("has_pending") & F.col("has_forming")), "MERGE_WITHOUT_BOTH_EVENTS"),
+        F.when(is_("keep_distinct") & ~F.col("has_forming"), "DISTINCT_WITHOUT_FORMING"),
+        F.when(F.col("n_segments") == 0, "NO_SEGMENTS"),
+        F.when(F.col("back"), "SLOT_ORDER"),
+        F.when(is_("merge_into_pending") & F.col("forming"), "MERGE_WITH_FORMING_SLOT"),
+        F.when(is_("merge_into_pending") & (F.col("n_new") == 0), "MERGE_WITHOUT_NEW_EVENT"),
+        F.when(is_("keep_distinct") & F.col("pending"), "DISTINCT_WITH_PENDING_SLOT"),
+        F.when(is_("absent") & (F.col("pending") | F.col("forming")), "ABSENT_WITH_OLD_SLOT"),
+        F.when(F.col("n_boundaries") != starts, "BOUNDARY_COUNT"),
+    )
+    return rows.select(*keys, F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
+
+
+def anchor_violations(plans: DataFrame, segments: DataFrame, boundaries: DataFrame, messages: DataFrame) -> DataFrame:
+    """Anchors of boundary plans: chat_id, batch_ix, ix, code.
+
+    ``plans``(chat_id, batch_ix, disposition), ``segments``(chat_id, batch_ix, seg_ix, slot, refs, starts, ends), ``boundaries``(chat_id, batch_ix, ix, slot, anchors),
+    where starts, ends and anchors are arrays of (ref, quote), ``messages``(chat_id, batch_ix, ref, content). Start anchors lie in their segment's messages, once each, the
+    first in the first one; a message that two segments share starts the second one by an anchor of its own; boundaries repeat the start anchors of the new events they open.
+    """
+    keys = ["chat_id", "batch_ix"]
+    texts = messages.select(*keys, "ref", tx.anchor_text(F.col("content")).alias("body"))
+
+    def quoted(df: DataFrame, ix: str, column: str, extra: list[str]) -> DataFrame:
+        each = df.select(*keys, F.col(ix).alias("ix"), *extra, F.posexplode(column).alias("k", "x")).select(*keys, "ix", "k", *extra, "x.ref", tx.anchor_text(F.trim("x.quote")).alias("q"))
+        each = each.join(texts, [*keys, "ref"], "left")
+        return each.withColumn("holds", F.coalesce((F.col("q") != "") & F.contains("body", "q"), F.lit(False)))
+
+    coded = lambda df, code: df.select(*keys, "ix", (code if isinstance(code, Column) else F.lit(code)).alias("code"))
+    starts, ends = quoted(segments, "seg_ix", "starts", ["refs"]), quoted(segments, "seg_ix", "ends", ["refs"])
+    inside = F.array_contains("refs", F.col("ref"))
+    seg = segments.withColumn("ix", F.col("seg_ix")).withColumn("at", F.transform("starts", lambda x: x["ref"]))
+    before = F.lag("refs").over(_batch().orderBy("seg_ix"))
+    shared = seg.withColumn("shared", F.array_except(F.array_intersect("refs", F.coalesce(before, F.array().cast("array<string>"))), F.col("at")))
+    first = F.try_element_at("at", F.lit(1)) != F.try_element_at("refs", F.lit(1))
+    out = [
+        coded(seg.filter(F.size("starts") == 0), "NO_START_ANCHOR"),
+        coded(starts.filter(~inside), "START_ANCHOR_OUTSIDE_SEGMENT"),
+        coded(starts.filter(inside & ~F.col("holds")), "START_ANCHOR_NOT_FOUND"),
+        coded(seg.filter(F.size("at") != F.size(F.array_distinct("at"))), "DUPLICATE_START_ANCHOR"),
+        coded(seg.filter(first), "FIRST_ANCHOR_NOT_FIRST_SOURCE"),
+        coded(ends.filter(~(inside & F.col("holds"))), "END_ANCHOR_NOT_FOUND"),
+        coded(shared.filter(F.size("shared") > 0), "SHARED_MESSAGE_WITHOUT_START"),
+    ]
+    told = quoted(boundaries, "ix", "anchors", [])
+    out.append(coded(told.filter("not holds"), F.when(F.col("body").isNull(), "BOUNDARY_ANCHOR_OUTSIDE_BATCH").otherwise("BOUNDARY_ANCHOR_NOT_FOUND")))
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["ref"].alias("ref"), tx.anchor_text(x["quote"]).alias("q")))
+    new = segments.withColumn("rank", _rank("slot")).filter("rank > 1").groupBy(*keys, "slot", "rank").agg(F.min(F.struct("seg_ix", "starts"))["starts"].alias("starts"))
+    new = new.join(plans, keys).withColumn("ix", F.row_number().over(_batch().orderBy("rank")) - F.when(F.col("disposition") == "absent", 2).otherwise(1)).filter("ix >= 0")
+    given = boundaries.select(*keys, "ix", F.col("slot").alias("given"), "anchors")
+    counts = new.groupBy(*keys).agg(F.count("*").alias("n")).join(given.groupBy(*keys).agg(F.count("*").alias("m")), keys).filter("n = m")
+    both = new.join(given, [*keys, "ix"]).join(counts.select(*keys), keys, "left_semi")
+    out.append(coded(both.filter((F.col("slot") != F.col("given")) | (plain("starts") != plain("anchors"))), "BOUNDARY_MISMATCH"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def content_violations(updates: DataFrame, segment_refs: DataFrame, old_details: DataFrame, details: DataFrame, slices: DataFrame) -> DataFrame:
+    """Content plans: chat_id, key, severity, code.
+
+    ``updates``(chat_id, key, description, story_summary, participants_add, ..., key_details_keep: arrays, null if missing), ``segment_refs``(chat_id, key, ref), ``old_details``(chat_id, key, id)
+    of the event a slot continues, ``details``(chat_id, key, ord, kind, content, refs, fidelity), ``slices``(chat_id, key, ref, text).
+    """
+    keys = ["chat_id", "key"]
+    row = lambda df, severity, code: df.select(*keys, F.lit(severity).alias("severity"), (code if isinstance(code, Column) else F.lit(code)).alias("code"))
+    lists = [c for c in CONTENT_LISTS if c in updates.columns]
+    empty = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(f"EMPTY_{c.upper()}")) for c in ("description", "story_summary")]
+    missing = [F.when(F.col(c).isNull(), F.lit(f"MISSING_LIST_{c.upper()}")) for c in lists]
+    own = updates.select(*keys, F.explode(F.filter(F.array(*empty, *missing), lambda c: c.isNotNull())).alias("code"))
+    kept = updates.select(*keys, F.explode("key_details_keep").alias("id"))
+    n = updates.select(*keys, F.coalesce(F.size("key_details_keep"), F.lit(0)).alias("k")).join(details.groupBy(*keys).agg(F.count("*").alias("d")), keys, "left").fillna(0, ["d"])
+    refs = segment_refs.groupBy(*keys).agg(F.collect_set("ref").alias("own"))
+    told = details.join(refs, keys, "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
+    bare = F.coalesce(F.size("refs") <= 0, F.lit(True))
+    outside = F.size(F.array_except("refs", "own")) > 0
+    blank = F.coalesce(F.trim("content"), F.lit("")) == ""
+    good = told.filter(~bare).filter(~outside & ~blank & ~F.coalesce(F.col("fidelity") == "paraphrase", F.lit(False)))
+    met = good.select(*keys, "ord", tx.anchor_text(F.col("content")).alias("q"), F.explode("refs").alias("ref")).join(slices, [*keys, "ref"], "left")
+    held = met.groupBy(*keys, "ord").agg(F.max(F.coalesce((F.col("q") != "") & F.contains(tx.anchor_text(F.col("text")), F.col("q")), F.lit(False))).alias("held"))
+    return reduce(DataFrame.unionByName, [
+        row(own, "error", F.col("code")),
+        row(updates.filter(F.length("story_summary") > 500), "warning", "LONG_SUMMARY"),
+        row(kept.join(old_details, [*keys, "id"], "left_anti").select(*keys).distinct(), "error", "FOREIGN_DETAIL_KEPT"),
+        row(n.filter("k + d > 5"), "warning", "MANY_DETAILS"),
+        row(details.filter("kind is null or kind not in ('statement', 'action')"), "error", "INVALID_DETAIL_KIND"),
+        row(details.filter(blank), "error", "EMPTY_DETAIL"),
+        row(told.filter(bare), "error", "DETAIL_WITHOUT_SOURCE"),
+        row(told.filter(~bare).filter(outside), "error", "DETAIL_SOURCE_OUTSIDE_SLOT"),
+        row(held.filter("not held"), "warning", "DETAIL_NOT_VERBATIM"),
+    ])
+
+
+#: The lists that a content update must have.
+CONTENT_LISTS = ("participants_add", "participants_remove", "locations_add", "locations_remove", "unresolved_add", "unresolved_resolve", "key_details_keep", "new_key_details")
+
+
+def event_plan(found: DataFrame, state: DataFrame, sources: DataFrame, roster: DataFrame, updates: DataFrame) -> dict[str, DataFrame]:
+    """The event plan of all batches, in the fixed order: starts, segments, their ends, clipped texts, roster by segment, event numbers, slots of updates.
+
+    ``found`` and ``state`` as in ``event_starts``, ``sources``(chat_id, batch_ix, source_ix, content), ``roster`` as in ``assign_roster``, ``updates``(chat_id, batch_ix, slot, ...).
+    Each step is an input of the next, so a caller reads any of them; nothing runs before one is used.
+    """
+    starts = event_starts(found, state)
+    cut = close_segments(build_segments(starts))
+    numbers = apply_boundaries(cut)
+    ends = cut.select("chat_id", "batch_ix", "slot", "seg_ix", F.struct(F.col("first_source").alias("source_ix"), "offset").alias("start"))
+    listed = assign_roster(roster, starts).join(ends, ["chat_id", "batch_ix", "start"]).select("chat_id", "batch_ix", "slot", "key", "aliases")
+    keys = ["chat_id", "batch_ix", "slot"]
+    told = numbers.join(updates, keys, "left")
+    return {"starts": starts, "segments": cut, "texts": clip_messages(cut, sources), "roster": listed, "events": numbers, "updates": told}
+
+
 def plan_violations(updates: DataFrame, slots: DataFrame, details: DataFrame, memories: DataFrame, sources: DataFrame) -> DataFrame:
     """Content-plan checks: chat_id, key, severity, code.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from storynet.functions.shared import saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SORTS = ("name", "extracted", "recall", "updated")
 
@@ -32,13 +34,13 @@ def neighbours(edges: DataFrame, entities: DataFrame, entity: str, offset: int =
     """A page of the edges (src_id, component, tgt_id, tgt_type) that leave or reach ``entity``, with total, outgoing, names and resolved."""
     out = edges.filter(F.col("src_id") == entity).withColumn("outgoing", F.lit(True))
     into = edges.filter((F.col("tgt_id") == entity) & (F.col("src_id") != entity)).withColumn("outgoing", F.lit(False))
-    both = out.unionByName(into)  # two filters, so that both reach the scan
-    names = entities.groupBy("id").agg(F.min("name").alias("name"))
+    both = saved(out.unionByName(into))  # two filters, so that both reach the scan
+    ids = both.select(F.explode(F.array("src_id", "tgt_id")).alias("id")).distinct()
+    names = entities.select("id", "name").join(ids, "id", "left_semi").groupBy("id").agg(F.min("name").alias("name"))
     rows = both.join(names.select(F.col("id").alias("src_id"), F.col("name").alias("src_name")), "src_id")
     rows = rows.join(names.select(F.col("id").alias("tgt_id"), F.col("name").alias("tgt_name")), "tgt_id", "left")
     resolved = F.when(F.col("outgoing"), F.coalesce(F.col("tgt_name"), F.lit("")) != "").otherwise(True)
-    total = F.count("*").over(W.partitionBy())
-    page = rows.withColumn("resolved", resolved).withColumn("total", total).orderBy("src_id", "component", "tgt_id")
+    page = rows.withColumn("resolved", resolved).withColumn("total", F.lit(rows.count()).cast("long")).orderBy("src_id", "component", "tgt_id")
     return page.offset(offset).limit(clamp(limit, 100, 200)).select("src_id", "component", "tgt_id", "tgt_type", "outgoing", "src_name", "tgt_name", "resolved", "total")
 
 

@@ -49,9 +49,10 @@ def decided(spark, d):
 
 
 def update_slots(spark, d):
-    ev = t.load(spark, d, t.CHAT_EVENTS).filter("event_no <= 3")
-    slots = ev.selectExpr("chat_id", "concat('k', event_no) as key", "concat('new_', event_no) as slot")
-    updates = ev.selectExpr("chat_id", "case when event_no = 2 and event_id % 2 = 0 then 'typo' else concat('k', event_no) end as key")
+    """Slots by batches of eight events; in some batches the second event's update has a key that is not known."""
+    ev = t.load(spark, d, t.CHAT_EVENTS).selectExpr("concat(chat_id, '-', (event_no - 1) div 8) as chat_id", "(event_no - 1) % 8 as n", "event_id")
+    slots = ev.selectExpr("chat_id", "concat('k', n) as key", "concat('new_', n) as slot")
+    updates = ev.selectExpr("chat_id", "case when n = 1 and event_id % 2 = 0 then 'typo' else concat('k', n) end as key")
     return segments.assign_update_slots(updates, slots)
 
 
@@ -87,7 +88,7 @@ def stage_lookup(spark, d):
 
 def _frameworks(spark, d):
     """A framework for each order: lines are stages, with ranges by quantity that overlap or leave gaps."""
-    lines = t.load(spark, d, t.LINES)
+    lines = t.load(spark, d, "select * from {lines}")
     fw = lines.select("l_orderkey").distinct().selectExpr("l_orderkey as framework", "case l_orderkey % 3 when 0 then 'semantic' when 1 then 'numeric_derived' else 'hybrid' end as mode")
     bindings = fw.filter("framework % 7 <> 0").selectExpr("framework", "'b' as binding").unionByName(fw.filter("framework % 40 = 0").selectExpr("framework", "'c' as binding"))
     stages = lines.selectExpr("l_orderkey as framework", "seq as stage")
@@ -111,9 +112,11 @@ def stage_contexts(spark, d):
 
 def recall_pack(spark, d):
     ev = rounds.event_status(t.load(spark, d, t.CHAT_EVENTS))
-    events = ev.selectExpr("event_id", "status", "repeat(event_type, 20) as description", "repeat(concat(event_type, ' '), cast(event_id % 90 as int)) as story_summary", "array(concat('d', event_id), event_type) as key_details")
-    ask = ev.selectExpr("chat_id as request_id", "event_no as rank", "event_id")
-    return recall.recall_packs(ask, events, budget=1500)
+    body = """to_json(named_struct('id', cast(event_id as string), 'status', status, 'description', repeat(event_type, 20), 'story_summary', repeat(concat(event_type, ' '), cast(event_id % 90 as int)),
+      'key_details', array(named_struct('id', concat('d', event_id), 'kind', 'action', 'content', event_type), named_struct('id', concat('x', event_id), 'kind', 'statement', 'content', repeat('word ', cast(event_id % 40 as int)))),
+      'related_entity_keys', array(concat('u', chat_id)))) as body"""
+    ask = ev.selectExpr("chat_id as request_id", "event_no as rank", "event_id", "case when event_id % 5 = 0 then array(concat('x', event_id)) end as details")
+    return recall.recall_packs(ask, ev.selectExpr("event_id", body), max_chars=1500)
 
 
 def boundary_score(spark, d):
@@ -184,8 +187,8 @@ SQL = {
       p as (select chat_id, batch_ix, source_ix, substring(x, a + 1, greatest(z - a, 0)) as t from c)
       select chat_id, batch_ix, source_ix, string_agg(t, '|' order by t) as parts from p where trim(t) <> '' group by all""",
     "decode_decisions": f"select chat_id, event_id as id, case when event_id % 3 = 0 or event_id % 5 = 0 then 'unresolved' when event_id % 5 = 1 then 'continue' else 'new_event' end as decision from ({_EV})",
-    "update_slots": f"""select chat_id, 'k' || cast(event_no as varchar) as key, 'new_' || cast(event_no as varchar) as slot, false as repaired from ({_EV}) where event_no <= 3 and not (event_no = 2 and event_id % 2 = 0)
-      union all select chat_id, 'typo', 'new_2', true from ({_EV}) where event_no = 2 and event_id % 2 = 0""",
+    "update_slots": f"""with e as (select chat_id || '-' || cast((event_no - 1) // 8 as varchar) as chat_id, (event_no - 1) % 8 as n, event_id from ({_EV}))
+      select chat_id, case when n = 1 and event_id % 2 = 0 then 'typo' else 'k' || cast(n as varchar) end as key, 'new_' || cast(n as varchar) as slot, n = 1 and event_id % 2 = 0 as repaired from e""",
     "event_times": """with f as (select distinct l_orderkey as id, cast(l_linenumber as bigint) * 1000000000 + l_partkey as pos, cast(cast(l_shipdate as date) as varchar) as x, l_partkey % 2 = 0 as h from lineitem),
       g as (select * from (select *, max(h) over (partition by id) as b from f) where h = b),
       m as (select id, min({'p': pos, 'x': x}).x as start, max({'p': pos, 'x': x}).x as last, bool_or(h) as h from g group by id)
@@ -199,3 +202,41 @@ SQL = {
     "gold_scope": f"""select distinct chat_id, case when cast(chat_id as bigint) % 5 = 0 then 'CHAT_MISSING' when cast(chat_id as bigint) % 4 = 0 then 'SOURCE_CHANGED' when cast(chat_id as bigint) % 3 + 7 <> 8 then 'ROUNDS_DIFFER' end as code from ({_M})""",
     "stream_event_state": f"select chat_id, event_id from (select *, row_number() over (partition by chat_id order by event_no desc) as r from ({_EV})) where r > 2",
 }
+
+_LINES = t.oracle("select * from {lines}")
+_STAGE = f"""l as ({_LINES}), fw as (select distinct l_orderkey as framework, case l_orderkey % 3 when 0 then 'semantic' when 1 then 'numeric_derived' else 'hybrid' end as mode from l),
+  n as (select framework, mode, case when framework % 7 <> 0 then 1 else 0 end + case when framework % 40 = 0 then 1 else 0 end as n, framework % 7 <> 0 as b from fw),
+  r as (select l_orderkey as framework, seq as stage, seq * 10 as low, seq * 10 + cast(l_quantity as bigint) % 3 * 5 + 5 as high, l_partkey % 5 as x, mode, n, b from l join n on n.framework = l_orderkey),
+  w as (select *, lag(high) over (partition by framework order by low, high, stage) as before from r where b and mode = 'numeric_derived' and n = 1),
+  i as (select framework, 'SEMANTIC_STAGE_HAS_NUMERIC_BINDING' as code, mode as at from n where mode = 'semantic' and n > 0
+    union all select framework, 'NUMERIC_STAGE_BINDING_REQUIRED', mode from n where mode <> 'semantic' and n = 0
+    union all select framework, 'NUMERIC_STAGE_SINGLE_BINDING_REQUIRED', mode from n where mode = 'numeric_derived' and n <> 1
+    union all select framework, 'UNKNOWN_NUMERIC_BINDING', cast(stage as varchar) from r where not b
+    union all select framework, 'DUPLICATE_STAGE_CONTEXT_ID', 'x' || cast(x as varchar) from (select *, row_number() over (partition by framework, x order by stage) as k from r) where k > 1
+    union all select framework, 'SEMANTIC_STAGE_HAS_NUMERIC_GUIDANCE', cast(stage as varchar) from r where mode = 'semantic'
+    union all select framework, 'NUMERIC_STAGE_RANGE_REQUIRED', cast(count(*) as varchar) from r where mode = 'numeric_derived' and n = 1 group by framework having count(*) <> count(*) filter (b)
+    union all select framework, 'OVERLAPPING_STAGE_RANGE', cast(stage as varchar) from w where low < before union all select framework, 'GAPPED_STAGE_RANGE', cast(stage as varchar) from w where low > before)"""
+SQL |= {
+    "event_numbers": f"""with {_ST}, x as (select *, sum(case when starts_with(slot, 'new_') then 1 else 0 end) over (partition by chat_id order by batch_ix, seg_ix) as raw from sl),
+      m as (select distinct chat_id, raw - case when starts_with(slot, 'new_') then 1 else 0 end as raw from x where disposition = 'merge_into_pending' and seg_ix = 0),
+      o as (select x.chat_id, x.batch_ix, seg_ix, slot, raw, (select count(distinct y.raw) from x y where y.chat_id = x.chat_id and y.raw <= x.raw and not exists (select 1 from m where m.chat_id = y.chat_id and m.raw = y.raw)) as k from x)
+      select chat_id, batch_ix, seg_ix, slot, greatest(k, 1) as event_no from o""",
+    "boundary_audit": f"""with {_ST}, x as (select chat_id, batch_ix, seg_ix, case when seg_ix = 2 then 'new_9' else slot end as slot, disposition, 'r' || cast(source_ix as varchar) as ref from sl),
+      y as (select x.*, p, f, case when starts_with(slot, 'new_') then cast(substring(slot, 5) as int) end as k, sum(case when starts_with(slot, 'new_') then 1 else 0 end) over (partition by x.chat_id, x.batch_ix order by seg_ix) as want,
+        count(*) over (partition by x.chat_id, x.batch_ix, slot) as uses from x join b on b.chat_id = x.chat_id and b.batch_ix = x.batch_ix),
+      g as (select chat_id, batch_ix, 'r' || cast(source_ix as varchar) as ref from ev where source_ix < 6),
+      c as (select 'DUPLICATE_SLOT' as code from y where uses > 1 union all select 'SLOT_SEQUENCE' from y where k <> want union all select 'SLOT_WITHOUT_FORMING' from y where slot = 'forming_existing' and not f
+        union all select 'SLOT_WITHOUT_PENDING' from y where slot = 'pending_tail' and not p union all select 'DISPOSITION_STATE_MISMATCH' from y where disposition = 'absent' and (p or f)
+        union all select 'UNKNOWN_SOURCE_REF' from y where not exists (select 1 from g where g.chat_id = y.chat_id and g.batch_ix = y.batch_ix and g.ref = y.ref)
+        union all select 'UNASSIGNED_MESSAGE' from g where not exists (select 1 from y where y.chat_id = g.chat_id and y.batch_ix = g.batch_ix and y.ref = g.ref))
+      select code, count(*) as n from c group by code""",
+    "stage_audit": f"with {_STAGE} select * from i",
+    "stage_context": f"""with {_STAGE}, q as (select framework as id, mode, case framework % 4 when 0 then 'transition_check' when 1 then 'framework_overview' else 'current_stage' end as ask, framework % 50 as value, case when framework % 3 <> 1 then 1 end as stage from fw),
+      d as (select q.id, case when count(distinct r.stage) = 1 then min(r.stage) end as derived from q join r on r.framework = q.id and q.value >= r.low and q.value < r.high group by q.id),
+      c as (select q.*, case when mode = 'numeric_derived' then derived else stage end as now from q left join d on d.id = q.id),
+      e as (select *, case when id in (select framework from i) then 'FRAMEWORK_INVALID' when mode = 'numeric_derived' and now is null then 'NUMERIC_STAGE_UNRESOLVED' when ask <> 'framework_overview' and now is null then 'EXPLICIT_STAGE_REQUIRED' end as code from c),
+      f as (select distinct e.id, r.stage, r.x from e join r on r.framework = e.id where code is null and (r.stage = now or ask = 'framework_overview' or (ask = 'transition_check' and e.mode = 'hybrid' and value >= r.low and value < r.high))),
+      g as (select id, string_agg('{{"stage":' || cast(stage as varchar) || ',"blocks":["x' || cast(x as varchar) || '"]}}', ',' order by stage) as s from f group by id)
+      select e.id, code, '[' || s || ']' as stages from e left join g on g.id = e.id""",
+    "stream_due": "select cast(user_id as varchar) as chat_id, max(event_id) - 4 as through from events group by user_id having max(event_id) > 13",
+}

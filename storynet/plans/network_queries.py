@@ -74,7 +74,12 @@ QUERIES = {f"net_{name}": _index(name) for name in network.INDEXES} | {
     "overlay_fields": overlay_fields,
 }
 
+_HEX = "sha256('1' || chr(1) || type || chr(1) || id)"
+_DIGITS = " || ".join(
+    f"substring('{network.CROCKFORD}', cast(cast('0x' || substring(h, {2 * i + 1}, 2) as int) % {8 if i == 0 else 32} + 1 as int), 1)" for i in range(26)
+)
 SQL = {
+    "minted_ids": t.oracle(f"""{WITH} select distinct '1' as chat_id, type, id as key, case when type = 'location' then id else type || '_' || {_DIGITS} end as id from (select type, id, {_HEX} as h from entities)"""),
     "net_memory_index": _index_sql("src_id", _from("memory_owner_reference"), ("character",)),
     "net_event_memory_index": _index_sql("src_id", _from("source_event_reference"), ("event",)),
     "net_relation_index": _index_sql("src_id", _from("relation_endpoint_reference"), ("character",)),

@@ -26,8 +26,7 @@ def flattened_json(spark, d):
 
 def component_leaves(spark, d):
     refs, _ = net(spark, d)
-    rows = network.as_components(refs.filter("component in ('current_placement_reference', 'related_concept_reference')"))
-    return projection.flatten_json(rows)
+    return projection.flatten_json(network.as_components(refs))
 
 
 def split_workloads(spark, d):
@@ -67,17 +66,32 @@ def mentions(spark, d):
 
 def inferred_evidence(spark, d):
     rows = messages(spark, d)
-    names = rows.filter("floor % 3 = 0").selectExpr("chat_id", "concat('k', floor) as key", "array(substring(content, 3, 7)) as names")
+    names = rows.selectExpr("chat_id", "concat('k', floor) as key", "array(substring(content, 3, 7)) as names")
     return resolve.infer_evidence(names, rows.selectExpr("chat_id", "concat('m', floor) as ref", "role", "role as speaker", "content"))
 
 
-def linked_events(spark, d):
-    """Quotes of messages, linked to the events (pairs of messages, overlapping) that hold them."""
+def _links(spark, d):
+    """Quotes of messages, linked to the events (pairs of messages, overlapping) that hold them. A third each for entities, locations and relations; some have a wrong quote or message."""
     rows = messages(spark, d)
-    slices = rows.selectExpr("chat_id", "explode(array(cast(floor(floor / 2) as bigint), cast(floor((floor + 1) / 2) as bigint))) as e", "floor", "content").distinct()
+    slices = rows.selectExpr("chat_id", "explode(array_distinct(array(floor div 2, (floor + 1) div 2))) as e", "floor", "content")
     slices = slices.selectExpr("chat_id", "concat('e', e) as event_id", "concat('m', floor) as ref", "case when e % 2 = 0 then content else left(content, 30) end as text")
-    evidence = rows.filter("length(content) > 60").selectExpr("chat_id", "concat('k', floor) as key", "concat('m', floor) as ref", "substring(content, 35, 20) as quote", "floor as evidence_id")
-    return resolve.link_to_events(evidence, slices)[0]
+    quote = "case when floor % 5 = 4 then 'nowhere' when floor % 4 = 1 then left(content, 20) else substring(content, 35, 20) end as quote"
+    evidence = rows.selectExpr("chat_id", "floor as evidence_id", "element_at(array('entity', 'location', 'relation'), cast(floor % 3 + 1 as int)) as kind",
+                               "concat('k', floor) as a", "concat('k', 9 - floor) as b", "concat('m', case when floor % 7 = 6 then 99 else floor end) as ref", quote)
+    evidence = evidence.withColumn("key", F.when(F.col("kind") == "relation", resolve.pair_key("a", "b")).otherwise(F.col("a"))).drop("a", "b")
+    return resolve.link_to_events(evidence, slices, rows.selectExpr("chat_id", "concat('m', floor) as ref", "content"))
+
+
+def linked_events(spark, d):
+    return _links(spark, d)[0]
+
+
+def unlinked(spark, d):
+    return _links(spark, d)[1].select("chat_id", "evidence_id", "reason")
+
+
+def event_members(spark, d):
+    return resolve.event_members(_links(spark, d)[0]).withColumn("refs", F.array_join("refs", ","))
 
 
 def player_identity(spark, d):
@@ -97,6 +111,8 @@ QUERIES = {
     "mention_scan": mentions,
     "inferred_evidence": inferred_evidence,
     "linked_events": linked_events,
+    "unlinked_evidence": unlinked,
+    "event_members": event_members,
     "player_identity": player_identity,
 }
 
@@ -116,12 +132,35 @@ SQL = {
       where a <> b and a in (select id from entities where type = 'character') and b in (select id from entities where type = 'character')"""),
     "mention_scan": f"""with m as (select chat_id, floor, content from ({_M})), n as (select distinct chat_id, 'k' || cast(floor as varchar) as key, x from (select *, unnest([left(content, 5), substring(content, 10, 4)]) as x from m) where trim(x) <> '')
       select n.chat_id, m.floor as batch_ix, key, count(*) as n_names from n join m on m.chat_id = n.chat_id and contains(content, trim(x)) group by all""",
-    "inferred_evidence": f"""with m as (select chat_id, floor, role, content from ({_M})), n as (select chat_id, 'k' || cast(floor as varchar) as key, substring(content, 3, 7) as x from m where floor % 3 = 0 and trim(substring(content, 3, 7)) <> '')
+    "inferred_evidence": f"""with m as (select chat_id, floor, role, content from ({_M})), n as (select chat_id, 'k' || cast(floor as varchar) as key, substring(content, 3, 7) as x from m where trim(substring(content, 3, 7)) <> '')
       select distinct n.chat_id, key, 'm' || cast(m.floor as varchar) as ref from n join m on m.chat_id = n.chat_id and (contains(content, x) or (role = 'user' and role = x))""",
-    "linked_events": f"""with m as (select chat_id, floor, content from ({_M})), s as (select distinct chat_id, 'e' || cast(e as varchar) as event_id, 'm' || cast(floor as varchar) as ref, case when e % 2 = 0 then content else left(content, 30) end as t
-        from (select *, unnest([floor // 2, (floor + 1) // 2]) as e from m)),
-      v as (select chat_id, floor, 'm' || cast(floor as varchar) as ref, regexp_replace(substring(content, 35, 20), {_Q}, '', 'g') as q from m where length(content) > 60),
-      h as (select v.chat_id, v.floor, count(distinct event_id) as k, min(event_id) as e from v join s on s.chat_id = v.chat_id and s.ref = v.ref and q <> '' and contains(regexp_replace(t, {_Q}, '', 'g'), q) group by all)
-      select chat_id, 'k' || cast(floor as varchar) as key, e as event_id from h where k = 1""",
     "player_identity": f"""select chat_id, case when cast(chat_id as bigint) % 3 = 0 then 'P' || chat_id else 'n' || cast(min(floor) filter (role = 'user') as varchar) end as player from ({_M}) where floor < 50 group by chat_id having player is not null""",
 }
+
+_LINK = f"""with m as (select chat_id, floor, content, regexp_replace(content, {_Q}, '', 'g') as body from ({_M})),
+  v as (select chat_id, floor as evidence_id, ['entity', 'location', 'relation'][cast(floor % 3 + 1 as int)] as kind,
+      case when floor % 3 = 2 then 'k' || cast(least(floor, 9 - floor) as varchar) || ' / k' || cast(greatest(floor, 9 - floor) as varchar) else 'k' || cast(floor as varchar) end as key, case when floor % 7 = 6 then 99 else floor end as f,
+      regexp_replace(case when floor % 5 = 4 then 'nowhere' when floor % 4 = 1 then left(content, 20) else substring(content, 35, 20) end, {_Q}, '', 'g') as q from m),
+  o as (select v.*, m.floor is not null as there, coalesce(q <> '' and contains(body, q), false) as found, (select count(distinct e) from (select unnest([f // 2, (f + 1) // 2]) as e)) as n,
+      (f // 2) % 2 = 0 or contains(regexp_replace(left(content, 30), {_Q}, '', 'g'), q) as h0, ((f + 1) // 2) % 2 = 0 or contains(regexp_replace(left(content, 30), {_Q}, '', 'g'), q) as h1
+    from v left join m on m.chat_id = v.chat_id and m.floor = f),
+  r as (select *, case when not there then 'unknown_ref' when not found then 'quote_not_found' when n = 2 and h0 = h1 then 'not_unique' end as reason, 'e' || cast(case when n = 1 or h0 then f // 2 else (f + 1) // 2 end as varchar) as event_id from o)"""
+SQL |= {
+    "linked_events": f"{_LINK} select chat_id, evidence_id, kind, key, 'm' || cast(f as varchar) as ref, event_id from r where reason is null",
+    "unlinked_evidence": f"{_LINK} select chat_id, evidence_id, reason from r where reason is not null",
+    "event_members": f"""{_LINK}, w as (select *, unnest(case kind when 'relation' then ['related_pairs'] when 'location' then ['related_entities', 'locations'] else ['related_entities'] end) as list from r where reason is null)
+      select chat_id, event_id, list, key, coalesce(string_agg(distinct 'm' || cast(f as varchar), ',' order by 'm' || cast(f as varchar)) filter (list = 'locations'), '') as refs from w group by all""",
+    "projected_components": """select cast(p_partkey as varchar) as entity_id, 'item' as type, 'item_profile' as component, '0.1.0' as schema_version,
+        '{"item_kind":"' || p_type || '","instance_mode":"single","primary_functions":"' || p_brand || '","materials":"' || p_type || '","form_description":"' || p_name || '"}' as data from part where p_partkey % 4 <> 0
+      union all select cast(p_partkey as varchar), 'item', 'item_characteristic', '0.1.0', '{"craftsmanship":"' || p_brand || '"}' from part where p_partkey % 3 = 0""",
+    "flattened_json": """select component, path, type, count(*) as n from (select event_type as component, '/' || unnest(json_keys(props)) as path, case json_type(props, '$.' || unnest(json_keys(props))) when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer'
+      when 'DOUBLE' then 'number' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' else 'null' end as type from events) group by all""",
+    "component_leaves": t.oracle(f"""{WITH}, r as (select src_id, component, tgt_id, tgt_type, row_number() over (partition by src_id, component order by ord, tgt_id, tgt_type) - 1 as k from refs),
+      p as (select *, case component when 'current_location_reference' then '/location_ref' when 'current_placement_reference' then '/placement_ref' when 'parent_location_reference' then '/parent_location_ref'
+        when 'parent_organization_reference' then '/parent_organization_ref' when 'memory_owner_reference' then '/owner_ref' when 'related_concept_reference' then '/concept_refs/' || cast(k as varchar)
+        when 'memory_reference' then '/memory_refs/' || cast(k as varchar) || '/memory_ref' when 'skill_reference' then '/skill_refs/' || cast(k as varchar) || '/skill_ref' when 'event_location_reference' then '/location_refs/' || cast(k as varchar) || '/location_ref'
+        when 'event_related_entity_reference' then '/related_entity_refs/' || cast(k as varchar) when 'source_event_reference' then '/event_refs/' || cast(k as varchar)
+        when 'relation_context_reference' then '/relation_links/' || cast(k as varchar) || '/relation_ref' when 'relation_endpoint_reference' then '/participant_refs/' || cast(k as varchar) end as place from r)
+      select src_id as entity_id, component, place || '/' || unnest(['id', 'type']) as path, 'string' as type, unnest([tgt_id, tgt_type]) as value from p
+      where k = 0 or component not in ('current_location_reference', 'current_placement_reference', 'parent_location_reference', 'parent_organization_reference', 'memory_owner_reference')"""),
+}

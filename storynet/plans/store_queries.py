@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storynet.functions.shared import saved
 from storynet.operators import audit, network, rounds, store
+from storynet.plans import network_queries
 from storynet.plans.network_queries import WITH, net
 from storynet.sources import chats
 from storynet.sources import tables as t
@@ -21,10 +23,11 @@ def _sql(code: str, rows: str, component: str = "component", path: str = "'/' ||
 
 
 def _stored(spark, d):
-    """The rebuilt history index, with the first entry removed of entities whose key is a multiple of 73."""
-    index = network.history_index(*net(spark, d)).withColumn("component", F.lit("history_index"))
-    key = F.substring("entity_id", -24, 24).cast("long") % 73 == 0
-    return index, index.withColumn("ids", F.when(key, F.expr("slice(ids, 2, greatest(size(ids) - 1, 0))")).otherwise(F.col("ids")))
+    """All ten rebuilt indexes, with the first entry removed of entities whose key is a multiple of 73 and no index of those whose key is one of 71; others are stored in another order, which matters to the history."""
+    index = saved(network.rebuild_indexes(*net(spark, d)))
+    key = F.substring("entity_id", -24, 24).cast("long")
+    ids = F.when(key % 73 == 0, F.expr("slice(ids, 2, greatest(size(ids) - 1, 0))")).when(key % 67 == 0, F.reverse("ids")).otherwise(F.col("ids"))
+    return index, index.filter(key % 71 != 0).withColumn("ids", ids)
 
 
 def stale(spark, d):
@@ -141,7 +144,9 @@ def blocks(spark, d):
 
 
 def narrative(spark, d):
-    rows = rounds.narrative_text(messages(spark, d))
+    """Every message has a scene header, some in the middle."""
+    head = F.expr("case floor % 3 when 1 then concat('[scene] noon\n\n', content) when 2 then concat(substring(content, 1, 5), '\n[时间：夜]x') else concat('[场景时间 a]', substring(content, 1, 5), '\n[scene] b\nx') end")
+    rows = rounds.narrative_text(messages(spark, d).withColumn("content", head))
     return rows.select("chat_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha"))
 
 
@@ -297,8 +302,9 @@ _RULES = {
     ),
     "audit_stale_index": (
         stale,
-        t.oracle(f"""{WITH} select distinct tgt_id as entity_id, 'history_index' as component, '/' as path, 'STALE_DERIVED_INDEX' as code from refs join entities e on e.id = tgt_id
-          where component in ('event_related_entity_reference', 'event_location_reference') and e.type not in ('event', 'memory') and cast(right(tgt_id, 24) as bigint) % 73 = 0"""),
+        "select entity_id, component, '/' as path, case when k % 71 = 0 then 'MISSING_DERIVED_INDEX' else 'STALE_DERIVED_INDEX' end as code from (select *, cast(right(entity_id, 24) as bigint) as k from ("
+        + " union all ".join(f"select entity_id, '{name}' as component, n from ({network_queries.SQL['net_' + name]})" for name in network.INDEXES)
+        + ")) where k % 71 = 0 or k % 73 = 0 or (k % 67 = 0 and component = 'history_index' and n > 1)",
     ),
     "audit_org_cycle": (
         lambda s, d: audit.parent_cycles(net(s, d)[0], "parent_organization_reference", "ORGANIZATION_PARENT_CYCLE"),
@@ -389,7 +395,8 @@ SQL = {name: sql for name, (_, sql) in _RULES.items()} | {
     "round_blocks": f"""select chat_id, cast(round_ix as bigint) as round_ix, min(floor) as first_floor, max(floor) as last_floor, count(*) as n_messages,
       left(trim(regexp_replace(min_by(content, floor) filter (k), '\\s+', ' ', 'g')), 48) as opening, right(trim(regexp_replace(max_by(content, floor) filter (k), '\\s+', ' ', 'g')), 72) as closing,
       string_agg(content, chr(10) order by floor) filter (k) as text from (select *, role = 'assistant' and trim(content) <> '' as k from ({_ROUNDS})) group by all""",
-    "narrative_text": f"select chat_id, length(x) as n, sha256(x) as sha from (select chat_id, string_agg(content, chr(10) || chr(10) order by floor) as x from ({_MESSAGES}) where role = 'assistant' and trim(content) <> '' group by chat_id)",
+    "narrative_text": rf"""select chat_id, length(x) as n, sha256(x) as sha from (select chat_id, string_agg(b, chr(10) || chr(10) order by floor) as x from (
+      select chat_id, floor, regexp_replace(case floor % 3 when 1 then content when 2 then substring(content, 1, 5) || chr(10) || 'x' else substring(content, 1, 5) || chr(10) || chr(10) || 'x' end, '^\s+|\s+$', '', 'g') as b from ({_MESSAGES}) where role = 'assistant') where b <> '' group by chat_id)""",
     "location_occurrences": t.oracle(f"""{WITH}, f as (select src_id as event_id, tgt_id as location, min(ord) as ord from refs where component = 'event_location_reference' group by all),
       s as (select *, row_number() over (partition by event_id order by ord, location) as sequence, count(*) over (partition by event_id) as n from f)
       select event_id, location, sequence, case when n = 1 then 'primary' when sequence = 1 then 'start' when sequence = n then 'end' else 'transit' end as role from s"""),
@@ -428,3 +435,12 @@ SQL = {name: sql for name, (_, sql) in _RULES.items()} | {
       e as (select chat_id, count(*) filter (status = 'forming') as f, count(*) filter (status = 'pending_finalization') as p, count(*) filter (status = 'finalized') as z from ({_STATUS}) group by chat_id)
       select m.chat_id, n_messages, n_chars, n_versions, coalesce(f, 0) as n_forming, coalesce(p, 0) as n_pending_finalization, coalesce(z, 0) as n_finalized, n_memories from m left join e on e.chat_id = m.chat_id""",
 }
+
+_VERSION = """sha256(cast(to_json([content, case when role = 'user' then 'user' else 'assistant' end, cast(role = 'user' as varchar), cast(role = 'system' as varchar), 'null', source_id]) as varchar))"""
+SQL |= {
+    "msg_versions": f"select chat_id, floor, version, 'm' || cast(floor as varchar) || '.' || left(version, 12) || '.' || role as ref from (select *, {_VERSION} as version from ({_MESSAGES}))",
+    "source_units": r"""with p as (select cast(doc_id as varchar) as ref, list_filter(regexp_extract_all(coalesce(text, ''), '(?s)(.*?(?:[。！？!?][”’」』"'']*|\n+|$))', 1), lambda x: x <> '') as l from documents),
+      e as (select ref, generate_subscripts(l, 1) as k, unnest(l) as piece from p), a as (select *, coalesce(sum(length(piece)) over (partition by ref order by k rows between unbounded preceding and 1 preceding), 0) as place from e),
+      b as (select *, row_number() over (partition by ref order by k) as n, length(regexp_extract(piece, '^(\s*)', 1)) as gap, regexp_replace(piece, '^\s+|\s+$', '', 'g') as t from a where trim(translate(piece, chr(10) || chr(9) || chr(13), '   ')) <> '')
+      select ref, ref || '.u' || lpad(cast(n as varchar), greatest(3, 3), '0') as unit, t as text, cast(place + gap as bigint) as start, cast(place + gap + length(t) as bigint) as "end" from b""",
+}

@@ -145,7 +145,8 @@ def fuzzy_keys(spark, d):
 
     keys = t.load(spark, d, "select distinct 'item' as component, '/data' as path, substring(lower(p_brand), 2) || cast(p_size % 3 as string) as key from {part}")
     rules = t.load(spark, d, "select distinct 'item' as component, '/data' as path, lower(p_brand) || '1' as field from {part}")
-    return repair.repair_keys(keys, rules, keys.limit(0).selectExpr("component", "path", "key as alias", "key as field"), 0.8, 0.02)
+    aliases = keys.filter("key like '%2'").selectExpr("component", "'/*' as path", "1 as ord", "upper(key) as alias", "'brand#31' as field")
+    return repair.repair_keys(keys, rules, aliases, 0.8, 0.02)
 
 
 QUERIES = {
@@ -206,3 +207,36 @@ SQL = {
       select '1' as chat_id, m.id as item_id, m.type, case count(distinct key) when 0 then 'create' when 1 then 'update' else 'unresolved' end as action, case when count(distinct key) = 1 then min(key) end as target_key
       from m left join k on k.type = m.type and k.s = m.s group by m.id, m.type""",
 }
+
+_BARE = rf"regexp_replace(right(content, 20), '{_DROP_SQL}', '', 'g')"
+SQL |= {
+    "quote_places": rf"""with m as (select chat_id || '.' || cast(floor as varchar) as ref, floor as quote_id, content, {_BARE} as q from ({_MSG})),
+      c as (select ref, quote_id, q, i, substring(content, cast(i as int), 1) as ch from (select *, unnest(range(1, length(content) + 1)) as i from m)),
+      k as (select ref, quote_id, any_value(q) as q, string_agg(ch, '' order by i) as body, list(i order by i) as pos from c where not regexp_matches(ch, '{_DROP_SQL}') group by all)
+      select quote_id, ref, pos[s] - 1 as start, pos[s + length(q) - 1] as "end" from (select *, unnest(range(1, length(body) - length(q) + 2)) as s from k where q <> '') where substring(body, cast(s as int), length(q)) = q""",
+    "locate_in_order": f"""with recursive e as (select chat_id as batch, event_no // 2 as ord, event_id % 97 as pos from ({t.oracle(t.CHAT_EVENTS)})), n as (select batch, ord, row_number() over (partition by batch order by ord) as k from (select distinct batch, ord from e)),
+      f as (select n.batch, n.k, n.ord, list(pos) as places from n join e on e.batch = n.batch and e.ord = n.ord group by all),
+      r as (select distinct batch, cast(0 as bigint) as k, cast(-1 as bigint) as ord, cast(-1 as bigint) as cursor, cast(null as bigint) as pos from f
+        union all select f.batch, f.k, f.ord, coalesce(list_min(list_filter(places, lambda p: p > cursor)), cursor), list_min(list_filter(places, lambda p: p > cursor)) from r join f on f.batch = r.batch and f.k = r.k + 1)
+      select batch, ord, pos from r where k > 0""",
+    "clean_pages": r"""select page_id, sha256(regexp_replace(regexp_replace(regexp_replace(case when regexp_matches(html, '(?is)<content\b[^>]*>.*?</content\s*>') then regexp_extract(html, '(?is)<content\b[^>]*>(.*?)</content\s*>', 1) else html end,
+      '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]+>', '', 'g'), '\s+', ' ', 'g')) as sha from (select page_id, coalesce(html, '') as html from pages)""",
+    "clean_chats": rf"""select chat_id, floor, sha256(regexp_replace(regexp_replace(regexp_replace(case when role = 'assistant' then replace(replace(replace(replace(replace(regexp_replace(regexp_replace(content, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]+>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') else regexp_replace(content, '(?s)<!--.*?-->', '', 'g') end, '[ \t\r]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) as sha from ({_MSG})""",
+    "canonical_fields": r"""with f as (select distinct p_type as field from part), g as (select lower(regexp_replace(field, '[\s_\-./\\:：]', '', 'g')) as sig, min(field) as folded, count(*) as n from f group by 1),
+      r as (select distinct case p_size % 3 when 0 then p_type when 1 then upper(replace(p_type, ' ', '_')) else 'kind ' || cast(p_size as varchar) end as name from part)
+      select 'item' as type, name, coalesce(f.field, case when n = 1 then folded end, case when name like 'kind 1%' then 'STANDARD' end) as field,
+        case when f.field is not null then 'exact' when n = 1 then 'folded' when name like 'kind 1%' then 'alias' else 'unclassified' end as how
+      from r left join f on f.field = name left join g on g.sig = lower(regexp_replace(name, '[\s_\-./\\:：]', '', 'g'))""",
+    "resolve_directory": rf"""with s as (select *, lower(regexp_replace(x, '[\s·・,，。．、:：;；]', '', 'g')) as sig from (
+        select 'p' || cast(p_partkey as varchar) as id, 'item' as type, 'item:m' || cast(p_partkey as varchar) as key, upper(p_name) || '、 ' || cast(p_partkey as varchar) as x, 1 as m from part
+        union all select 'c' || cast(c_custkey as varchar), 'character', 'character:' || c_name, lower(c_name), 1 from customer union all select 'n' || cast(n_nationkey as varchar), 'location', 'location:x' || cast(n_nationkey as varchar), n_name, 1 from nation
+        union all select 's' || cast(s_suppkey as varchar), 'organization', 'group:' || s_name, s_name, 1 from supplier
+        union all select null, 'item', 'item:' || p_name || ' ' || cast(p_partkey as varchar), p_name || ' ' || cast(p_partkey % 1500 as varchar), 0 from part union all select null, 'organization', 'organization:' || s_name, s_name, 0 from supplier
+        union all select null, 'character', 'character:' || c_name, c_name, 0 from customer union all select null, 'location', 'location:' || n_name, n_name, 0 from nation union all select null, 'organization', 'organization:' || n_name, n_name, 0 from nation)),
+      h as (select a.id, a.type, a.key, count(distinct b.key) filter (b.type = a.type) as n, min(b.key) filter (b.type = a.type) as one, count(b.key) filter (b.type <> a.type) as other from s a left join s b on b.m = 0 and b.sig = a.sig where a.m = 1 group by all),
+      d as (select h.*, exists (select 1 from s where m = 0 and s.type = h.type and s.key = h.key) as direct from h),
+      r as (select *, case when split_part(key, ':', 1) <> type then 'invalid_type_or_key' when other > 0 then 'cross_type_name_conflict' when not direct and n > 1 then 'multiple_same_type_matches' end as reason from d)
+      select '1' as chat_id, id as mention_id, case when reason is not null then 'unresolved' when direct or n = 1 then 'update' else 'create' end as action, reason,
+        case when reason is null then case when direct then key when n = 1 then one else key end end as target_key from r""",
+}

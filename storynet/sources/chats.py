@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LINE = "mes string, name string, is_user boolean, is_system boolean, swipe_id long, send_date string"
@@ -41,17 +44,36 @@ def source_ref() -> Column:
 
 
 def stamp_versions(messages: DataFrame) -> DataFrame:
-    """Adds version, a digest of all that an edit can change, and ref."""
-    parts = F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("content", "role", "source_id")]))
+    """Adds version, a digest of all that an edit can change (text, speaker, kind of speaker, swipe, id), and ref.
+
+    ``messages``(floor, role, content, source_id) may have speaker and swipe_id; a speaker without a name is called by what it is.
+    """
+    has = lambda c: F.col(c).cast("string") if c in messages.columns else F.lit(None).cast("string")
+    is_user, is_system = F.col("role") == "user", F.col("role") == "system"
+    name = F.coalesce(F.nullif(has("speaker"), F.lit("")), F.when(is_user, "user").otherwise("assistant"))
+    flags = [F.coalesce(x, F.lit(False)).cast("string") for x in (is_user, is_system)]
+    parts = [F.coalesce("content", F.lit("")), name, *flags, F.coalesce(has("swipe_id"), F.lit("null")), F.coalesce("source_id", F.concat(F.lit("floor-"), F.col("floor").cast("string")))]
+    parts = F.to_json(F.array(*parts))
     return messages.withColumn("version", F.sha2(parts, 256)).withColumn("ref", source_ref())
 
 
-def append_sources(stored: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``stored`` and ``new`` have chat_id, ref, sha: all records with new refs added, and conflicts (same ref, other digest), which keep the old."""
+def new_sources(stored: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``stored`` and ``new`` have chat_id, ref, sha: the records of ``new`` to add, and conflicts (same ref, other digest), which keep the old.
+
+    Of several contents of one new ref that with the least digest is added, and the others are conflicts with it.
+    """
     keys = ["chat_id", "ref"]
-    added = new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
-    old = stored.select(*keys, F.col("sha").alias("kept_sha"))
-    return stored.unionByName(added), new.join(old, keys).filter("sha <> kept_sha").select(*keys, "kept_sha", F.col("sha").alias("new_sha"))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("sha"))
+    added = new.join(stored.select(*keys), keys, "left_anti").withColumn("rank", rank).filter("rank = 1").drop("rank")
+    old = stored.unionByName(added.select(*stored.columns)).select(*keys, F.col("sha").alias("kept_sha"))
+    conflicts = new.join(old, keys).filter("sha <> kept_sha").select(*keys, "kept_sha", F.col("sha").alias("new_sha")).distinct()
+    return added.select(*new.columns), conflicts
+
+
+def append_sources(stored: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All records with the new ones of ``new_sources`` added, and the conflicts."""
+    added, conflicts = new_sources(stored, new)
+    return stored.unionByName(added), conflicts
 
 
 def read_entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,35 +153,67 @@ def triage_replies(replies: DataFrame) -> DataFrame:
     return wrapped.mapInArrow(scan, kind).select("row.*", "plan", "status")
 
 
+def _files(spark: SparkSession, path: str):
+    """A path of the shared store and its file system, by Spark's own Hadoop client."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def write_commit(tables: dict[str, DataFrame], folder: str, batch_key: str) -> bool:
-    """Writes all tables of one batch, then its manifest: readers use committed keys only, and a key commits once."""
+    """Writes all tables of one batch, state and receipts alike, then its manifest: readers use committed keys only, and a key commits once.
+
+    The manifest is a file named by the key, created only if it is not there, which the store decides: of several writers one commits, and what
+    the others wrote is never read.
+    """
     spark = next(iter(tables.values())).sparkSession
-    if committed_keys(spark, folder).filter(F.col("batch_key") == batch_key).count():
+    at, fs = _files(spark, f"{folder}/_commits/{hashlib.sha256(batch_key.encode()).hexdigest()}.json")
+    if fs.exists(at):
         return False
     commit = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.mode("append").parquet(f"{folder}/{name}/commit_id={commit}")
-    spark.createDataFrame([(batch_key, commit)], "batch_key string, commit_id string").coalesce(1).write.mode("append").parquet(f"{folder}/_commits")
+    fs.mkdirs(at.getParent())
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError as error:
+        if fs.exists(at):
+            return False
+        raise error
+    out.write(bytearray(json.dumps({"batch_key": batch_key, "commit_id": commit}).encode()))
+    out.close()
     return True
 
 
 def committed_keys(spark: SparkSession, folder: str) -> DataFrame:
     schema = "batch_key string, commit_id string"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/_commits")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    at, fs = _files(spark, f"{folder}/_commits")
+    if not fs.exists(at):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/_commits")
+    return spark.read.schema(schema).json(f"{folder}/_commits").filter("commit_id is not null")
 
 
 def read_committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/{name}")
-    return rows.join(F.broadcast(committed_keys(spark, folder).select("commit_id")), "commit_id", "left_semi").drop("commit_id")
+    return rows.join(committed_keys(spark, folder).select("commit_id"), "commit_id", "left_semi").drop("commit_id")
+
+
+#: Folders of the audit log; a chat's entries lie in one of them.
+AUDIT_PARTS = 64
 
 
 def append_audit(spark: SparkSession, folder: str, entries: DataFrame) -> None:
-    """``entries``(chat_id, category, action, detail): appended with the time, by chat."""
-    entries.withColumn("at", F.current_timestamp()).write.mode("append").partitionBy("chat_id").parquet(folder)
+    """``entries``(chat_id, category, action, detail): appended with the time, by a hash of the chat."""
+    part = F.pmod(F.xxhash64("chat_id"), F.lit(AUDIT_PARTS)).cast("int")
+    entries.withColumn("at", F.current_timestamp()).withColumn("part", part).write.mode("append").partitionBy("part").parquet(folder)
+
+
+def read_audit(spark: SparkSession, folder: str, chat_id: str | None = None) -> DataFrame:
+    """The log, or one chat's, for which one folder is read."""
+    rows = spark.read.parquet(folder)
+    if chat_id is not None:
+        part = spark.range(1).select(F.pmod(F.xxhash64(F.lit(chat_id)), F.lit(AUDIT_PARTS)).cast("int")).first()[0]
+        rows = rows.filter((F.col("part") == part) & (F.col("chat_id") == chat_id))
+    return rows.drop("part")
 
 
 def state_report(events: DataFrame, memories: DataFrame, sources: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storynet.functions.shared import ship_package
+from storynet.functions.shared import saved, ship_package
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "conversations")
 MISSING = 1_000_000_000
@@ -33,7 +33,7 @@ select l_orderkey, l_partkey, l_suppkey, l_returnflag, l_quantity,
 from {lineitem}"""
 MEMORIES = f"""
 select {MEMORY("l_orderkey * 100 + seq")} as id, l_orderkey, seq, o_custkey, l_quantity
-from ({LINES}) l join {{orders}} o on o.o_orderkey = l.l_orderkey where l_returnflag = 'R'"""
+from {{lines}} l join {{orders}} o on o.o_orderkey = l.l_orderkey where l_returnflag = 'R'"""
 PAIRS = """
 select c_custkey as a, b from (
   select c_custkey, lead(c_custkey) over (partition by c_nationkey order by c_custkey) as b from {customer}) p where b is not null"""
@@ -47,7 +47,7 @@ union all select {ITEM("p_partkey")}, 'item', p_name, p_type from {{part}}
 union all select {CONCEPT("dense_rank() over (order by p_type)")}, 'concept', p_type, 'part type' from (select distinct p_type from {{part}}) t
 union all select {SKILL("dense_rank() over (order by p_brand)")}, 'skill', p_brand, 'brand' from (select distinct p_brand from {{part}}) t
 union all select {EVENT("o_orderkey")}, 'event', 'order ' || cast(o_orderkey as string), o_orderstatus from {{orders}}
-union all select id, 'memory', 'memory ' || cast(l_orderkey as string), 'returned' from ({MEMORIES}) m
+union all select id, 'memory', 'memory ' || cast(l_orderkey as string), 'returned' from {{memories}} m
 union all select {RELATION("a")}, 'character_relation', 'pair ' || cast(a as string), 'neighbours' from ({PAIRS}) p"""
 
 _PART = f"""
@@ -70,22 +70,22 @@ union all select {ITEM("p_partkey")}, 'item', 'current_placement_reference', 0,
     else {LOCATION("p_partkey % 25")} end,
   case k when 0 then 'character' when 1 then 'item' else 'location' end from ({_PART}) p
 union all select {ITEM("p_partkey")}, 'item', 'related_concept_reference', 0, null, 0, {CONCEPT("r")}, 'concept'
-  from (select p_partkey, dense_rank() over (order by p_type) as r from {{part}}) p
+  from {{part}} p join (select p_type, dense_rank() over (order by p_type) as r from (select distinct p_type from {{part}}) t) d on d.p_type = p.p_type
 union all select {CHARACTER("c_custkey")}, 'character', 'skill_reference', 0, null, 0, {SKILL("c_custkey % 25 + 1")}, 'skill' from {{customer}}
 union all select {EVENT("o_orderkey")}, 'event', 'event_related_entity_reference', 0, null, 0, {CHARACTER("o_custkey")}, 'character' from {{orders}}
 union all select {EVENT("l_orderkey")}, 'event', 'event_related_entity_reference', seq, null, 0,
   {ITEM(f"l_partkey + case when l_partkey % 97 = 0 then {MISSING} else 0 end")},
-  case when l_partkey % 89 = 0 then 'concept' else 'item' end from ({LINES}) l
+  case when l_partkey % 89 = 0 then 'concept' else 'item' end from {{lines}} l
 union all select {EVENT("l_orderkey")}, 'event', 'event_location_reference', seq, null,
   case when l_orderkey % 79 = 0 and seq > 1 then seq - 1 else seq end, {LOCATION("s_nationkey")}, 'location'
-  from ({LINES}) l join {{supplier}} s on s.s_suppkey = l.l_suppkey
-union all select id, 'memory', 'memory_owner_reference', 0, null, 0, {CHARACTER("o_custkey")}, 'character' from ({MEMORIES}) m
-union all select id, 'memory', 'source_event_reference', 0, null, 0, {EVENT("l_orderkey")}, 'event' from ({MEMORIES}) m
+  from {{lines}} l join {{supplier}} s on s.s_suppkey = l.l_suppkey
+union all select id, 'memory', 'memory_owner_reference', 0, null, 0, {CHARACTER("o_custkey")}, 'character' from {{memories}} m
+union all select id, 'memory', 'source_event_reference', 0, null, 0, {EVENT("l_orderkey")}, 'event' from {{memories}} m
 union all select id, 'memory', 'relation_context_reference', 0,
   case l_orderkey % 3 when 0 then 'important' when 1 then 'current_basis' else 'formation_basis' end, seq % 3, {RELATION("o_custkey")}, 'character_relation'
-  from ({MEMORIES}) m join ({PAIRS}) p on p.a = m.o_custkey
+  from {{memories}} m join ({PAIRS}) p on p.a = m.o_custkey
 union all select {CHARACTER("o_custkey + case when l_orderkey % 83 = 0 then 1 else 0 end")}, 'character', 'memory_reference', l_orderkey * 100 + seq,
-  null, 0, id, 'memory' from ({MEMORIES}) m where l_quantity >= 45
+  null, 0, id, 'memory' from {{memories}} m where l_quantity >= 45
 union all select {RELATION("a")}, 'character_relation', 'relation_endpoint_reference', 0, null, 0, {CHARACTER("a")}, 'character' from ({PAIRS}) p
 union all select {RELATION("a")}, 'character_relation', 'relation_endpoint_reference', 1, null, 0, {CHARACTER("b")}, 'character' from ({PAIRS}) p"""
 
@@ -103,13 +103,29 @@ select cast(user_id as string) as chat_id, event_id, row_number() over (partitio
   event_type, value from {events}"""
 
 
+#: Inputs that others are made of, each built once and saved.
+BUILT = {"lines": LINES, "memories": MEMORIES}
+
+
 def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Rows of one of the inputs above, or of any SQL with the tables in braces."""
     ship_package(spark)
+    return spark.sql(sql, **_inputs(spark, sf_dir, sql, {}))
+
+
+def _inputs(spark: SparkSession, sf_dir: str, sql: str, built: dict[str, DataFrame]) -> dict[str, DataFrame]:
     used = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in NAMES if f"{{{n}}}" in sql}
-    return spark.sql(sql, **used)
+    for name, rows in BUILT.items():
+        if f"{{{name}}}" in sql:
+            if name not in built:
+                built[name] = saved(spark.sql(rows, **_inputs(spark, sf_dir, rows, built)))
+            used[name] = built[name]
+    return used
 
 
 def oracle(sql: str) -> str:
     """The same SQL over the oracle's views."""
-    return sql.format(**{n: n for n in NAMES})
+    names = {n: n for n in NAMES}
+    for name, rows in BUILT.items():
+        names[name] = f"({rows.format(**names)})"
+    return sql.format(**names)

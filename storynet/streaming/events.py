@@ -7,6 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from storynet.functions.shared import shared_dir
@@ -57,28 +58,31 @@ def split_edits(stream: DataFrame, receipt_sources: DataFrame) -> tuple[DataFram
 
 
 def append_stream(stream: DataFrame, store: str, conflicts: str, checkpoint: str):
-    """Appends new sources (chat_id, ref, sha) of a stream to ``store``; changed content of a known ref goes to ``conflicts`` and never overwrites. Returns the writer."""
+    """Appends new sources (chat_id, ref, sha) of a stream to ``store``; changed content of a known ref goes to ``conflicts`` and never overwrites. Returns the writer.
+
+    Each micro-batch writes a folder of its own in both, batch=n, and compares with the folders of those before it, so a retry writes the same again.
+    Of the store only the refs and digests of the chats in the batch are joined.
+    """
     schema = stream.schema
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        stored = _read(spark, store, schema)
-        keys = ["chat_id", "ref"]
-        added = batch.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti").select(*batch.columns)
-        chats.append_sources(stored, batch)[1].write.mode("append").parquet(conflicts)
-        added.write.mode("append").parquet(store)
-        batch.unpersist()
+        stored = _read(spark, store, schema, number).select("chat_id", "ref", "sha")
+        stored = stored.join(batch.select("chat_id").distinct(), "chat_id", "left_semi")
+        added, differ = chats.new_sources(stored, batch)
+        differ.write.mode("overwrite").parquet(f"{conflicts}/batch={number}")
+        added.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+def _read(spark: SparkSession, path: str, schema, before: int) -> DataFrame:
+    """What the micro-batches with numbers under ``before`` have written."""
+    at, fs = chats._files(spark, path)
+    if not fs.exists(at):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    return rows.filter(F.col("batch") < before).drop("batch")
 
 
 def commit_stream(stream: DataFrame, folder: str, name: str, checkpoint: str):

@@ -14,7 +14,7 @@ from storynet.plans import catalog
 from storynet.sources import chats
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ("net_history_index", "net_refs", "audit_type_mismatch", "audit_org_cycle", "msg_rounds", "msg_batches", "covered_through", "resolve_roster", "segments", "stream_event_state", "upsert_entities", "stale_sources")
+CHECKED = ("net_history_index", "net_refs", "audit_type_mismatch", "audit_org_cycle", "msg_rounds", "msg_batches", "covered_through", "resolve_roster", "segments", "stream_event_state", "upsert_entities", "stale_sources", "linked_events", "event_members", "msg_versions", "narrative_text", "audit_stale_index", "stage_context", "stream_sources", "event_plan", "plan_dispositions", "plan_contents")
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -75,17 +75,6 @@ def test_reply_triage(spark):
     assert all((r.plan is not None) == r.status.startswith("ok") for r in rows)
 
 
-def test_recall_pack_stays_in_budget():
-    rng = random.Random(3)
-    for _ in range(200):
-        events = [{"id": f"e{i}", "status": "finalized", "description": "d" * rng.randint(0, 80), "story_summary": "s" * rng.randint(0, 600), "key_details": ["k" * 30] * rng.randint(0, 4)} for i in range(rng.randint(1, 5))]
-        budget = rng.randint(100, 3000)
-        pack = recall.pack_events(events, budget, 5)
-        assert pack["used_chars"] == len(json.dumps(pack, ensure_ascii=False, separators=(",", ":"))) <= max(200, budget)
-        by = {e["id"]: e for e in events}
-        assert all(e["description"] == by[e["id"]]["description"] for e in pack["events"])
-
-
 def test_locate_in_order_moves_forward_only(spark):
     rows = [("b", 0, 5), ("b", 0, 9), ("b", 1, 5), ("b", 2, 4), ("b", 2, 12), ("b", 3, 11)]
     got = anchors.locate_in_order(spark.createDataFrame(rows, "batch string, ord long, pos long")).collect()
@@ -129,7 +118,7 @@ def test_repair_keys(spark):
     at = "component string, path string, "
     keys = spark.createDataFrame([("c", "/", k) for k in ("displayName", "colour", "weigth", "wight", "size", "zzz", "nick")], at + "key string")
     rules = spark.createDataFrame([("c", "/", f) for f in ("display_name", "color", "weight", "width", "size")], at + "field string")
-    aliases = spark.createDataFrame([("c", "/", "nick", "display_name")], at + "alias string, field string")
+    aliases = spark.createDataFrame([("c", "/", 1, "nick", "display_name")], at + "ord int, alias string, field string")
     got = {r.key: (r.correction, r.code) for r in repair.repair_keys(keys, rules, aliases, 0.8, 0.05).collect()}
     assert got["displayName"] == ("display_name", "CORRECTED") and got["colour"] == ("color", "CORRECTED") and got["nick"] == ("display_name", "CORRECTED")
     assert got["zzz"] == (None, "UNKNOWN_FIELD") and "size" not in got and got["wight"][1] in ("AMBIGUOUS_FIELD", "CORRECTED")
@@ -236,6 +225,6 @@ def test_repair_keys_bounds_the_signature(spark):
     at = "component string, path string, "
     keys = spark.createDataFrame([("c", "/", "aBcDe")], at + "key string")
     rules = spark.createDataFrame([("c", "/", "a_bc_de_x")], at + "field string")
-    aliases = spark.createDataFrame([], at + "alias string, field string")
+    aliases = spark.createDataFrame([], at + "ord int, alias string, field string")
     r = repair.repair_keys(keys, rules, aliases, 0.8, 0.05).first()
     assert (r.correction, r.code) == ("a_bc_de_x", "CORRECTED")
