@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -183,19 +184,42 @@ def fuzzy_locate(quotes: DataFrame, units: DataFrame, least: float = 0.62, short
     return rows.select("batch", "quote_id", F.col("m.unit").alias("unit"), F.round("m.ratio", 6).alias("ratio"))
 
 
+def nearest_part(quote: str, text: str, least: float) -> str | None:
+    """The window of ``text`` most like ``quote``, its length within 2; none under ``least`` or if equally good ones lie over 2 apart.
+
+    The sequence matcher's blocks cannot have more characters than quote and window share, which is counted as the window moves; only windows
+    that may reach the best so far are compared.
+    """
+    want, top, best, n = Counter(quote), [], least, len(quote)
+    for size in range(max(n - 2, 1), n + 3):
+        size = min(size, len(text))
+        have, common = Counter(), 0
+        for i, c in enumerate(text):
+            have[c] += 1
+            common += have[c] <= want[c]
+            if i >= size:
+                old = text[i - size]
+                common -= have[old] <= want[old]
+                have[old] -= 1
+            if i >= size - 1 and 2 * common / (n + size) >= best:
+                part = text[i - size + 1 : i + 1]
+                ratio = SequenceMatcher(None, quote, part, autojunk=False).ratio()
+                if ratio >= best:
+                    top = [*(top if ratio == best else []), (i - size + 1, part)]
+                    best = ratio
+    return min(top)[1] if top and max(top)[0] - min(top)[0] <= 2 else None
+
+
 def nearest_quote(quotes: DataFrame, sources: DataFrame, least: float = 0.88, shortest: int = 8) -> DataFrame:
-    """``quotes``(quote_id, ref, quote) to the window of their source most like it, its length within 2; none if equally good ones lie over 2 apart."""
-    rows = quotes.filter(F.length("quote") >= shortest).join(sources, "ref")
-    n = F.length("quote")
-    windows = F.flatten(
-        F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("content") - n - d + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substr(F.col("content"), i, n + d).alias("part"))))
-    )
-    each = rows.select("quote_id", "quote", F.inline(windows)).filter(tx.similarity_bound(F.col("quote"), F.col("part")) >= least)
-    each = each.withColumn("ratio", tx.similarity(F.col("quote"), F.col("part"))).filter(F.col("ratio") >= least)
-    top = each.withColumn("top", F.max("ratio").over(W.partitionBy("quote_id"))).filter("ratio = top")
-    found = top.groupBy("quote_id").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.min(F.struct("at", "part")).alias("m"))
-    return found.filter("high - low <= 2").select("quote_id", F.col("m.part").alias("part"))
+    """``quotes``(quote_id, ref, quote) to the window of their source (ref, content) most like it: quote_id, part; as ``nearest_part``."""
+    rows = quotes.filter(F.length("quote") >= shortest).join(sources.filter(F.length("content") > 0), "ref").select("quote_id", "quote", "content")
+
+    def scan(batches):
+        for b in batches:
+            found = [nearest_part(q, t, least) for q, t in zip(b.column("quote").to_pylist(), b.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("quote_id"), pa.array(found, pa.string())], ["quote_id", "part"])
+
+    return rows.mapInArrow(scan, f"quote_id {quotes.schema['quote_id'].dataType.simpleString()}, part string").filter("part is not null")
 
 
 def relocate_evidence(evidence: DataFrame, sources: DataFrame) -> DataFrame:

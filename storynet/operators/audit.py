@@ -45,6 +45,45 @@ def shell(entities: DataFrame) -> DataFrame:
     return violations(rows, F.col("code"), F.lit("entity"), F.lit("/"), "id")
 
 
+def json_shell(rows: DataFrame) -> DataFrame:
+    """``rows``(pos, entity_json) of a stored network: entries that are no object, and objects whose components, or one of them, are none."""
+    place = F.concat(F.lit("/"), F.col("pos").cast("string"))
+    whole = rows.withColumn("v", F.try_parse_json("entity_json"))
+    is_object = lambda c: F.coalesce(F.startswith(F.schema_of_variant(c), F.lit("OBJECT")), F.lit(False))
+    whole = whole.withColumn("ok", is_object(F.col("v"))).withColumn("id", F.when(F.col("ok"), F.try_variant_get("v", "$.id", "string")))
+    whole = whole.withColumn("c", F.when(F.col("ok"), F.try_variant_get("v", "$.components", "variant"))).withColumn("c_ok", is_object(F.col("c")))
+    each = whole.filter("c_ok").select("id", "pos", F.explode(F.try_variant_get("c", "$", "map<string,variant>")).alias("component", "body"))
+    bad = each.filter(~is_object(F.col("body")))
+    return (
+        violations(whole.filter("not ok"), "INVALID_NETWORK_ENTITY", F.lit("network"), place, "id")
+        .unionByName(violations(whole.filter("ok and not c_ok"), "INVALID_COMPONENTS", F.lit("entity"), place, "id"))
+        .unionByName(violations(bad, "INVALID_COMPONENT_INSTANCE", "component", place, "id"))
+    )
+
+
+def conditional_rules(fields: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Flattened ``fields``(entity_id, component, path, value) against ``conditions``(component, if_path, if_values, then_path, allowed): where the field at if_path has one of the values, that at
+    then_path must exist (MISSING_REQUIRED_FIELD) and, if ``allowed`` is not null, have one of its values (INVALID_VALUE)."""
+    met = fields.withColumnsRenamed({"path": "if_path", "value": "is"}).join(conditions, ["component", "if_path"]).filter(F.expr("array_contains(if_values, is)"))
+    then = fields.select("entity_id", "component", F.col("path").alias("then_path"), F.col("value").alias("has"), F.lit(True).alias("there"))
+    rows = met.join(then, ["entity_id", "component", "then_path"], "left")
+    code = F.when(F.col("there").isNull(), "MISSING_REQUIRED_FIELD").when(F.col("allowed").isNotNull() & ~F.expr("array_contains(allowed, has)"), "INVALID_VALUE")
+    return violations(rows.withColumn("code", code).filter("code is not null"), F.col("code"), path="then_path", entity="entity_id")
+
+
+# What a whole character relation has.
+RELATION_COMPONENTS = ("entity_management", "relation_endpoint_reference", "character_relation_aspects", "character_relation_state")
+
+
+def relation_components(present: DataFrame, subjective: DataFrame) -> DataFrame:
+    """``present``(relation, component) of all relations, ``subjective``(relation): those with an aspect that one character sees, which need the derived memory index as well."""
+    all_ = present.select("relation").distinct()
+    need = all_.select("relation", F.explode(F.array(*map(F.lit, RELATION_COMPONENTS))).alias("component")).withColumn("code", F.lit("MISSING_RELATION_COMPONENT"))
+    more = subjective.select("relation").distinct().select("relation", F.lit("relation_memory_index").alias("component"), F.lit("RELATION_MEMORY_INDEX_REQUIRED").alias("code"))
+    rows = need.unionByName(more).join(present.select("relation", "component"), ["relation", "component"], "left_anti")
+    return violations(rows, F.col("code"), "component", F.lit("/"), "relation")
+
+
 def component_rules(components: DataFrame, allowed: DataFrame, versions: DataFrame) -> DataFrame:
     """``components``(entity_id, entity_type, component, schema_version) against ``allowed``(component, entity_type) and ``versions``(component, schema_version)."""
     known = components.join(versions.select("component").distinct(), "component", "left_semi")

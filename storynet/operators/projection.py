@@ -10,6 +10,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storynet.operators.audit import PLACEMENT_ROLES
@@ -64,6 +65,76 @@ def _kept(names: list[str]) -> Column:
     return F.map_filter("m", keep)
 
 
+def project_lists(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """List components: ``entries``(entity_id, type, section, ord, value as JSON) by ``rules``(type, section, component, field, most): each list as the field of its component, its first ``most``
+    entries: entity_id, type, component, data. Lists without an entry give no component."""
+    met = entries.filter("value is not null").join(rules, ["type", "section"])
+    n = F.row_number().over(W.partitionBy("entity_id", "type", "component", "field").orderBy("ord", "value"))
+    kept = met.withColumn("n", n).filter("n <= most")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), ",")
+    one = kept.groupBy("entity_id", "type", "component", "field").agg(listed.alias("v"))
+    text = F.concat(F.lit('"'), F.col("field"), F.lit('":['), F.col("v"), F.lit("]"))
+    out = one.groupBy("entity_id", "type", "component").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias("d"))
+    return out.select("entity_id", "type", "component", F.concat(F.lit("{"), "d", F.lit("}")).alias("data"))
+
+
+#: Type, section, component, field and the most entries of the list components.
+LISTS = (
+    ("character", "traits", "character_behavior_profile", "personality_traits", 24), ("character", "motivations", "character_behavior_profile", "motivations", 32),
+    ("character", "preferences", "character_behavior_profile", "preferences", 48), ("character", "objectives", "character_objective", "objectives", 24),
+    ("organization", "objectives", "organization_objective", "objectives", 24), ("organization", "directions", "organization_strategy", "long_term_directions", 32),
+    ("organization", "roles", "organization_structure", "roles", 64), ("location", "states", "location_state", "states", 24), ("organization", "states", "organization_state", "states", 24),
+    ("skill", "mechanics", "skill_mechanics", "mechanics", 64), ("skill", "requirements", "skill_requirements", "requirements", 64), ("concept", "rules", "concept_rules", "rules", 64),
+)
+
+
+def project_parents(claims: DataFrame) -> DataFrame:
+    """``claims``(entity_id, type, parent_id, parent_type): parent components of locations and organizations; a parent has the same type and is not the entity itself."""
+    good = claims.filter("type in ('location', 'organization') and parent_type = type and parent_id <> entity_id")
+    one = good.groupBy("entity_id", "type").agg(F.min("parent_id").alias("parent_id"))
+    name = F.concat("type", F.lit("_ref"))
+    data = F.concat(F.lit('{"parent_'), name, F.lit('":{"id":"'), "parent_id", F.lit('","type":"'), "type", F.lit('"}}'))
+    return one.select("entity_id", "type", F.concat(F.lit("parent_"), "type", F.lit("_reference")).alias("component"), data.alias("data"))
+
+
+def role_keys(roles: DataFrame) -> DataFrame:
+    """``roles``(entity_id, ord, name): each role's key in snake case, numbered where it repeats: entity_id, ord, name, role_key."""
+    plain = F.regexp_replace(F.lower(F.regexp_replace(F.trim("name"), r"[^A-Za-z0-9]+", "_")), r"^_+|_+$", "")
+    rows = roles.withColumn("base", F.when(plain == "", "role").otherwise(plain))
+    n = F.row_number().over(W.partitionBy("entity_id", "base").orderBy("ord"))
+    return rows.withColumn("n", n).select("entity_id", "ord", "name", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("n").cast("string"))).alias("role_key"))
+
+
+def skill_references(skills: DataFrame) -> DataFrame:
+    """``skills``(entity_id, ord, skill_id, framework_id, stage): a character's skills as one component, of the later version if any has a stage: entity_id, component, schema_version, n_skills, n_staged."""
+    known = skills.filter("skill_id is not null").groupBy("entity_id", "skill_id").agg(F.max(F.col("stage").isNotNull() & F.col("framework_id").isNotNull()).alias("staged"))
+    n = known.groupBy("entity_id").agg(F.count("*").alias("n_skills"), F.count_if("staged").alias("n_staged"))
+    return n.select("entity_id", F.lit("skill_reference").alias("component"), F.when(F.col("n_staged") > 0, "0.2.0").otherwise("0.1.0").alias("schema_version"), "n_skills", "n_staged")
+
+
+def stage_ids(stages: DataFrame) -> DataFrame:
+    """``stages``(entity_id, kind, ord, name): ids of bindings, stages and context blocks, stable for a name and numbered where it repeats: entity_id, kind, ord, id."""
+    plain = F.regexp_replace(F.lower(F.regexp_replace(F.trim("name"), r"[^A-Za-z0-9]+", "_")), r"^_+|_+$", "")
+    rows = stages.withColumn("base", F.concat("kind", F.lit("_"), F.when(plain == "", F.left(F.md5("name"), F.lit(8))).otherwise(plain)))
+    n = F.row_number().over(W.partitionBy("entity_id", "kind", "base").orderBy("ord"))
+    return rows.withColumn("n", n).select("entity_id", "kind", "ord", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("n").cast("string"))).alias("id"))
+
+
+def related_concepts(links: DataFrame) -> DataFrame:
+    """``links``(entity_id, type, concept_id): one component of each entity that is no character, with its distinct concepts in order: entity_id, type, component, ids."""
+    rows = links.filter("type <> 'character' and concept_id is not null and concept_id <> entity_id")
+    return rows.groupBy("entity_id", "type").agg(F.array_sort(F.collect_set("concept_id")).alias("ids")).select("entity_id", "type", F.lit("related_concept_reference").alias("component"), "ids")
+
+
+def maintenance_records(unclassified: DataFrame, revisions: DataFrame) -> DataFrame:
+    """``unclassified``(entity_id, field, value) and ``revisions``(entity_id, field, ord, value), the values that others replaced: one maintenance component of each entity that has any:
+    entity_id, component, n_unclassified, n_revisions, fields."""
+    a = unclassified.select("entity_id", "field", F.lit(1).alias("u"), F.lit(0).alias("r"))
+    b = revisions.select("entity_id", "field", F.lit(0).alias("u"), F.lit(1).alias("r"))
+    out = a.unionByName(b).groupBy("entity_id").agg(F.sum("u").alias("n_unclassified"), F.sum("r").alias("n_revisions"), F.array_sort(F.collect_set("field")).alias("fields"))
+    return out.select("entity_id", F.lit("entity_field_maintenance").alias("component"), "n_unclassified", "n_revisions", "fields")
+
+
 def cap_lists(entries: DataFrame) -> DataFrame:
     """``entries``(entity_id, field, ord, value): at most CAPS of each list, the first ones."""
     limit = F.lit(None).cast("int")
@@ -85,9 +156,10 @@ def project_placements(stated: DataFrame, hints: DataFrame) -> DataFrame:
 
 
 def overlay_open_fields(components: DataFrame, open_fields: DataFrame) -> DataFrame:
-    """``components``(entity_id, type, component, schema_version, data) with open semantic ones of the same columns: the later version of a component wins."""
+    """``components``(entity_id, type, component, schema_version, data) with open semantic ones of the same columns: the later version of a component wins, by the numbers of its parts."""
+    numbers = F.transform(F.split("schema_version", r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0))).alias("n")
     both = components.unionByName(open_fields)
-    best = F.max(F.struct("schema_version", "type", "data"))
+    best = F.max(F.struct(numbers, "schema_version", "type", "data"))
     return both.groupBy("entity_id", "component").agg(best.alias("m")).select("entity_id", "m.type", "component", "m.schema_version", "m.data")
 
 

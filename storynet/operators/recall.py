@@ -168,8 +168,22 @@ def framework_issues(frameworks: DataFrame, bindings: DataFrame, stages: DataFra
     )
 
 
+def framework_links(hosts: DataFrame, frameworks: DataFrame) -> DataFrame:
+    """``hosts``(id, skill, framework) against ``frameworks``(framework, type, has_component): a skill's own stages are those of the skill that the host has, and a framework has the component that
+    holds them: id, code. Frameworks that do not exist are no matter of this rule."""
+    rows = hosts.join(frameworks, "framework")
+    code = F.when((F.col("type") == "skill") & (F.col("framework") != F.col("skill")), "SKILL_STAGE_FRAMEWORK_MISMATCH").when(~F.col("has_component"), "STAGE_FRAMEWORK_COMPONENT_MISSING")
+    return rows.select("id", code.alias("code")).filter("code is not null")
+
+
+def duplicate_numeric_values(values: DataFrame) -> DataFrame:
+    """``values``(id, ord, binding): the second and later value of one binding: id, ord, code."""
+    n = F.row_number().over(W.partitionBy("id", "binding").orderBy("ord"))
+    return values.filter("binding is not null").withColumn("n", n).filter("n > 1").select("id", "ord", F.lit("DUPLICATE_SKILL_NUMERIC_VALUE").alias("code"))
+
+
 def host_stage_issues(hosts: DataFrame, stages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``hosts``(id, framework, host_mode, mode, binding, value, stage): one code for each host, the first that holds."""
+    """``hosts``(id, framework, host_mode, mode, binding, value, stage): one code for each host, the first that holds. Hosts with ``framework_links`` are left out before."""
     known = stages.select("framework", "stage", F.lit(True).alias("known")).distinct()
     bound = ranges.select("framework", "binding", F.lit(True).alias("bound")).distinct()
     derived = stage_lookup(hosts.filter("value is not null").select("id", "framework", "binding", "value"), ranges.select("framework", "binding", "stage", "low", "high"))
@@ -192,6 +206,13 @@ def host_stage_issues(hosts: DataFrame, stages: DataFrame, ranges: DataFrame) ->
 MODES = ("current_stage", "transition_check", "framework_overview")
 
 
+def transition_guidance(packages: DataFrame, requests: DataFrame, guidance: DataFrame) -> DataFrame:
+    """Entry and exit guidance (framework, stage, entry, exit) of the stages that ``stage_context`` gives a request which asks for a transition_check: id, stage, entry, exit."""
+    given = packages.filter("stages is not null").select("id", F.explode(F.from_json("stages", "array<struct<stage:string>>")).alias("s")).select("id", F.col("s.stage").alias("stage"))
+    asked = requests.filter("recall_mode = 'transition_check'").select("id", "framework")
+    return given.join(asked, "id").join(guidance.withColumn("stage", F.col("stage").cast("string")), ["framework", "stage"]).select("id", "stage", "entry", "exit")
+
+
 def stage_context(requests: DataFrame, stages: DataFrame, blocks: DataFrame, ranges: DataFrame, issues: DataFrame) -> DataFrame:
     """``requests``(id, framework, mode, recall_mode, purpose, binding, value, stage): id, stages (JSON list of those given with their blocks), code.
 

@@ -78,6 +78,17 @@ def rewrite_keys(plan: DataFrame, mapping: DataFrame, columns: list[str]) -> Dat
 PLACEHOLDERS = ("user", "you", "{{user}}", "unused", "")
 
 
+def rewrite_player(plan: DataFrame, players: DataFrame, columns: list[str]) -> DataFrame:
+    """``plan``(chat_id, aliases, and key ``columns``): keys that only mean the player of a chat (chat_id, player) become the player's, and names that only mean the player leave the aliases."""
+    names = F.array(*map(F.lit, PLACEHOLDERS))
+    rows = plan.join(players.select("chat_id", "player"), "chat_id", "left")
+    for c in columns:
+        vague = F.array_contains(names, F.lower(F.trim(F.expr(f"substring(`{c}`, instr(`{c}`, ':') + 1)"))))
+        rows = rows.withColumn(c, F.when(F.col("player").isNotNull() & F.startswith(c, F.lit("character:")) & vague, F.concat(F.lit("character:"), "player")).otherwise(F.col(c)))
+    kept = F.filter("aliases", lambda a: ~F.array_contains(names, F.lower(F.trim(a))))
+    return rows.withColumn("aliases", F.when(F.col("player").isNotNull(), kept).otherwise(F.col("aliases"))).select(*plan.columns)
+
+
 def player_identity(lines: DataFrame, first: int = 50) -> DataFrame:
     """``lines``(chat_id, line, persona, user_name, is_user, name) to chat_id, player: persona, else the user's name, else the first user speaker; placeholders do not count."""
     rows = lines.filter(F.col("line") < first)
@@ -182,11 +193,27 @@ def field_updates(updates: DataFrame) -> DataFrame:
     return updates.groupBy("entity_id", "field").applyInPandas(_fold, _FIELDS)
 
 
+def _united(rows: DataFrame, column: str, order: str = "ord") -> Column:
+    """All entries of an array column of a group, in the order first seen."""
+    none = F.array().cast(rows.schema[column].dataType)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: F.coalesce(x[column], none))
+    return F.array_distinct(F.flatten(listed)).alias(column)
+
+
 def upsert_candidates(rows: DataFrame) -> DataFrame:
-    """``rows``(chat_id, key, ord, description, aliases), old and new: the last non-blank scalar wins, aliases unite in the order seen."""
+    """``rows``(chat_id, key, ord, description, aliases, and perhaps evidence), old and new: the last non-blank scalar wins, aliases and evidence unite in the order seen."""
     said = F.max(F.when(F.trim("description") != "", F.struct("ord", "description")))["description"]
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "aliases"))), lambda x: F.coalesce(x["aliases"], F.array().cast("array<string>")))
-    return rows.groupBy("chat_id", "key").agg(said.alias("description"), F.array_distinct(F.flatten(listed)).alias("aliases"))
+    lists = [c for c in ("aliases", "evidence") if c in rows.columns]
+    return rows.groupBy("chat_id", "key").agg(said.alias("description"), *[_united(rows, c) for c in lists])
+
+
+def upsert_links(rows: DataFrame) -> DataFrame:
+    """``rows``(chat_id, key, list, link, ord, value), the entries of a candidate's lists by what they link to, old and new: one for each link, the last value that is not null, where it was first seen."""
+    first = F.row_number().over(W.partitionBy("chat_id", "key", "list").orderBy("first", "link")) - 1
+    one = rows.groupBy("chat_id", "key", "list", "link").agg(
+        F.min("ord").alias("first"), F.max(F.when(F.col("value").isNotNull(), F.struct("ord", "value")))["value"].alias("value")
+    )
+    return one.withColumn("place", first.cast("long")).drop("first")
 
 
 def upsert_relations(rows: DataFrame) -> DataFrame:
@@ -196,12 +223,29 @@ def upsert_relations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chat_id", "low", "high", "kind").agg(F.max(F.struct("ord", "value"))["value"].alias("value"))
 
 
+def upsert_directions(rows: DataFrame) -> DataFrame:
+    """``rows``(chat_id, src, dst, ord, value): what one side of a relation shows the other, the last value of each direction; none of a side to itself."""
+    pair = [F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")]
+    return rows.filter("src <> dst").groupBy("chat_id", *pair, "src", "dst").agg(F.max(F.struct("ord", "value"))["value"].alias("value"))
+
+
 def roster_fallback(plan: DataFrame, roster: DataFrame) -> DataFrame:
-    """``plan``(chat_id, key, name, description, aliases) completed by resolved ``roster`` items of the same columns: missing keys are added, others gain aliases only."""
+    """``plan``(chat_id, key, name, description, aliases, and perhaps evidence) completed by resolved ``roster`` items of the same columns: missing keys are added, others gain aliases and evidence, and what they left blank."""
     both = plan.withColumn("rank", F.lit(0)).unionByName(roster.withColumn("rank", F.lit(1)))
     pick = lambda c: F.min(F.when(F.trim(c) != "", F.struct("rank", F.col(c).alias("x"))))["x"].alias(c)
-    names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "aliases"))), lambda x: F.coalesce(x["aliases"], F.array().cast("array<string>")))
-    return both.groupBy("chat_id", "key").agg(pick("name"), pick("description"), F.array_distinct(F.flatten(names)).alias("aliases"))
+    lists = [_united(both, c, "rank") for c in ("aliases", "evidence") if c in both.columns]
+    return both.groupBy("chat_id", "key").agg(pick("name"), pick("description"), *lists)
+
+
+def referenced_keys(tables: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """chat_id, key: every key that a column of the tables names, arrays of keys included."""
+    every = None
+    for rows, columns in tables:
+        for c in columns:
+            listed = rows.schema[c].dataType.typeName() == "array"
+            one = rows.select("chat_id", (F.explode(c) if listed else F.col(c)).alias("key")).filter("key is not null and trim(key) <> ''")
+            every = one if every is None else every.unionByName(one)
+    return every.distinct()
 
 
 def stub_nodes(referenced: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -220,6 +264,29 @@ def filter_placements(claims: DataFrame, known: DataFrame) -> tuple[DataFrame, D
     return rows.filter("reason is null").select(*claims.columns), rows.filter("reason is not null").select(*claims.columns, "reason")
 
 
+def filter_locations(claims: DataFrame, known: DataFrame, actual: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``claims``(chat_id, key, location): kept, and dropped with a reason: not a known location (``known``: chat_id, key, type), or not where the batch plays (``actual``: chat_id, key)."""
+    kinds = known.select("chat_id", F.col("key").alias("location"), "type")
+    there = actual.select("chat_id", F.col("key").alias("location"), F.lit(True).alias("there")).distinct()
+    rows = claims.join(kinds, ["chat_id", "location"], "left").join(there, ["chat_id", "location"], "left")
+    reason = F.when(~F.coalesce(F.col("type") == "location", F.lit(False)), "unknown_location").when(F.col("there").isNull(), "not_in_batch")
+    rows = rows.withColumn("reason", reason)
+    return rows.filter("reason is null").select(*claims.columns), rows.filter("reason is not null").select(*claims.columns, "reason")
+
+
+def filter_parents(claims: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``claims``(chat_id, key, type, parent): kept, and dropped with a reason: parent unknown (``known``: chat_id, key, type), of another type, or the entity itself."""
+    rows = claims.join(known.select("chat_id", F.col("key").alias("parent"), F.col("type").alias("parent_type")), ["chat_id", "parent"], "left")
+    reason = F.when(F.col("parent") == F.col("key"), "self").when(F.col("parent_type").isNull(), "unknown_parent").when(F.col("parent_type") != F.col("type"), "type_mismatch")
+    rows = rows.withColumn("reason", reason)
+    return rows.filter("reason is null").select(*claims.columns), rows.filter("reason is not null").select(*claims.columns, "reason")
+
+
+def filter_concepts(claims: DataFrame, known: DataFrame) -> DataFrame:
+    """``claims``(chat_id, key, concept) of known concepts."""
+    return claims.join(known.filter("type = 'concept'").select("chat_id", F.col("key").alias("concept")).distinct(), ["chat_id", "concept"], "left_semi")
+
+
 def filter_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """``pairs``(chat_id, a, b) of two distinct known characters."""
     own = known.filter("type = 'character'").select("chat_id", "key").distinct()
@@ -273,6 +340,12 @@ def pair_key(a: str, b: str) -> Column:
     return F.concat(F.least(a, b), F.lit(" / "), F.greatest(a, b))
 
 
+def headers_without_place(headers: DataFrame) -> DataFrame:
+    """``headers``(chat_id, ref, header): scene headers that name no place, with a warning."""
+    place, _ = tx.scene_header_parts(F.col("header"))
+    return headers.filter((F.trim("header") != "") & (place == "")).select("chat_id", "ref", F.lit("header_without_place").alias("warning"))
+
+
 def link_actors(details: DataFrame, speakers: DataFrame, participants: DataFrame) -> DataFrame:
     """Actors of details and named user speakers (chat_id, event_id, key) that an event does not list yet."""
     new = details.select("chat_id", "event_id", "key").unionByName(speakers.select("chat_id", "event_id", "key")).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storynet.functions import text as tx
+from storynet.operators import anchors
 
 DISPOSITIONS = ("absent", "keep_distinct", "merge_into_pending")
 
@@ -98,6 +99,23 @@ def place_starts(proposals: DataFrame) -> DataFrame:
     return rows.select("chat_id", "batch_ix", "ord", F.coalesce(filled, F.lit("old_tail")).alias("key"), F.col("own").isNull().alias("lost"))
 
 
+def place_quotes(proposals: DataFrame, blocks: DataFrame, clues: DataFrame) -> DataFrame:
+    """``proposals``(chat_id, batch_ix, ord, continuing, quote) with the keys that ``place_starts`` orders: block_key of the first block (chat_id, batch_ix, ix, block_key, text) that opens
+    with the quote, inner_key of the first known clue (chat_id, batch_ix, ix, inner_key, text) that does, else new_key in the first block that holds it inside."""
+    keys = ["chat_id", "batch_ix"]
+    rows = proposals.withColumn("q", tx.anchor_text(F.col("quote")))
+    asked = rows.filter("q <> ''").select(*keys, "ord", "q")
+    plain = blocks.select(*keys, "ix", "block_key", tx.anchor_text(F.col("text")).alias("t"))
+    met = asked.join(plain, keys).filter(F.contains("t", "q"))
+    first = lambda c, when: F.min(F.when(when, F.struct("ix", F.col(c).alias("k"))))["k"]
+    by_block = met.groupBy(*keys, "ord").agg(first("block_key", F.startswith("t", "q")).alias("block_key"), first("block_key", F.lit(True)).alias("inside"))
+    by_clue = asked.join(clues.select(*keys, "ix", "inner_key", tx.anchor_text(F.col("text")).alias("t")), keys).filter(F.startswith("t", "q"))
+    by_clue = by_clue.groupBy(*keys, "ord").agg(first("inner_key", F.lit(True)).alias("inner_key"))
+    out = rows.join(by_block, [*keys, "ord"], "left").join(by_clue, [*keys, "ord"], "left")
+    new = F.concat(F.lit("start_in_"), "inside", F.lit("_"), F.col("ord").cast("string"))
+    return out.select(*keys, "ord", "continuing", "block_key", "inner_key", F.when(F.col("inside").isNotNull(), new).alias("new_key"))
+
+
 def repair_anchors(segments: DataFrame, sources: DataFrame, size: int = 32) -> DataFrame:
     """``segments``(chat_id, batch_ix, seg_ix, refs, anchor_ref, anchor): a segment that opens on a message of its own gets that message's first characters; other anchors move to the only ref of the segment that holds them."""
     order = _batch().orderBy("seg_ix")
@@ -137,16 +155,30 @@ def apply_boundaries(slots: DataFrame) -> DataFrame:
 
     Each new slot opens an event. A merge joins the newest event so far to the one before it; merged ones form islands, numbered again in order.
     """
-    order = W.partitionBy("chat_id").orderBy("batch_ix", "seg_ix")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    rows = slots.withColumn("raw", F.sum(F.col("slot").startswith("new_").cast("int")).over(upto))
+    rows = raw_events(slots)
+    events = merged_events(rows)
+    return rows.join(events, ["chat_id", "raw"]).select("chat_id", "batch_ix", "seg_ix", "slot", "event_no")
+
+
+def raw_events(slots: DataFrame) -> DataFrame:
+    """Adds raw: the number of the event that a slot belongs to before any merge."""
+    upto = W.partitionBy("chat_id").orderBy("batch_ix", "seg_ix").rowsBetween(W.unboundedPreceding, 0)
+    return slots.withColumn("raw", F.sum(F.col("slot").startswith("new_").cast("int")).over(upto))
+
+
+def merged_events(rows: DataFrame) -> DataFrame:
+    """chat_id, raw, event_no: the event in which each raw one of ``raw_events`` ends up."""
     # a merge, told with the first slot of its batch, closes the gap before the event that was newest then
     merged = rows.filter("disposition = 'merge_into_pending' and seg_ix = 0").select("chat_id", (F.col("raw") - F.col("slot").startswith("new_").cast("int")).alias("raw")).distinct()
     events = rows.select("chat_id", "raw").distinct().join(merged.withColumn("joined", F.lit(1)), ["chat_id", "raw"], "left")
     opens = F.when(F.col("joined") == 1, 0).otherwise(1)
     number = F.sum(opens).over(W.partitionBy("chat_id").orderBy("raw").rowsBetween(W.unboundedPreceding, 0))
-    events = events.withColumn("event_no", F.greatest(number, F.lit(1))).select("chat_id", "raw", "event_no")
-    return rows.join(events, ["chat_id", "raw"]).select("chat_id", "batch_ix", "seg_ix", "slot", "event_no")
+    return events.withColumn("event_no", F.greatest(number, F.lit(1))).select("chat_id", "raw", "event_no")
+
+
+def rebind_memories(memories: DataFrame, events: DataFrame) -> DataFrame:
+    """``memories``(chat_id, memory_id, raw) bound to the events (``merged_events``) in which theirs ended up; a memory of two events that became one names it once."""
+    return memories.join(events, ["chat_id", "raw"]).select("chat_id", "memory_id", "event_no").distinct()
 
 
 def merge_texts(a: Column, b: Column, separator: str = "\n") -> Column:
@@ -156,21 +188,22 @@ def merge_texts(a: Column, b: Column, separator: str = "\n") -> Column:
 
 
 def apply_event_updates(events: DataFrame, updates: DataFrame) -> DataFrame:
-    """``events``(event_id, description, summary, participants, details), ``updates``(event_id, description, summary, add, remove, kept, new_details), arrays in order.
+    """``events``(event_id, description, summary, participants, locations, unresolved, details), ``updates``(event_id, description, summary, kept, new_details, and for each list list_add and list_remove), arrays in order.
 
-    Blank texts change nothing; members are added, then removed; details are the kept ones, then new ones, once for each (content, ref).
+    Blank texts change nothing; of participants, locations and unresolved things some are added, then some removed; details are the kept ones, then new ones, once for each (content, ref).
     """
     none = F.array().cast("array<string>")
-    u = updates.select("event_id", *[F.col(c).alias(f"u_{c}") for c in ("description", "summary", "add", "remove", "kept", "new_details")])
+    lists = ("participants", "locations", "unresolved")
+    u = updates.select("event_id", *[F.col(c).alias(f"u_{c}") for c in ("description", "summary", "kept", "new_details", *[f"{x}_{y}" for x in lists for y in ("add", "remove")])])
     rows = events.join(u, "event_id", "left")
     text = lambda c: F.coalesce(F.when(F.trim(f"u_{c}") != "", F.col(f"u_{c}")), F.col(c)).alias(c)
-    members = F.array_except(F.array_union("participants", F.coalesce("u_add", none)), F.coalesce("u_remove", none))
+    members = lambda c: F.array_except(F.array_union(c, F.coalesce(f"u_{c}_add", none)), F.coalesce(f"u_{c}_remove", none)).alias(c)
     kept = F.when(F.col("u_kept").isNull(), F.col("details")).otherwise(F.filter("details", lambda x: F.array_contains(F.col("u_kept"), x["id"])))
     new = F.coalesce(F.col("u_new_details"), F.array().cast(events.schema["details"].dataType))
     every = F.concat(kept, new)
     seen = F.transform(every, lambda x: F.struct(x["content"].alias("c"), x["ref"].alias("r")))
     details = F.filter(every, lambda x, i: F.array_position(seen, F.struct(x["content"].alias("c"), x["ref"].alias("r"))) == i + 1)
-    return rows.select("event_id", text("description"), text("summary"), members.alias("participants"), details.alias("details"))
+    return rows.select("event_id", text("description"), text("summary"), *map(members, lists), details.alias("details"))
 
 
 def summary_increment(base: Column, added: Column) -> tuple[Column, Column]:
@@ -221,7 +254,8 @@ def assign_update_slots(updates: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def canonical_details(details: DataFrame, slices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``details``(event_id, ord, ref, kind, content) against ``slices``(event_id, ref, text): with the ref that holds the text (verbatim), else their own ref if the event has it (paraphrase), else dropped."""
+    """``details``(event_id, ord, ref, kind, content) against ``slices``(event_id, ref, text): with the ref that holds the text (verbatim), else as the part of their own ref's text that they nearly are
+    (verbatim, ``nearest_quote``), else under their own ref if the event has it (paraphrase), else dropped."""
     q = tx.anchor_text(F.col("content"))
     met = details.join(slices.withColumnRenamed("ref", "at"), "event_id")
     found = met.groupBy("event_id", "ord").agg(
@@ -229,8 +263,11 @@ def canonical_details(details: DataFrame, slices: DataFrame) -> tuple[DataFrame,
         F.max(F.when(F.col("at") == F.col("ref"), F.col("at"))).alias("own"),
     )
     rows = details.join(found, ["event_id", "ord"], "left")
-    fidelity = F.when(F.col("held").isNotNull(), "verbatim").when(F.col("own").isNotNull(), "paraphrase")
-    rows = rows.withColumn("fidelity", fidelity).withColumn("ref", F.coalesce("held", "own", "ref"))
+    at, name = F.to_json(F.struct("event_id", "ref")).alias("ref"), F.to_json(F.struct("event_id", "ord"))
+    near = anchors.nearest_quote(rows.filter("held is null and own is not null").select(name.alias("quote_id"), at, F.col("content").alias("quote")), slices.select(at, F.col("text").alias("content")))
+    rows = rows.withColumn("quote_id", name).join(near, "quote_id", "left")
+    fidelity = F.when(F.col("held").isNotNull() | F.col("part").isNotNull(), "verbatim").when(F.col("own").isNotNull(), "paraphrase")
+    rows = rows.withColumn("fidelity", fidelity).withColumn("ref", F.coalesce("held", "own", "ref")).withColumn("content", F.coalesce("part", "content"))
     columns = ["event_id", "ord", "ref", "kind", "content"]
     return rows.filter("fidelity is not null").select(*columns, "fidelity"), rows.filter("fidelity is null").select(*columns)
 

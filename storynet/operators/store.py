@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,6 +115,21 @@ def delete_guard(ids: DataFrame, edges: DataFrame, mapped: DataFrame) -> DataFra
     return rows.withColumn("allowed", (F.col("n_blockers") == 0) & ~F.col("in_map"))
 
 
+def merge_blockers(members: DataFrame, components: DataFrame, edges: DataFrame, extracted: DataFrame, allowed: tuple[str, ...] = ("identity", "entity_management")) -> DataFrame:
+    """Why groups of ``members``(group_id, id, type) may not be merged: group_id, reason. ``components``(id, component), ``edges``(src_id, tgt_id), ``extracted``(id): known to extraction."""
+    ids = members.select("group_id", "id").distinct()
+    shape = members.groupBy("group_id").agg(F.countDistinct("id").alias("n"), F.countDistinct("type").alias("kinds"))
+    row = lambda df, reason: df.select("group_id", F.lit(reason).alias("reason")).distinct()
+    ends = edges.select(F.explode(F.array("src_id", "tgt_id")).alias("id")).distinct()
+    return reduce(DataFrame.unionByName, [
+        row(shape.filter("n < 2"), "fewer_than_two"),
+        row(shape.filter("kinds > 1"), "several_types"),
+        row(ids.join(components.filter(~F.col("component").isin(*allowed)).select("id").distinct(), "id", "left_semi"), "other_components"),
+        row(ids.join(ends, "id", "left_semi"), "edges"),
+        row(ids.join(extracted.select("id").distinct(), "id", "left_semi"), "extraction_state"),
+    ])
+
+
 def merge_entities(members: DataFrame) -> DataFrame:
     """``members``(group_id, id, type, name, aliases, description, created): one entity for each group of two or more of one type.
 
@@ -169,6 +186,11 @@ def batch_resume(log: DataFrame) -> DataFrame:
     return rows.withColumn("stopped", F.coalesce(F.col("first_failed") <= F.col("next_batch"), F.lit(False)))
 
 
+def restore_diagnostics(log: DataFrame, told: DataFrame) -> DataFrame:
+    """``told``(chat_id, batch_ix, ...) of the batches that ``log``(chat_id, batch_ix, committed) has committed, which a resumed run does not repeat."""
+    return told.join(log.filter("committed").select("chat_id", "batch_ix").distinct(), ["chat_id", "batch_ix"], "left_semi")
+
+
 def diagnostics(runs: DataFrame) -> DataFrame:
     """``runs``(chat_id, batch_ix, task, errors, warnings), arrays of text, to rows with a severity."""
     each = lambda c, s: runs.select("chat_id", "batch_ix", "task", F.lit(s).alias("severity"), F.explode(c).alias("message"))

@@ -660,16 +660,19 @@ def event_plan(spark, d):
 
 
 @rule("updated_events", _sql("""select event_id, case when event_id % 3 = 0 then description else 'old' end as description, case when event_id % 4 = 0 then 's' else 'was' end as summary,
-  case event_id % 2 when 0 then 'b|c' else 'a|b' end as participants, case event_id % 5 when 0 then 'x' when 1 then 'x|y' else 'x|y|z' end as details from (select o_orderkey as event_id, o_orderpriority as description from {orders})"""))
+  case event_id % 2 when 0 then 'b|c' else 'a|b' end as participants, case when event_id % 6 = 0 then 'n' else 'l' end as locations, case when event_id % 7 = 0 then 'q|w' else 'q' end as unresolved, case event_id % 5 when 0 then 'x' when 1 then 'x|y' else 'x|y|z' end as details from (select o_orderkey as event_id, o_orderpriority as description from {orders})"""))
 def updated_events(spark, d):
     rows = t.load(spark, d, "select o_orderkey as event_id, o_orderpriority from {orders}")
     detail = lambda *names: "array(" + ", ".join(f"named_struct('id', '{n}', 'content', '{n}', 'ref', 'r')" for n in names) + ")"
-    events = rows.selectExpr("event_id", "'old' as description", "'was' as summary", "array('a', 'b') as participants", f"{detail('x', 'y')} as details")
+    events = rows.selectExpr("event_id", "'old' as description", "'was' as summary", "array('a', 'b') as participants", "array('l') as locations", "array('q') as unresolved", f"{detail('x', 'y')} as details")
     updates = rows.selectExpr("event_id", "case when event_id % 3 = 0 then o_orderpriority else ' ' end as description", "case when event_id % 4 = 0 then 's' end as summary",
-                              "case when event_id % 2 = 0 then array('c', 'b') end as add", "case when event_id % 2 = 0 then array('a') end as remove",
+                              "case when event_id % 2 = 0 then array('c', 'b') end as participants_add", "case when event_id % 2 = 0 then array('a') end as participants_remove",
+                              "case when event_id % 6 = 0 then array('n') end as locations_add", "case when event_id % 6 = 0 then array('l') end as locations_remove",
+                              "case when event_id % 7 = 0 then array('w') end as unresolved_add", "cast(null as array<string>) as unresolved_remove",
                               "case when event_id % 5 = 0 then array('x') end as kept", f"case when event_id % 5 > 1 then {detail('x', 'z')} end as new_details")
     out = segments.apply_event_updates(events, updates)
-    return out.withColumn("participants", F.array_join("participants", "|")).withColumn("details", F.array_join(F.transform("details", lambda x: x["id"]), "|"))
+    out = out.withColumns({c: F.array_join(c, "|") for c in ("participants", "locations", "unresolved")})
+    return out.withColumn("details", F.array_join(F.transform("details", lambda x: x["id"]), "|"))
 
 
 QUERIES = {name: query for name, (query, _) in _RULES.items()}

@@ -153,10 +153,12 @@ def test_relation_rules_find_each_injected_defect(spark):
 
 def test_event_updates_and_summaries(spark):
     detail = "array<struct<id:string,content:string,ref:string>>"
-    events = spark.createDataFrame([("e", "old", "sum", ["a", "b"], [("1", "x", "m1"), ("2", "y", "m1")])], f"event_id string, description string, summary string, participants array<string>, details {detail}")
-    ups = spark.createDataFrame([("e", " ", "new", ["c"], ["a"], ["2"], [("3", "y", "m1"), ("4", "z", "m2")])], f"event_id string, description string, summary string, add array<string>, remove array<string>, kept array<string>, new_details {detail}")
+    lists = lambda *names: ", ".join(f"{n} array<string>" for n in names)
+    events = spark.createDataFrame([("e", "old", "sum", ["a", "b"], ["l"], ["q"], [("1", "x", "m1"), ("2", "y", "m1")])], f"event_id string, description string, summary string, {lists('participants', 'locations', 'unresolved')}, details {detail}")
+    adds = [f"{c}_{x}" for c in ("participants", "locations", "unresolved") for x in ("add", "remove")]
+    ups = spark.createDataFrame([("e", " ", "new", ["c"], ["a"], ["n"], None, None, ["q"], ["2"], [("3", "y", "m1"), ("4", "z", "m2")])], f"event_id string, description string, summary string, {lists(*adds, 'kept')}, new_details {detail}")
     r = segments.apply_event_updates(events, ups).first()
-    assert (r.description, r.summary, r.participants, [d.id for d in r.details]) == ("old", "new", ["b", "c"], ["2", "4"])
+    assert (r.description, r.summary, r.participants, r.locations, r.unresolved, [d.id for d in r.details]) == ("old", "new", ["b", "c"], ["l", "n"], [], ["2", "4"])
 
 
 def test_neighbour_pages_cover_all(spark):
