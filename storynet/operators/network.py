@@ -53,11 +53,16 @@ DERIVED = tuple(c for c, _, _, derived in REF_RULES if derived)
 REF = "struct<id:string,type:string>"
 
 
-def _schema(path: str) -> str:
-    """The type that holds one path, so that parsing reads nothing else."""
-    head, _, rest = path.partition("/")
-    inner = _schema(rest) if rest else REF
-    return f"array<{inner}>" if head == "*" else f"struct<{head}:{inner}>"
+def _schema(paths: list[list[str]]) -> str:
+    """The type that holds some paths of one component, so that parsing reads nothing else."""
+    if [] in paths:
+        return REF
+    heads: dict[str, list[list[str]]] = {}
+    for head, *rest in paths:
+        heads.setdefault(head, []).append(rest)
+    if "*" in heads:
+        return f"array<{_schema(heads['*'])}>"
+    return f"struct<{','.join(f'{h}:{_schema(rest)}' for h, rest in heads.items())}>"
 
 
 _FOUND = "array<struct<path:string,ord:bigint,id:string,type:string,derived:boolean>>"
@@ -79,20 +84,30 @@ def _walk(at: Column, parts: list[str], path: Column, place: Column, derived: bo
     return F.flatten(F.transform(at, inside))
 
 
+def _all_paths(paths: list[tuple[list[str], bool]]):
+    """A function of a parsed component to the references along all its paths (parts, derived)."""
+
+    def found(at: Column) -> Column:
+        walks = [_walk(at, path, F.lit("/data"), F.lit(0).cast("long"), derived) for path, derived in paths]
+        return F.concat(*[F.coalesce(w.cast(_FOUND), F.array().cast(_FOUND)) for w in walks])
+
+    return found
+
+
 def extract_refs(components: DataFrame, rules=REF_RULES) -> DataFrame:
     """Applies reference paths to ``components``(entity_id, entity_type, component, data as JSON text), in one pass.
 
     Returns src_id, src_type, component, path, ord (place in the innermost list), tgt_id, tgt_type, derived.
     A path that a component does not hold gives no row; so does a reference without id.
     """
-    by_component: dict[str, list[Column]] = {}
+    by_component: dict[str, list[tuple[list[str], bool]]] = {}
     for component, path, _, derived in rules:
-        at = F.from_json("data", _schema(path))
-        found = _walk(at, path.split("/"), F.lit("/data"), F.lit(0).cast("long"), derived)
-        by_component.setdefault(component, []).append(F.coalesce(found.cast(_FOUND), F.array().cast(_FOUND)))
+        by_component.setdefault(component, []).append((path.split("/"), derived))
     every = F.array().cast(_FOUND)
-    for component, found in by_component.items():
-        every = F.when(F.col("component") == component, F.concat(*found)).otherwise(every)
+    for component, paths in by_component.items():
+        parsed = F.from_json("data", _schema([path for path, _ in paths]))
+        # a function of an array's only element, so that the row is parsed once for all its paths
+        every = F.when(F.col("component") == component, F.transform(F.array(parsed), _all_paths(paths))[0]).otherwise(every)
     rows = components.filter(F.col("component").isin(*by_component)).select(
         F.col("entity_id").alias("src_id"), F.col("entity_type").alias("src_type"), "component", F.inline(every)
     )
