@@ -446,3 +446,19 @@ def dedup(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return dedup(docs, with_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+SQL = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents where doc_id is not null),
+w as (select doc_id, i, substring(h, cast(2 * i + 1 as int), 200) as s from (select *, unnest(range(0, n - 99)) as i from d)),
+f as (select doc_id, i, first_value(doc_id) over o as d0, first_value(i) over o as i0 from w window o as (partition by s order by doc_id, i)),
+r as (select doc_id, i, coalesce(i - lag(i) over (partition by doc_id order by i) > 100, true) as fresh from f where doc_id <> d0 or i <> i0),
+g as (select doc_id, i, sum(cast(fresh as int)) over (partition by doc_id order by i) as k from r),
+s as (select doc_id, k, min(i) as a, max(i) + 100 as e from g group by all),
+p as (select doc_id, a, e, coalesce(lag(e) over (partition by doc_id order by a), 0) as before from s),
+t as (select doc_id, cast(sum(e - a) as bigint) as n_removed, count(*) as n_spans, max(e) as last,
+    string_agg(substring(h, cast(2 * before + 1 as int), cast(2 * (a - before) as int)), '' order by a) as head from p join d using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(head, '') || substring(h, cast(2 * coalesce(last, 0) + 1 as int)))) as kept_sha256
+from d left join t using (doc_id)
+"""
