@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,16 +117,22 @@ def recall_packs(requests: DataFrame, events: DataFrame, max_events: int = 5, ma
     known = requests.join(events.select("event_id"), "event_id", "left_semi")
     chosen = known.withColumn("rank", rank).filter(F.col("rank") <= max_events)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        listed = [json.loads(b) for b in pdf["body"]]
-        wanted = {e.get("id"): list(d) for e, d in zip(listed, pdf["details"], strict=True) if d is not None}
-        pack = pack_events(listed, max_events, max_details, max_chars, wanted)
-        text = json.dumps(pack, ensure_ascii=False, separators=(",", ":"))
-        return pd.DataFrame([(pdf["request_id"].iloc[0], len(pack["events"]), len(text), text)], columns=["request_id", "n_events", "used_chars", "pack"])
-
-    keep = chosen.join(events.select("event_id", "body"), "event_id").select("request_id", "rank", "details", "body")
-    return keep.groupBy("request_id").applyInPandas(fold, "request_id string, n_events long, used_chars long, pack string")
+    def fold(batches):
+        for b in batches:
+            out = []
+            for rows in b.column("rows").to_pylist():
+                listed = [json.loads(r["body"]) for r in rows]
+                wanted = {e.get("id"): r["details"] for e, r in zip(listed, rows, strict=True) if r["details"] is not None}
+                pack = pack_events(listed, max_events, max_details, max_chars, wanted)
+                text = json.dumps(pack, ensure_ascii=False, separators=(",", ":"))
+                out.append((len(pack["events"]), len(text), text))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("request_id"), *made], ["request_id", "n_events", "used_chars", "pack"])
+
+    keep = chosen.join(events.select("event_id", "body"), "event_id")
+    rows = keep.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("rank", "details", "body"))).alias("rows"))
+    return rows.mapInArrow(fold, "request_id string, n_events long, used_chars long, pack string")
 
 
 def stage_lookup(values: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -170,19 +172,18 @@ def _join(old, new):
     return a + [x for x in b if x not in a]
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    import json
-
+def _fold(steps: list[dict]) -> tuple[str, int, str]:
+    """The value after all updates in order, the number of archived ones, and these."""
     value, archive = None, []
-    for row in pdf.sort_values("ord").itertuples():
-        new = json.loads(row.value)
-        if row.relationship == "revise" and value is not None:
+    for row in steps:
+        new = json.loads(row["value"])
+        if row["relationship"] == "revise" and value is not None:
             archive.append(value)
             value = _deep(value, new)
         else:
             value = _join(value, new)
     text = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True)
-    return pd.DataFrame([(pdf["entity_id"].iloc[0], pdf["field"].iloc[0], text(value), len(archive), text(archive))], columns=["entity_id", "field", "value", "n_revisions", "revisions"])
+    return text(value), len(archive), text(archive)
 
 
 def field_updates(updates: DataFrame) -> DataFrame:
@@ -190,7 +191,17 @@ def field_updates(updates: DataFrame) -> DataFrame:
 
     revise archives an existing value and patches it deeply (lists are replaced); anything else supplements it.
     """
-    return updates.groupBy("entity_id", "field").applyInPandas(_fold, _FIELDS)
+
+    def fold(batches):
+        for b in batches:
+            out = [_fold(x) for x in b.column("steps").to_pylist()]
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            types = (pa.string(), pa.int64(), pa.string())
+            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("entity_id"), b.column("field"), *made], ["entity_id", "field", "value", "n_revisions", "revisions"])
+
+    steps = F.array_sort(F.collect_list(F.struct("ord", "relationship", "value")))
+    return updates.groupBy("entity_id", "field").agg(steps.alias("steps")).mapInArrow(fold, _FIELDS)
 
 
 def _united(rows: DataFrame, column: str, order: str = "ord") -> Column:

@@ -240,3 +240,10 @@ SQL |= {
       select '1' as chat_id, id as mention_id, case when reason is not null then 'unresolved' when direct or n = 1 then 'update' else 'create' end as action, reason,
         case when reason is null then case when direct then key when n = 1 then one else key end end as target_key from r""",
 }
+SQL["field_updates"] = """with o as (select cast(o_custkey as varchar) as entity_id, o_orderstatus as field, o_orderkey as ord, o_orderkey % 3 = 0 as rev,
+    '"' || trim(case when o_orderkey % 4 = 0 then ' ' else o_orderpriority || cast(o_orderkey % 7 as varchar) end) || '"' as note, cast(o_orderkey % 5 as varchar) as n from orders),
+  s as (select *, sum(case when rev and ord > first then 1 else 0 end) over (partition by entity_id, field order by ord) as seg from (select *, min(ord) over (partition by entity_id, field) as first from o)),
+  u as (select entity_id, field, seg, x.k as k, x.v as v, min(ord) as place from (select *, unnest([{'k': 'n', 'v': n}, {'k': 'note', 'v': note}]) as x from s) group by all),
+  v as (select entity_id, field, seg, k, case when count(*) = 1 then min(v) else '[' || string_agg(v, ', ' order by place) || ']' end as v from u group by all),
+  w as (select entity_id, field, seg, '{"n": ' || min(v) filter (k = 'n') || ', "note": ' || min(v) filter (k = 'note') || '}' as v from v group by entity_id, field, seg)
+  select entity_id, field, max_by(v, seg) as value, cast(max(seg) as bigint) as n_revisions, '[' || coalesce(string_agg(v, ', ' order by seg) filter (seg < last), '') || ']' as revisions from (select *, max(seg) over (partition by entity_id, field) as last from w) group by entity_id, field"""
