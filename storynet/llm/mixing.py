@@ -79,8 +79,9 @@ def _ranked(rows: DataFrame, goal: DataFrame, seed: str) -> DataFrame:
     u, p = uniform(F.col("name"), seed), F.col("p")
     own = p + TILT * p * (1 - p) * F.when(F.col("wide") > 0, (digits(F.col("size")) - F.col("mean")) / F.col("wide")).otherwise(0.0)
     rows = join_hot(rows, goal, "key", "n_docs").withColumn("own", own)
-    rows = rows.withColumn("rank", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("own") / (1 - F.col("own")))))
-    return rows.withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
+    # x / (1 - x) as 1 / (1 / x - 1): each value is written once, so that the generated code stays small enough to be compiled
+    rows = rows.withColumn("rank", F.when(F.col("p") > 0, (1 / F.col("own") - 1) / (1 / u - 1)))
+    return rows.withColumn("bucket", F.floor(BUCKETS / (1 / F.col("rank") + 1)).cast("int"))
 
 
 def mix(
@@ -171,7 +172,7 @@ h as (select d.*, source_size, target, floor(rate) as sure, rate - floor(rate) a
     (cast('0x' || substr(md5(name || ':{SEED}'), 1, 13) as bigint) + 0.5::double) / 4503599627370496.0::double as u
   from d join g on d.source is not distinct from g.source),
 i as (select *, p + {TILT}::double * p * (1 - p) * tilt as own from h),
-q as (select *, case when p > 0 then (u / (1 - u)) / (own / (1 - own)) end as rank from i),
+q as (select *, case when p > 0 then (1 / own - 1) / (1 / u - 1) end as rank from i),
 c as (select *, sum(size) over (partition by source order by rank, name, size rows between unbounded preceding and current row)
     - size / 2 as middle from q)
 select doc_id, cast(size as bigint) as size, source_size, target,
