@@ -201,13 +201,16 @@ def _bit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bit", F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << BITS)))
 
 
-def _bitmap(rows: DataFrame):
-    """A broadcast bit table, 2**BITS bits whatever the rows, of the rows (doc_id, key): it lets some others through, and none of them is missed."""
-    size = 4096  # bytes of Spark's bitmaps
+def _bitmaps(rows: DataFrame) -> DataFrame:
+    """n, bits: a bit table of the rows (doc_id, key) in maps of 2**15 bits, together 2**BITS bits whatever the rows: it lets some others through, and none of them is missed."""
     place = F.col("bit") + 1  # buckets and places count from 1
-    parts = _bit(rows).groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    table = bytearray((1 << BITS) // 8)
-    for r in parts:
+    return _bit(rows).groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+
+
+def _bitmap(rows: DataFrame):
+    """The bit table of ``_bitmaps`` for Python workers."""
+    size, table = 4096, bytearray((1 << BITS) // 8)  # bytes of one of Spark's bitmaps, and of all
+    for r in _bitmaps(rows).collect():
         table[(r.n - 1) * size : r.n * size] = r.bits
     return rows.sparkSession.sparkContext.broadcast(bytes(table))
 
@@ -369,8 +372,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
     gone = join_hot(out, first, "component", "n").filter(F.struct("doc_id", "key") != F.col("first")).select("doc_id", "key", F.lit(True).alias("gone"))
     twice = out.groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key", F.lit(False).alias("gone"))
     marks = saved(gone.unionByName(twice).groupBy("doc_id", "key").agg(F.max("gone").alias("gone")))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", _text_key(F.col("text")).alias("key")).join(marks, ["doc_id", "key"], "left")
-    kept = rows.filter("gone is null").select("row")
+    # only rows whose bit is set can be marked: the others need no shuffle
+    rows = _bit(docs.select(F.struct("*").alias("row"), "doc_id", _text_key(F.col("text")).alias("key")))
+    rows = rows.withColumn("n", F.floor(F.col("bit") / (1 << 15)) + 1).join(F.broadcast(_bitmaps(marks)), "n", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit % 32768 / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    is_set = F.coalesce(F.expr("shiftright(byte, cast(bit % 8 as int)) % 2") == 1, F.lit(False))
+    rows = rows.withColumn("byte", byte).withColumn("is_set", is_set)
+    clear = rows.filter("not is_set").select("row")
+    rows = rows.filter("is_set").select("row", "doc_id", "key").join(marks, ["doc_id", "key"], "left")
+    kept = clear.unionByName(rows.filter("gone is null").select("row"))
     if marks.filter("not gone").head(1):
         again = rows.filter("not gone").groupBy("doc_id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
         kept = kept.unionByName(again.select("row"))
