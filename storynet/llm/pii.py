@@ -421,8 +421,10 @@ def train(found: DataFrame) -> Classifier:
         model.w[-1] = -30.0
         return model
     _, p = reliabilities(np.array([r[0] for r in seen], int), np.array([r[1] for r in seen], float))
-    told = found.sparkSession.createDataFrame([(r[0], float(x)) for r, x in zip(seen, p, strict=True)], "pattern int, p double")
-    sums = spans.join(F.broadcast(told), "pattern").groupBy("looks").agg(F.count("*"), F.avg("p")).collect()  # CODES rows at most
+    every = np.zeros(PATTERNS)
+    every[[r[0] for r in seen]] = p
+    told = F.get(F.array(*map(F.lit, every.tolist())), F.col("pattern"))  # PATTERNS numbers
+    sums = spans.groupBy("looks").agg(F.count("*"), F.avg(told)).collect()  # CODES rows at most
     codes, n, rate = (np.array(c) for c in zip(*sorted(sums), strict=True))
     return model.fit(codes.astype(np.int64), n.astype(float), rate)
 
