@@ -16,6 +16,7 @@ _MODULES: dict[str, str] = {
     "mixing": "op8_mixing",
     "quality": "op9_quality",
     "suffix_dedup": "op10_suffix_dedup",
+    "centroids": "op11_centroids",
 }
 
 QUERIES = {name: import_module(f"storynet.llm.{module}").query for module, name in _MODULES.items()}
