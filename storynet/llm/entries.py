@@ -17,6 +17,8 @@ _MODULES: dict[str, str] = {
     "quality": "op9_quality",
     "suffix_dedup": "op10_suffix_dedup",
     "centroids": "op11_centroids",
+    "hard_negatives": "op12_hard_negatives",
+    "hash_forest": "op13_hash_forest",
 }
 
 QUERIES = {name: import_module(f"storynet.llm.{module}").query for module, name in _MODULES.items()}
