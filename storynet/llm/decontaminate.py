@@ -1,22 +1,25 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
 Texts are compared as UTF-8 bytes, lower-cased, with each run of ASCII
-characters that are neither letters nor digits as one space, and a space before
-and after, so that an item begins and ends where words do. A document holds an
-item if some part of it is within e edits of the whole item with its two spaces,
-e = ``RATE`` of the item's length. An item of fewer than ``LEAST`` words is no
-evidence of a leak and is not looked for. An item is split into e + 1 pieces; e edits leave at least one of
-them whole, so every such part has an exact piece hit in its place. An
-Aho-Corasick automaton finds the hits in one pass over a text, and around each
-hit Myers' bit-parallel algorithm computes the least edit distance. No match
-within the budget is missed.
+characters that are neither letters nor digits as one space. Scripts that are
+written without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese) get a space
+where a run of them begins or ends. An item whose first or last character is of
+another script has a space there too, so that it begins and ends where words do;
+within a run of those scripts it may begin and end anywhere. A document holds an
+item if some part of it is within e edits of the whole item with its spaces,
+e = ``RATE`` of the item's length without them. Items of every length are looked
+for; what counts as evidence of a leak is up to the caller (``least``, in bytes of
+the compared item: 0 here, ``EVIDENCE`` where documents are dropped). An item is
+split into e + 1 pieces; e edits leave at least one of them whole, so every such
+part has an exact piece hit in its place. An Aho-Corasick automaton finds the hits
+in one pass over a text, and around each hit Myers' bit-parallel algorithm computes
+the least edit distance. No match within the budget is missed.
 
 The items are the stated query set. They go to the tasks in blocks of at most
 ``BLOCK_BYTES`` of text, each broadcast, so what is broadcast has a bound; each
 further block is another map over the documents. Nothing is shuffled.
 
-Defined cases: null, empty or unprintable texts and items match nothing, nor do
-items of fewer than ``LEAST`` words; copies
+Defined cases: null, empty or unprintable texts and items match nothing; copies
 of an item are items of their own; a repeated row is matched each time; an empty
 table gives an empty result. All columns pass through as one struct, so their
 names cannot clash.
@@ -25,6 +28,7 @@ names cannot clash.
 from __future__ import annotations
 
 import math
+import re
 
 import ahocorasick
 import pyarrow as pa
@@ -33,15 +37,33 @@ from pyspark.sql import functions as F
 
 from storynet.llm.common import ready, small, table
 
-RATE, LEAST, BLOCK_BYTES = 0.06, 3, 8 << 20
+RATE, BLOCK_BYTES = 0.06, 8 << 20
+#: Bytes of an item, as it is compared, from which a document that holds it is dropped.
+EVIDENCE = 16
 HITS = "array<struct<item_id:bigint,distance:int>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+#: Blocks of Unicode whose scripts are written without blanks.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_RUN, _INSIDE = re.compile(f"[{_UNSPACED}]+"), re.compile(f"[{_UNSPACED}]")
+
+
 def normal(text: str | None) -> str:
     """What is compared, a character for each byte."""
-    return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_TABLE).split()).decode("latin-1")
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _RUN.sub(r" \g<0> ", text)
+    return b" ".join(text.encode("utf-8", "replace").translate(_TABLE).split()).decode("latin-1")
+
+
+def edged(item: str | None) -> tuple[str, int]:
+    """An item as it is looked for, with a space at each end where a word ends, and its length without these."""
+    plain = normal(item)
+    text = plain.encode("latin-1").decode("utf-8", "replace")
+    before, after = ("" if not text or _INSIDE.match(c) else " " for c in (text[:1], text[-1:]))
+    return f"{before}{plain}{after}", len(plain)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -77,8 +99,8 @@ def least_distance(item: str, text: str, most: int) -> int:
 class Matcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, least: int = LEAST):
-        self.items = [(i, f" {x} ", math.floor(rate * len(x))) for i, t in items if (x := normal(t)) and x.count(" ") + 1 >= least]
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, least: int = 0):
+        self.items = [(i, x, math.floor(rate * n)) for i, t in items for x, n in [edged(t)] if n >= max(least, 1)]
         keys: dict[str, list[tuple[int, int]]] = {}
         for k, (_, x, e) in enumerate(self.items):
             for at, piece in pieces(x, e):
@@ -117,8 +139,8 @@ class Matcher:
         return sorted(found)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, least: int = LEAST) -> DataFrame:
-    """row, a struct of all columns of ``docs``, and hits, the items (item_id, distance) that its text holds."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, least: int = 0) -> DataFrame:
+    """row, a struct of all columns of ``docs``, and hits, the items (item_id, distance) of at least ``least`` bytes that its text holds."""
     spark = docs.sparkSession
     ready(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and length(text) > 0")

@@ -22,9 +22,9 @@ vectors, n vectors and m queries are sent n * m / c + m * n / c rows at most.
 Defined cases: a null vector or one with a null, NaN or infinite component takes
 no part, neither does a null id; the table's vectors have the length that most of
 them have (the greater one of two), and vectors of another length, empty ones
-too, take no part; of rows that repeat a vec_id the least vector in array order
-stands for all; candidates with the query's own id are left out; equal scores go
-to the smaller id; fewer candidates than k give fewer rows; an empty table gives
+too, take no part; rows that repeat a vec_id are candidates and queries of their
+own, and a query leaves out its own row only (of rows that agree in id and vector,
+one is its own); equal scores go to the smaller id; fewer candidates than k give fewer rows; an empty table gives
 an empty result. Other columns are not read.
 """
 
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from storynet.llm.common import saved, table
 
 BUCKETS, CELL_BYTES, COORDINATE_FROM, COORDINATES, SLACK = 32, 4 << 20, 0.2, 4, 1e-6
-_OUT = "query_id long, vec_id long, score double"
+_OUT = "query_id long, own long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -58,9 +58,10 @@ def _matrix(v: pd.Series) -> np.ndarray:
 class Bucket:
     """A group of vectors with what pruning needs; lists of a coordinate are sorted when first asked for."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
+        self.rows = np.zeros(len(ids), np.int64) if rows is None else rows[order]
         self.norm = np.sqrt((self.x**2).sum(1))
         self.longest = self.norm.max()
         self.unit = self.x / np.where(self.norm > 0, self.norm, 1)[:, None]
@@ -100,11 +101,11 @@ class Bucket:
             left = left[(u >= low - SLACK) & (u <= high + SLACK)]
         return np.sort(left)
 
-    def best(self, own: int, q: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, smaller ids first among equals."""
+    def best(self, own: int, q: np.ndarray, bound: float, k: int, row: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best but the row ``row`` of the id ``own``, smaller ids first among equals."""
         at = self.survivors(q, bound)
-        ids, score = (self.ids, self.x @ q) if at is None else (self.ids[at], self.x[at] @ q)
-        other = ids != own
+        ids, rows, score = (self.ids, self.rows, self.x @ q) if at is None else (self.ids[at], self.rows[at], self.x[at] @ q)
+        other = (ids != own) | (rows != row)
         ids, score = ids[other], score[other]
         if len(score) > k:
             least = np.partition(score, len(score) - k)[len(score) - k]
@@ -117,26 +118,28 @@ def _meet(k: int):
     def meet(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(vectors) and len(queries):
-            bucket = Bucket(vectors["vec_id"].to_numpy(), _matrix(vectors["v"]))
-            for own, q, bound in zip(queries["query_id"], _matrix(queries["v"]), queries["bound"], strict=True):
-                ids, score = bucket.best(own, q, bound, k)
-                parts.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": score}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            bucket = Bucket(vectors["vec_id"].to_numpy(), _matrix(vectors["v"]), vectors["row"].to_numpy())
+            for name, row, q, bound in zip(queries["query_id"], queries["own"], _matrix(queries["v"]), queries["bound"], strict=True):
+                ids, score = bucket.best(name, q, bound, k, row)
+                parts.append(pd.DataFrame({"query_id": name, "own": row, "vec_id": ids, "score": score}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "own": [], "vec_id": [], "score": []}).astype({c: "int64" for c in ("query_id", "own", "vec_id")})
 
     return meet
 
 
 def _pass(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best of each group for each query; ``vectors``(group, blocks, vec_id, v), ``queries``(block, groups, query_id, v, bound)."""
-    left = vectors.select("group", F.explode("blocks").alias("block"), "vec_id", "v")
-    right = queries.select("block", F.explode("groups").alias("group"), "query_id", "v", "bound")
+    """The k best of each group for each query; ``vectors``(group, blocks, vec_id, row, v), ``queries``(block, groups, query_id, own, v, bound)."""
+    left = vectors.select("group", F.explode("blocks").alias("block"), "vec_id", "row", "v")
+    right = queries.select("block", F.explode("groups").alias("group"), "query_id", "own", "v", "bound")
     return left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInPandas(_meet(k), _OUT)
 
 
-def _one_each(vectors: DataFrame, length: int) -> DataFrame:
-    """vec_id, v, norm of the vectors of a length, one for each id, saved."""
-    one = vectors.filter(F.size("v") == length).groupBy("vec_id").agg(F.min("v").alias("v"))
-    return saved(one.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))))
+def _numbered(vectors: DataFrame, length: int) -> DataFrame:
+    """vec_id, v, row, norm of the vectors of a length, saved. ``row`` tells rows of one id apart, alike in vectors and queries: a digest of the vector and which of its copies it is."""
+    sized = vectors.filter(F.size("v") == length)
+    again = F.row_number().over(W.partitionBy("vec_id", "v").orderBy(F.lit(1)))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return saved(sized.withColumn("again", again).select("vec_id", "v", F.xxhash64("again", "v").alias("row"), norm.alias("norm")))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -144,7 +147,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     vectors, queries = (usable(df).select("vec_id", F.col("v").cast("array<double>").alias("v")) for df in (vectors, queries))
     common = vectors.filter(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     length = common.n if common else -1
-    vectors, queries = _one_each(vectors, length), _one_each(queries, length)
+    vectors, queries = _numbered(vectors, length), _numbered(queries, length)
     n, n_queries, cell = vectors.count(), queries.count(), max(CELL_BYTES // (8 * max(length, 1)), 1)
     n_buckets = max(1, min(BUCKETS, n // 256))
     cuts = sorted(set(vectors.approxQuantile("norm", [i / n_buckets for i in range(1, n_buckets)], 0.01))) if n_buckets > 1 else []
@@ -158,16 +161,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     first = [sum(parts[:b]) for b in numbers]
     blocks = max(1, -(-n_queries // cell))
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("bucket") + 1)
-    group = (of(first) + F.pmod(F.xxhash64("vec_id"), of(parts))).cast("int")
-    grouped = vectors.select(group.alias("group"), "bucket", "vec_id", "v")
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    asked = queries.select(block.alias("block"), F.col("vec_id").alias("query_id"), "v", "norm")
+    group = (of(first) + F.pmod(F.xxhash64("vec_id", "row"), of(parts))).cast("int")
+    grouped = vectors.select(group.alias("group"), "bucket", "vec_id", "row", "v")
+    block = F.pmod(F.xxhash64("vec_id", "row"), F.lit(blocks)).cast("int")
+    asked = queries.select(block.alias("block"), F.col("vec_id").alias("query_id"), F.col("row").alias("own"), "v", "norm")
     none = float("-inf")
 
     probe = grouped.filter(F.col("group") == first[-1]).withColumn("blocks", F.sequence(F.lit(0), F.lit(blocks - 1)))
     probed = _pass(probe, asked.select("*", F.lit(none).alias("bound"), F.array(F.lit(first[-1])).alias("groups")), k)
-    bounds = probed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(none).alias("bound"))
-    asked = asked.join(bounds, "query_id", "left").fillna(none, ["bound"])
+    bounds = probed.groupBy("query_id", "own").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(none).alias("bound"))
+    asked = asked.join(bounds, ["query_id", "own"], "left").fillna(none, ["bound"])
     need = F.when((F.col("bound") > 0) & (F.col("norm") > 0), F.col("bound") / F.col("norm") * (1 - SLACK)).otherwise(0.0)
     asked = saved(asked.withColumn("need", need))
     reach = F.size(F.filter(F.array(*map(F.lit, longest)), lambda x: x < F.col("need")))  # buckets are in order of length
@@ -177,7 +180,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     met = [[b for b in range(blocks) if b in needs and needs[b] <= x] for x in longest]
     by_bucket = F.array(*[F.array(*map(F.lit, m)).cast("array<int>") for m in met])
     found = _pass(grouped.withColumn("blocks", F.element_at(by_bucket, F.col("bucket") + 1)), asked.withColumn("groups", groups), k)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -190,10 +193,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+s as (select q.r, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.r <> c.r where q.vec_id % 50 = 0)
 select query_id, cast(rank as int) as rank, vec_id, score from (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+  select *, row_number() over (partition by r order by score desc, vec_id) as rank from s) where rank <= 5
 """

@@ -88,7 +88,10 @@ def test_top_k_of_odd_and_repeated_vectors(spark):
     rows = [(1, [1.0, 2.0]), (2, [3.0, 1.0]), (3, []), (4, [1.0]), (5, None), (6, [1.0, None]), (2, [3.0, 1.0]), (7, [0.0, 0.0]), (1, [1.0, 2.0]), (8, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k.top_k(df, df.filter("vec_id in (1, 3)"), 3).collect())
-    assert got == [(1, 1, 2, 5.0), (1, 2, 8, 3.0), (1, 3, 7, 0.0)]
+    assert got == [*[(1, 1, 1, 5.0)] * 2, *[(1, 2, 2, 5.0)] * 2, *[(1, 3, 2, 5.0)] * 2]  # each row of id 1 leaves out itself only
+    several = spark.createDataFrame([(1, [1.0, 2.0]), (1, [9.0, 9.0]), (2, [1.0, 1.0]), (50, [1.0, 1.0])], "vec_id long, v array<double>")
+    asked = top_k.top_k(several, several.filter("vec_id = 50")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in asked] == [(1, 18.0), (1, 3.0), (2, 2.0)]
     assert top_k.top_k(spark.createDataFrame([(1, []), (2, [])], "vec_id long, v array<double>"), df).count() == 0
 
 
@@ -220,9 +223,37 @@ def test_decontaminate_short_items_and_word_boundaries(spark):
     docs = spark.createDataFrame([(1, "a party of three men came"), (2, "ART of war"), (3, "start of warning"), (4, "the art, of war!")], TEXTS)
     bench = spark.createDataFrame([(7, "art"), (8, "art of war"), (9, "of war")], "item_id long, text string")
     got = {r.row.doc_id: [h.item_id for h in r.hits] for r in decontaminate.with_hits(docs, bench).collect()}
-    assert got == {1: [], 2: [8], 3: [], 4: [8]}
-    loose = decontaminate.with_hits(docs, bench, least=1).collect()
-    assert {r.row.doc_id: [h.item_id for h in r.hits] for r in loose} == {1: [], 2: [7, 8, 9], 3: [], 4: [7, 8, 9]}
+    assert got == {1: [], 2: [7, 8, 9], 3: [], 4: [7, 8, 9]}
+    strict = decontaminate.with_hits(docs, bench, least=10).collect()
+    assert {r.row.doc_id: [h.item_id for h in r.hits] for r in strict} == {1: [], 2: [8], 3: [], 4: [8]}
+
+
+def test_decontaminate_in_scripts_without_blanks(spark):
+    chinese, japanese, thai, mixed = "春江潮水连海平海上明月共潮生滟滟随波千里", "さくらさくらやよいのそらは", "สวัสดีชาวโลกทั้งหลาย", "GPT模型的训练数据"
+    items = [(1, chinese), (2, japanese), (3, thai), (4, mixed), (5, "月"), (6, "yes"), (7, "Genau so."), (8, "café")]
+    texts = {
+        1: f"他说{chinese}然后走了", 2: f"A {chinese[:8]}x{chinese[9:]} b", 3: f"「{japanese}」", 4: f"ก{thai}ก", 5: f"关于{mixed}。", 6: "xgpt模型的训练数据", 7: "oh, YES!", 8: "yesterday", 9: "genau  so", 10: "cafés",
+        11: "un café.", 12: f"{chinese[:10]}。{chinese[10:]}", 13: chinese[:12],
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], TEXTS)
+    got = {r.row.doc_id: [(h.item_id, h.distance) for h in r.hits] for r in decontaminate.with_hits(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[1] == [(1, 0), (5, 0)] and got[3] == [(2, 0)] and got[4] == [(3, 0)] and got[5] == [(4, 0)] and got[6] == [(4, 1)]
+    assert got[2] == [] or got[2][0][0] == 1  # a character of three bytes and its spaces are more edits than 6 % of 60 bytes
+    assert got[7] == [(6, 0)] and got[8] == [] and got[9] == [(7, 0)] and got[10] == [] and got[11] == [(8, 0)] and got[13] == [(5, 0)]
+    for i, t in texts.items():  # against a plain table of distances, with the same spaces
+        want = {}
+        for k, x in items:
+            edged, size = decontaminate.edged(x)
+            text = f" {decontaminate.normal(t)} "
+            last = [0] * (len(text) + 1)
+            for a, c in enumerate(edged, 1):
+                row = [a]
+                for b, e in enumerate(text, 1):
+                    row.append(min(last[b] + 1, row[-1] + 1, last[b - 1] + (c != e)))
+                last = row
+            if min(last) <= int(decontaminate.RATE * size):
+                want[k] = min(last)
+        assert dict(got[i]) == want
 
 
 def test_mixing_prefers_longer_documents_and_splits_null_ids(spark):
