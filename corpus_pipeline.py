@@ -28,8 +28,8 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark item; items under ``EVIDENCE`` bytes, which any text may hold, are no reason to drop one."""
+    hits = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), least=decontaminate.EVIDENCE)
     return hits.filter(F.size("hits") == 0).select("row.*")
 
 
