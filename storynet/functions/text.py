@@ -146,3 +146,13 @@ def hard_round_boundaries(blocks: DataFrame, forming: DataFrame) -> DataFrame:
     hard = kind["reset"] | kind["lodging"] | (F.col("place_changed") & (kind["arrival"] | kind["exit"] | kind["activity"]))
     rows = blocks.join(forming.select("chat_id", F.lit(True).alias("open")).distinct(), "chat_id", "left")
     return rows.filter(hard & ((F.col("ix") > 0) | F.coalesce("open", F.lit(False)))).select("chat_id", "ix")
+
+
+def stripped(c: Column | str) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
+def letters(c: Column | str) -> Column:
+    """Letters and digits only, of any script: what decides whether one text contains another."""
+    return F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from storynet.operators import evaluate, recall, rounds, segments
+from storynet.functions.shared import shared_dir
+from storynet.operators import evaluate, event_state, recall, rounds, segments
 from storynet.plans.store_queries import messages
 from storynet.sources import tables as t
 from storynet.streaming import events as streaming
+from storynet.streaming import state
 
 
 def _starts(spark, d):
@@ -148,7 +152,35 @@ def stream_due(spark, d):
     return streaming.run_to_table(streaming.due_chats(rows, 10, 4))
 
 
+def _plan(spark, d):
+    """The segments of all batches with their messages as refs, and a text for some."""
+    _, starts = _starts(spark, d)
+    rows = segments.build_segments(starts)
+    refs = F.transform(F.sequence("first_source", F.coalesce("last_source", F.lit(7))), lambda i: F.concat(F.lit("m"), F.col("batch_ix").cast("string"), F.lit("."), i.cast("string")))
+    text = F.when(F.col("slot") != "pending_tail", F.concat(F.col("batch_ix").cast("string"), F.lit("/"), F.col("seg_ix").cast("string")))
+    none = F.lit(None).cast("string")
+    return rows.select("chat_id", F.col("batch_ix").cast("int").alias("batch_ix"), F.col("seg_ix").cast("int").alias("seg_ix"), "slot", "disposition", refs.alias("source_refs"), none.alias("start_anchors"), none.alias("end_anchors"), text.alias("description"), text.alias("story_summary"))
+
+
+def _flat(events):
+    return events.select("chat_id", "event_no", "status", F.array_join("source_refs", ",").alias("refs"), F.size("source_slices").cast("long").alias("n_slices"))
+
+
+def event_state_table(spark, d):
+    return _flat(event_state.event_state(_plan(spark, d)))
+
+
+def stream_final_events(spark, d):
+    """The same events from a stream over the plan, once they are final."""
+    plan = _plan(spark, d)
+    folder = f"{shared_dir(spark)}/plan-{uuid.uuid4().hex}"
+    plan.write.parquet(folder)
+    return _flat(streaming.run_to_table(state.final_events(spark.readStream.schema(plan.schema).parquet(folder))))
+
+
 QUERIES = {
+    "event_state": event_state_table,
+    "stream_final_events": stream_final_events,
     "roster_asof": roster_asof,
     "segments": segment_table,
     "clipped_messages": clipped,
@@ -176,8 +208,20 @@ _ST = f"""ev as (select *, (event_no - 1) // 8 as batch_ix, (event_no - 1) % 8 a
   sg as (select *, row_number() over w - 1 as seg_ix, lead(source_ix) over w as last_source, lead(offs) over w as end_offset from st window w as (partition by chat_id, batch_ix order by source_ix, offs)),
   sl as (select *, case when seg_ix = 0 and continues and disposition = 'merge_into_pending' then 'pending_tail' when seg_ix = 0 and continues then 'forming_existing'
     else 'new_' || cast(sum(case when seg_ix = 0 and continues then 0 else 1 end) over (partition by chat_id, batch_ix order by seg_ix) as varchar) end as slot from sg)"""
+_STATE = f"""with {_ST}, x as (select *, sum(case when starts_with(slot, 'new_') then 1 else 0 end) over (partition by chat_id order by batch_ix, seg_ix) as raw, bool_or(starts_with(slot, 'new_')) over (partition by chat_id, batch_ix) as opens from sl),
+  j as (select chat_id, raw - case when starts_with(slot, 'new_') then 1 else 0 end as raw, batch_ix as joined_at from x where seg_ix = 0 and opens and disposition = 'merge_into_pending' and raw - case when starts_with(slot, 'new_') then 1 else 0 end > 1),
+  e as (select chat_id, raw, joined_at, last_value(case when joined_at is null then raw end ignore nulls) over (partition by chat_id order by raw) as own from (select distinct chat_id, raw from x where raw > 0) left join j using (chat_id, raw)),
+  r as (select x.*, own, greatest(joined_at, batch_ix) as since, joined_at is null or joined_at <= batch_ix as late, unnest(range(source_ix, coalesce(last_source, 7) + 1)) as i from x join e using (chat_id, raw)),
+  o as (select chat_id, own, batch_ix, i, row_number() over (partition by chat_id, own order by since, late, batch_ix, seg_ix, i) as n, batch_ix * 1000 + seg_ix as slice from r),
+  f as (select chat_id, own, 'm' || batch_ix || '.' || i as ref, min(n) as n from o group by all),
+  g as (select chat_id, own, string_agg(ref, ',' order by n) as refs from f group by all),
+  k as (select chat_id, own, count(distinct slice) as n_slices from o group by all),
+  ranked as (select chat_id, own, row_number() over (partition by chat_id order by own desc) as p from g)
+  select chat_id, cast(own as bigint) as event_no, case p when 1 then 'forming' when 2 then 'pending_finalization' else 'finalized' end as status, refs, n_slices from g join k using (chat_id, own) join ranked using (chat_id, own)"""
 _M = t.oracle(t.MESSAGES)
 SQL = {
+    "event_state": _STATE,
+    "stream_final_events": f"select * from ({_STATE}) where status = 'finalized'",
     "roster_asof": f"""with {_ST}, r as (select chat_id, batch_ix, 'k' || cast(event_id % 3 as varchar) as key, source_ix, 2 as offs from ev where event_type = 'view')
       select distinct chat_id, batch_ix, m.s as source_ix, m.o as offset, key from (select r.chat_id, r.batch_ix, key, (select max({{'s': st.source_ix, 'o': st.offs}}) from st where st.chat_id = r.chat_id and st.batch_ix = r.batch_ix
         and (st.source_ix, st.offs) <= (r.source_ix, r.offs)) as m from r) where m is not null""",

@@ -159,24 +159,35 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_commit(tables: dict[str, DataFrame], folder: str, batch_key: str) -> bool:
+def _manifest(spark: SparkSession, folder: str, batch_key: str):
+    return _files(spark, f"{folder}/_commits/{hashlib.sha256(batch_key.encode()).hexdigest()}.json")
+
+
+def is_committed(spark: SparkSession, folder: str, batch_key: str) -> bool:
+    at, fs = _manifest(spark, folder, batch_key)
+    return fs.exists(at)
+
+
+def write_commit(tables: dict[str, DataFrame], folder: str, batch_key: str, partition_by: str | None = None) -> bool:
     """Writes all tables of one batch, state and receipts alike, then its manifest: readers use committed keys only, and a key commits once.
 
     The manifest is a file named by the key, created only if it is not there, which the store decides: of several writers one commits, and what
-    the others wrote is never read.
+    the others wrote is never read and goes.
     """
     spark = next(iter(tables.values())).sparkSession
-    at, fs = _files(spark, f"{folder}/_commits/{hashlib.sha256(batch_key.encode()).hexdigest()}.json")
+    at, fs = _manifest(spark, folder, batch_key)
     if fs.exists(at):
         return False
     commit = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("append").parquet(f"{folder}/{name}/commit_id={commit}")
+        df.write.mode("append").partitionBy(*([partition_by] if partition_by else [])).parquet(f"{folder}/{name}/commit_id={commit}")
     fs.mkdirs(at.getParent())
     try:
         out = fs.create(at, False)
     except Py4JJavaError as error:
         if fs.exists(at):
+            for name in tables:
+                fs.delete(_files(spark, f"{folder}/{name}/commit_id={commit}")[0], True)
             return False
         raise error
     out.write(bytearray(json.dumps({"batch_key": batch_key, "commit_id": commit}).encode()))
@@ -193,7 +204,7 @@ def committed_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/{name}")
+    rows = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
     return rows.join(committed_keys(spark, folder).select("commit_id"), "commit_id", "left_semi").drop("commit_id")
 
 

@@ -13,7 +13,6 @@ import pytest
 
 from storynet.operators import anchors, audit, recall, repair, resolve, segments, store
 from storynet.sources import chats
-from storynet.streaming import events as streaming
 
 
 def event(n, **more):
@@ -208,18 +207,6 @@ def test_versions_change_with_every_edit(spark):
     assert unnamed == chats.stamp_versions(rows.limit(1).withColumn("speaker", chats.F.lit("user"))).first().version
 
 
-def test_stream_keeps_the_first_content_over_micro_batches_and_retries(spark, tmp_path):
-    source, schema = tmp_path / "in", "chat_id string, ref string, sha string"
-    run = lambda at: streaming.append_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source)), str(tmp_path / "store"), str(tmp_path / "conflicts"), str(tmp_path / at)).start().awaitTermination()
-    source.mkdir()
-    for k, rows in enumerate([[("c", "r1", "x"), ("c", "r2", "b"), ("c", "r2", "a")], [("c", "r1", "y"), ("c", "r3", "z"), ("d", "r1", "w")]]):
-        (source / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("chat_id", "ref", "sha"), r, strict=True))) for r in rows))
-        run("one")
-    want = {("c", "r1", "x"), ("c", "r2", "a"), ("c", "r3", "z"), ("d", "r1", "w")}
-    read = lambda name, *c: [tuple(r) for r in spark.read.parquet(str(tmp_path / name)).select(*c).collect()]
-    assert sorted(read("store", "chat_id", "ref", "sha")) == sorted(want) and sorted(read("conflicts", "ref", "kept_sha", "new_sha")) == [("r1", "x", "y"), ("r2", "a", "b")]
-
-
 def test_audit_log_of_one_chat(spark, tmp_path):
     rows = spark.createDataFrame([(f"c{i % 5}", "k", "a", str(i)) for i in range(20)], "chat_id string, category string, action string, detail string")
     chats.append_audit(spark, str(tmp_path / "log"), rows)
