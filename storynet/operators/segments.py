@@ -206,11 +206,23 @@ def apply_event_updates(events: DataFrame, updates: DataFrame) -> DataFrame:
     return rows.select("event_id", text("description"), text("summary"), *map(members, lists), details.alias("details"))
 
 
+#: Fixed value: what a text loses at its end before another one is put after it.
+LOOSE_ENDS = "。；、/／"
+
+
+def complete_text(left: Column, right: Column, separator: str = "\n") -> Column:
+    """Both texts as they are, or the one that contains the other literally."""
+    a, b = (F.coalesce(tx.stripped(c), F.lit("")) for c in (left, right))
+    both = F.concat(F.regexp_replace(a, f"[{LOOSE_ENDS}]+$", ""), F.lit(separator), b)
+    return F.when(a == "", b).when((b == "") | a.contains(b), a).when(b.contains(a), b).otherwise(both)
+
+
 def summary_increment(base: Column, added: Column) -> tuple[Column, Column]:
-    """The new summary and what happened: missing, contained, replaced or appended."""
-    old, new = F.coalesce(base, F.lit("")), F.coalesce(F.trim(added), F.lit(""))
-    status = F.when(new == "", "missing").when(F.contains(old, new), "contained").when((old != "") & F.contains(new, old), "replaced").when(old == "", "replaced").otherwise("appended")
-    return F.when(status.isin("missing", "contained"), old).when(status == "replaced", new).otherwise(F.concat(old, F.lit("\n"), new)), status
+    """The new summary and what happened: missing, contained (nothing new), replaced (it has the whole old one) or appended. Containment is by letters and digits only."""
+    old, new = F.coalesce(base, F.lit("")), F.coalesce(tx.stripped(added), F.lit(""))
+    a, b = tx.letters(old), tx.letters(new)
+    status = F.when(new == "", "missing").when((a != "") & (b != "") & a.contains(b), "contained").when((a != "") & b.contains(a), "replaced").otherwise("appended")
+    return F.when(status.isin("missing", "contained"), old).when(status == "replaced", new).otherwise(complete_text(old, new)), status
 
 
 def coalesce_updates(updates: DataFrame) -> DataFrame:
@@ -226,22 +238,26 @@ def coalesce_updates(updates: DataFrame) -> DataFrame:
 
 
 def drop_stale_copies(updates: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``updates``(chat_id, update_id, event_id, title, description, summary): kept, and those whose summary is another event's with two of three texts equal to its, more than to their own target's."""
+    """``updates``(chat_id, update_id, event_id, title, description, summary): kept, and those (chat_id, update_id, copied) that copy another event: its summary, two of its three texts at
+    least, and more of them than of their own target's. Blank texts are equal to nothing; an update whose target is not among ``events`` stays, since nothing tells what it should be."""
     texts = ("title", "description", "summary")
-    other = events.select("chat_id", F.col("event_id").alias("other"), *[F.col(c).alias(f"o_{c}") for c in texts])
-    own = events.select("chat_id", "event_id", *[F.col(c).alias(f"t_{c}") for c in texts])
-    same = lambda p: sum((F.col(c).eqNullSafe(F.col(f"{p}_{c}")).cast("int") for c in texts), F.lit(0))
-    met = updates.join(other.withColumn("summary", F.col("o_summary")), ["chat_id", "summary"]).filter("other <> event_id and trim(summary) <> ''")
-    met = met.join(own, ["chat_id", "event_id"], "left").filter((same("o") >= 2) & (same("o") > same("t")))
-    bad = met.select("chat_id", "update_id").distinct()
+    plain = lambda c: F.nullif(tx.stripped(c), F.lit(""))
+    of = lambda df, p: [plain(c).alias(f"{p}_{c}") for c in texts]
+    other = events.select("chat_id", F.col("event_id").alias("copied"), *of(events, "o"))
+    own = events.select("chat_id", "event_id", *of(events, "t"))
+    score = lambda p: sum((F.coalesce(F.col(f"u_{c}") == F.col(f"{p}_{c}"), F.lit(False)).cast("int") for c in texts), F.lit(0))
+    asked = updates.select("chat_id", "update_id", "event_id", *of(updates, "u")).join(own, ["chat_id", "event_id"])
+    met = asked.join(other.withColumn("u_summary", F.col("o_summary")), ["chat_id", "u_summary"]).filter("copied <> event_id")
+    bad = met.filter((score("o") >= 2) & (score("o") > score("t"))).groupBy("chat_id", "update_id").agg(F.min("copied").alias("copied"))
     return updates.join(bad, ["chat_id", "update_id"], "left_anti"), bad
 
 
 def drop_noop_updates(updates: DataFrame, segments: DataFrame) -> DataFrame:
-    """Updates (chat_id, segment, delta, n_details) of segments that are final (chat_id, segment), or that bring something."""
+    """Updates (chat_id, segment, delta, n_details) of segments that are final (chat_id, segment), of none that is named, or that bring something of this batch."""
     final = segments.select("chat_id", "segment", F.lit(True).alias("final")).distinct()
     rows = updates.join(final, ["chat_id", "segment"], "left")
-    return rows.filter("final or trim(coalesce(delta, '')) <> '' or n_details > 0").select(*updates.columns)
+    unnamed = F.coalesce(tx.stripped("segment"), F.lit("")) == ""
+    return rows.filter(F.coalesce("final", F.lit(False)) | unnamed | (F.trim(F.coalesce("delta", F.lit(""))) != "") | (F.col("n_details") > 0)).select(*updates.columns)
 
 
 def assign_update_slots(updates: DataFrame, slots: DataFrame) -> DataFrame:
@@ -284,22 +300,25 @@ def event_times(found: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def supported_times(times: DataFrame, lines: DataFrame) -> DataFrame:
-    """``times``(event_id, part, expression), ``lines``(event_id, line): expressions that a line holds, whole or as two parts or more of two characters in order, with gaps."""
-    parts = F.filter(F.split("expression", r"[\s,，、·:：-]+"), lambda p: F.length(p) >= 2)
-    pattern = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("\\Q"), p, F.lit("\\E"))), ".*")
-    rows = times.withColumn("pattern", pattern).withColumn("n", F.size(parts)).join(lines, "event_id")
-    held = F.contains("line", "expression") | ((F.col("n") >= 2) & F.rlike("line", F.col("pattern")))
+    """``times``(event_id, part, expression), ``lines``(event_id, line): expressions that the event's text holds, whole but for blanks and punctuation, or in two parts or more, in order on one
+    line with anything between. Parts stand between blanks and the marks of dates; they and lines are compared by letters and digits, and a part has two of these at least."""
+    parts = F.filter(F.transform(F.split("expression", r"[\s，。；：、·,.;:|/]+"), tx.letters), lambda p: F.length(p) >= 2)
+    rows = times.withColumns({"parts": parts, "whole": tx.anchor_text(F.col("expression"))}).join(lines, "event_id")
+    # letters and digits only: nothing in them is special in a pattern
+    inside = F.exists(F.transform(F.split("line", r"\R"), tx.letters), lambda x: F.rlike(x, F.array_join("parts", ".*")))
+    held = ((F.col("whole") != "") & F.contains(tx.anchor_text(F.col("line")), F.col("whole"))) | ((F.size("parts") >= 2) & inside)
     return rows.filter(held).select("event_id", "part", "expression").distinct()
 
 
 def sanitize_times(events: DataFrame, supported: DataFrame) -> DataFrame:
-    """``events``(event_id, status, start, end, old_start, old_end): unsupported expressions go (prior values stay), an extended event keeps its start, a forming one has no end, and without a start there is no time."""
+    """``events``(event_id, status, start, end, old_start, old_end): the time that an update brings. Expressions that are neither supported nor the event's own before go, a forming event has no
+    end, and without a start there is no time. What is left cannot move a start that the event had; an update without a time has none here, so the event keeps its own."""
     ok = lambda part, alias: supported.filter(F.col("part") == part).select("event_id", F.lit(True).alias(alias))
     rows = events.join(ok("start", "s_ok"), "event_id", "left").join(ok("end", "e_ok"), "event_id", "left")
-    good = lambda c, o, k: F.when(F.coalesce(F.col(k), F.lit(False)) | F.col(c).eqNullSafe(F.col(o)), F.col(c))
-    start = F.coalesce(F.col("old_start"), good("start", "old_start", "s_ok"))
-    end = F.when(F.col("status") != "forming", good("end", "old_end", "e_ok"))
-    return rows.select("event_id", start.alias("start"), F.when(start.isNotNull(), end).alias("end"))
+    before = lambda c: F.coalesce((F.col(c) == F.col("old_start")) | (F.col(c) == F.col("old_end")), F.col(c) == F.col("old_start"), F.col(c) == F.col("old_end"), F.lit(False))
+    good = lambda c, k: F.when(F.coalesce(F.col(k), F.lit(False)) | before(c), F.col(c))
+    start, end = good("start", "s_ok"), F.when(F.col("status") != "forming", good("end", "e_ok"))
+    return rows.select("event_id", F.when(start.isNotNull(), F.coalesce("old_start", start)).alias("start"), F.when(start.isNotNull(), end).alias("end"))
 
 
 def lock_boundaries(replies: DataFrame, locked: DataFrame) -> DataFrame:

@@ -261,4 +261,3 @@ def maintenance_records(spark, d):
 
 QUERIES = {name: query for name, (query, _) in _RULES.items()}
 SQL = {name: sql for name, (_, sql) in _RULES.items() if sql}
-_ = network
