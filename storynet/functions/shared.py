@@ -6,9 +6,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _ROOT = Path(__file__).resolve().parents[2]
 
@@ -41,3 +44,29 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fold_sorted(rows: DataFrame, key: str, order: str, start: Callable[[], object], step: Callable, schema: str) -> DataFrame:
+    """A fold over the rows of each key in order, which emits a row for each: linear in the rows, and a task holds one batch of them at a time.
+
+    ``step``(state, row as a tuple of ``rows``' columns) gives the new state and the row to emit; ``start``() is the state of a new key.
+    """
+    names = rows.columns
+    at = names.index(key)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state = object(), None
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if row[at] != own:
+                    own, state = row[at], start()
+                state, made = step(state, row)
+                out.append(made)
+            if out:
+                yield pa.RecordBatch.from_pydict({c: list(v) for c, v in zip(target.names, zip(*out, strict=True), strict=True)}, schema=target)
+
+    spark = rows.sparkSession
+    target = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    ship_package(spark)
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(scan, schema)

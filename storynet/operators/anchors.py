@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storynet.functions import text as tx
+from storynet.functions.shared import fold_sorted
 from storynet.functions.shared import saved
 
 _DROP = re.compile(r"[\s*_`~]")
@@ -92,19 +93,18 @@ def quote_spans(pairs: DataFrame) -> DataFrame:
 def locate_in_order(spans: DataFrame) -> DataFrame:
     """``spans``(batch, ord, pos): for each quote in order the first position after that of the one before; one that has none does not move on.
 
-    A fold over a batch's quotes; batch, ord, pos (null if not found).
+    One pass over a batch's sorted quotes; batch, ord, pos (null if not found).
     """
-    quotes = F.array_sort(F.collect_list(F.struct("ord", "places")))
-    kind = "array<struct<ord:bigint,pos:bigint>>"
-    start = F.struct(F.lit(-1).cast("long").alias("cursor"), F.array().cast(kind).alias("out"))
+    rows = spans.groupBy("batch", "ord").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    kind = spans.schema["batch"].dataType.simpleString()
 
-    def step(a, q):
-        pos = F.array_min(F.filter(q["places"], lambda p: p > a["cursor"]))
-        row = F.struct(q["ord"].cast("long").alias("ord"), pos.cast("long").alias("pos"))
-        return F.struct(F.coalesce(pos, a["cursor"]).cast("long").alias("cursor"), F.concat(a["out"], F.array(row)).alias("out"))
+    def step(cursor: int, row: tuple) -> tuple:
+        batch, ord_, places = row
+        pos = next((x for x in places if x > cursor), None)
+        return (cursor if pos is None else pos), (batch, ord_, pos)
 
-    rows = spans.groupBy("batch", "ord").agg(F.collect_list("pos").alias("places"))
-    return rows.groupBy("batch").agg(F.aggregate(quotes, start, step)["out"].alias("out")).select("batch", F.inline("out"))
+    plain = rows.select("batch", F.col("ord").cast("long").alias("ord"), F.col("places").cast("array<bigint>").alias("places"))
+    return fold_sorted(plain, "batch", "ord", lambda: -1, step, f"batch {kind}, ord long, pos long")
 
 
 def recover_fragments(lost: DataFrame, sources: DataFrame, least: int = 10) -> DataFrame:

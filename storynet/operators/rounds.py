@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from storynet.functions.shared import fold_sorted
+
 
 def _chat():
     return W.partitionBy("chat_id")
@@ -41,25 +43,17 @@ def budget_batches(rounds: DataFrame, max_rounds: int = 8, max_chars: int = 2400
     """Greedy batches over ``rounds``(chat_id, round_ix, size): chat_id, round_ix, size, batch_ix, oversize.
 
     A batch closes when it has max_rounds or the next round would exceed max_chars; a round over max_chars alone is oversize.
-    The fold restarts on its own running value, so no window gives it.
+    The fold restarts on its own running value, so no window gives it; it runs over a chat's sorted rounds in one pass.
     """
-    seq = F.array_sort(F.collect_list(F.struct("round_ix", "size")))
-    kind = "array<struct<round_ix:bigint,size:bigint,batch_ix:bigint,oversize:boolean>>"
-    start = F.struct(F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] >= max_rounds) | (a["chars"] + r["size"] > max_chars))
-        ix = (a["ix"] + full.cast("long")).cast("long")
-        row = F.struct(r["round_ix"].cast("long").alias("round_ix"), r["size"].cast("long").alias("size"), ix.alias("batch_ix"), (r["size"] > max_chars).alias("oversize"))
-        return F.struct(
-            ix.alias("ix"),
-            F.when(full, 1).otherwise(a["n"] + 1).cast("long").alias("n"),
-            F.when(full, r["size"]).otherwise(a["chars"] + r["size"]).cast("long").alias("chars"),
-            F.concat(a["out"], F.array(row)).alias("out"),
-        )
-
-    folded = rounds.groupBy("chat_id").agg(F.aggregate(seq, start, step)["out"].alias("out"))
-    return folded.select("chat_id", F.inline("out"))
+
+    def step(state: tuple[int, int, int], row: tuple) -> tuple:
+        (ix, n, chars), (chat, round_ix, size) = state, row
+        full = n > 0 and (n >= max_rounds or chars + size > max_chars)
+        ix, n, chars = (ix + 1, 1, size) if full else (ix, n + 1, chars + size)
+        return (ix, n, chars), (chat, round_ix, size, ix, size > max_chars)
+
+    rows = rounds.select(F.col("chat_id").cast("string").alias("chat_id"), F.col("round_ix").cast("long").alias("round_ix"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
+    return fold_sorted(rows, "chat_id", "round_ix", lambda: (0, 0, 0), step, "chat_id string, round_ix long, size long, batch_ix long, oversize boolean")
 
 
 def source_units(sources: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ WITH = f"with entities as ({t.ENTITIES}), refs as ({t.REFS})"
 
 
 def net(spark, sf_dir):
-    return t.load(spark, sf_dir, t.REFS), t.load(spark, sf_dir, t.ENTITIES)
+    return t.load_all(spark, sf_dir, t.REFS, t.ENTITIES)
 
 
 def _index(name):

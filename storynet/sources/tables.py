@@ -113,6 +113,13 @@ def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **_inputs(spark, sf_dir, sql, {}))
 
 
+def load_all(spark: SparkSession, sf_dir: str, *sqls: str) -> tuple[DataFrame, ...]:
+    """Rows of several inputs; what they are made of is built once for all."""
+    ship_package(spark)
+    built: dict[str, DataFrame] = {}
+    return tuple(spark.sql(sql, **_inputs(spark, sf_dir, sql, built)) for sql in sqls)
+
+
 def _inputs(spark: SparkSession, sf_dir: str, sql: str, built: dict[str, DataFrame]) -> dict[str, DataFrame]:
     used = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in NAMES if f"{{{n}}}" in sql}
     for name, rows in BUILT.items():

@@ -183,3 +183,44 @@ def test_the_chain_on_one_plan(spark):
     audit = {(r.step, r.code) for r in out["audit"].collect()}
     assert audit == {("placed", "START_LOST"), ("starts", "UNKNOWN_CANDIDATE"), ("starts", "OPEN_CANDIDATE_IS_CHOSEN"), ("merge", "UPDATES_MERGED"), ("summary", "REPLACED"), ("details", "INVALID_DETAIL"), ("details", "DETAIL_OUTSIDE_EVENT"),
         ("times", "START_NOT_IN_EVENT"), ("times", "END_NOT_IN_EVENT")}
+
+
+def test_dyadic_blocks_cover_exactly(spark):
+    from storynet.operators import store
+
+    rng = random.Random(3)
+    spans = [(rng.randint(-40, 60), rng.randint(-40, 90)) for _ in range(120)] + [(0, 0), (5, 4), (0, 10**9), (7, 2**61), (-3, -3)]
+    df = spark.createDataFrame(list(enumerate(spans)), "k int, s struct<a:bigint,b:bigint>").select("k", "s.*")
+    for r in df.select("k", "a", "b", store.dyadic_blocks(F.col("a"), F.col("b")).alias("blocks")).collect():
+        ends = sorted((x.block << x.level, (x.block + 1 << x.level) - 1) for x in r.blocks)
+        if r.a > r.b:
+            assert not ends
+        else:
+            assert ends[0][0] == r.a and ends[-1][1] == r.b and all(y[0] == x[1] + 1 for x, y in zip(ends, ends[1:], strict=False)) and len(ends) <= 126
+
+
+def test_unprocessed_messages_with_endless_receipts(spark):
+    from storynet.operators import store
+
+    messages = spark.createDataFrame([("a", i) for i in range(-2, 30)] + [("b", 10**9 + 5), ("b", 10**9 + 6), ("c", 1)], "chat_id string, floor long")
+    receipts = spark.createDataFrame([("a", 3, 9), ("a", 8, 20), ("a", 25, 24), ("b", 0, 10**9 + 5)], "chat_id string, start_floor long, end_floor long")
+    got = sorted(tuple(r) for r in store.unprocessed_messages(messages, receipts).select("chat_id", "floor").collect())
+    assert got == [("a", i) for i in range(30) if not 3 <= i <= 20] + [("b", 10**9 + 6), ("c", 1)]
+    assert store.unprocessed_messages(messages, receipts.limit(0), 0, 1).count() == 3
+
+
+def test_long_folds_are_linear(spark):
+    import time
+
+    from storynet.operators import anchors, rounds
+
+    def took(n):
+        began = time.time()
+        rows = spark.range(n).select(F.lit("c").alias("chat_id"), F.col("id").alias("round_ix"), (F.col("id") % 700).alias("size"))
+        assert rounds.budget_batches(rows, 8, 2000).agg(F.max("batch_ix")).first()[0] > n // 9
+        return time.time() - began
+
+    took(1000)
+    assert took(200_000) < 60  # a fold that copies its output at each step would take hours
+    spans = spark.range(60_000).select(F.lit(1).alias("batch"), F.col("id").alias("ord"), (F.col("id") * 2 % 50_001).alias("pos"))
+    assert anchors.locate_in_order(spans).filter("pos is not null").count() > 20_000
