@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from storynet.functions import text as tx
 from storynet.functions.shared import fold_sorted
+from storynet.operators.mentions import found_in
 from storynet.functions.shared import saved
 
 _DROP = re.compile(r"[\s*_`~]")
@@ -225,8 +226,9 @@ def nearest_quote(quotes: DataFrame, sources: DataFrame, least: float = 0.88, sh
 def relocate_evidence(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """``evidence``(chat_id, evidence_id, ref, quote): adds found_ref, its own ref if the whole quote is there, else the only other one that has it, else null."""
     own = evidence.withColumn("q", tx.evidence_text(F.col("quote"))).filter("q <> ''")
-    texts = sources.select("chat_id", F.col("ref").alias("at"), tx.evidence_text(F.col("content")).alias("s"))
-    hits = own.join(texts, "chat_id").filter(F.contains("s", "q"))
+    texts = sources.select("chat_id", "ref", tx.evidence_text(F.col("content")).alias("text"))
+    found = found_in(own.select("chat_id", F.col("q").alias("needle")), texts)
+    hits = own.join(found.select("chat_id", F.col("needle").alias("q"), F.col("ref").alias("at")), ["chat_id", "q"])
     found = hits.groupBy("chat_id", "evidence_id").agg(
         F.max(F.when(F.col("at") == F.col("ref"), F.col("at"))).alias("same"), F.count("*").alias("n"), F.min("at").alias("only")
     )

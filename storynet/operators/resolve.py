@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from storynet.functions import text as tx
 from storynet.operators.audit import ENTITY_TYPES
+from storynet.operators.mentions import found_in
 
 # Type names in use for the same type, keys that no proposal may set, roles a claim may place an item in.
 TYPE_ALIASES = {"person": "character", "place": "location", "object": "item", "group": "organization", "ability": "skill"}
@@ -102,19 +103,42 @@ def player_identity(lines: DataFrame, first: int = 50) -> DataFrame:
 
 def mention_scan(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """``candidates``(chat_id, key, names), ``texts``(chat_id, batch_ix, text): names that literally occur, by key: chat_id, batch_ix, key, n_names."""
-    names = candidates.select("chat_id", "key", F.explode(F.array_distinct("names")).alias("name")).filter("trim(name) <> ''")
-    rows = names.join(texts, "chat_id").filter(F.contains("text", F.trim("name")))
-    return rows.groupBy("chat_id", "batch_ix", "key").agg(F.count("*").alias("n_names"))
+    names = candidates.select("chat_id", "key", F.explode(F.array_distinct("names")).alias("name")).withColumn("needle", F.trim("name")).filter("needle <> ''")
+    kind = texts.schema["batch_ix"].dataType
+    hits = found_in(names, texts.withColumnRenamed("batch_ix", "ref")).withColumn("batch_ix", F.col("ref").cast(kind))
+    return names.join(hits, ["chat_id", "needle"]).groupBy("chat_id", "batch_ix", "key").agg(F.countDistinct("name").alias("n_names"))
 
 
 def related_entities(candidates: DataFrame, texts: DataFrame, tail: DataFrame, k: int = 24) -> DataFrame:
-    """Top k candidates (chat_id, ord, key, names, stub) for each batch: 10 for each name present, 6 if in the last two events (``tail``: chat_id, key), -1 for a stub; later ones first among equals."""
-    found = mention_scan(candidates, texts)
-    rows = candidates.join(texts.select("chat_id", "batch_ix").distinct(), "chat_id").join(found, ["chat_id", "batch_ix", "key"], "left")
-    rows = rows.join(tail.select("chat_id", "key", F.lit(6).alias("bonus")).distinct(), ["chat_id", "key"], "left")
+    """Top k candidates (chat_id, ord, key, names, stub) for each batch: 10 for each name present, 6 if in the last two events (``tail``: chat_id, key), -1 for a stub; later ones first among equals.
+
+    A candidate that a batch does not name ranks in it no higher than it does in its chat, so beside those that are named or in
+    the tail only a chat's first k are ranked.
+    """
+    found, k = mention_scan(candidates, texts), max(1, k)
+    last = tail.select("chat_id", "key").distinct().withColumn("bonus", F.lit(6))
+    known = candidates.select("chat_id", "ord", "key", "stub").join(last, ["chat_id", "key"], "left")
+    plain = F.row_number().over(W.partitionBy("chat_id").orderBy(F.col("stub").cast("int"), F.desc("ord")))
+    always = known.withColumn("place", plain).filter((F.col("place") <= k) | F.col("bonus").isNotNull()).select("chat_id", "key")
+    pairs = always.join(texts.select("chat_id", "batch_ix").distinct(), "chat_id").select("chat_id", "batch_ix", "key").unionByName(found.select("chat_id", "batch_ix", "key")).distinct()
+    rows = pairs.join(known, ["chat_id", "key"]).join(found, ["chat_id", "batch_ix", "key"], "left")
     score = 10 * F.coalesce("n_names", F.lit(0)) + F.coalesce("bonus", F.lit(0)) - F.col("stub").cast("int")
     rank = F.row_number().over(W.partitionBy("chat_id", "batch_ix").orderBy(F.desc("score"), F.desc("ord")))
-    return rows.withColumn("score", score.cast("long")).withColumn("rank", rank).filter(F.col("rank") <= max(1, k)).select("chat_id", "batch_ix", "key", "score", F.col("rank").cast("long").alias("rank"))
+    return rows.withColumn("score", score.cast("long")).withColumn("rank", rank).filter(F.col("rank") <= k).select("chat_id", "batch_ix", "key", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def related_relations(relations: DataFrame, chosen: DataFrame, texts: DataFrame) -> DataFrame:
+    """``relations``(chat_id, relation, participants) that go with each batch: those with a key of ``chosen``(chat_id, batch_ix, key), and those of which a participant's name, what stands after
+    the type in its key, occurs in the batch's ``texts``(chat_id, batch_ix, text): chat_id, batch_ix, relation."""
+    each = relations.select("chat_id", "relation", F.explode("participants").alias("key"))
+    by_key = each.join(chosen.select("chat_id", "batch_ix", "key"), ["chat_id", "key"])
+    name = F.when(F.col("key").contains(":"), F.regexp_extract("key", r"^[^:]*:(?s)(.*)$", 1)).otherwise(F.col("key"))
+    named = each.withColumn("needle", name)
+    kind = texts.schema["batch_ix"].dataType
+    hits = found_in(named, texts.withColumnRenamed("batch_ix", "ref")).withColumn("batch_ix", F.col("ref").cast(kind))
+    by_name = named.join(hits, ["chat_id", "needle"])
+    cols = ["chat_id", "batch_ix", "relation"]
+    return by_key.select(*cols).unionByName(by_name.select(*cols)).distinct()
 
 
 def split_workloads(roster: DataFrame) -> DataFrame:
@@ -376,8 +400,10 @@ def bind_memories(memories: DataFrame, evidence: DataFrame, slices: DataFrame) -
 
 def infer_evidence(candidates: DataFrame, messages: DataFrame) -> DataFrame:
     """``candidates``(chat_id, key, names) without evidence: refs of messages that contain a name, or that a user of that name wrote."""
-    names = candidates.select("chat_id", "key", F.explode("names").alias("name")).filter("trim(name) <> ''")
-    rows = names.join(messages, "chat_id").filter(F.contains("content", "name") | ((F.col("role") == "user") & (F.col("speaker") == F.col("name"))))
+    names = candidates.select("chat_id", "key", F.explode("names").alias("needle")).filter("trim(needle) <> ''")
+    said = found_in(names, messages.withColumnRenamed("content", "text"))
+    wrote = messages.filter("role = 'user'").select("chat_id", F.col("speaker").alias("needle"), "ref")
+    rows = names.join(said.unionByName(wrote.join(names.select("chat_id", "needle").distinct(), ["chat_id", "needle"])).distinct(), ["chat_id", "needle"])
     return rows.select("chat_id", "key", "ref").distinct()
 
 
