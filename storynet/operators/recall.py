@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -144,34 +145,54 @@ def stage_lookup(values: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.select("id", stage.alias("stage"), F.when(stage.isNull(), "NUMERIC_STAGE_UNRESOLVED").alias("code"))
 
 
+def _by_framework(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row for each framework with the rows of each part as a sorted array of structs, by one shuffle of all parts together."""
+    kinds = {name: [c for c in df.columns if c != "framework"] for name, df in parts.items()}
+    each = []
+    for name, df in parts.items():
+        own = F.struct(*kinds[name])
+        nulls = [F.lit(None).cast(parts[n].select(F.struct(*kinds[n]).alias("x")).schema["x"].dataType).alias(n) for n in parts if n != name]
+        each.append(df.select("framework", own.alias(name), *nulls))
+    rows = reduce(DataFrame.unionByName, each)
+    return rows.groupBy("framework").agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in parts])
+
+
 def framework_issues(frameworks: DataFrame, bindings: DataFrame, stages: DataFrame, ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     """Shape of stage frameworks: framework, code, at.
 
     ``frameworks``(framework, mode), ``bindings``(framework, binding), ``stages``(framework, stage), ``ranges``(framework, stage, binding, low, high), ``blocks``(framework, ord, block).
+    All that belongs to a framework meets once, and every rule looks at its sorted arrays.
     """
-    row = lambda df, code, at: df.select("framework", F.lit(code).alias("code"), F.col(at).cast("string").alias("at"))
-    n = frameworks.join(bindings.groupBy("framework").agg(F.count("*").alias("n")), "framework", "left").fillna(0, ["n"])
-    numeric = F.col("mode").isin("numeric_derived", "hybrid")
-    known = ranges.join(bindings, ["framework", "binding"]).join(frameworks, "framework")
-    good = known.filter("low < high")
-    derived = good.join(n.filter("mode = 'numeric_derived' and n = 1").select("framework"), "framework")
-    order = W.partitionBy("framework", "binding").orderBy("low", "high", "stage")
-    steps = derived.withColumn("before", F.lag("high").over(order))
-    counts = n.filter("mode = 'numeric_derived' and n = 1").select("framework").join(stages.groupBy("framework").agg(F.count("*").alias("s")), "framework", "left")
-    counts = counts.join(derived.groupBy("framework").agg(F.count("*").alias("r")), "framework", "left").fillna(0, ["s", "r"])
-    again = blocks.withColumn("k", F.row_number().over(W.partitionBy("framework", "block").orderBy("ord"))).filter("k > 1")
-    return (
-        row(n.filter("mode = 'semantic' and n > 0"), "SEMANTIC_STAGE_HAS_NUMERIC_BINDING", "mode")
-        .unionByName(row(n.filter(numeric & (F.col("n") == 0)), "NUMERIC_STAGE_BINDING_REQUIRED", "mode"))
-        .unionByName(row(n.filter("mode = 'numeric_derived' and n <> 1"), "NUMERIC_STAGE_SINGLE_BINDING_REQUIRED", "mode"))
-        .unionByName(row(ranges.join(bindings, ["framework", "binding"], "left_anti"), "UNKNOWN_NUMERIC_BINDING", "stage"))
-        .unionByName(row(known.filter("low >= high"), "INVALID_STAGE_RANGE", "stage"))
-        .unionByName(row(again, "DUPLICATE_STAGE_CONTEXT_ID", "block"))
-        .unionByName(row(ranges.join(frameworks.filter("mode = 'semantic'"), "framework"), "SEMANTIC_STAGE_HAS_NUMERIC_GUIDANCE", "stage"))
-        .unionByName(row(counts.filter("s <> r"), "NUMERIC_STAGE_RANGE_REQUIRED", "s"))
-        .unionByName(row(steps.filter("low < before"), "OVERLAPPING_STAGE_RANGE", "stage"))
-        .unionByName(row(steps.filter("low > before"), "GAPPED_STAGE_RANGE", "stage"))
-    )
+    rows = _by_framework({
+        "own": frameworks.select("framework", "mode"), "bound": bindings.select("framework", "binding"), "named": stages.select("framework", "stage"),
+        "held": ranges.select("framework", "low", "high", "stage", "binding"), "told": blocks.select("framework", "block", "ord"),
+    })
+    rows = rows.withColumns({"mode": F.try_element_at("own", F.lit(1))["mode"], "n": F.size("bound"), "keys": F.transform("bound", lambda x: x["binding"])})
+    mode, n, held, told = (F.col(c) for c in ("mode", "n", "held", "told"))
+    issue = lambda code, at: F.struct(F.lit(code).alias("code"), at.cast("string").alias("at"))
+    one = lambda when, code, at: F.when(F.coalesce(when, F.lit(False)), F.array(issue(code, at)))
+    each = lambda array, code, at: F.transform(array, lambda x: issue(code, at(x)))
+    known = lambda r: F.coalesce(F.array_contains(F.col("keys"), r["binding"]), F.lit(False))
+    numeric, derived = mode.isin("numeric_derived", "hybrid"), (mode == "numeric_derived") & (n == 1)
+    rows = rows.withColumn("steps", F.filter("held", lambda r: known(r) & (r["low"] < r["high"]) & F.coalesce(derived, F.lit(False))))
+    steps = F.col("steps")
+    beside = lambda test: F.filter("steps", lambda r, i: (i > 0) & test(r["low"], F.get(steps, i - 1)["high"]))
+    stage = lambda r: r["stage"]
+    repeated = F.filter("told", lambda b, i: (i > 0) & b["block"].eqNullSafe(F.get(told, i - 1)["block"]))
+    issues = [
+        one((mode == "semantic") & (n > 0), "SEMANTIC_STAGE_HAS_NUMERIC_BINDING", mode),
+        one(numeric & (n == 0), "NUMERIC_STAGE_BINDING_REQUIRED", mode),
+        one((mode == "numeric_derived") & (n != 1), "NUMERIC_STAGE_SINGLE_BINDING_REQUIRED", mode),
+        each(F.filter("held", lambda r: ~known(r)), "UNKNOWN_NUMERIC_BINDING", stage),
+        each(F.filter("held", lambda r: known(r) & (r["low"] >= r["high"]) & mode.isNotNull()), "INVALID_STAGE_RANGE", stage),
+        each(repeated, "DUPLICATE_STAGE_CONTEXT_ID", lambda b: b["block"]),
+        each(F.when(mode == "semantic", held), "SEMANTIC_STAGE_HAS_NUMERIC_GUIDANCE", stage),
+        one(derived & (F.size("named") != F.size("steps")), "NUMERIC_STAGE_RANGE_REQUIRED", F.size("named")),
+        each(beside(lambda low, before: low < before), "OVERLAPPING_STAGE_RANGE", stage),
+        each(beside(lambda low, before: low > before), "GAPPED_STAGE_RANGE", stage),
+    ]
+    none = F.array().cast("array<struct<code:string,at:string>>")
+    return rows.select("framework", F.inline(F.concat(*[F.coalesce(x, none) for x in issues])))
 
 
 def framework_links(hosts: DataFrame, frameworks: DataFrame) -> DataFrame:
@@ -226,23 +247,33 @@ def stage_context(requests: DataFrame, stages: DataFrame, blocks: DataFrame, ran
     asked purpose. An issue of the framework blocks all.
     """
     bad = issues.select("framework", F.lit(True).alias("bad")).distinct()
-    derived = stage_lookup(requests.filter("value is not null").select("id", "framework", "binding", "value"), ranges)
-    rows = requests.join(bad, "framework", "left").join(derived.withColumnsRenamed({"stage": "derived", "code": "unresolved"}), "id", "left")
-    current = F.when(F.col("mode") == "numeric_derived", F.col("derived")).otherwise(F.col("stage"))
-    rows = rows.withColumn("current", current)
+    frames = _by_framework({
+        "known": stages.select("framework", "stage").distinct(), "held": ranges.select("framework", "stage", "binding", "low", "high"), "told": blocks.select("framework", "stage", "purpose", "content"),
+    })
+    rows = requests.join(bad, "framework", "left").join(frames, "framework", "left")
+    purpose, binding, value, asked, mode = (F.col(c) for c in ("purpose", "binding", "value", "recall_mode", "mode"))
+    inside = lambda h: F.coalesce((h["binding"] == binding) & (value >= h["low"]) & (value < h["high"]), F.lit(False))
+    fits = F.array_distinct(F.filter(F.transform(F.filter("held", inside), lambda h: h["stage"]), lambda s: s.isNotNull()))
+    rows = rows.withColumn("within", fits)
+    derived = F.when(F.size("within") == 1, F.get("within", F.lit(0)))
+    rows = rows.withColumn("current", F.when(mode == "numeric_derived", derived).otherwise(F.col("stage")))
     code = (
         F.when(F.col("bad"), "FRAMEWORK_INVALID")
-        .when(~F.col("recall_mode").isin(*MODES), "INVALID_RECALL_MODE")
-        .when((F.col("mode") == "numeric_derived") & F.col("current").isNull(), "NUMERIC_STAGE_UNRESOLVED")
-        .when((F.col("recall_mode") != "framework_overview") & F.col("current").isNull(), "EXPLICIT_STAGE_REQUIRED")
+        .when(~asked.isin(*MODES), "INVALID_RECALL_MODE")
+        .when((mode == "numeric_derived") & F.col("current").isNull(), "NUMERIC_STAGE_UNRESOLVED")
+        .when((asked != "framework_overview") & F.col("current").isNull(), "EXPLICIT_STAGE_REQUIRED")
     )
     rows = rows.withColumn("code", code)
-    held = ranges.select("framework", F.col("stage").alias("s"), F.col("binding").alias("b"), "low", "high")
-    each = rows.filter("code is null").join(stages.select("framework", F.col("stage").alias("s")), "framework").join(held, ["framework", "s"], "left")
-    inside = (F.col("b") == F.col("binding")) & (F.col("value") >= F.col("low")) & (F.col("value") < F.col("high"))
-    take = (F.col("s") == F.col("current")) | (F.col("recall_mode") == "framework_overview") | ((F.col("recall_mode") == "transition_check") & (F.col("mode") == "hybrid") & F.coalesce(inside, F.lit(False)))
-    each = each.filter(take).select("id", "framework", "s", "purpose").distinct()
-    told = each.join(blocks.select("framework", F.col("stage").alias("s"), "purpose", "content"), ["framework", "s", "purpose"], "left")
-    told = told.groupBy("id", "s").agg(F.array_sort(F.collect_list("content")).alias("blocks"))
-    out = told.groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("s").alias("stage"), "blocks")))).alias("stages"))
-    return rows.select("id", "code").join(out, "id", "left")
+    near = (asked == "transition_check") & (mode == "hybrid")
+
+    def take(x: Column) -> Column:
+        own = F.coalesce(x["stage"] == F.col("current"), F.lit(False)) | F.coalesce(asked == "framework_overview", F.lit(False))
+        return own | (F.coalesce(near, F.lit(False)) & F.coalesce(F.array_contains(F.col("within"), x["stage"]), F.lit(False)))
+
+    def package(x: Column) -> Column:
+        mine = F.filter("told", lambda b: F.coalesce((b["stage"] == x["stage"]) & (b["purpose"] == purpose), F.lit(False)) & b["content"].isNotNull())
+        return F.struct(x["stage"].alias("stage"), F.array_sort(F.transform(mine, lambda b: b["content"])).alias("blocks"))
+
+    given = F.transform(F.filter("known", take), package)
+    listed = F.when(F.col("code").isNull() & (F.size(given) > 0), F.to_json(F.array_sort(given)))
+    return rows.select("id", "code", listed.alias("stages"))
