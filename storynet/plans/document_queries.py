@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storynet.operators import components, nesting
+from storynet.operators import components, nesting, shapes
 from storynet.sources import tables as t
 
 #: chat_id, key, json of candidates; the same SQL gives the oracle its rows.
@@ -88,9 +88,34 @@ def blocked_values(spark, d):
     return nesting.quarantine(t.load(spark, d, _PAGES))[1]
 
 
-QUERIES = {"typed_components": typed_components, "overlaid_documents": overlaid_documents, "safe_documents": safe_documents, "blocked_values": blocked_values}
+#: A schema for the documents of ``_PAGES``.
+_SCHEMA = {
+    "type": "object", "required": ["name", "list"], "additionalProperties": False,
+    "properties": {
+        "name": {"type": "string", "pattern": "#[0-4]"}, "deep": {"type": "object", "required": ["size"], "properties": {"owner_key": {"type": "string", "maxLength": 20}}},
+        "list": {"type": "array", "minItems": 2, "items": {"type": ["object", "integer"], "maximum": 40, "properties": {"Item_Ref": {"type": "object", "properties": {"id": {"type": "string"}}}, "w": {"type": "array", "uniqueItems": True, "items": {"type": "integer", "minimum": 1}}}}},
+    },
+}
+
+
+def audit_documents(spark, d):
+    docs = t.load(spark, d, _PAGES).withColumn("component", F.lit("page"))
+    return shapes.document_violations(docs, shapes.rules_of(spark, {"page": _SCHEMA})).select("entity_id", "component", "path", "code")
+
+
+QUERIES = {"audit_documents": audit_documents, "typed_components": typed_components, "overlaid_documents": overlaid_documents, "safe_documents": safe_documents, "blocked_values": blocked_values}
 SQL = {
     "typed_components": _EXPECTED, "overlaid_documents": _OVERLAID,
     "safe_documents": """select cast(p_partkey as varchar) as entity_id, '{"deep":{' || case when p_partkey % 2 = 0 then '"size":{}' else '' end || '},"list":[{"w":[1,' || p_size || ']},' || p_size || '],"name":"' || p_brand || '"}' as data from part""",
+    "audit_documents": """with p as (select cast(p_partkey as varchar) as entity_id, * from part), v as (
+      select entity_id, '/Aliases ' as path, 'UNKNOWN_FIELD' as code from p
+      union all select entity_id, '/deep/size', 'MISSING_REQUIRED_FIELD' from p where p_partkey % 2 <> 0
+      union all select entity_id, '/list/#0/Item_Ref/id', 'INVALID_TYPE' from p
+      union all select entity_id, '/name', 'INVALID_VALUE' from p where not regexp_matches(p_brand, '#[0-4]')
+      union all select entity_id, '/deep/owner_key', 'INVALID_VALUE' from p where length(p_type) > 20
+      union all select entity_id, '/list/#1', 'INVALID_VALUE' from p where p_size > 40
+      union all select entity_id, '/list/#0/w/#1', 'INVALID_VALUE' from p where p_size < 1
+      union all select entity_id, '/list/#0/w', 'INVALID_VALUE' from p where p_size = 1)
+      select entity_id, 'page' as component, path, code from v""",
     "blocked_values": """select cast(p_partkey as varchar) as entity_id, unnest(['/list/#0/Item_Ref', '/deep/owner_key', '/Aliases ']) as path, unnest(['{"id":' || p_partkey || '}', '"' || p_type || '"', '["' || p_name || '"]']) as data from part""",
 }
