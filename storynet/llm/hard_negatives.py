@@ -136,7 +136,7 @@ def mine(
     plain, size = of_one_length(plain)
     rows = numbered(plain)
     n = rows.count()
-    per_cell = rows_of_cell(size, n)
+    per_cell = rows_of_cell(size, n, share=8)
 
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
     placed = join_hot(rows, sizes, "label", "n").withColumn("parts", F.ceil(F.col("n") / per_cell).cast("int"))
