@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storynet.functions.shared import saved, spread
 from storynet.operators.audit import violations
 from storynet.operators.nesting import escape, flatten
 
@@ -73,10 +74,13 @@ def document_violations(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """``docs``(entity_id, component, data as JSON) against ``rules``: entity_id, component, path, code. Components without rules are not looked at; malformed data has an INVALID_TYPE at its root.
 
     What stands under an unknown field, or where a value has the wrong type, is not looked at again. A place whose path has a
-    key that ends in _ref reports pattern, const, required and unknown fields as INVALID_REFERENCE.
+    key that ends in _ref reports pattern, const, required and unknown fields as INVALID_REFERENCE. The rules, which come from
+    schema files read on the driver, are broadcast; documents are flattened once, dealt out by entity, and saved.
     """
     parts = F.split("path", "/")
-    rows = flatten(docs.join(rules.select("component").distinct(), "component", "left_semi"), KEYS, arrays=True)
+    rules = F.broadcast(rules)  # never the documents, which Spark else broadcasts where their component is a constant
+    asked = docs.join(F.broadcast(rules.select("component").distinct()), "component", "left_semi")
+    rows = saved(flatten(spread(asked, *KEYS), KEYS, arrays=True))
     rows = rows.withColumn("place", F.array_join(F.transform(parts, lambda p: F.when(p.startswith("#"), "*").otherwise(p)), "/"))
     cut = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
     rows = rows.withColumns({"parent": F.when(F.col("path") != "", cut("place")), "above": F.when(F.col("path") != "", cut("path"))})

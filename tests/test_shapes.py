@@ -87,3 +87,11 @@ def test_violations_equal_a_plain_validator(spark):
     want = sorted((i, p, code) for i, _, d in docs for p, code in plain(d, SCHEMA))
     assert got == sorted([*want, ("bad", "", "INVALID_TYPE")])
     assert {"INVALID_TYPE", "INVALID_VALUE", "INVALID_REFERENCE", "UNKNOWN_FIELD", "MISSING_REQUIRED_FIELD"} <= {c for *_, c in got}
+
+
+def test_documents_of_a_constant_component_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(shapes, "saved", lambda df: df, raising=False)
+    rows = spark.range(1000).selectExpr("cast(id as string) as entity_id", "'c' as component", "'{\"odd\":1}' as data")
+    out = shapes.document_violations(rows, shapes.rules_of(spark, {"c": {"type": "object", "additionalProperties": False}}))
+    assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("path = '/odd' and code = 'UNKNOWN_FIELD'").count() == 1000
