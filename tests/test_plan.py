@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,29 @@ def test_stale_copies_and_empty_updates(spark):
     assert segments.drop_noop_updates(updates, spark.createDataFrame([("c", "a")], "chat_id string, segment string")).count() == 5
 
 
+def test_stale_copies_equal_all_pairs(spark):
+    rng, pick = random.Random(3), lambda rng, c: rng.choice([None, " ", f"{c}1", f"{c}2", f" {c}2 "])
+    events = [("c", f"e{rng.randint(0, 30)}", *(pick(rng, c) for c in "TDS")) for _ in range(40)]
+    updates = [("c", f"u{i % 150}", f"e{rng.randint(0, 35)}", *(pick(rng, c) for c in "TDS")) for i in range(200)]
+    kind = "chat_id string, {}event_id string, title string, description string, summary string"
+    same = lambda a, b: sum(x is not None and x.strip() != "" and y is not None and x.strip() == y.strip() for x, y in zip(a, b, strict=True))
+    want = {}
+    for _, u, e, *texts in updates:
+        for own in (r[2:] for r in events if r[1] == e):
+            for _, o, *other in events:
+                if o != e and same(texts[2:], other[2:]) and same(texts, other) >= max(2, same(texts, own) + 1):
+                    want[u] = min(want.get(u, o), o)
+    bad = segments.drop_stale_copies(spark.createDataFrame(updates, kind.format("update_id string, ")), spark.createDataFrame(events, kind.format("")))[1]
+    assert {r.update_id: r.copied for r in bad.collect()} == want and want
+
+
+def test_stale_copies_of_one_summary_are_not_paired(spark):
+    rows = spark.range(100_000).selectExpr("'c' as chat_id", "cast(id as string) as event_id", "concat('t', id % 50000) as title", "concat('d', id) as description", "'s' as summary")
+    updates = rows.selectExpr("chat_id", "concat('u', event_id) as update_id", "cast((event_id + 1) % 100000 as string) as event_id", "title", "description", "summary")
+    began = time.monotonic()
+    assert segments.drop_stale_copies(updates, rows)[1].count() == 100_000 and time.monotonic() - began < 100
+
+
 def test_sanitized_times_keep_what_an_event_had(spark):
     rows = [
         (1, "finalized", "dusk", None, "dawn", None), (2, "finalized", None, "noon", "dawn", None), (3, "finalized", "noon", "noon", None, "noon"), (4, "forming", "dusk", "noon", None, None), (5, "finalized", "odd", "noon", "dawn", None),
