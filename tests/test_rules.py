@@ -12,6 +12,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from storynet.operators import anchors, audit, recall, repair, resolve, segments, store
+from storynet.plans import rule_queries
 from storynet.sources import chats
 
 
@@ -231,3 +232,11 @@ def test_history_is_compared_in_order(spark):
 def test_neighbours_without_edges(spark):
     edges = spark.createDataFrame([], "src_id string, component string, tgt_id string, tgt_type string")
     assert store.neighbours(edges, spark.createDataFrame([("a", "A")], "id string, name string"), "a").count() == 0
+
+
+def test_inputs_in_upper_case_keep_their_length(spark, tmp_path):
+    said = "abEin langer Satz mit"
+    for text in (said + " ß", said + "ßß und mehr", "abßŉᾀ" + said):
+        spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(r.quote for r in rule_queries._in(spark, str(tmp_path), "quotes").collect())
+    assert got == sorted(["EIN LANGER SATZ MIT ẞ", "EIN LANGER SATZ MITẞẞ UND MEHR", "ẞŉᾈABEIN LANGER SATZ MIT"])
