@@ -2,19 +2,22 @@
 
 A path is a JSON pointer whose array positions are written ``#n``, so that an array and an object with numbers as keys
 stay apart; in keys ``~``, ``/`` and a leading ``#`` are ``~0``, ``~1`` and ``~2``. Values are JSON text. ``nest`` of
-``flatten`` gives the document back. The rows of a document are dealt out together and sorted, and a task holds one
-document at a time.
+``flatten`` gives the document back. The rows of a document are dealt out together and sorted; overlay and quarantine deal
+out whole documents. A task holds one batch of rows and the documents of one key at a time.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storynet.functions.shared import spread
+
 #: Keys that place or identify an entity, and endings of such keys.
 PROTECTED = ("id", "entity_id", "entity_key", "formal_id", "schema_version", "primary_name", "aliases")
 PROTECTED_ENDS = ("_id", "_ref", "_refs", "_key", "_keys")
@@ -104,12 +107,15 @@ def close(node):
     return [close(node[k]) for k in sorted(node)] if _is_list(node) else {k: close(v) for k, v in node.items()}
 
 
+_ENCODER = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def text(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _ENCODER.encode(value)
 
 
-def _fold(rows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], fold: Callable[[list[tuple]], Iterable[str]]) -> DataFrame:
-    """keys, data for what ``fold`` makes of each document's rows, sorted by path with parents first."""
+def _fold(rows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], fold: Callable[[list[tuple]], Iterable[tuple]], made: tuple[str, ...] = ("data",)) -> DataFrame:
+    """keys and ``made`` for what ``fold`` makes of each document's rows, sorted by their columns, paths with parents first."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out = None, []
@@ -118,16 +124,17 @@ def _fold(rows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], fold
                 key, rest = row[: len(keys)], row[len(keys) :]
                 if held is None or held[0] != key:
                     if held:
-                        out += [(*held[0], d) for d in fold(held[1])]
+                        out += [(*held[0], *d) for d in fold(held[1])]
                     held = (key, [])
                 held[1].append(rest)
-            yield _batch(out, [*keys, "data"])
+            yield _batch(out, [*keys, *made])
             out = []
         if held:
-            yield _batch([(*held[0], d) for d in fold(held[1])], [*keys, "data"])
+            yield _batch([(*held[0], *d) for d in fold(held[1])], [*keys, *made])
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.split("path", "/"), *[c for c in columns if c != "path"])
-    return dealt.select(*keys, *columns).mapInArrow(scan, ", ".join(f"{c} string" for c in (*keys, "data")))
+    order = [F.split("path", "/") if c == "path" else F.col(c) for c in columns if c != "data"]
+    dealt = spread(rows, *keys).sortWithinPartitions(*keys, *order)
+    return dealt.select(*keys, *columns).mapInArrow(scan, ", ".join(f"{c} string" for c in (*keys, *made)))
 
 
 def nest(rows: DataFrame, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
@@ -137,7 +144,7 @@ def nest(rows: DataFrame, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:
         root = None
         for path, value in found:
             root = put(root, path, json.loads(value))
-        yield text(close(root))
+        yield (text(close(root)),)
 
     return _fold(rows, keys, ("path", "value"), fold)
 
@@ -150,44 +157,78 @@ def overlay_documents(current: DataFrame, base: DataFrame, new: DataFrame, keys:
     ``current`` has it. A value that both projections share and ``current`` lacks was taken out by hand and stays out.
     Documents of one side only pass through; a document that only ``base`` has is none.
     """
-    sides = [flatten(df, keys).withColumn("side", F.lit(s)) for s, df in (("1", current), ("2", base), ("3", new))]
-    rows = sides[0].unionByName(sides[1]).unionByName(sides[2]).filter("kind <> 'invalid'")
+    sides = [df.select(*[F.col(k).cast("string").alias(k) for k in keys], "data", F.lit(n).alias("side")) for n, df in enumerate((current, base, new))]
 
-    def fold(found: list[tuple]) -> Iterable[str]:
-        by_side: dict[str, dict[str, str]] = {"1": {}, "2": {}, "3": {}}
-        for path, side, value in found:
-            by_side[side][path] = value
-        now, old, fresh = by_side["1"], by_side["2"], by_side["3"]
+    def fold(found: list[tuple]) -> Iterable[tuple[str]]:
+        now, old, fresh = by_side = ({}, {}, {})
+        for data, side in found:
+            for path, _, value in _rows(data, False):
+                by_side[side][path] = max(value, by_side[side].get(path, ""))
         root = None
         differ = {p for p in old.keys() | fresh.keys() if not now or old.get(p) != fresh.get(p)}
         within = {p[:i] for p in differ for i, c in enumerate(p) if c == "/"}  # objects in which something changed
-        for path, value in now.items():
-            root = put(root, path, json.loads(value))
-        for path, value in fresh.items():
-            parts = path.split("/")
+        for path, _ in _sorted(now):
+            root = put(root, path, json.loads(now[path]))
+        for path, parts in _sorted(fresh):
             kept = any(p == MANAGED and "/".join(parts[: i + 1]) in now for i, p in enumerate(parts))
-            if not kept and (path in differ or path in within and value == "{}"):
-                root = put(root, path, json.loads(value))
+            if not kept and (path in differ or path in within and fresh[path] == "{}"):
+                root = put(root, path, json.loads(fresh[path]))
         if now or fresh:
-            yield text(close(root))
+            yield (text(close(root)),)
+
+    return _fold(sides[0].unionByName(sides[1]).unionByName(sides[2]), keys, ("data", "side"), fold)
 
-    return _fold(rows, keys, ("path", "side", "value"), fold)
 
+def _rows(data: str | None, arrays: bool) -> list[tuple[str, str, str]]:
+    """path, kind and value of a document, none of one that is null or malformed."""
+    try:
+        return [] if data is None else list(_walk(json.loads(data), arrays))
+    except ValueError:
+        return []
 
-def _first_protected() -> Column:
+
+def _sorted(paths: Iterable[str]) -> list[tuple[str, list[str]]]:
+    """Paths and their parts, parents first."""
+    return sorted(((p, p.split("/")) for p in paths), key=lambda x: x[1])
+
+
+_HIT = re.compile(f"(?:{'|'.join(PROTECTED_ENDS)})(?:\r\n|[\n\r\u0085\u2028\u2029])?\\Z")
+
+
+def _first_protected(parts: list[str]) -> int:
     """Position of the first protected key of a path's parts, 0 if there is none."""
-    name = lambda p: F.lower(F.trim(p))
-    ends = f"({'|'.join(PROTECTED_ENDS)})$"
-    hit = F.transform(F.split("path", "/"), lambda p: ~p.startswith("#") & (name(p).isin(*PROTECTED) | name(p).rlike(ends)))
-    return F.array_position(hit, True)
+    for i, p in enumerate(parts, 1):
+        name = p.strip(" ").lower()
+        if not p.startswith("#") and (name in PROTECTED or _HIT.search(name)):
+            return i
+    return 0
 
 
 def quarantine(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs``(entity_id, data) without the keys that identify or refer, at any depth and in arrays too; and what was taken out: entity_id, path, data."""
-    rows = flatten(docs, arrays=True).filter("kind <> 'invalid'").withColumn("at", _first_protected())
-    safe = nest(rows.filter("at = 0"))
-    parts = F.split("path", "/")
-    prefix = F.array_join(F.slice(parts, F.lit(1), F.col("at").cast("int")), "/")
-    below = F.substr(F.col("path"), F.length(prefix) + 1)
-    blocked = rows.filter("at > 0").select("entity_id", prefix.alias("root"), below.alias("path"), "value")
-    return safe, nest(blocked, ("entity_id", "root")).withColumnRenamed("root", "path")
+
+    def parted(found: list[tuple]) -> Iterable[tuple[str, list[str], str, int]]:
+        values: dict[str, str] = {}
+        for (data,) in found:
+            for path, _, value in _rows(data, True):
+                values[path] = max(value, values.get(path, ""))
+        return ((path, parts, values[path], _first_protected(parts)) for path, parts in _sorted(values))
+
+    def safe(found: list[tuple]) -> Iterable[tuple[str]]:
+        root, any_ = None, False
+        for path, _, value, at in parted(found):
+            if not at:
+                root, any_ = put(root, path, json.loads(value)), True
+        if any_:
+            yield (text(close(root)),)
+
+    def blocked(found: list[tuple]) -> Iterable[tuple[str, str]]:
+        roots: dict[str, object] = {}
+        for path, parts, value, at in parted(found):
+            if at:
+                prefix = "/".join(parts[:at])
+                roots[prefix] = put(roots.get(prefix), path[len(prefix) :], json.loads(value))
+        return ((prefix, text(close(root))) for prefix, root in roots.items())
+
+    rows = docs.select(F.col("entity_id").cast("string").alias("entity_id"), "data")
+    return _fold(rows, ("entity_id",), ("data",), safe), _fold(rows, ("entity_id",), ("data",), blocked, ("path", "data"))
