@@ -157,9 +157,13 @@ def mistyped_targets(refs: DataFrame, entities: DataFrame) -> DataFrame:
 
 def incomplete_memories(entities: DataFrame, refs: DataFrame) -> DataFrame:
     """A memory needs an owner and a source event."""
-    need = F.explode(F.array(F.lit("memory_owner_reference"), F.lit("source_event_reference"))).alias("component")
-    rows = entities.filter("type = 'memory'").select(F.col("id").alias("src_id"), need)
-    rows = rows.join(refs.select("src_id", "component").distinct(), ["src_id", "component"], "left_anti")
+    names = ("memory_owner_reference", "source_event_reference")
+    # memories and references meet in one aggregation of numbers: how often a memory is there, and a bit for each needed component
+    own = entities.filter("type = 'memory'").select(F.col("id").alias("src_id"), F.lit(1).alias("own"), F.lit(0).alias("bit"))
+    has = refs.filter(F.col("component").isin(*names)).select("src_id", F.lit(0).alias("own"), F.when(F.col("component") == names[0], 1).otherwise(2).alias("bit"))
+    rows = own.unionByName(has).groupBy("src_id").agg(F.sum("own").cast("int").alias("n"), F.bit_or("bit").alias("held")).filter("n > 0 and held < 3")
+    lacks = [F.when(F.col("held").bitwiseAND(bit) == 0, F.lit(name)) for bit, name in zip((1, 2), names, strict=True)]
+    rows = rows.select("src_id", "n", F.explode(F.array_compact(F.array(*lacks))).alias("component")).withColumn("n", F.explode(F.array_repeat("n", F.col("n"))))
     return violations(rows, "MISSING_MEMORY_NETWORK_COMPONENT", path=F.lit("/"))
 
 

@@ -30,6 +30,11 @@ def _stored(spark, d):
     return index, index.filter(key % 71 != 0).withColumn("ids", ids)
 
 
+def incomplete_memories(spark, d):
+    refs, entities = net(spark, d)
+    return audit.incomplete_memories(entities, refs.filter("not (component = 'source_event_reference' and right(src_id, 1) = '3')"))
+
+
 def stale(spark, d):
     index, stored = _stored(spark, d)
     return audit.stale_indexes(stored, index)
@@ -281,7 +286,7 @@ _RULES = {
         _sql("MEMORY_REFERENCE_OWNER_MISMATCH", "refs join (select src_id as m, tgt_id as o from refs where component = 'memory_owner_reference') on m = tgt_id where component = 'memory_reference' and o <> src_id"),
     ),
     "audit_memory_incomplete": (
-        lambda s, d: audit.incomplete_memories(net(s, d)[1], net(s, d)[0].filter("not (component = 'source_event_reference' and right(src_id, 1) = '3')")),
+        incomplete_memories,
         _sql("MISSING_MEMORY_NETWORK_COMPONENT", "entities where type = 'memory' and right(id, 1) = '3'", "'source_event_reference'", "'/'", "id"),
     ),
     "audit_non_container": (

@@ -1,6 +1,6 @@
 """What the steps of the larger queries cost: inputs built once, rows that cannot count left out early."""
 
-from storynet.operators import anchors
+from storynet.operators import anchors, audit
 from storynet.plans import catalog
 from storynet.sources import tables
 
@@ -24,3 +24,14 @@ def test_details_build_their_lines_once(spark, sf, monkeypatch):
     made = _built(monkeypatch)
     assert catalog.QUERIES["canonical_details"](spark, sf).count() > 0
     assert len(made) == 1
+
+
+def test_memories_are_audited_over_their_own_references(spark, sf, monkeypatch):
+    made = _built(monkeypatch)
+    found = catalog.QUERIES["audit_memory_incomplete"](spark, sf)
+    assert len(made) == 2  # lines and memories
+    assert "event_related_entity_reference" not in found._jdf.queryExecution().optimizedPlan().toString()
+    refs = spark.createDataFrame([("a", "memory_owner_reference"), ("b", "source_event_reference"), ("c", "memory_owner_reference"), ("c", "source_event_reference"), ("c", "other")], "src_id string, component string")
+    entities = spark.createDataFrame([(i, "memory") for i in "abcd"] + [("e", "item")], "id string, type string")
+    got = sorted((r.entity_id, r.component) for r in audit.incomplete_memories(entities, refs).collect())
+    assert got == [("a", "source_event_reference"), ("b", "memory_owner_reference"), ("d", "memory_owner_reference"), ("d", "source_event_reference")]
