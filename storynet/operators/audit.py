@@ -146,7 +146,9 @@ def duplicate_entities(entities: DataFrame) -> DataFrame:
 
 
 def missing_targets(refs: DataFrame, entities: DataFrame) -> DataFrame:
-    rows = refs.join(entities.select(F.col("id").alias("tgt_id")).distinct(), "tgt_id", "left_anti")
+    # not left_anti: Spark would move it below the union that references come from, one join with all entities for each part of it
+    known = entities.select(F.col("id").alias("tgt_id")).distinct().withColumn("known", F.lit(True))
+    rows = refs.join(known, "tgt_id", "left").filter("known is null")
     return violations(rows, "MISSING_REFERENCE_TARGET", path=_place())
 
 
@@ -335,11 +337,16 @@ def permissions(changes: DataFrame, rules: DataFrame) -> DataFrame:
 
     A pattern has as many parts as the path, ``*`` for any; the one with most other parts wins.
     """
-    known = changes.join(rules.select("operation").distinct(), "operation", "left_anti")
-    wrong = violations(known, "INVALID_PERMISSION_OPERATION", entity="change_id")
+    # rules are broadcast, a row with all rules for each operation and component: a change is judged where it is, however many share its operation
+    operations = rules.groupBy("operation").agg(F.lit(True).alias("listed"))
+    wrong = changes.join(F.broadcast(operations), "operation", "left").filter("listed is null")
+    wrong = violations(wrong, "INVALID_PERMISSION_OPERATION", entity="change_id")
     regex = F.concat(F.lit("^"), F.replace("pattern", F.lit("*"), F.lit("[^/]+")), F.lit("$"))
     special = F.size(F.filter(F.split("pattern", "/"), lambda x: (x != "*") & (x != "")))
-    met = changes.join(rules, ["component", "operation"]).filter(F.col("pattern").isNull() | F.rlike("path", regex))
-    rank = F.row_number().over(W.partitionBy("change_id").orderBy(F.when(F.col("pattern").isNull(), -1).otherwise(special).desc(), "pattern"))
-    denied = met.withColumn("rank", rank).filter("rank = 1 and not array_contains(roles, role)")
+    rank = F.when(F.col("pattern").isNull(), 1).otherwise(-special)
+    each = F.struct(rank.alias("rank"), F.col("pattern"), regex.alias("regex"), F.col("roles"))
+    sets = rules.groupBy("component", "operation").agg(F.array_sort(F.collect_list(each)).alias("rules"))
+    fits = F.filter("rules", lambda r: r["pattern"].isNull() | F.rlike(F.col("path"), r["regex"]))
+    met = changes.join(F.broadcast(sets), ["component", "operation"]).withColumn("rule", F.get(fits, F.lit(0)))
+    denied = met.filter("rule is not null and not array_contains(rule.roles, role)")
     return wrong.unionByName(violations(denied, "PERMISSION_DENIED", entity="change_id"))

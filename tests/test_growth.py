@@ -35,3 +35,12 @@ def test_memories_are_audited_over_their_own_references(spark, sf, monkeypatch):
     entities = spark.createDataFrame([(i, "memory") for i in "abcd"] + [("e", "item")], "id string, type string")
     got = sorted((r.entity_id, r.component) for r in audit.incomplete_memories(entities, refs).collect())
     assert got == [("a", "source_event_reference"), ("b", "memory_owner_reference"), ("d", "memory_owner_reference"), ("d", "source_event_reference")]
+
+
+def test_changes_are_judged_without_meeting(spark):
+    rules = spark.createDataFrame([("a", None, "set", ["x"]), ("a", "/p/*", "set", ["y"]), ("a", "/p/q", "set", ["x"])], "component string, pattern string, operation string, roles array<string>")
+    rows = [("1", "a", "/p/q", "set", "x"), ("2", "a", "/p/r", "set", "x"), ("3", "a", "/z", "set", "y"), ("4", "a", "/z", "cut", "x"), ("5", "a", "/p/q", "set", "y"), ("5", "a", "/p/r", "set", "y")]
+    found = audit.permissions(spark.createDataFrame(rows, "change_id string, component string, path string, operation string, role string"), rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+    assert sorted((r.entity_id, r.path, r.code) for r in found.collect()) == [("2", "/p/r", "PERMISSION_DENIED"), ("3", "/z", "PERMISSION_DENIED"), ("4", "/z", "INVALID_PERMISSION_OPERATION"), ("5", "/p/q", "PERMISSION_DENIED")]
