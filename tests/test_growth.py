@@ -1,6 +1,8 @@
 """What the steps of the larger queries cost: inputs built once, rows that cannot count left out early."""
 
-from storynet.operators import anchors, audit
+from pyspark.sql import functions as F
+
+from storynet.operators import anchors, audit, store
 from storynet.plans import catalog
 from storynet.sources import tables
 
@@ -44,3 +46,37 @@ def test_changes_are_judged_without_meeting(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Window" not in plan
     assert sorted((r.entity_id, r.path, r.code) for r in found.collect()) == [("2", "/p/r", "PERMISSION_DENIED"), ("3", "/z", "PERMISSION_DENIED"), ("4", "/z", "INVALID_PERMISSION_OPERATION"), ("5", "/p/q", "PERMISSION_DENIED")]
+
+
+def test_missing_targets_are_sought_once(spark):
+    refs = spark.createDataFrame([("a", "c", 0, "b"), ("a", "c", 1, "z")], "src_id string, component string, ord long, tgt_id string")
+    parts = refs.unionByName(refs.withColumn("component", F.concat("component", "src_id"))).unionByName(refs)
+    found = audit.missing_targets(parts, spark.createDataFrame([("a",), ("b",), ("b",)], "id string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted((r.component, r.path) for r in found.collect()) == [("c", "/1"), ("c", "/1"), ("ca", "/1")]
+
+
+def test_edges_are_read_once_for_both_ends(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "a"), ("b", "c"), ("a", "c")], "src_id string, tgt_id string").distinct()
+    found = store.neighbour_counts(edges)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(found.collect()) == [("a", 3, 0), ("b", 1, 1), ("c", 0, 2)]
+
+
+def test_quotes_meet_only_texts_with_a_piece_of_theirs(spark):
+    quotes = [(1, "the quick brown fox jumps"), (2, "über alles 𝒳𝒴"), (3, "zz")]
+    texts = [("a", "so The slow, brown fox jumps here"), ("b", "nothing of it"), ("c", "gar über\nalles 𝒳𝒴!"), ("d", None), ("e", "pizza: zz")]
+    found = anchors.quote_search(spark.createDataFrame(quotes, "quote_id long, quote string"), spark.createDataFrame(texts, "ref string, content string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and plan.count("Generate explode") <= 1 + 3  # texts are cut once, quotes once for each level
+    assert sorted(found.collect()) == [(2, "c"), (3, "e")]
+
+
+def test_no_piece_is_empty(spark, monkeypatch):
+    seen = []
+    explode = F.explode
+    monkeypatch.setattr(anchors.F, "explode", lambda c: seen.append(c) or explode(c))
+    quotes, texts = spark.createDataFrame([(1, "the quick brown fox jumps")], "quote_id long, quote string"), spark.createDataFrame([("a", "the quick brown fox jumps")], "ref string, content string")
+    assert anchors.quote_search(quotes, texts).collect() == [(1, "a")]
+    cut = spark.createDataFrame([("thequickbrownfoxjumps",)], "q string").select(explode(seen[0]).alias("g"))
+    assert {len(r.g) for r in cut.collect()} == {6}
