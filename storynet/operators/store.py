@@ -48,9 +48,10 @@ def neighbours(edges: DataFrame, entities: DataFrame, entity: str, offset: int =
 
 def neighbour_counts(edges: DataFrame) -> DataFrame:
     """Edges out and in of every entity: entity_id, n_out, n_in."""
-    out = edges.select(F.col("src_id").alias("entity_id"), F.lit(1).alias("o"), F.lit(0).alias("i"))
-    into = edges.filter("src_id <> tgt_id").select(F.col("tgt_id").alias("entity_id"), F.lit(0).alias("o"), F.lit(1).alias("i"))
-    return out.unionByName(into).groupBy("entity_id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+    # both ends of an edge from one reading of the edges; an edge to itself counts as one out
+    into = (F.col("src_id") != F.col("tgt_id")).cast("int")
+    ends = F.array(F.struct(F.col("src_id").alias("entity_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("tgt_id").alias("entity_id"), F.lit(0).alias("o"), into.alias("i")))
+    return edges.select(F.inline(ends)).filter("o + i > 0").groupBy("entity_id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
 def manual_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
