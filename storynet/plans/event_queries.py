@@ -106,10 +106,14 @@ def stage_audit(spark, d):
 
 
 def stage_contexts(spark, d):
-    fw, bindings, stages, ranges, blocks = _frameworks(spark, d)
+    return _contexts(*_frameworks(spark, d))
+
+
+def _contexts(fw, bindings, stages, ranges, blocks, asked="true"):
+    """The contexts of the requests that ``asked`` names."""
     issues = recall.framework_issues(fw, bindings, stages, ranges, blocks)
     ask = fw.selectExpr("framework as id", "framework", "mode", "case framework % 4 when 0 then 'transition_check' when 1 then 'framework_overview' else 'current_stage' end as recall_mode", "'use' as purpose",
-                        "'b' as binding", "cast(framework % 50 as double) as value", "case when framework % 3 <> 1 then 1 end as stage")
+                        "'b' as binding", "cast(framework % 50 as double) as value", "case when framework % 3 <> 1 then 1 end as stage").filter(asked)
     told = blocks.selectExpr("framework", "ord as stage", "'use' as purpose", "block as content")
     return recall.stage_context(ask, stages, told, ranges, issues)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storynet.operators import audit, network, projection, recall, resolve, segments, store
-from storynet.plans.event_queries import _EV, _ST, _STAGE, _frameworks, _starts, stage_contexts
+from storynet.plans.event_queries import _EV, _ST, _STAGE, _contexts, _frameworks, _starts
 from storynet.plans.network_queries import WITH, net
 from storynet.plans.store_queries import messages
 from storynet.sources import tables as t
@@ -170,10 +170,11 @@ def restored_diagnostics(spark, d):
   c as (select q.*, case when mode = 'numeric_derived' then derived else stage end as now from q left join d on d.id = q.id)
   select distinct c.id, cast(r.stage as varchar) as stage, 'in' || cast(r.stage as varchar) as entry, 'out' as exit from c join r on r.framework = c.id where now is not null and (r.stage = now or (c.mode = 'hybrid' and c.value >= r.low and c.value < r.high))""")
 def stage_guidance(spark, d):
-    fw, _, stages, _, _ = _frameworks(spark, d)
+    frames = _frameworks(spark, d)  # once for contexts and guidance
+    fw, _, stages, _, _ = frames
     ask = fw.selectExpr("framework as id", "framework", "case framework % 4 when 0 then 'transition_check' when 1 then 'framework_overview' else 'current_stage' end as recall_mode")
     guidance = stages.selectExpr("framework", "stage", "concat('in', stage) as entry", "'out' as exit")
-    return recall.transition_guidance(stage_contexts(spark, d), ask, guidance)
+    return recall.transition_guidance(_contexts(*frames, asked="recall_mode = 'transition_check'"), ask, guidance)
 
 
 @rule("framework_links", _sql("""select entity_id || '-' || cast(ord as varchar) as id, case when starts_with(framework_id, 's') and framework_id is distinct from skill_id then 'SKILL_STAGE_FRAMEWORK_MISMATCH' else 'STAGE_FRAMEWORK_COMPONENT_MISSING' end as code from <skills>

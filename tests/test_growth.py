@@ -80,3 +80,9 @@ def test_no_piece_is_empty(spark, monkeypatch):
     assert anchors.quote_search(quotes, texts).collect() == [(1, "a")]
     cut = spark.createDataFrame([("thequickbrownfoxjumps",)], "q string").select(explode(seen[0]).alias("g"))
     assert {len(r.g) for r in cut.collect()} == {6}
+
+
+def test_guidance_builds_its_lines_once(spark, sf, monkeypatch):
+    made = _built(monkeypatch)
+    assert catalog.QUERIES["stage_guidance"](spark, sf).count() >= 0
+    assert len(made) == 1
