@@ -8,6 +8,7 @@ aggregation runs before each shuffle; nothing is collected to the driver.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -65,33 +66,31 @@ def _schema(paths: list[list[str]]) -> str:
     return f"struct<{','.join(f'{h}:{_schema(rest)}' for h, rest in heads.items())}>"
 
 
-_FOUND = "array<struct<path:string,ord:bigint,id:string,type:string,derived:boolean>>"
+_NO_ROWS = "array<struct<id:string,type:string,rule:int,{places}>>"
 
 
-def _walk(at: Column, parts: list[str], path: Column, place: Column, derived: bool) -> Column:
-    """References below ``at`` along a path, as an array."""
-    if not parts:
-        ref = (path.alias("path"), place.alias("ord"), at["id"].alias("id"), at["type"].alias("type"), F.lit(derived).alias("derived"))
-        return F.array(F.struct(*ref))
-    head, *rest = parts
-    if head != "*":
-        return _walk(at[head], rest, F.concat(path, F.lit(f"/{head}")), place, derived)
+def _walk(at: Column, parts: list[str], rule: int, places: list[Column], depth: int) -> Column:
+    """References below ``at`` along a path, as an array: id, type, the number of the rule, and the places in its lists, outermost first."""
+    if "*" not in parts:
+        for head in parts:
+            at = at[head]
+        held = [*places, *[F.lit(None).cast("long")] * (depth - len(places))]
+        found = F.struct(at["id"].alias("id"), at["type"].alias("type"), F.lit(rule).alias("rule"), *[p.alias(f"place{k}") for k, p in enumerate(held)])
+        return found if places else F.array(found)
+    here = parts.index("*")
+    for head in parts[:here]:
+        at = at[head]
+    inside = F.transform(at, lambda x, i: _walk(x, parts[here + 1 :], rule, [*places, i.cast("long")], depth))
+    if "*" in parts[here + 1 :]:  # one element without the path must not hide the others
+        inside = F.flatten(F.filter(inside, lambda x: x.isNotNull()))
+    return inside
 
-    def inside(x: Column, i: Column) -> Column:
-        found = _walk(x, rest, F.concat(path, F.lit("/"), i.cast("string")), i.cast("long"), derived)
-        return F.coalesce(found.cast(_FOUND), F.array().cast(_FOUND))  # one element without the path must not hide the others
 
-    return F.flatten(F.transform(at, inside))
-
-
-def _all_paths(paths: list[tuple[list[str], bool]]):
-    """A function of a parsed component to the references along all its paths (parts, derived)."""
-
-    def found(at: Column) -> Column:
-        walks = [_walk(at, path, F.lit("/data"), F.lit(0).cast("long"), derived) for path, derived in paths]
-        return F.concat(*[F.coalesce(w.cast(_FOUND), F.array().cast(_FOUND)) for w in walks])
-
-    return found
+def _path(rules: list[list[str]], depth: int) -> Column:
+    """The path of a reference, from its rule and places."""
+    pieces = [["".join(f"/{p}" for p in piece.split("/") if p) for piece in "/".join(["data", *rule]).split("*")] for rule in rules]
+    nth = lambda k: F.element_at(F.array(*[F.lit(p[k] if k < len(p) else None).cast("string") for p in pieces]), F.col("rule") + 1)
+    return F.concat_ws("", nth(0), *[c for k in range(depth) for c in (F.concat(F.lit("/"), F.col(f"place{k}").cast("string")), nth(k + 1))])
 
 
 def extract_refs(components: DataFrame, rules=REF_RULES) -> DataFrame:
@@ -100,18 +99,34 @@ def extract_refs(components: DataFrame, rules=REF_RULES) -> DataFrame:
     Returns src_id, src_type, component, path, ord (place in the innermost list), tgt_id, tgt_type, derived.
     A path that a component does not hold gives no row; so does a reference without id.
     """
-    by_component: dict[str, list[tuple[list[str], bool]]] = {}
-    for component, path, _, derived in rules:
-        by_component.setdefault(component, []).append((path.split("/"), derived))
-    every = F.array().cast(_FOUND)
-    for component, paths in by_component.items():
-        parsed = F.from_json("data", _schema([path for path, _ in paths]))
+    paths = [path.split("/") for _, path, _, _ in rules]
+    depth = max((path.count("*") for path in paths), default=0)
+    none = F.array().cast(_NO_ROWS.format(places=",".join(f"place{k}:bigint" for k in range(depth))).replace(",>", ">"))
+    by_component: dict[str, list[int]] = {}
+    for n, (component, *_) in enumerate(rules):
+        by_component.setdefault(component, []).append(n)
+
+    def along(own: list[int]) -> Callable[[Column], Column]:
+        """A function of a parsed component to the references along all its paths."""
+
+        def found(at: Column) -> Column:
+            walks = [_walk(at, paths[n], n, [], depth) for n in own]
+            return walks[0] if len(walks) == 1 else F.concat(*[F.coalesce(w, none) for w in walks])
+
+        return found
+
+    every = none
+    for component, own in by_component.items():
+        parsed = F.from_json("data", _schema([paths[n] for n in own]))
         # a function of an array's only element, so that the row is parsed once for all its paths
-        every = F.when(F.col("component") == component, F.transform(F.array(parsed), _all_paths(paths))[0]).otherwise(every)
+        every = F.when(F.col("component") == component, F.transform(F.array(parsed), along(own))[0]).otherwise(every)
     rows = components.filter(F.col("component").isin(*by_component)).select(
         F.col("entity_id").alias("src_id"), F.col("entity_type").alias("src_type"), "component", F.inline(every)
     )
-    return rows.filter("id is not null").withColumnsRenamed({"id": "tgt_id", "type": "tgt_type"})
+    # what follows from rule and place is no matter of the rows that are made, and costs nothing where it isn't asked for
+    place = F.coalesce(*[F.col(f"place{k}") for k in reversed(range(depth))], F.lit(0).cast("long"))
+    derived = F.element_at(F.array(*[F.lit(bool(r[3])) for r in rules]), F.col("rule") + 1)
+    return rows.filter("id is not null").select("src_id", "src_type", "component", _path(paths, depth).alias("path"), place.alias("ord"), F.col("id").alias("tgt_id"), F.col("type").alias("tgt_type"), derived.alias("derived"))
 
 
 def _wrapped(leaf: str):
@@ -126,8 +141,9 @@ def _wrapped(leaf: str):
 
 def as_components(refs: DataFrame) -> DataFrame:
     """Edges to component rows (entity_id, entity_type, component, data): the inverse of ``extract_refs`` for authoritative components."""
-    rows = refs.groupBy("src_id", "src_type", "component").agg(
-        F.array_sort(F.collect_list(F.struct("ord", F.col("tgt_id").alias("id"), F.col("tgt_type").alias("type")))).alias("refs")
+    # dealt out before they are collected: arrays that hold a few rows of a key are not made, sorted and shuffled first
+    rows = refs.select("src_id", "src_type", "component", "ord", "tgt_id", "tgt_type").repartition("src_id", "component").groupBy("src_id", "src_type", "component").agg(
+        F.sort_array(F.collect_list(F.struct("ord", F.col("tgt_id").alias("id"), F.col("tgt_type").alias("type")))).alias("refs")
     )
     data = F.lit(None).cast("string")
     for component, path, _, derived in REF_RULES:

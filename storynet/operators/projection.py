@@ -6,8 +6,10 @@ each section's object is read as a map, its fields picked by the rules, and comp
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -163,33 +165,65 @@ def overlay_open_fields(components: DataFrame, open_fields: DataFrame) -> DataFr
     return both.groupBy("entity_id", "component").agg(best.alias("m")).select("entity_id", "m.type", "component", "m.schema_version", "m.data")
 
 
-def _leaves(value, path=""):
-    if isinstance(value, dict) and value:
-        for k, v in value.items():
-            yield from _leaves(v, f"{path}/{k.replace('~', '~0').replace('/', '~1')}")
-    elif isinstance(value, list) and value:
-        for k, v in enumerate(value):
-            yield from _leaves(v, f"{path}/{k}")
-    else:
-        kind = {bool: "boolean", int: "integer", float: "number", str: "string", dict: "object", list: "array"}.get(type(value), "null")
-        yield path, kind, value
+_KINDS = ("null", "boolean", "integer", "number", "string", "object", "array", "invalid")
+_KIND = {t: _KINDS.index(k) for t, k in ((type(None), "null"), (bool, "boolean"), (int, "integer"), (float, "number"), (str, "string"), (dict, "object"), (list, "array"))}
+_STRING, _OBJECT, _ARRAY, _INVALID = (_KINDS.index(k) for k in ("string", "object", "array", "invalid"))
+
+
+@lru_cache(maxsize=4096)
+def _step(key: str | int) -> str:
+    return "/" + (str(key) if isinstance(key, int) else key.replace("~", "~0").replace("/", "~1"))
+
+
+def _leaves(value, path: str, paths: list[str], kinds: list[int], values: list[str]) -> None:
+    """Adds the leaves of an object or array that holds something; it calls itself for those only, not for each leaf."""
+    for k, v in value.items() if type(value) is dict else enumerate(value):
+        kind = _KIND[type(v)]
+        if kind == _STRING:
+            text = v
+        elif v and kind >= _OBJECT:
+            _leaves(v, path + _step(k), paths, kinds, values)
+            continue
+        else:
+            text = json.dumps(v)
+        paths.append(path + _step(k))
+        kinds.append(kind)
+        values.append(text)
+
+
+def _repeated(cells: list[str]) -> pa.Array:
+    """The array of texts of which few differ: each of those becomes Arrow's once."""
+    index: dict[str, int] = {}
+    at = [index.setdefault(c, len(index)) for c in cells]
+    return pa.array(list(index), pa.string()).take(pa.array(np.array(at, dtype=np.int32)))
 
 
 def flatten_json(rows: DataFrame) -> DataFrame:
     """``rows``(entity_id, component, data as JSON) to entity_id, component, path, type, value: every leaf, empty objects and lists included; malformed data gives one row of type invalid."""
-    import json
 
     def scan(batches):
         for b in batches:
-            out = []
-            for entity, component, data in zip(*(b.column(c).to_pylist() for c in ("entity_id", "component", "data")), strict=True):
+            paths, kinds, values, ends = [], [], [], [0]
+            for data in b.column("data").to_pylist():
                 try:
-                    leaves = list(_leaves(json.loads(data or "")))
+                    value = json.loads(data or "")
                 except ValueError:
-                    leaves = [("", "invalid", None)]
-                out += [(entity, component, p, k, v if isinstance(v, str) else json.dumps(v)) for p, k, v in leaves]
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["entity_id", "component", "path", "type", "value"])
+                    paths.append("")
+                    kinds.append(_INVALID)
+                    values.append("null")
+                else:
+                    if value and isinstance(value, (dict, list)):
+                        _leaves(value, "", paths, kinds, values)
+                    else:
+                        paths.append("")
+                        kinds.append(_KIND[type(value)])
+                        values.append(value if isinstance(value, str) else json.dumps(value))
+                ends.append(len(paths))
+            # what names a document is repeated for its leaves as it stands, without becoming Python's
+            at = pa.array(np.repeat(np.arange(b.num_rows), np.diff(ends)))
+            named = [b.column(c).cast(pa.string()).take(at) for c in ("entity_id", "component")]
+            kind = pa.array(_KINDS).take(pa.array(np.array(kinds, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([*named, _repeated(paths), kind, pa.array(values, pa.string())], ["entity_id", "component", "path", "type", "value"])
 
     kind = "entity_id string, component string, path string, type string, value string"
     return rows.select("entity_id", "component", "data").mapInArrow(scan, kind)

@@ -1,8 +1,11 @@
 """What the steps of the larger queries cost: inputs built once, rows that cannot count left out early."""
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from storynet.operators import anchors, audit, store
+from storynet.operators import anchors, audit, network, projection, store
 from storynet.plans import catalog
 from storynet.sources import tables
 
@@ -86,3 +89,44 @@ def test_guidance_builds_its_lines_once(spark, sf, monkeypatch):
     made = _built(monkeypatch)
     assert catalog.QUERIES["stage_guidance"](spark, sf).count() >= 0
     assert len(made) == 1
+
+
+def test_references_are_collected_once_and_paths_made_if_asked_for(spark):
+    edges = [("e", "event", "event_related_entity_reference", 1, "b", "item"), ("e", "event", "event_related_entity_reference", 0, "z", "item"), ("m", "memory", "memory_owner_reference", 0, "c", "character")]
+    made = network.as_components(spark.createDataFrame(edges, "src_id string, src_type string, component string, ord long, tgt_id string, tgt_type string"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_collect_list") < plan.index("Exchange")  # the shuffle is below both steps
+    found = network.extract_refs(made)
+    assert "/data" not in found.drop("path", "derived")._jdf.queryExecution().optimizedPlan().toString()
+    want = [("e", "/data/related_entity_refs/0", 0, "z", False), ("e", "/data/related_entity_refs/1", 1, "b", False), ("m", "/data/owner_ref", 0, "c", False)]
+    assert sorted(tuple(r) for r in found.select("src_id", "path", "ord", "tgt_id", "derived").collect()) == want
+
+
+def test_references_of_every_depth_keep_their_places(spark):
+    data = {"aspects": [None, {"participant_roles": [{}, {"character_ref": {"id": "c1", "type": "character"}}], "perspective": {"owner_ref": {"id": "c3"}}}, {"disclosure": {"concealed_from_refs": [{"type": "character"}, {"id": "c2"}]}}]}
+    rows = [("r", "character_relation", "character_relation_aspects", json.dumps(data)), ("r", "x", "memory_index", '{"memory_refs":[null,{"id":"m"}]}'), ("r", "x", "memory_index", "{"), ("r", "x", "memory_index", None)]
+    got = sorted((r.path, r.ord, r.tgt_id, r.derived) for r in network.extract_refs(spark.createDataFrame(rows, "entity_id string, entity_type string, component string, data string")).collect())
+    aspects = "/data/aspects"
+    assert got == [(f"{aspects}/1/participant_roles/1/character_ref", 1, "c1", False), (f"{aspects}/1/perspective/owner_ref", 1, "c3", False), (f"{aspects}/2/disclosure/concealed_from_refs/1", 1, "c2", False), ("/data/memory_refs/1", 1, "m", True)]
+    flat = network.extract_refs(spark.createDataFrame([("a", "b", "c", '{"x":{"id":"i"}}')], "entity_id string, entity_type string, component string, data string"), rules=(("c", "x", "any", True),))
+    assert flat.first()[:6] == ("a", "b", "c", "/data/x", 0, "i")
+
+
+def test_leaves_are_walked_by_what_holds_them(monkeypatch):
+    calls, plain = [], projection._leaves
+    monkeypatch.setattr(projection, "_leaves", lambda *a: calls.append(1) or plain(*a))
+    texts = ['{"a":[1,"x",true],"b~/":{"c":null,"d":{}},"e":[]}', "{", None, "[]", '"s"', "1.5", "null"]
+    batch = pa.RecordBatch.from_pydict({"entity_id": [f"e{i}" for i in range(len(texts))], "component": ["k"] * len(texts), "data": texts})
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, scan, _):
+            return scan(iter([batch, batch.slice(0, 0)]))
+
+    out, empty = projection.flatten_json(Rows())
+    assert len(calls) == 3 and empty.num_rows == 0
+    want = [("/a/0", "integer", "1"), ("/a/1", "string", "x"), ("/a/2", "boolean", "true"), ("/b~0~1/c", "null", "null"), ("/b~0~1/d", "object", "{}"), ("/e", "array", "[]")]
+    rest = [("", "invalid", "null"), ("", "invalid", "null"), ("", "array", "[]"), ("", "string", "s"), ("", "number", "1.5"), ("", "null", "null")]
+    assert [tuple(r.values()) for r in out.to_pylist()] == [("e0", "k", *r) for r in want] + [(f"e{i}", "k", *r) for i, r in enumerate(rest, 1)]
