@@ -12,13 +12,14 @@ blank text, null and a missing field are all missing. A row without a usable key
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storynet.functions.shared import saved
+from storynet.functions.shared import saved, spread
 from storynet.operators.audit import PLACEMENT_ROLES
 from storynet.operators.nesting import overlay_documents
 from storynet.operators.network import mint_ids
@@ -32,6 +33,8 @@ VALUE_SOURCES = ("host", "character_skill_reference", "external_variable_store")
 PURPOSES = ("character_behavior", "interaction", "narration", "skill_use", "resolver_rule")
 EVENT_STATUSES = ("forming", "pending_finalization", "finalized")
 SNAKE = "^[a-z][a-z0-9_]*$"
+#: Fixed value: what is taken off the ends of a text, that is what \\s and \\p{Z} match.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 #: Type, sections (the first that is there), component, fields, and whether some of the fields are enough.
 COPIED = (
@@ -87,7 +90,7 @@ def get(v: Column, path: str, kind: str = "variant") -> Column:
 
 def word(v: Column, path: str = "$") -> Column:
     """Trimmed text, null if blank."""
-    return F.nullif(F.regexp_replace(get(v, path, "string"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(get(v, path, "string"), F.lit(BLANKS)), F.lit(""))
 
 
 def listed(v: Column, path: str, most: int | None = None) -> Column:
@@ -97,7 +100,7 @@ def listed(v: Column, path: str, most: int | None = None) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return get(v, "$", "struct<>").isNotNull()  # without looking at its fields
 
 
 def is_number(v: Column) -> Column:
@@ -118,6 +121,11 @@ def some(array: Column) -> Column:
     return F.when(F.size(array) > 0, array)
 
 
+def once(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build`` of a value that is worked out once, however often it is used: a function of an array's only element."""
+    return F.transform(F.array(value), build)[0]
+
+
 def obj(**fields: Column | _Nested) -> Column:
     """An object as VARIANT without the fields that are null."""
     names = F.expr(f"array({', '.join(map(repr, fields))})")
@@ -157,6 +165,7 @@ class Row:
 
     def __init__(self):
         self.chat, self.key, self.type, self.body, self.ids = (F.col(c) for c in ("chat_id", "key", "type", "body", "ids"))
+        self.domain, self.character = F.col("domain_data"), F.col("character_data")  # parts of the body
 
     def local(self, kind: str, *parts: Column) -> Column:
         return local_id(kind, self.chat, self.key, *parts)
@@ -199,10 +208,14 @@ def _first(v: Column, *paths: str) -> Column:
 
 def _copied(r: Row, rule: tuple) -> tuple[str, Column, Column]:
     kind, sections, component, fields, partial = rule
-    section = _first(r.body, *[f"$.domain_data.{s}" for s in sections])
-    found = {f: get(section, f"$.{f}") for f in fields}
-    enough = reduce(Column.__or__ if partial else Column.__and__, [c.isNotNull() for c in found.values()])
-    return component, F.lit("0.1.0"), F.when((r.type == kind) & enough, obj(**found))
+    section = _first(r.domain, *[f"$.{s}" for s in sections])
+
+    def copied(found: Column) -> Column:
+        enough = reduce(Column.__or__ if partial else Column.__and__, [found[f].isNotNull() for f in fields])
+        return F.when(enough, obj(**{f: found[f] for f in fields}))
+
+    data = once(section, lambda s: once(F.struct(*[get(s, f"$.{f}").alias(f) for f in fields]), copied))
+    return component, F.lit("0.1.0"), F.when(r.type == kind, data)
 
 
 def _stage_framework(r: Row, kind: str, component: str, paths: tuple[str, ...]) -> tuple[str, Column, Column]:
@@ -210,7 +223,7 @@ def _stage_framework(r: Row, kind: str, component: str, paths: tuple[str, ...])
     skill = kind == "skill"
     summary_field = "progression_summary" if skill else "framework_summary"
     binding_kind, stage_kind, context_kind = ("skill_numeric_binding", "skill_stage", "skill_stage_context") if skill else ("stage_numeric_binding", "concept_stage", "concept_stage_context")
-    raw = _first(r.body, *[f"$.domain_data.{p}" for p in paths])
+    raw = _first(r.domain, *[f"$.{p}" for p in paths])
     summary = F.coalesce(word(raw, f"$.{summary_field}"), word(raw, "$.summary"))
     evaluation = _first(raw, "$.stage_evaluation", "$.evaluation")
     mode = get(evaluation, "$.mode", "string")
@@ -260,7 +273,7 @@ def _stage_framework(r: Row, kind: str, component: str, paths: tuple[str, ...])
 
 
 def _character(r: Row) -> list[tuple[str, Column, Column]]:
-    d, first = get(r.body, "$.character_data"), F.lit("0.1.0")
+    d, first = r.character, F.lit("0.1.0")
     of = lambda c: F.when(r.type == "character", c)
     out = []
     profile = {f: word(d, f"$.profile.{f}") for f in ("species", "gender", "age_description", "background", "appearance")}
@@ -324,7 +337,7 @@ def _objectives(r: Row, items: Column) -> Column:
 
 
 def _domain(r: Row) -> list[tuple[str, Column, Column]]:
-    d, first = get(r.body, "$.domain_data"), F.lit("0.1.0")
+    d, first = r.domain, F.lit("0.1.0")
     of = lambda kind, c: F.when(r.type == kind, c)
     out = [_copied(r, rule) for rule in COPIED]
     for kind, component, field, rule, paths in (
@@ -471,7 +484,8 @@ def project(candidates: DataFrame, events: DataFrame, relations: DataFrame, memo
     own = lambda df, key: df.join(ids.select("chat_id", F.col("key").alias("own_key"), "id"), (ids["chat_id"] == df["chat_id"]) & (F.col("own_key") == key)).drop(ids["chat_id"]).drop("own_key")
     c = saved(_mapped(own(c, F.col("key")), F.col("names"), ids, "key"))
     r = Row()
-    made = saved(_exploded(c, [*_common(r, at), *_character(r), *_domain(r)]))
+    parts = {part: get(F.col("body"), f"$.{part}") for part in ("domain_data", "character_data")}
+    made = saved(_exploded(spread(c, "chat_id", "key").withColumns(parts), [*_common(r, at), *_character(r), *_domain(r)]))
     made = _open_fields(made, c)
     named = [c.select("chat_id", "id", "type", F.coalesce(word(F.col("body"), "$.description"), F.regexp_extract("key", r"^[^:]*:(?s)(.*)$", 1)).alias("description"))]
 
