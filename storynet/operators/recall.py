@@ -248,8 +248,9 @@ def stage_context(requests: DataFrame, stages: DataFrame, blocks: DataFrame, ran
     """
     bad = issues.select("framework", F.lit(True).alias("bad")).distinct()
     frames = _by_framework({
-        "known": stages.select("framework", "stage").distinct(), "held": ranges.select("framework", "stage", "binding", "low", "high"), "told": blocks.select("framework", "stage", "purpose", "content"),
+        "known": stages.select("framework", "stage"), "held": ranges.select("framework", "stage", "binding", "low", "high"), "told": blocks.select("framework", "stage", "purpose", "content"),
     })
+    frames = frames.withColumn("known", F.array_distinct("known"))  # here and not before, which would shuffle every stage once more
     rows = requests.join(bad, "framework", "left").join(frames, "framework", "left")
     purpose, binding, value, asked, mode = (F.col(c) for c in ("purpose", "binding", "value", "recall_mode", "mode"))
     inside = lambda h: F.coalesce((h["binding"] == binding) & (value >= h["low"]) & (value < h["high"]), F.lit(False))

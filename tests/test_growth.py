@@ -5,7 +5,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from storynet.operators import anchors, audit, network, projection, store
+from storynet.operators import anchors, audit, network, projection, recall, store
 from storynet.plans import catalog
 from storynet.sources import tables
 
@@ -130,3 +130,14 @@ def test_leaves_are_walked_by_what_holds_them(monkeypatch):
     want = [("/a/0", "integer", "1"), ("/a/1", "string", "x"), ("/a/2", "boolean", "true"), ("/b~0~1/c", "null", "null"), ("/b~0~1/d", "object", "{}"), ("/e", "array", "[]")]
     rest = [("", "invalid", "null"), ("", "invalid", "null"), ("", "array", "[]"), ("", "string", "s"), ("", "number", "1.5"), ("", "null", "null")]
     assert [tuple(r.values()) for r in out.to_pylist()] == [("e0", "k", *r) for r in want] + [(f"e{i}", "k", *r) for i, r in enumerate(rest, 1)]
+
+
+def test_stages_of_a_context_are_shuffled_with_all_else(spark):
+    stages = spark.createDataFrame([("f", "s"), ("f", "s"), ("f", "t"), ("f", None)], "framework string, stage string")
+    asked = spark.createDataFrame([("q", "f", "semantic", "framework_overview", "use", "b", 0.5, None)], "id string, framework string, mode string, recall_mode string, purpose string, binding string, value double, stage string")
+    blocks = spark.createDataFrame([("f", "s", "use", "text")], "framework string, stage string, purpose string, content string")
+    ranges = spark.createDataFrame([], "framework string, stage string, binding string, low double, high double")
+    told = recall.stage_context(asked, stages, blocks, ranges, spark.createDataFrame([], "framework string, code string, at string"))
+    assert "hashpartitioning(framework#" in (plan := told._jdf.queryExecution().executedPlan().toString())
+    assert not [line for line in plan.splitlines() if "hashpartitioning(framework#" in line and ", stage#" in line]
+    assert json.loads(told.first().stages) == [{"blocks": []}, {"stage": "s", "blocks": ["text"]}, {"stage": "t", "blocks": []}]
