@@ -166,3 +166,38 @@ def test_join_texts_alike(spark):
     for separator in ("；", "\n"):
         got = [r[0] for r in df.select(event_state.join_texts(F.col("a"), F.col("b"), separator)).collect()]
         assert got == [joined(a, b, separator) for a, b in pairs] == [state.join_texts((a or "").strip(), (b or "").strip(), separator) for a, b in pairs]
+
+
+class _Held:
+    """A value or list of a state store."""
+
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def put(self, rows):
+        self.held = rows
+
+    update = put
+
+
+def test_batches_of_a_chat_are_applied_without_a_frame_for_each(monkeypatch):
+    import pandas as pd
+
+    from storynet.streaming import state
+
+    def framed(*_, **__):
+        raise AssertionError("a frame for each batch")
+
+    one = state.OpenEvents()
+    one.seen, one.events, one.slices = _Held(), _Held(), _Held()
+    rows = [{"chat_id": "c", "batch_ix": b, "seg_ix": 0, "slot": "new_1", "disposition": "keep_distinct", "source_refs": [f"m{b}"], "start_anchors": None, "end_anchors": None, "description": f" d{b} ", "story_summary": None} for b in (3, 1, 0, 2)]
+    monkeypatch.setattr(pd.DataFrame, "groupby", framed)
+    out = pd.concat(list(one.handleInputRows(("c",), iter([pd.DataFrame(rows[:2]), pd.DataFrame(rows[2:])]), None)))
+    assert list(out["event_no"]) == [1, 2] and list(out["description"]) == ["d0", "d1"] and list(out["source_refs"]) == [["m0"], ["m1"]]
+    assert list(one.handleInputRows(("c",), iter([pd.DataFrame(rows)]), None)) == [] and one.seen.get() == (4, 3)
