@@ -261,11 +261,25 @@ def parent_cycles(refs: DataFrame, component: str, code: str) -> DataFrame:
     return violations(rows, code, F.lit(component), F.lit("/"), "node")
 
 
-def stale_indexes(stored: DataFrame, rebuilt: DataFrame, required: bool = True, ordered: tuple[str, ...] = ("history_index",)) -> DataFrame:
+ORDERED = ("history_index",)
+
+
+def ids_digest(ids: str | Column = "ids", ordered: tuple[str, ...] = ORDERED) -> Column:
+    """MD5 of an index row's ids, whatever their order but in the ``ordered`` indexes; null if ids are null."""
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    return F.unhex(F.md5(F.array_join(F.when(F.col("component").isin(*ordered), ids).otherwise(F.sort_array(ids)), ",")))
+
+
+def stale_indexes(stored: DataFrame, rebuilt: DataFrame, required: bool = True, ordered: tuple[str, ...] = ORDERED) -> DataFrame:
     """Stored index rows (entity_id, component, ids) against rebuilt ones, whatever the order of ids but in the ``ordered`` indexes."""
-    ids = F.when(F.col("component").isin(*ordered), F.col("ids")).otherwise(F.array_sort("ids"))
-    a = stored.select("entity_id", "component", F.array_join(ids, ",").alias("stored"))
-    b = rebuilt.select("entity_id", "component", F.array_join(ids, ",").alias("rebuilt"))
+    # digests are made where the rows are: an id of a hot entity's index is neither shuffled nor sorted again
+    told = lambda rows: rows.select("entity_id", "component", ids_digest("ids", ordered).alias("digest"))
+    return stale_digests(told(stored), told(rebuilt), required)
+
+
+def stale_digests(stored: DataFrame, rebuilt: DataFrame, required: bool = True) -> DataFrame:
+    """As ``stale_indexes``, from (entity_id, component, digest) of both sides."""
+    a, b = (rows.select("entity_id", "component", F.col("digest").alias(name)) for rows, name in ((stored, "stored"), (rebuilt, "rebuilt")))
     both = a.join(b, ["entity_id", "component"], "full")
     missing = F.col("stored").isNull()
     code = F.when(missing, F.lit("MISSING_DERIVED_INDEX") if required else F.lit(None)).when(~F.col("stored").eqNullSafe(F.col("rebuilt")), "STALE_DERIVED_INDEX")

@@ -163,91 +163,110 @@ def formal_refs(refs: DataFrame) -> DataFrame:
     return own.select("src_id", "component", "tgt_id", F.col("m.tgt_type").alias("tgt_type"))
 
 
-def _ids(col: str = "src_id") -> Column:
-    return F.array_sort(F.collect_set(col))
+def _listed(rows: DataFrame, column: str | Column) -> DataFrame:
+    """The sorted set of ``column`` for each entity_id."""
+    return rows.groupBy("entity_id").agg(F.sort_array(F.collect_set(column)).alias("ids"))
 
 
-def existing(index: DataFrame, entities: DataFrame, types: tuple[str, ...]) -> DataFrame:
-    """Index rows of entities that exist with one of the types; others cannot carry the index."""
+#: A function of an index's rows that puts other columns in place of ids.
+Told = Callable[[DataFrame], DataFrame]
+
+
+def existing(index: DataFrame, entities: DataFrame, types: tuple[str, ...], told: Told | None = None) -> DataFrame:
+    """Index rows of entities that exist with one of the types; others cannot carry the index. ``told`` comes first, so that the join need not carry the ids."""
+    index = told(index) if told else index
     own = entities.filter(F.col("type").isin(*types)).select(F.col("id").alias("entity_id"), F.col("type").alias("entity_type"))
     return index.join(own.distinct(), "entity_id")
 
 
+def _sources(refs: DataFrame) -> DataFrame:
+    return _listed(refs.select(F.col("tgt_id").alias("entity_id"), "src_id"), "src_id")
+
+
 def _simple(refs: DataFrame, component: str, tgt_type: str | None = None) -> DataFrame:
     own = refs.filter(F.col("component") == component)
     own = own.filter(F.col("tgt_type") == tgt_type) if tgt_type else own
-    return own.groupBy(F.col("tgt_id").alias("entity_id")).agg(_ids().alias("ids"))
+    return _sources(own)
 
 
-def memory_index(refs, entities):
+def memory_index(refs, entities, told=None):
     """Owner to memories."""
-    return existing(_simple(refs, "memory_owner_reference"), entities, ("character",))
+    return existing(_simple(refs, "memory_owner_reference"), entities, ("character",), told)
 
 
-def event_memory_index(refs, entities):
+def event_memory_index(refs, entities, told=None):
     """Event to memories."""
-    return existing(_simple(refs, "source_event_reference"), entities, ("event",))
+    return existing(_simple(refs, "source_event_reference"), entities, ("event",), told)
 
 
-def relation_index(refs, entities):
+def relation_index(refs, entities, told=None):
     """Character to relations."""
-    return existing(_simple(refs, "relation_endpoint_reference"), entities, ("character",))
+    return existing(_simple(refs, "relation_endpoint_reference"), entities, ("character",), told)
 
 
 HISTORY_TYPES = ("character", "location", "item", "organization", "skill", "concept", "character_relation")
 
 
-def history_index(refs, entities):
+def history_index(refs, entities, told=None):
     """Entity to the events that name it as related or as a location."""
     own = refs.filter(F.col("component").isin("event_related_entity_reference", "event_location_reference"))
-    index = own.groupBy(F.col("tgt_id").alias("entity_id")).agg(_ids().alias("ids"))
-    return existing(index, entities, HISTORY_TYPES)
+    return existing(_sources(own), entities, HISTORY_TYPES, told)
 
 
-def contents_index(refs, entities):
+def contents_index(refs, entities, told=None):
     """Item to the items placed in it."""
-    return existing(_simple(refs, "current_placement_reference", "item"), entities, ("item",))
+    return existing(_simple(refs, "current_placement_reference", "item"), entities, ("item",), told)
 
 
-def child_location_index(refs, entities):
-    return existing(_simple(refs, "parent_location_reference"), entities, ("location",))
+def child_location_index(refs, entities, told=None):
+    return existing(_simple(refs, "parent_location_reference"), entities, ("location",), told)
 
 
-def child_organization_index(refs, entities):
-    return existing(_simple(refs, "parent_organization_reference"), entities, ("organization",))
+def child_organization_index(refs, entities, told=None):
+    return existing(_simple(refs, "parent_organization_reference"), entities, ("organization",), told)
 
 
 def _entries(index: DataFrame) -> DataFrame:
     """Groups (entity_id, item, role) to sorted entries item:role."""
-    pair = F.concat_ws(":", "item", "role")
-    return index.groupBy("entity_id").agg(F.array_sort(F.collect_set(pair)).alias("ids"))
+    return _listed(index, F.concat_ws(":", "item", "role"))
 
 
-def inventory_index(refs, entities):
+def inventory_index(refs, entities, told=None):
     """Character to items carried, equipped or worn, with the role."""
     own = refs.filter("component = 'current_placement_reference' and tgt_type = 'character' and role in ('carried', 'equipped', 'worn')")
-    return existing(_entries(own.selectExpr("tgt_id as entity_id", "src_id as item", "role")), entities, ("character",))
+    return existing(_entries(own.selectExpr("tgt_id as entity_id", "src_id as item", "role")), entities, ("character",), told)
 
 
-def containment_index(refs, entities):
+def containment_index(refs, entities, told=None):
     """Location to characters (present) and items (stored or placed)."""
     here = refs.filter("component = 'current_location_reference'").selectExpr("tgt_id as entity_id", "src_id as item", "'present' as role")
     put = refs.filter("component = 'current_placement_reference' and tgt_type = 'location'").selectExpr(
         "tgt_id as entity_id", "src_id as item", "case when role = 'stored' then 'stored' else 'placed' end as role"
     )
-    return existing(_entries(here.unionByName(put)), entities, ("location",))
+    return existing(_entries(here.unionByName(put)), entities, ("location",), told)
+
+
+def _held(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often and in whatever loop it is looked at."""
+    return F.transform(F.array(x), then)[0]
 
 
-def relation_memory_index(refs, entities):
+def _runs(rows: Column, field: str) -> Column:
+    """Sorted structs cut where a field changes, in time linear in them."""
+    first = lambda i: (i == 0) | ~F.get(rows, i)[field].eqNullSafe(F.get(rows, i - 1)[field])
+    starts = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), first)
+    return _held(starts, lambda at: F.transform(at, lambda i, k: F.slice(rows, i + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - i)))
+
+
+def relation_memory_index(refs, entities, told=None):
     """Relation to its memories, each with the union of aspects and of roles."""
-    own = refs.filter("component = 'relation_context_reference'").groupBy("tgt_id", "src_id")
-    own = own.agg(
-        F.array_join(F.array_sort(F.collect_set(F.col("num").cast("string"))), "+").alias("aspects"),
-        F.array_join(F.array_sort(F.collect_set("role")), "+").alias("roles"),
-    )
-    entry = F.concat_ws(":", "src_id", "aspects", "roles")
-    index = own.groupBy(F.col("tgt_id").alias("entity_id")).agg(F.array_sort(F.collect_set(entry)).alias("ids"))
-    return existing(index, entities, ("character_relation",))
+    # one aggregation for each relation: one for each memory first would shuffle and sort every row once more
+    own = refs.filter("component = 'relation_context_reference'").select(F.col("tgt_id").alias("entity_id"), "src_id", F.col("num").cast("string").alias("num"), "role")
+    rows = _listed(own, F.struct("src_id", "num", "role"))
+    union = lambda run, c: F.array_join(F.sort_array(F.array_distinct(F.transform(run, lambda x: x[c]))), "+")
+    entry = lambda run: F.concat_ws(":", run[0]["src_id"], union(run, "num"), union(run, "role"))
+    ids = _held(F.col("ids"), lambda x: F.transform(_runs(x, "src_id"), entry))
+    return existing(rows.withColumn("ids", F.sort_array(F.array_distinct(ids))), entities, ("character_relation",), told)
 
 
 INDEXES = {
@@ -264,13 +283,17 @@ INDEXES = {
 }
 
 
-def rebuild_indexes(refs: DataFrame, entities: DataFrame) -> DataFrame:
-    """All derived index rows: entity_id, component, ids. An entity without entries has no row."""
+def rebuild_indexes(refs: DataFrame, entities: DataFrame, told: Told | None = None) -> DataFrame:
+    """All derived index rows: entity_id, component, ids. An entity without entries has no row.
+
+    With ``told``, a function of these rows, its columns in place of ids; it must keep the others.
+    """
     out = None
     for name, build in INDEXES.items():
-        rows = build(refs, entities).select("entity_id", F.lit(name).alias("component"), "ids")
+        named = lambda rows, name=name: rows.withColumn("component", F.lit(name))
+        rows = build(refs, entities, lambda rows, named=named: told(named(rows)) if told else named(rows)).drop("entity_type")
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return out.select("entity_id", "component", *[c for c in out.columns if c not in ("entity_id", "component")])
 
 
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"

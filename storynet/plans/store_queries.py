@@ -22,12 +22,11 @@ def _sql(code: str, rows: str, component: str = "component", path: str = "'/' ||
     return t.oracle(f"{WITH} select {entity} as entity_id, {component} as component, {path} as path, '{code}' as code from {rows}")
 
 
-def _stored(spark, d):
-    """All ten rebuilt indexes, with the first entry removed of entities whose key is a multiple of 73 and no index of those whose key is one of 71; others are stored in another order, which matters to the history."""
-    index = saved(network.rebuild_indexes(*net(spark, d)))
+def _stored(index):
+    """Rebuilt index rows with what is stored of them: the first entry removed of entities whose key is a multiple of 73, nothing of those whose key is one of 71; others are stored in another order, which matters to the history."""
     key = F.substring("entity_id", -24, 24).cast("long")
     ids = F.when(key % 73 == 0, F.expr("slice(ids, 2, greatest(size(ids) - 1, 0))")).when(key % 67 == 0, F.reverse("ids")).otherwise(F.col("ids"))
-    return index, index.filter(key % 71 != 0).withColumn("ids", ids)
+    return index.withColumns({"rebuilt": audit.ids_digest(), "stored": audit.ids_digest(ids), "has": key % 71 != 0}).drop("ids")
 
 
 def incomplete_memories(spark, d):
@@ -36,8 +35,9 @@ def incomplete_memories(spark, d):
 
 
 def stale(spark, d):
-    index, stored = _stored(spark, d)
-    return audit.stale_indexes(stored, index)
+    index = saved(network.rebuild_indexes(*net(spark, d), _stored))
+    side = lambda rows, c: rows.select("entity_id", "component", F.col(c).alias("digest"))
+    return audit.stale_digests(side(index.filter("has"), "stored"), side(index, "rebuilt"))
 
 
 def field_audit(spark, d):

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from storynet.operators import anchors, audit, network, projection, recall, store
-from storynet.plans import catalog
+from storynet.plans import catalog, store_queries
 from storynet.sources import tables
 
 
@@ -141,3 +141,25 @@ def test_stages_of_a_context_are_shuffled_with_all_else(spark):
     assert "hashpartitioning(framework#" in (plan := told._jdf.queryExecution().executedPlan().toString())
     assert not [line for line in plan.splitlines() if "hashpartitioning(framework#" in line and ", stage#" in line]
     assert json.loads(told.first().stages) == [{"blocks": []}, {"stage": "s", "blocks": ["text"]}, {"stage": "t", "blocks": []}]
+
+
+def test_indexes_are_compared_by_digests(spark, sf, monkeypatch):
+    made, plain = [], store_queries.saved
+    monkeypatch.setattr(store_queries, "saved", lambda df: made.append(df) or plain(df))
+    assert catalog.QUERIES["audit_stale_index"](spark, sf).count() > 0
+    assert [df.columns for df in made] == [["entity_id", "component", "rebuilt", "stored", "has"]]
+    kind = "entity_id string, component string, ids array<string>"
+    stored = spark.createDataFrame([("a", "history_index", ["2", "1"]), ("a", "memory_index", ["2", "1"]), ("b", "memory_index", []), ("c", "memory_index", ["1"]), ("d", "memory_index", None)], kind)
+    built = spark.createDataFrame([("a", "history_index", ["1", "2"]), ("a", "memory_index", ["1", "2"]), ("b", "memory_index", ["1"]), ("d", "memory_index", ["1"]), ("e", "memory_index", ["1"])], kind)
+    found = audit.stale_indexes(stored, built)
+    assert found._jdf.queryExecution().executedPlan().toString().count("md5") == 2
+    stale, missing = "STALE_DERIVED_INDEX", "MISSING_DERIVED_INDEX"
+    assert sorted((r.entity_id, r.component, r.code) for r in found.collect()) == [("a", "history_index", stale), ("b", "memory_index", stale), ("c", "memory_index", stale), ("d", "memory_index", missing), ("e", "memory_index", missing)]
+
+
+def test_memories_of_a_relation_are_collected_once(spark):
+    rows = [("m2", 1, "x", "r"), ("m1", 10, "y", "r"), ("m1", 2, "x", "r"), ("m1", 2, "y", "r"), ("m3", None, None, "r"), ("m3", None, "x", "r"), ("m1", 5, "x", "s"), ("m1", 5, "x", "gone")]
+    refs = spark.createDataFrame(rows, "src_id string, num long, role string, tgt_id string").withColumn("component", F.lit("relation_context_reference"))
+    found = network.relation_memory_index(refs, spark.createDataFrame([("r", "character_relation"), ("s", "character_relation"), ("gone", "item")], "id string, type string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("partial_collect_set") == 1
+    assert {r.entity_id: r.ids for r in found.collect()} == {"r": ["m1:10+2:x+y", "m2:1:x", "m3::x"], "s": ["m1:5:x"]}
