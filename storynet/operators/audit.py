@@ -270,6 +270,19 @@ def ids_digest(ids: str | Column = "ids", ordered: tuple[str, ...] = ORDERED) ->
     return F.unhex(F.md5(F.array_join(F.when(F.col("component").isin(*ordered), ids).otherwise(F.sort_array(ids)), ",")))
 
 
+def entries_digest(place: str | Column = "place", id: str | Column = "id", ordered: tuple[str, ...] = ORDERED) -> Column:
+    """As ``ids_digest``, an aggregate over an index's entries, each with its ``place`` in the list; those without place or id do not count.
+
+    It holds their number and 128 bits, the exclusive or of hashes of the ids, with the place in the ``ordered`` indexes. Lists with equal
+    digests are equal if one of them has every id once, as a rebuilt one has.
+    """
+    place, id = (F.col(c) if isinstance(c, str) else c for c in (place, id))
+    at = F.when(F.col("component").isin(*ordered), place.cast("long")).otherwise(F.lit(0).cast("long"))
+    own = lambda c: F.when(place.isNotNull() & id.isNotNull(), c)
+    # the seed comes first, so that the two hashes of an entry are not made of each other
+    return F.struct(F.count(own(F.lit(1))).alias("n"), *[F.bit_xor(own(F.xxhash64(F.lit(seed), at, id))).alias(f"bits{seed}") for seed in range(2)])
+
+
 def stale_indexes(stored: DataFrame, rebuilt: DataFrame, required: bool = True, ordered: tuple[str, ...] = ORDERED) -> DataFrame:
     """Stored index rows (entity_id, component, ids) against rebuilt ones, whatever the order of ids but in the ``ordered`` indexes."""
     # digests are made where the rows are: an id of a hot entity's index is neither shuffled nor sorted again

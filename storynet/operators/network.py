@@ -2,7 +2,8 @@
 
 Edges have src_id, src_type, component, ord, role, num, tgt_id, tgt_type. Every
 index is one filter and one grouped aggregation over them, so partial
-aggregation runs before each shuffle; nothing is collected to the driver.
+aggregation runs before each shuffle; nothing is collected to the driver. Its
+lists are arrays, or entries as rows for whoever need not hold a list whole.
 """
 
 from __future__ import annotations
@@ -163,45 +164,60 @@ def formal_refs(refs: DataFrame) -> DataFrame:
     return own.select("src_id", "component", "tgt_id", F.col("m.tgt_type").alias("tgt_type"))
 
 
-def _listed(rows: DataFrame, column: str | Column) -> DataFrame:
-    """The sorted set of ``column`` for each entity_id."""
+#: A function of an index's entries (entity_id, place, n, id), the place-th of the n ids of an entity in their order, to a row for each entity.
+#: Rows of an entity are together in a partition. An entity whose ids are all null has rows without id.
+Told = Callable[[DataFrame], DataFrame]
+
+
+def _listed(rows: DataFrame, column: str | Column, told: Told | None = None) -> DataFrame:
+    """The sorted set of ``column`` for each entity_id, as ids, or what ``told`` makes of its entries."""
+    if told:
+        return told(_placed(_dealt(rows.select("entity_id", (F.col(column) if isinstance(column, str) else column).alias("id")))))
     return rows.groupBy("entity_id").agg(F.sort_array(F.collect_set(column)).alias("ids"))
 
 
-#: A function of an index's rows that puts other columns in place of ids.
-Told = Callable[[DataFrame], DataFrame]
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.filter("entity_id is not null").repartition("entity_id")
 
 
-def existing(index: DataFrame, entities: DataFrame, types: tuple[str, ...], told: Told | None = None) -> DataFrame:
-    """Index rows of entities that exist with one of the types; others cannot carry the index. ``told`` comes first, so that the join need not carry the ids."""
-    index = told(index) if told else index
+def _placed(entries: DataFrame) -> DataFrame:
+    """Distinct entries (entity_id, id) with place and n. They are sorted on disk where memory is short: no entity's ids need fit in it."""
+    ids = W.partitionBy("entity_id").orderBy(F.asc_nulls_last("id"))
+    # sorted once; repeated ids are next to each other
+    first = entries.select("entity_id", "id", F.row_number().over(ids).alias("nth"), F.lag("id").over(ids).alias("before")).filter("nth = 1 or not (before <=> id)")
+    n = F.count("id").over(ids.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return first.select("entity_id", F.row_number().over(ids).cast("long").alias("place"), n.alias("n"), "id")
+
+
+def existing(index: DataFrame, entities: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """Index rows of entities that exist with one of the types; others cannot carry the index."""
     own = entities.filter(F.col("type").isin(*types)).select(F.col("id").alias("entity_id"), F.col("type").alias("entity_type"))
     return index.join(own.distinct(), "entity_id")
 
 
-def _sources(refs: DataFrame) -> DataFrame:
-    return _listed(refs.select(F.col("tgt_id").alias("entity_id"), "src_id"), "src_id")
+def _sources(refs: DataFrame, told: Told | None) -> DataFrame:
+    return _listed(refs.select(F.col("tgt_id").alias("entity_id"), "src_id"), "src_id", told)
 
 
-def _simple(refs: DataFrame, component: str, tgt_type: str | None = None) -> DataFrame:
+def _simple(refs: DataFrame, told: Told | None, component: str, tgt_type: str | None = None) -> DataFrame:
     own = refs.filter(F.col("component") == component)
     own = own.filter(F.col("tgt_type") == tgt_type) if tgt_type else own
-    return _sources(own)
+    return _sources(own, told)
 
 
 def memory_index(refs, entities, told=None):
     """Owner to memories."""
-    return existing(_simple(refs, "memory_owner_reference"), entities, ("character",), told)
+    return existing(_simple(refs, told, "memory_owner_reference"), entities, ("character",))
 
 
 def event_memory_index(refs, entities, told=None):
     """Event to memories."""
-    return existing(_simple(refs, "source_event_reference"), entities, ("event",), told)
+    return existing(_simple(refs, told, "source_event_reference"), entities, ("event",))
 
 
 def relation_index(refs, entities, told=None):
     """Character to relations."""
-    return existing(_simple(refs, "relation_endpoint_reference"), entities, ("character",), told)
+    return existing(_simple(refs, told, "relation_endpoint_reference"), entities, ("character",))
 
 
 HISTORY_TYPES = ("character", "location", "item", "organization", "skill", "concept", "character_relation")
@@ -210,31 +226,31 @@ HISTORY_TYPES = ("character", "location", "item", "organization", "skill", "conc
 def history_index(refs, entities, told=None):
     """Entity to the events that name it as related or as a location."""
     own = refs.filter(F.col("component").isin("event_related_entity_reference", "event_location_reference"))
-    return existing(_sources(own), entities, HISTORY_TYPES, told)
+    return existing(_sources(own, told), entities, HISTORY_TYPES)
 
 
 def contents_index(refs, entities, told=None):
     """Item to the items placed in it."""
-    return existing(_simple(refs, "current_placement_reference", "item"), entities, ("item",), told)
+    return existing(_simple(refs, told, "current_placement_reference", "item"), entities, ("item",))
 
 
 def child_location_index(refs, entities, told=None):
-    return existing(_simple(refs, "parent_location_reference"), entities, ("location",), told)
+    return existing(_simple(refs, told, "parent_location_reference"), entities, ("location",))
 
 
 def child_organization_index(refs, entities, told=None):
-    return existing(_simple(refs, "parent_organization_reference"), entities, ("organization",), told)
+    return existing(_simple(refs, told, "parent_organization_reference"), entities, ("organization",))
 
 
-def _entries(index: DataFrame) -> DataFrame:
+def _entries(index: DataFrame, told: Told | None) -> DataFrame:
     """Groups (entity_id, item, role) to sorted entries item:role."""
-    return _listed(index, F.concat_ws(":", "item", "role"))
+    return _listed(index, F.concat_ws(":", "item", "role"), told)
 
 
 def inventory_index(refs, entities, told=None):
     """Character to items carried, equipped or worn, with the role."""
     own = refs.filter("component = 'current_placement_reference' and tgt_type = 'character' and role in ('carried', 'equipped', 'worn')")
-    return existing(_entries(own.selectExpr("tgt_id as entity_id", "src_id as item", "role")), entities, ("character",), told)
+    return existing(_entries(own.selectExpr("tgt_id as entity_id", "src_id as item", "role"), told), entities, ("character",))
 
 
 def containment_index(refs, entities, told=None):
@@ -243,7 +259,7 @@ def containment_index(refs, entities, told=None):
     put = refs.filter("component = 'current_placement_reference' and tgt_type = 'location'").selectExpr(
         "tgt_id as entity_id", "src_id as item", "case when role = 'stored' then 'stored' else 'placed' end as role"
     )
-    return existing(_entries(here.unionByName(put)), entities, ("location",), told)
+    return existing(_entries(here.unionByName(put), told), entities, ("location",))
 
 
 def _held(x: Column, then: Callable[[Column], Column]) -> Column:
@@ -260,13 +276,18 @@ def _runs(rows: Column, field: str) -> Column:
 
 def relation_memory_index(refs, entities, told=None):
     """Relation to its memories, each with the union of aspects and of roles."""
-    # one aggregation for each relation: one for each memory first would shuffle and sort every row once more
     own = refs.filter("component = 'relation_context_reference'").select(F.col("tgt_id").alias("entity_id"), "src_id", F.col("num").cast("string").alias("num"), "role")
+    if told:
+        each = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "+")
+        memories = _dealt(own).groupBy("entity_id", "src_id").agg(each("num").alias("num"), each("role").alias("role"))
+        entries = memories.select("entity_id", F.concat_ws(":", "src_id", "num", "role").alias("id"))
+        return existing(told(_placed(entries)), entities, ("character_relation",))
+    # one aggregation for each relation: one for each memory first would shuffle and sort every row once more
     rows = _listed(own, F.struct("src_id", "num", "role"))
     union = lambda run, c: F.array_join(F.sort_array(F.array_distinct(F.transform(run, lambda x: x[c]))), "+")
     entry = lambda run: F.concat_ws(":", run[0]["src_id"], union(run, "num"), union(run, "role"))
     ids = _held(F.col("ids"), lambda x: F.transform(_runs(x, "src_id"), entry))
-    return existing(rows.withColumn("ids", F.sort_array(F.array_distinct(ids))), entities, ("character_relation",), told)
+    return existing(rows.withColumn("ids", F.sort_array(F.array_distinct(ids))), entities, ("character_relation",))
 
 
 INDEXES = {
@@ -286,12 +307,13 @@ INDEXES = {
 def rebuild_indexes(refs: DataFrame, entities: DataFrame, told: Told | None = None) -> DataFrame:
     """All derived index rows: entity_id, component, ids. An entity without entries has no row.
 
-    With ``told``, a function of these rows, its columns in place of ids; it must keep the others.
+    With ``told``, a function of the entries (entity_id, component, place, n, id), its columns in place of ids, and ids are not collected; it must keep entity_id and component.
     """
     out = None
     for name, build in INDEXES.items():
         named = lambda rows, name=name: rows.withColumn("component", F.lit(name))
-        rows = build(refs, entities, lambda rows, named=named: told(named(rows)) if told else named(rows)).drop("entity_type")
+        rows = build(refs, entities, lambda rows, named=named: told(named(rows))) if told else named(build(refs, entities))
+        rows = rows.drop("entity_type")
         out = rows if out is None else out.unionByName(rows)
     return out.select("entity_id", "component", *[c for c in out.columns if c not in ("entity_id", "component")])
 

@@ -22,11 +22,12 @@ def _sql(code: str, rows: str, component: str = "component", path: str = "'/' ||
     return t.oracle(f"{WITH} select {entity} as entity_id, {component} as component, {path} as path, '{code}' as code from {rows}")
 
 
-def _stored(index):
-    """Rebuilt index rows with what is stored of them: the first entry removed of entities whose key is a multiple of 73, nothing of those whose key is one of 71; others are stored in another order, which matters to the history."""
+def _stored(entries):
+    """Entries of the rebuilt indexes to digests of them and of what is stored: the first entry removed of entities whose key is a multiple of 73, nothing of those whose key is one of 71; others are stored in another order, which matters to the history."""
     key = F.substring("entity_id", -24, 24).cast("long")
-    ids = F.when(key % 73 == 0, F.expr("slice(ids, 2, greatest(size(ids) - 1, 0))")).when(key % 67 == 0, F.reverse("ids")).otherwise(F.col("ids"))
-    return index.withColumns({"rebuilt": audit.ids_digest(), "stored": audit.ids_digest(ids), "has": key % 71 != 0}).drop("ids")
+    place = F.when(key % 73 == 0, F.expr("nullif(place - 1, 0)")).when(key % 67 == 0, F.expr("n + 1 - place")).otherwise(F.col("place"))
+    rows = entries.groupBy("entity_id", "component").agg(audit.entries_digest().alias("rebuilt"), audit.entries_digest(place).alias("stored"))
+    return rows.withColumn("has", key % 71 != 0)
 
 
 def incomplete_memories(spark, d):

@@ -1,6 +1,8 @@
 """What the steps of the larger queries cost: inputs built once, rows that cannot count left out early."""
 
 import json
+import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -163,3 +165,43 @@ def test_memories_of_a_relation_are_collected_once(spark):
     found = network.relation_memory_index(refs, spark.createDataFrame([("r", "character_relation"), ("s", "character_relation"), ("gone", "item")], "id string, type string"))
     assert found._jdf.queryExecution().executedPlan().toString().count("partial_collect_set") == 1
     assert {r.entity_id: r.ids for r in found.collect()} == {"r": ["m1:10+2:x+y", "m2:1:x", "m3::x"], "s": ["m1:5:x"]}
+
+
+def test_ids_of_an_entity_are_not_collected_for_the_audit(spark, sf, monkeypatch):
+    made, plain = [], store_queries.saved
+    monkeypatch.setattr(store_queries, "saved", lambda df: made.append(df) or plain(df))
+    catalog.QUERIES["audit_stale_index"](spark, sf)
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"collect_(?:set|list)\((\w+)", plan)) == {"num", "role"}  # of one memory
+
+
+def test_entries_of_indexes_equal_their_lists(spark):
+    rng = random.Random(4)
+    ids, types = ["a", "a!", "b", "b:", "c", None], ["character", "item", "location", "organization", "event", "character_relation"]
+    components = sorted({c for c, _, _, derived in network.REF_RULES if not derived})
+    roles = ["carried", "worn", "stored", "placed", None]
+    one = lambda: (rng.choice(ids), rng.choice(components), rng.choice(roles), rng.choice([None, 1, 2, 10]), rng.choice([*types, None]), rng.choice(types))
+    refs = spark.createDataFrame([one() for _ in range(4000)], "src_id string, component string, role string, num long, tgt_id string, tgt_type string")
+    entities = spark.createDataFrame([(t, t) for t in types] + [("item", "item"), ("event", "item")], "id string, type string")
+    listed = {(r.entity_id, r.component): r.ids for r in network.rebuild_indexes(refs, entities).collect()}
+    entries = network.rebuild_indexes(refs, entities, lambda rows: rows.groupBy("entity_id", "component").agg(F.sort_array(F.collect_list(F.struct("place", "n", "id"))).alias("all"))).collect()
+    assert len({c for _, c in listed}) == len(network.INDEXES)
+    found = {(r.entity_id, r.component): [tuple(x) for x in r.all if x.id is not None] for r in entries}
+    assert all(len({x.id for x in r.all}) == len(r.all) for r in entries)
+    assert found == {k: [(i, len(v), x) for i, x in enumerate(v, 1)] for k, v in listed.items()}
+
+
+def test_digests_of_entries_equal_those_of_lists(spark):
+    rng = random.Random(5)
+    lists = [[], ["a"], ["a", "a"], ["b"], ["a", "b"], ["b", "a"], ["a", "a", "a", "b"]] + [[rng.choice("abcd") for _ in range(rng.randrange(2, 5))] for _ in range(60)]
+    rows = [(f"{k:03d}", c, at, x) for k, own in enumerate(lists) for c in ("history_index", "memory_index") for at, x in [*enumerate(own, 1), (None, "z"), (7, None)]]
+    entries = spark.createDataFrame(rows, "entity_id string, component string, place long, id string").repartition(5)
+    digest = {(r.entity_id, r.component): tuple(r.digest) for r in entries.groupBy("entity_id", "component").agg(audit.entries_digest().alias("digest")).collect()}
+    for k, a in enumerate(lists):
+        for m, b in enumerate(lists):
+            if len(set(b)) == len(b):  # a rebuilt list
+                of = lambda c: digest[f"{k:03d}", c] == digest[f"{m:03d}", c]  # noqa: E731, B023
+                assert of("history_index") == (a == b) and of("memory_index") == (sorted(a) == sorted(b))
+    assert {digest["000", "history_index"]} == {(0, None, None)}
+    both = spark.createDataFrame([("e", "history_index")], "entity_id string, component string").withColumn("digest", F.expr("named_struct('n', 0L, 'bits0', cast(null as long), 'bits1', cast(null as long))"))
+    assert audit.stale_digests(both, both).count() == 0 and audit.stale_digests(both.limit(0), both).first().code == "MISSING_DERIVED_INDEX"
